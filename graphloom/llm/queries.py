@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import substring_dedup
+from graphloom.llm import mixing, quality, sharding, substring_dedup
 from graphloom.llm.common import table
 
 
@@ -16,5 +16,18 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_byte_strings(spark, table(spark, sf_dir, "documents")).drop("removed")
 
 
-QUERIES = {f.__name__: f for f in (op4_substring_dedup, op6_suffix_array_dedup)}
-ORACLES: dict[str, str] = {}
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(spark, table(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(spark, table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(spark, table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_substring_dedup, op6_suffix_array_dedup, op7_source_mixing, op8_quality_rules, op9_sharding)}
+ORACLES = {"op7_source_mixing": mixing.oracle()}
