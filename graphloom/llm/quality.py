@@ -22,13 +22,17 @@ from pyspark.sql import functions as F
 from graphloom.llm import textarrays as ta
 from graphloom.llm.common import WHITE, written
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_lower", "n_bang")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_lower", "n_bang", "n_marks", "n_letter_words", "n_symbol_words")
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 UPPER, LOWER, BANG = (np.zeros(256, bool) for _ in range(3))
 UPPER[ord("A") : ord("Z") + 1] = True
 LOWER[ord("a") : ord("z") + 1] = True
 BANG[ord("!")] = True
+LETTER = UPPER | LOWER
+LETTER[128:] = True  # bytes of other characters count as letters
+MARK = ~(LETTER | WHITE)
+MARK[ord("0") : ord("9") + 1] = False
 MIN_WORDS, MAX_REPEAT = 50, 0.5
 
 
@@ -49,6 +53,10 @@ def counts(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     start, end, rows = ta.words(data, off)
     out = {"n_words": np.diff(rows), "n_symbols": _per_row(SYMBOL[data], off), "n_upper": _per_row(UPPER[data], off), "n_lower": _per_row(LOWER[data], off), "n_bang": _per_row(BANG[data], off)}
     out["word_chars"] = _per_row(~WHITE[data] & ((data & 0xC0) != 0x80), off)
+    out["n_marks"] = _per_row(MARK[data], off)
+    for name, kind in (("n_letter_words", LETTER), ("n_symbol_words", SYMBOL)):
+        total = np.concatenate([[0], np.cumsum(kind[data], dtype=np.int64)])
+        out[name] = _per_row(total[end] > total[start], rows)
     hashes = ta.word_hashes(data, start, end)
     row = np.repeat(np.arange(n), np.diff(rows))
     out["n_distinct"] = _distinct(hashes, row, n)
@@ -107,7 +115,9 @@ def rules() -> dict[str, Column]:
         "word length": between(c["word_chars"] / words, (4, 9), (3, 14)),
         "vocabulary": between(c["n_distinct"] / F.sqrt(words), (6, math.inf), (4, math.inf)),
         "shouting": between(c["n_bang"] / words, (0, 0.02), (0, 0.2)),
-        "length": between(c["n_words"], (80, math.inf), (MIN_WORDS, math.inf)),
+        "punctuation": between(c["n_marks"] / F.greatest(c["word_chars"], F.lit(1.0)), (0, 0.06), (0, 0.1)),
+        "words of letters": between(c["n_letter_words"] / words, (0.95, 1), (0.8, 1)),
+        "words with symbols": between(c["n_symbol_words"] / words, (0, 0.05), (0, 0.2)),
     }
 
 
