@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.llm import mixing, quality, sharding, substring_dedup
+from graphloom.llm import line_dedup, mixing, quality, sharding, substring_dedup
 from graphloom.llm.common import table
 
 
@@ -12,6 +13,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_word_windows(spark, table(spark, sf_dir, "documents")).drop("removed")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.drop_lines(spark, table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_byte_strings(spark, table(spark, sf_dir, "documents")).drop("removed")
 
@@ -29,5 +35,5 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_substring_dedup, op6_suffix_array_dedup, op7_source_mixing, op8_quality_rules, op9_sharding)}
-ORACLES = {"op7_source_mixing": mixing.oracle()}
+QUERIES = {f.__name__: f for f in (op4_substring_dedup, op5_line_dedup, op6_suffix_array_dedup, op7_source_mixing, op8_quality_rules, op9_sharding)}
+ORACLES = {"op5_line_dedup": line_dedup.oracle(), "op7_source_mixing": mixing.oracle()}
