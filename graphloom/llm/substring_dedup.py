@@ -26,7 +26,7 @@ def _without(text: bytes, ranges: np.ndarray) -> list[bytes]:
     return [text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def dedup_word_windows(spark: SparkSession, docs: DataFrame, window: int = 35, gram: int = 8, shard: int = 1 << 20, texts: bool = False) -> DataFrame:
+def dedup_word_windows(spark: SparkSession, docs: DataFrame, window: int = 35, gram: int = 8, shard: int = 1 << 19, texts: bool = False) -> DataFrame:
     """Takes out each word in a window of so many words that also starts elsewhere; kept words are joined by a space.
 
     Words are [^\\x20\\x09-\\x0D]+, unchanged. Gives doc_id, n_words, n_removed, kept_sha256, removed (merged word ranges,
@@ -52,7 +52,7 @@ def dedup_word_windows(spark: SparkSession, docs: DataFrame, window: int = 35, g
     return packed.join(ranges, ["did", "rk"], "left").select("doc_id", "text", "ranges").mapInArrow(finish, kinds)
 
 
-def dedup_byte_strings(spark: SparkSession, docs: DataFrame, length: int = 200, gram: int = 32, shard: int = 4 << 20, texts: bool = False) -> DataFrame:
+def dedup_byte_strings(spark: SparkSession, docs: DataFrame, length: int = 200, gram: int = 32, shard: int = 1 << 19, texts: bool = False) -> DataFrame:
     """Takes out each byte in a string of so many bytes that also starts elsewhere.
 
     Gives doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (byte ranges, end exclusive), and with texts=True the

@@ -10,7 +10,7 @@ import pyarrow as pa
 from graphloom.llm.common import WHITE
 
 U64 = np.uint64
-SLICE = 2 << 20
+SLICE = 1 << 20
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 _TABLE = np.random.default_rng(20240607).integers(0, 1 << 64, 256, dtype=U64)
