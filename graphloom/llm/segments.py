@@ -24,7 +24,7 @@ from graphloom.llm.common import row_key, written
 #: Positions in a slice fit in so many bits beside the hash that orders anchors.
 INDEX_BITS = 24
 CHUNK = 1 << 22
-OCCURRENCE = "did long, rk long, start long, n_windows int, shift int, mh long, ch long"
+OCCURRENCE = "did long, rk long, starts binary, times int, n_windows int, mh long, ch long"
 CONTENT = "mh long, did long, rk long, start long, n_windows int, unsettled boolean, symbols binary"
 RANGES = "did long, rk long, ranges binary"
 
@@ -38,7 +38,7 @@ def symbols_of(unit: str, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray
 
 
 def cut(symbols: np.ndarray, rows: np.ndarray, length: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Row, start in its row, windows, anchor's shift, anchor's and content's hash of each segment of a slice."""
+    """Row, start in its row, windows, anchor's and content's hash of each segment of a slice."""
     w = length - k + 1
     n = len(symbols)
     owner = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
@@ -60,7 +60,7 @@ def cut(symbols: np.ndarray, rows: np.ndarray, length: int, k: int) -> Iterator[
         a = anchor[s]
         shift = a - s
         content = roll.of(s, e + length) + (shift * 1_000_003 + (e - s)).astype(ta.U64) * ta.U64(0x2545F4914F6CDD1D)
-        yield row[s], base + s - rows[row[s]], e - s + 1, shift, gram[a], ta.mix(content)
+        yield row[s], base + s - rows[row[s]], e - s + 1, gram[a], ta.mix(content)
 
 
 def occurrences(docs: DataFrame, unit: str, length: int, k: int) -> DataFrame:
@@ -70,10 +70,18 @@ def occurrences(docs: DataFrame, unit: str, length: int, k: int) -> DataFrame:
         for batch in batches:
             did, rk = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("did", "rk"))
             for lo, _, data, off in ta.slices(batch.column("text")):
-                for row, start, many, shift, mh, ch in cut(*symbols_of(unit, data, off), length, k):
+                for row, start, many, mh, ch in cut(*symbols_of(unit, data, off), length, k):
+                    # what a document holds again and again, as in "a b a b", is one row
+                    order = np.lexsort((start, ch, mh, row))
+                    row, start, many, mh, ch = (x[order] for x in (row, start, many, mh, ch))
+                    new = np.ones(len(row), bool)
+                    new[1:] = (row[1:] != row[:-1]) | (mh[1:] != mh[:-1]) | (ch[1:] != ch[:-1])
+                    at = np.flatnonzero(new)
+                    ends = np.concatenate([at, [len(row)]])
+                    starts = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((8 * ends).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(start.astype(np.int64)))])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(did[lo + row]), pa.array(rk[lo + row]), pa.array(start), pa.array(many.astype(np.int32)), pa.array(shift.astype(np.int32)), pa.array(mh.view(np.int64)), pa.array(ch.view(np.int64))],
-                        names=["did", "rk", "start", "n_windows", "shift", "mh", "ch"],
+                        [pa.array(did[lo + row[at]]), pa.array(rk[lo + row[at]]), starts, pa.array(np.diff(ends).astype(np.int32)), pa.array(many[at].astype(np.int32)), pa.array(mh[at].view(np.int64)), pa.array(ch[at].view(np.int64))],
+                        names=["did", "rk", "starts", "times", "n_windows", "mh", "ch"],
                     )
 
     return docs.mapInArrow(run, OCCURRENCE)
@@ -131,10 +139,10 @@ def repeated(
     keyed = docs.select(*row_key(docs, "doc_id", "text"), "doc_id", "text")
     by_anchor, by_content = Window.partitionBy("mh"), Window.partitionBy("mh", "ch")
     some = occurrences(keyed.select("did", "rk", "text"), unit, length, k)
-    some = some.withColumn("n", F.count("*").over(by_anchor)).where("n > 1")
-    some = some.withColumn("twins", F.count("*").over(by_content)).withColumn("r", F.row_number().over(by_content.orderBy("did", "rk", "start")))
+    some = some.withColumn("n", F.sum("times").over(by_anchor)).where("n > 1")
+    some = some.withColumn("twins", F.sum("times").over(by_content)).withColumn("r", F.row_number().over(by_content.orderBy("did", "rk", "starts")))
     some = some.withColumn("alone", F.max((F.col("twins") == 1).cast("int")).over(by_anchor))
-    some = written(spark, some.select("did", "rk", "start", "n_windows", "mh", (F.col("twins") > 1).alias("settled"), ((F.col("r") == 1) & (F.col("alone") == 1)).alias("fetch")))
+    some = written(spark, some.select("did", "rk", "starts", "n_windows", "mh", (F.col("twins") > 1).alias("settled"), ((F.col("r") == 1) & (F.col("alone") == 1)).alias("fetch")))
     texts = packed(keyed)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,13 +154,13 @@ def repeated(
                 symbols = data if unit == "byte" else symbols_of(unit, data, np.array([0, len(data)]))[0]
                 cols: list[list] = [[], [], [], [], [], [], []]
                 for a in asked:
-                    s, m = a["start"], a["n_windows"]
+                    s, m = int.from_bytes(a["starts"][:8], "little"), a["n_windows"]
                     for c, v in zip(cols, (a["mh"], did[i], rk[i], s, m, not a["settled"], symbols[s : s + m + length - 1].tobytes()), strict=True):
                         c.append(v)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["mh", "did", "rk", "start", "n_windows", "unsettled", "symbols"])
 
-    asked = some.where("fetch").groupBy("did", "rk").agg(F.collect_list(F.struct("start", "n_windows", "mh", "settled")).alias("asked"))
+    asked = some.where("fetch").groupBy("did", "rk").agg(F.collect_list(F.struct("starts", "n_windows", "mh", "settled")).alias("asked"))
     content = texts.drop("doc_id").join(asked, ["did", "rk"]).mapInArrow(fetch, CONTENT)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,11 +199,13 @@ def repeated(
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            start, many = (batch.column(c).to_numpy() for c in ("start", "n_windows"))
-            both = np.stack([start, start + many + length - 1], axis=1).astype(np.int64)
-            raw = pa.Array.from_buffers(pa.binary(16), len(both), [None, pa.py_buffer(np.ascontiguousarray(both))]).cast(pa.binary())
+            starts, off = ta.buffers(batch.column("starts"))
+            start = np.frombuffer(starts.tobytes(), np.int64)
+            size = np.repeat(batch.column("n_windows").to_numpy(), np.diff(off) // 8) + length - 1
+            both = np.ascontiguousarray(np.stack([start, start + size], axis=1).astype(np.int64))
+            raw = pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer((2 * off).astype(np.int32)), pa.py_buffer(both)])
             yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("rk"), raw], names=["did", "rk", "ranges"])
 
     exact = content.repartition("mh").sortWithinPartitions("mh").mapInArrow(search, RANGES)
-    settled = some.where("settled").select("did", "rk", "start", "n_windows").mapInArrow(settle, RANGES)
+    settled = some.where("settled").select("did", "rk", "starts", "n_windows").mapInArrow(settle, RANGES)
     return grouped(exact.unionByName(settled)), texts
