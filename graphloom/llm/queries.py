@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import embedding_dedup, jaccard_join, line_dedup, mixing, quality, sentencepiece_codec, sharding, substring_dedup
+from graphloom.llm import embedding_dedup, jaccard_join, line_dedup, mixing, quality, sentencepiece_codec, sharding, substring_dedup, toxicity
 from graphloom.llm.common import table
 
 
@@ -47,5 +47,9 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_ngram_jaccard_join, op3_embedding_near_dedup, op4_substring_dedup, op5_line_dedup, op6_suffix_array_dedup, op7_source_mixing, op8_quality_rules, op9_sharding)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_ngram_jaccard_join, op3_embedding_near_dedup, op4_substring_dedup, op5_line_dedup, op6_suffix_array_dedup, op7_source_mixing, op8_quality_rules, op9_sharding, op10_toxicity)}
 ORACLES = {"op5_line_dedup": line_dedup.oracle(), "op7_source_mixing": mixing.oracle()}
