@@ -28,9 +28,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import textarrays as ta
 from graphloom.llm.blocks import groups, in_blocks, least_labels
-from graphloom.llm.common import row_key, written
+from graphloom.llm.common import bounded, row_key, written
 from graphloom.llm.components import components
-from graphloom.llm.line_dedup import bounded
 
 WORDS, SIMILARITY = 5, 0.8
 TOKENS, LEVELS, RECALL = 128, 3, 0.9999

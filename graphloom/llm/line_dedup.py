@@ -19,15 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WORD, row_key, written
+from graphloom.llm.common import WORD, bounded, row_key, written
 
 MIN_CHARS, BLOCK = 16, 64
-#: A table of at most so many short rows is broadcast to meet texts; a larger one is joined by shuffling both.
-BROADCAST_ROWS = 500_000
-
-
-def bounded(df: DataFrame, width: int = 1) -> DataFrame:
-    return F.broadcast(df) if df.count() * width <= BROADCAST_ROWS else df
 
 
 def _split(docs: DataFrame) -> DataFrame:
@@ -111,18 +105,21 @@ def removed_lines(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHA
     return written(spark, gone.groupBy("did", "rk").agg(F.collect_set("pos").alias("gone")))
 
 
-def drop_lines(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHARS, block: int = BLOCK) -> DataFrame:
-    """docs with the text of what is left of each, and n_lines, n_removed. Documents stay, if need be with an empty text."""
+def drop_lines(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHARS, block: int = BLOCK, counts: bool = True) -> DataFrame:
+    """docs with the text of what is left of each, and with counts=True n_lines, n_removed.
+
+    Documents stay, if need be with an empty text. n_chars, where there is one, follows a text that changes.
+    """
     gone = removed_lines(spark, docs, min_chars, block).withColumnsRenamed({"did": "did_", "rk": "rk_", "gone": "gone_"})
     did, rk = row_key(docs, "doc_id", "text")
     out = docs.join(bounded(gone, 4), (did == F.col("did_")) & (rk == F.col("rk_")), "left")
-    lines = F.split("text", "\n", -1)
+    lines, whole = F.split("text", "\n", -1), F.col("gone_").isNull()
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone_"))
-    text = F.when(F.col("gone_").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: lines[i]), "\n"))
-    counts = [F.coalesce(F.size(lines).cast("long"), F.lit(0)).alias("n_lines"), F.coalesce(F.size("gone_").cast("long"), F.lit(0)).alias("n_removed")]
-    counts = [F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(c).alias(n) for c, n in zip(counts, ("n_lines", "n_removed"), strict=True)]
-    counts[1] = F.when(F.col("gone_").isNull(), F.lit(0).cast("long")).otherwise(F.size("gone_").cast("long")).alias("n_removed")
-    return out.select(*((text if c == "text" else docs[c]).alias(c) for c in docs.columns), *counts)
+    text = F.when(whole, F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: lines[i]), "\n"))
+    new = {"text": text, "n_chars": F.when(whole, docs["n_chars"]).otherwise(F.char_length(text).cast("long"))} if "n_chars" in docs.columns else {"text": text}
+    n_lines = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(F.size(lines).cast("long"))
+    n_removed = F.when(whole, F.lit(0).cast("long")).otherwise(F.size("gone_").cast("long"))
+    return out.select(*(new.get(c, docs[c]).alias(c) for c in docs.columns), *([n_lines.alias("n_lines"), n_removed.alias("n_removed")] if counts else []))
 
 
 def oracle(min_chars: int = MIN_CHARS) -> str:

@@ -58,12 +58,12 @@ def highest(claims: DataFrame, keys: list[str], claim: str, seats: str | int, wi
 
 
 def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, blocks: int = BLOCKS, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, shard of each row of docs (and its number among equal ids: copy).
+    """doc_id, source, size, source_size, target, taken, shard of each row of docs, and rk (hash of its id and text).
 
     A source's taken words are its whole blocks, each share of a shard at most `most` times the shard's size.
     """
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    sized = docs.select("doc_id", "source", n_words().alias("size")).withColumn("h", order)
+    sized = docs.select("doc_id", "source", n_words().alias("size"), F.xxhash64("doc_id", "text").alias("rk")).withColumn("h", order)
     sized = written(spark, sized.withColumn("shard", (F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % shards).cast("int")))
     cells = written(spark, sized.groupBy("source", "shard").agg(F.sum("size").alias("cell_size")))
     aims = written(spark, targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, share, most))
@@ -73,7 +73,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share: float = SH
     inside = cells.join(aims, cells["source"].eqNullSafe(aims["source"])).select("rn", "shard", "cell_size", "source_size", "target", aims["source"].alias("s")).join(won, "rn", "left")
     quota = highest(inside.where("blocks > 0").withColumnRenamed("blocks", "won"), ["rn", "shard"], "cell_size", "won", Window.partitionBy("rn"))
     inside = inside.drop("blocks").join(quota, ["rn", "shard"], "left").withColumn("quota", F.least(F.coalesce("blocks", F.lit(0)) * block, F.col("cell_size") * most))
-    cell = Window.partitionBy("source", "shard").orderBy("h", "doc_id", "size")
+    cell = Window.partitionBy("source", "shard").orderBy("h", "doc_id", "size", "rk")
     sized = sized.withColumn("upto", F.sum("size").over(cell.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     inside = inside.select(F.col("s").alias("source_"), F.col("shard").alias("shard_"), "cell_size", "source_size", "target", "quota")
     out = sized.join(inside, sized["source"].eqNullSafe(F.col("source_")) & (F.col("shard") == F.col("shard_")))
@@ -81,24 +81,25 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share: float = SH
     rest = F.col("quota") - F.col("rounds") * F.col("cell_size")
     out = out.withColumn("rounds", rounds)
     taken = F.col("rounds") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - (F.col("upto") - F.col("size"))))
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "shard")
+    return out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "shard", "rk")
 
 
 def mixed(docs: DataFrame, taken: DataFrame) -> DataFrame:
     """The mix itself: docs with a row for each time a document is taken, the last cut after its last word taken.
 
-    taken: doc_id, taken. Rows of docs with one id get what that id has, in turn; cut texts have a space between words.
+    taken: rk, taken of each row of docs; rows equal in id and text have what those rows have, in turn. Cut texts have a
+    space between words. n_chars, where there is one, follows the text.
     """
-    texts = docs.withColumn("size", n_words())
-    amounts = taken.where("taken > 0").select(F.col("doc_id").alias("id_"), F.col("size").alias("size_"), F.col("taken").alias("taken_"))
-    amounts = amounts.withColumn("turn2_", F.row_number().over(Window.partitionBy("id_", "size_").orderBy(F.desc("taken_"))))
-    texts = texts.withColumn("turn_", F.row_number().over(Window.partitionBy("doc_id", "size").orderBy("text")))
-    out = texts.join(amounts, texts["doc_id"].eqNullSafe(F.col("id_")) & (F.col("size") == F.col("size_")) & (F.col("turn_") == F.col("turn2_")))
-    out = out.withColumn("time_", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken_") / F.col("size")))))
-    left = F.col("taken_") - (F.col("time_") - 1) * F.col("size")
-    first = F.array_join(F.slice(F.expr(f"regexp_extract_all(text, '{WORD.replace(chr(92), chr(92) * 2)}', 0)"), F.lit(1), left.cast("int")), " ")
-    text = F.when(left >= F.col("size"), F.col("text")).otherwise(first)
-    return out.select(*((text if c == "text" else F.char_length(text).cast("long") if c == "n_chars" else F.col(c)).alias(c) for c in docs.columns))
+    amounts = taken.where("taken > 0").groupBy(F.col("rk").alias("_rk")).agg(F.sort_array(F.collect_list("taken"), asc=False).alias("_all"))
+    out = docs.withColumn("_rk", F.xxhash64("doc_id", "text")).join(amounts, "_rk")
+    out = out.withColumn("_turn", F.row_number().over(Window.partitionBy("_rk").orderBy(F.lit(0))))
+    out = out.where(F.col("_turn") <= F.size("_all")).withColumn("_taken", F.expr("_all[_turn - 1]")).withColumn("_size", n_words())
+    out = out.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size")))))
+    left = F.col("_taken") - (F.col("_time") - 1) * F.col("_size")
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), left.cast("int")), " ")
+    out = out.withColumn("_text", F.when(left >= F.col("_size"), F.col("text")).otherwise(first))
+    new = {"text": F.col("_text"), "n_chars": F.char_length("_text").cast("long")}
+    return out.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
 
 
 def oracle(weights=WEIGHTS, share: float = SHARE, most: int = MOST, blocks: int = BLOCKS, shards: int = SHARDS, seed: str = SEED) -> str:

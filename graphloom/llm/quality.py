@@ -81,27 +81,28 @@ def counts(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """docs with the counts of each text as long columns, in place of the text."""
+def features(docs: DataFrame, prefix: str = "", text: bool = False) -> DataFrame:
+    """docs (text last) with the counts of each text as long columns, and with text=True the text still."""
+    kept = [c for c in docs.columns if text or c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [counts(data, off) for _, _, data, off in ta.slices(batch.column("text"))]
-            cols = [batch.column(i) for i, c in enumerate(batch.schema.names) if c != "text"]
+            cols = [batch.column(c) for c in kept]
             cols += [pa.array(np.concatenate([p[c] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)) for c in COUNTS]
-            yield pa.RecordBatch.from_arrays(cols, names=[*(c for c in batch.schema.names if c != "text"), *COUNTS])
+            yield pa.RecordBatch.from_arrays(cols, names=[*kept, *(prefix + c for c in COUNTS)])
 
-    kept = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text")
-    return docs.mapInArrow(run, ", ".join([kept, *(f"{c} long" for c in COUNTS)]))
+    kinds = dict(docs.dtypes)
+    return docs.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), *(f"`{prefix}{c}` long" for c in COUNTS)]))
 
 
 def _vote(value: Column, good: Column, bad: Column) -> Column:
     return F.when(bad, F.lit(-1)).when(good, F.lit(1)).otherwise(F.lit(0))
 
 
-def rules() -> dict[str, Column]:
+def rules(prefix: str = "") -> dict[str, Column]:
     """Votes by rule: 1 good, -1 bad, 0 abstains."""
-    c = {x: F.col(x).cast("double") for x in COUNTS}
+    c = {x: F.col(prefix + x).cast("double") for x in COUNTS}
     words = F.greatest(c["n_words"], F.lit(1.0))
 
     def between(value: Column, good: tuple[float, float], bad: tuple[float, float]) -> Column:
@@ -143,23 +144,37 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> tuple
     return math.log(share / (1 - share)), np.log(p[1] / p[0]).tolist()
 
 
-def judge(spark: SparkSession, docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """columns of docs (doc_id), the counts, base_failed, quality (posterior), kept.
+def log_odds(voted: DataFrame, votes: list[Column]) -> Column:
+    """Fitted on the patterns of voted (votes: array<int>): log odds of good, of these votes."""
+    patterns = [(tuple(r["votes"]), r["n"]) for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect()]  # at most 3 ** rules
+    if not patterns:
+        return F.lit(0.0)
+    first, adds = fit(patterns)
+    odds = F.lit(first)
+    for v, (bad, none, good) in zip(votes, adds, strict=True):
+        odds = odds + F.when(v == -1, F.lit(bad)).when(v == 1, F.lit(good)).otherwise(F.lit(none))
+    return odds
+
+
+def failed(prefix: str = "") -> Column:
+    return (F.col(f"{prefix}n_words") < MIN_WORDS) | (100 * F.col(f"{prefix}n_repeat_words") > int(100 * MAX_REPEAT) * F.col(f"{prefix}n_words"))
+
+
+def judge(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """doc_id, the counts, votes, base_failed, quality (posterior), kept of each row of docs.
 
     base_failed: under 50 words, or over half of the words in repeated 3-word windows. kept: quality is at least a half
     and the base rule holds.
     """
-    votes = rules()
-    found = features(docs.select(*(columns or ["doc_id"]), "text"))
-    found = written(spark, found.withColumn("votes", F.array(*votes.values()).cast("array<int>")))
-    patterns = [(tuple(r["votes"]), r["n"]) for r in found.groupBy("votes").agg(F.count("*").alias("n")).collect()]  # at most 3 ** rules
-    odds = F.lit(0.0)
-    if patterns:
-        first, adds = fit(patterns)
-        odds = F.lit(first)
-        for j, (bad, none, good) in enumerate(adds):
-            v = F.col("votes")[j]
-            odds = odds + F.when(v == -1, F.lit(bad)).when(v == 1, F.lit(good)).otherwise(F.lit(none))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > int(100 * MAX_REPEAT) * F.col("n_words"))
-    found = found.withColumn("base_failed", failed).withColumn("quality", 1 / (1 + F.exp(-odds)))
+    found = features(docs.select("doc_id", "text"))
+    found = written(spark, found.withColumn("votes", F.array(*rules().values()).cast("array<int>")))
+    odds = log_odds(found, [F.col("votes")[j] for j in range(len(rules()))])
+    found = found.withColumn("base_failed", failed()).withColumn("quality", 1 / (1 + F.exp(-odds)))
     return found.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
+
+
+def keep_good(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows of docs that `judge` keeps, all columns as they are."""
+    votes = F.array(*rules().values()).cast("array<int>")
+    odds = log_odds(features(docs.select("text")).select(votes.alias("votes")), list(rules("_q_").values()))
+    return features(docs, "_q_", True).where(~failed("_q_") & (odds >= 0)).select(*docs.columns)

@@ -35,7 +35,7 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(spark, table(spark, sf_dir, "documents"))
+    return mixing.mix(spark, table(spark, sf_dir, "documents")).drop("rk")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from graphloom.llm import jaccard_join
+from graphloom.llm import common, jaccard_join
 from graphloom.llm.components import components
 
 KINDS = "doc_id long, text string, set string, n long, cluster int"
@@ -62,13 +62,18 @@ def result(df):
     return Counter((r.doc_id, r.n_shingles, r.n_links, r.class_id) for r in df.collect())
 
 
-@pytest.mark.parametrize("options", [{}, {"small": 4, "block": 32}])
+@pytest.mark.parametrize("options", [{}, {"small": 4, "block": 32, "exact_block": 8}])
 def test_against_all_pairs(spark, near_rows, options):
     got, want = result(jaccard_join.join(spark, spark.createDataFrame(near_rows, KINDS).repartition(3), **options)), brute(near_rows)
     assert sum((got & want).values()) >= 0.99 * sum(want.values())
     assert sum(got.values()) == sum(want.values())
 
 
+def test_joined_by_shuffle(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+    assert result(jaccard_join.join(spark, docs)) == brute(rows)
+
+
 def test_keeps_one_of_each_class(spark, near_rows):
     docs = spark.createDataFrame(near_rows, KINDS)
     out = jaccard_join.keep_one(spark, docs)

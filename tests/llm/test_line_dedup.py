@@ -69,11 +69,6 @@ def test_against_brute_force(spark, line_rows):
         assert digest(line_dedup.drop_lines(spark, docs, block=block)) == brute(line_rows)
 
 
-def test_joined_by_shuffle(spark, line_rows, monkeypatch):
-    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", -1)
-    assert digest(line_dedup.drop_lines(spark, spark.createDataFrame(line_rows, KINDS))) == brute(line_rows)
-
-
 def test_corpus_and_sql(spark, docs, line_rows):
     distinct = [x for x in line_rows[:-3] if x[0] not in (3,)]
     got = line_dedup.drop_lines(spark, spark.createDataFrame(distinct, KINDS))
