@@ -33,7 +33,7 @@ from graphloom.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
 TOKENS, LEVELS, RECALL = 128, 3, 0.9999
-SMALL, BLOCK = 64, 512
+SMALL, BLOCK, EXACT_BLOCK = 64, 2048, 128
 _FACTORS = np.random.default_rng(42).integers(1, 1 << 32, (2, TOKENS), dtype=np.uint32)
 _FACTORS[0] |= 1
 
@@ -136,16 +136,17 @@ def _children(similarity: float) -> Callable:
     return run
 
 
-def _roots(runs: int) -> Callable:
-    """Every set at the root of every run."""
+def _roots(runs: int, similarity: float) -> Callable:
+    """The children of the root of every run: each set is at all of these roots."""
+    split = _children(similarity)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(runs):
                 root = np.full(batch.num_rows, int(ta.mix(np.array([r + 1], np.uint64))[0]), np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(root), batch.column("set"), batch.column("sketch")], names=["key", "set", "sketch"])
 
-    return run
+    return lambda batches: split(every(batches))
 
 
 def _candidates(least: float) -> Callable:
@@ -209,7 +210,7 @@ def _exact(similarity: float) -> Callable:
 
 
 def join(
-    spark: SparkSession, docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, levels: int = LEVELS, small: int = SMALL, block: int = BLOCK
+    spark: SparkSession, docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, levels: int = LEVELS, small: int = SMALL, block: int = BLOCK, exact_block: int = EXACT_BLOCK
 ) -> DataFrame:
     """doc_id, n_shingles, n_links (other documents at least so similar), class_id (least id in reach), kept, rk.
 
@@ -219,7 +220,7 @@ def join(
     whole = members.where(F.col("set").isNotNull())
     sets = written(spark, whole.groupBy("set").agg(F.count("*").alias("copies"), F.min(F.struct("did", "rk")).alias("first"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles")))
     tokens = sets.select("set", "sketch")
-    nodes = tokens.mapInArrow(_roots(runs_for(recall, levels)), "key long, set long, sketch binary").mapInArrow(_children(similarity), "key long, set long")
+    nodes = tokens.mapInArrow(_roots(runs_for(recall, levels), similarity), "key long, set long")
     tasks = []
     for level in range(1, levels + 1):
         nodes = written(spark, nodes)
@@ -252,7 +253,7 @@ def join(
     texts = docs.select(*row_key(docs, "doc_id", "text"), "text")
     texts = texts.join(bounded(asked, 2), (F.col("did") == F.col("did_")) & (F.col("rk") == F.col("rk_"))).select("set", "cluster", "n", "copies", "text")
     texts = written(spark, texts.mapInArrow(fetch, "set long, cluster long, n long, copies long, elements binary"))
-    exact = in_blocks(texts, "cluster", "n", block // 4, "set").select("task", "set", "copies", "side", "elements")
+    exact = in_blocks(texts, "cluster", "n", exact_block, "set").select("task", "set", "copies", "side", "elements")
     exact = written(spark, exact.repartition("task").sortWithinPartitions("task").mapInArrow(_exact(similarity), "set long, links long, root long"))
     links = exact.groupBy("set").agg(F.sum("links").alias("links"))
     classes = components(spark, exact.where("links > 0").select(F.col("root").alias("a"), F.col("set").alias("b")).distinct()).withColumnsRenamed({"id": "set"})
