@@ -1,5 +1,10 @@
-"""The library's queries over the driver's tables."""
+"""The library's queries over the driver's tables, and DuckDB SQL that gives the same rows."""
 
-FLAGSHIP = "graph_degree"
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from graphloom.plans import graph_queries, metric_queries, portfolio_queries, retrieval_queries, source_queries
+
+FLAGSHIP = "risk_scores"
+PARTS = (graph_queries, metric_queries, portfolio_queries, retrieval_queries, source_queries)
+QUERIES = {k: v for part in PARTS for k, v in part.QUERIES.items()}
+ORACLES = {k: v for part in PARTS for k, v in part.ORACLES.items()}
