@@ -120,7 +120,7 @@ def chunk_hash(label_: Column | str, text: Column | str) -> Column:
 def duration(ms: Column | str) -> Column:
     """Milliseconds as text: 850 ms, 12.3 s, 4 min."""
     ms = col(ms)
-    seconds = F.concat(F.format_number(ms / 1000, "0.0"), F.lit(" s"))
+    seconds = F.concat(F.format_number(ms / 1000, 1), F.lit(" s"))
     return F.when(ms.isNull(), "-").when(ms < 1000, F.concat(ms.cast("string"), F.lit(" ms"))).when(ms < 60_000, seconds).otherwise(F.concat(F.floor(ms / 60_000 + 0.5).cast("string"), F.lit(" min")))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import subprocess
 import zipfile
 
@@ -36,8 +37,8 @@ def scan(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFram
     """path (under root), module, sha256, size, test, text of the sources of a tree that Spark can read."""
     top = root.rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(top)
-    full = F.regexp_replace("path", r"^[a-z]+:/*", "/")
-    raw = raw.withColumn("path", F.substring(full, len(top.split(":", 1)[-1].replace("//", "/")) + 2, 1 << 20))
+    scheme = r"^[a-z0-9]+:/*"
+    raw = raw.withColumn("path", F.substring(F.regexp_replace("path", scheme, "/"), len(re.sub(scheme, "/", top)) + 2, 1 << 20))
     skipped = F.exists(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1), lambda d: d.isin(*SKIPPED))
     raw = raw.where(~skipped)
     name = F.element_at(F.split("path", "/"), -1)

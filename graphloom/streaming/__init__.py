@@ -1 +1 @@
-
+"""Tables kept up to date by streams of change events."""
