@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WORD, bounded, row_key, written
+from graphloom.llm.common import WORD, row_key, written
 
 MIN_CHARS, BLOCK = 16, 64
 
@@ -58,7 +58,7 @@ def near_lines(spark: SparkSession, lines: DataFrame, distinct: DataFrame, block
     id_ = ["h1", "h2", "len"]
     halves = distinct.where(F.col("halves").isNotNull()).select(*id_, F.explode("halves").alias("key"))
     meet = written(spark, _shared(halves, "key", id_).select(*id_).distinct())
-    texts = lines.join(bounded(meet, 2), id_, "left_semi").groupBy(*id_).agg(F.min("line").alias("line"))
+    texts = lines.join(meet.hint("merge"), id_, "left_semi").groupBy(*id_).agg(F.min("line").alias("line"))
     texts = written(spark, texts.join(distinct.select(*id_, "first"), id_))
     # all but one block: for partners at least as long (m = len) and one shorter (m = len - 1)
     m = F.explode(F.array(F.col("len"), F.col("len") - 1)).alias("m")
@@ -112,14 +112,15 @@ def drop_lines(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHARS,
     """
     gone = removed_lines(spark, docs, min_chars, block).withColumnsRenamed({"did": "did_", "rk": "rk_", "gone": "gone_"})
     did, rk = row_key(docs, "doc_id", "text")
-    out = docs.join(bounded(gone, 4), (did == F.col("did_")) & (rk == F.col("rk_")), "left")
+    out = docs.join(gone.hint("merge"), (did == F.col("did_")) & (rk == F.col("rk_")), "left")
     lines, whole = F.split("text", "\n", -1), F.col("gone_").isNull()
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone_"))
     text = F.when(whole, F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: lines[i]), "\n"))
-    new = {"text": text, "n_chars": F.when(whole, docs["n_chars"]).otherwise(F.char_length(text).cast("long"))} if "n_chars" in docs.columns else {"text": text}
+    out = out.withColumn("left_", text)
+    new = {"text": F.col("left_"), "n_chars": F.when(whole, F.col("n_chars")).otherwise(F.char_length("left_").cast("long"))} if "n_chars" in docs.columns else {"text": F.col("left_")}
     n_lines = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(F.size(lines).cast("long"))
     n_removed = F.when(whole, F.lit(0).cast("long")).otherwise(F.size("gone_").cast("long"))
-    return out.select(*(new.get(c, docs[c]).alias(c) for c in docs.columns), *([n_lines.alias("n_lines"), n_removed.alias("n_removed")] if counts else []))
+    return out.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns), *([n_lines.alias("n_lines"), n_removed.alias("n_removed")] if counts else []))
 
 
 def oracle(min_chars: int = MIN_CHARS) -> str:
