@@ -88,6 +88,11 @@ def moves(edge: DataFrame, direction: str = DOWNSTREAM, dispatch: bool = False)
     return back.groupBy("frm", "to", "cost", "flag").agg(F.min("closed").alias("closed"))
 
 
+def dealt(spark: SparkSession) -> int:
+    """Partitions for few rows that cost much each: a count that isn't reduced for their small size."""
+    return 2 * spark.sparkContext.defaultParallelism
+
+
 class Adjacency:
     """Steps by their start, as sorted arrays."""
 
@@ -141,7 +146,7 @@ def reach(spark: SparkSession, step: DataFrame, starts: DataFrame, limit: int =
                         rows = []
                 yield pd.DataFrame(rows, columns=["start", "node", "depth", "dispatched"])
 
-        return starts.repartition("start").mapInPandas(run, "start long, node long, depth int, dispatched boolean")
+        return starts.repartition(dealt(spark), "start").mapInPandas(run, "start long, node long, depth int, dispatched boolean")
     seen = written(spark, starts.select("start", F.col("start").alias("node"), F.lit(False).alias("flag"), F.lit(0).alias("depth")))
     front = seen
     while not front.isEmpty():
@@ -207,36 +212,101 @@ def path_query(spark: SparkSession, entity: DataFrame, edge: DataFrame, a: int,
     return all_paths(spark, graph, one(b), one(a), max_depth, max_paths).withColumn("direction", F.lit(UPSTREAM))
 
 
-def closure_counts(spark: SparkSession, entity: DataFrame, edge: DataFrame, endpoints: DataFrame | None = None, **options) -> DataFrame:
-    """id, dependents (reached upstream with dispatch), dependencies (downstream), reaches_endpoint (an endpoint among the dependents that a plain edge reaches)."""
-    up = reach(spark, moves(edge, UPSTREAM, True), entity, **options)
-    down = reach(spark, moves(edge), entity, **options)
+class BitGraph:
+    """Which of up to 64 * k starts reach each state, as bits; all edges are followed at once until nothing changes."""
+
+    def __init__(self, states: int, src: np.ndarray, dst: np.ndarray):
+        order = np.argsort(dst, kind="stable")
+        self.states, self.src, self.dst = states, src[order], dst[order]
+
+    def reach(self, seeds: np.ndarray) -> np.ndarray:
+        """Rows by state, 64 starts in each column."""
+        bits = np.zeros((self.states, (len(seeds) + 63) // 64), np.uint64)
+        j = np.arange(len(seeds))
+        np.bitwise_or.at(bits, (seeds, j // 64), np.uint64(1) << (j % 64).astype(np.uint64))
+        changed = np.zeros(self.states, bool)
+        changed[seeds] = True
+        while True:
+            live = changed[self.src]  # only steps from states that have gained starts
+            src, dst = self.src[live], self.dst[live]
+            if not len(src):
+                break
+            first = np.flatnonzero(np.concatenate([[True], dst[1:] != dst[:-1]]))
+            ends = dst[first]
+            old = bits[ends]
+            new = old | np.bitwise_or.reduceat(bits[src], first, axis=0)
+            bits[ends] = new
+            changed[:] = False
+            changed[ends[(new != old).any(axis=1)]] = True
+        return bits
+
+
+def _by_start(bits: np.ndarray, n: int) -> np.ndarray:
+    """Bits as booleans, a column for each start."""
+    return np.unpackbits(np.ascontiguousarray(bits).view(np.uint8), axis=1, bitorder="little")[:, :n].astype(bool)
+
+
+def _small_closure(spark: SparkSession, entity: DataFrame, edge: DataFrame, ends: DataFrame | None, chunk: int = 1024) -> DataFrame:
+    """id, dependents, dependencies, reaches_endpoint, component; the edges are broadcast, the starts dealt out."""
+    rows = edge.select("src", "dst", (F.col("type") == "OVERRIDES").alias("over") if "type" in edge.columns else F.lit(False).alias("over")).where("src <> dst").toPandas()  # at most MAX_BROADCAST_EDGES rows
+    nodes = np.unique(rows[["src", "dst"]].to_numpy().astype(np.int64))
+    n = len(nodes)
+    a, b, over = np.searchsorted(nodes, rows["src"]), np.searchsorted(nodes, rows["dst"]), rows["over"].to_numpy().astype(bool)
+    # states of the way up: a node, and n on, a node that stands in for an overrider
+    up = BitGraph(2 * n, np.concatenate([b, n + b[~over], a[over], n + a[over]]), np.concatenate([a, a[~over], n + b[over], n + b[over]]))
+    down, back = BitGraph(n, a, b), BitGraph(n, b, a)
+    marks = np.zeros(n, bool)
+    if ends is not None:
+        hit = ends.join(edge.select(F.col("src").alias("id")).union(edge.select(F.col("dst").alias("id"))).distinct(), "id", "left_semi").select("id").toPandas()["id"].to_numpy()  # ends of at most so many edges
+        marks[np.searchsorted(nodes, hit)] = True
+    shared = spark.sparkContext.broadcast((nodes, up, down, back, marks))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nodes, up, down, back, marks = shared.value
+        for batch in batches:
+            every = batch["id"].to_numpy()
+            for lo in range(0, len(every), chunk):
+                ids = every[lo : lo + chunk]
+                out = pd.DataFrame({"id": ids, "dependents": 0, "dependencies": 0, "reaches_endpoint": False, "component": ids})
+                at = np.searchsorted(nodes, ids)
+                known = np.flatnonzero((at < len(nodes)) & (nodes[np.minimum(at, len(nodes) - 1)] == ids)) if len(nodes) else np.zeros(0, np.int64)
+                if len(known):
+                    seeds = at[known]
+                    m = len(known)
+                    own = np.zeros((len(nodes), m), bool)
+                    own[seeds, np.arange(m)] = True
+                    state = up.reach(seeds)
+                    plain, flagged = _by_start(state[: len(nodes)], m), _by_start(state[len(nodes) :], m)
+                    out.loc[known, "dependents"] = ((plain | flagged) & ~own).sum(axis=0)
+                    out.loc[known, "reaches_endpoint"] = (plain & ~own & marks[:, None]).any(axis=0)
+                    below = _by_start(down.reach(seeds), m)
+                    out.loc[known, "dependencies"] = (below & ~own).sum(axis=0)
+                    both = below & _by_start(back.reach(seeds), m)
+                    out.loc[known, "component"] = nodes[both.argmax(axis=0)]
+                yield out
+
+    return entity.select(F.col("id").cast("long").alias("id")).distinct().repartition(dealt(spark), "id").mapInPandas(run, "id long, dependents long, dependencies long, reaches_endpoint boolean, component long")
+
+
+def closure(spark: SparkSession, entity: DataFrame, edge: DataFrame, endpoints: DataFrame | None = None, max_edges: int = MAX_BROADCAST_EDGES) -> DataFrame:
+    """id, dependents (reached upstream with dispatch), dependencies (downstream), reaches_endpoint (an endpoint among the
+    dependents that a plain edge reaches), component (least id of its strongly connected component)."""
+    edge = written(spark, edge)
     ends = endpoints if endpoints is not None else entity.where("kind = 'ENDPOINT'").select("id")
+    if edge.count() <= max_edges:
+        return _small_closure(spark, entity, edge, ends)
+    up = reach(spark, moves(edge, UPSTREAM, True), entity, max_edges=max_edges)
+    down = reach(spark, moves(edge), entity, max_edges=max_edges)
     up = up.join(ends.select(F.col("id").alias("node"), F.lit(True).alias("end")), "node", "left")
     other = F.col("start") != F.col("node")
     ups = up.groupBy(F.col("start").alias("id")).agg(F.count_if(other).alias("dependents"), F.coalesce(F.bool_or(other & ~F.col("dispatched") & F.col("end")), F.lit(False)).alias("reaches_endpoint"))
     downs = down.groupBy(F.col("start").alias("id")).agg(F.count_if(other).alias("dependencies"))
-    return ups.join(downs, "id").select("id", "dependents", "dependencies", "reaches_endpoint")
+    part = components(spark, entity, edge, max_edges)
+    return ups.join(downs, "id").join(part, "id").select("id", "dependents", "dependencies", "reaches_endpoint", "component")
 
 
-def _small_components(spark: SparkSession, entity: DataFrame, links: DataFrame) -> DataFrame:
-    """Of each node, the least id that it reaches and that reaches it; the edges are broadcast, the nodes dealt out."""
-    rows = links.toPandas()  # at most MAX_BROADCAST_EDGES rows
-    step = lambda a, b: Adjacency(pd.DataFrame({"frm": rows[a], "to": rows[b], "cost": 1, "flag": False, "closed": False}))
-    shared = spark.sparkContext.broadcast((step("src", "dst"), step("dst", "src")))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        down, up = shared.value
-        for batch in batches:
-            ids, least = batch["id"].tolist(), []
-            for i in ids:
-                both = {i}
-                if down.of(i) and up.of(i):
-                    both = {n for n, _ in down.reach(i, 1 << 30)} & {n for n, _ in up.reach(i, 1 << 30)}
-                least.append(min(both))
-            yield pd.DataFrame({"id": ids, "component": least})
-
-    return entity.select(F.col("id").cast("long").alias("id")).mapInPandas(run, "id long, component long")
+def closure_counts(spark: SparkSession, entity: DataFrame, edge: DataFrame, endpoints: DataFrame | None = None, **options) -> DataFrame:
+    return closure(spark, entity, edge, endpoints, **options).drop("component")
 
 
 def _small_depths(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -271,7 +341,7 @@ def components(spark: SparkSession, entity: DataFrame, edge: DataFrame, max_edge
     """
     links = written(spark, edge.select("src", "dst").where("src <> dst").distinct())
     if links.count() <= max_edges:
-        return _small_components(spark, entity, links)
+        return _small_closure(spark, entity, links, None).select("id", "component")
     while True:  # trim
         live = links.select(F.col("src").alias("id")).intersect(links.select(F.col("dst").alias("id")))
         less = written(spark, links.join(live.withColumnRenamed("id", "src"), "src", "left_semi").join(live.withColumnRenamed("id", "dst"), "dst", "left_semi"))

@@ -65,7 +65,8 @@ def measured(spark: SparkSession, entity: DataFrame, edge: DataFrame) -> DataFra
     parts = []
     for nodes, links in ((members, edge), (types, graph.roll_up(entity, edge))):
         links = written(spark, graph.build(nodes, links))
-        part = graph.degree(nodes, links).join(graph.closure_counts(spark, nodes, links), "id").join(graph.depths(spark, nodes, links).select("id", "depth"), "id")
+        closed = written(spark, graph.closure(spark, nodes, links))
+        part = graph.degree(nodes, links).join(closed.drop("component"), "id").join(graph.depths(spark, nodes, links, closed.select("id", "component")).select("id", "depth"), "id")
         parts.append(nodes.select("id", "kind", "parent_id", "stereotype", F.col("complexity").cast("long").alias("complexity")).join(part, "id"))
     member = parts[0].withColumn("exposed", F.col("reaches_endpoint") | (F.col("kind") == "ENDPOINT"))
     member = written(spark, member)

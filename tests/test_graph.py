@@ -125,3 +125,14 @@ def test_view(spark, dispatch):
     assert [(r.id, r.distance) for r in view.collect()] == [(4, 0), (9, 1), (6, 1)] and all(r.truncated for r in view.collect())
     assert graph.induced(edge, view).count() == 2
     assert [r.id for r in graph.neighbourhood(spark, entity, edge, risk, None, 1, 2).collect()] == [9, 8]
+
+
+def test_closure_both_ways_of_running(spark):
+    import random
+
+    r = random.Random(4)
+    entity = entities(spark, [(i, "ENDPOINT" if i % 7 == 0 else "METHOD", None, None) for i in range(60)])
+    edge = edges(spark, sorted({(r.randrange(55), r.randrange(55), r.choice(["CALLS", "OVERRIDES", "USES_TYPE"])) for _ in range(80)}))
+    edge = edge.where("src <> dst")
+    small, large = (sorted(map(tuple, graph.closure(spark, entity, edge, max_edges=most).collect())) for most in (graph.MAX_BROADCAST_EDGES, 0))
+    assert small == large and len(small) == 60
