@@ -273,8 +273,13 @@ def join(
 
 def keep_one(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each class: the least id; rows that are equal in id and text count once."""
-    kept = join(spark, docs, **options).where("kept").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("did_"), F.col("rk").alias("rk_")).distinct()
+    rows = written(spark, join(spark, docs, **options).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("did_"), F.col("rk").alias("rk_"), "kept"))
+    twice = written(spark, rows.where("kept").groupBy("did_", "rk_").agg(F.count("*").alias("n")).where("n > 1").select("did_", "rk_"))
+    gone = written(spark, rows.where("not kept").select("did_", "rk_").distinct().unionByName(twice))
     did, rk = row_key(docs, "doc_id", "text")
-    keyed = docs.select("*", did.alias("did_d"), rk.alias("rk_d"))
-    out = keyed.join(bounded(written(spark, kept), 1), (F.col("did_d") == F.col("did_")) & (F.col("rk_d") == F.col("rk_")), "left_semi")
-    return out.dropDuplicates(["did_d", "rk_d"]).select(*docs.columns)
+    keyed = docs.withColumns({"did_d": did, "rk_d": rk})
+    same = (F.col("did_d") == F.col("did_")) & (F.col("rk_d") == F.col("rk_"))
+    out = keyed.join(bounded(gone, 1), same, "left_anti")
+    if not twice.isEmpty():
+        out = out.unionByName(keyed.join(bounded(twice, 1), same, "left_semi").dropDuplicates(["did_d", "rk_d"]))
+    return out.select(*docs.columns)
