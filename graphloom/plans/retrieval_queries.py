@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as fn
-from graphloom.operators import incremental, retrieval
+from graphloom.operators import incremental, questions, retrieval
+from graphloom.plans.graph_queries import WITH, both
 from graphloom.plans.registry import registry
 from graphloom.tables import table
 
@@ -134,3 +135,38 @@ def l2_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * (F.col("vec_id") % 5 + 1)).alias("e"))
     return v.select("vec_id", rounded(F.aggregate(retrieval.unit("e"), F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+QUESTIONS = [(1, "Who calls small_ring or red_widget#m41 ?"), (2, "What is behind /m3 and blue_bolt.nothing"), (3, "nothing of that kind"), (4, "hot_gear and hot_gear")]
+QUESTIONS_SQL = "q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{t}')" for i, t in QUESTIONS) + ") v(query_id, text))"
+NAMED_SQL = f"""n AS (SELECT id, kind, parent_id, CASE WHEN parent_id IS NULL THEN replace(name, ' ', '_') WHEN kind = 'ENDPOINT' THEN 'GET /m' || id ELSE 'm' || id END AS name FROM entity), {QUESTIONS_SQL},
+w AS (SELECT query_id, regexp_extract_all(text, '{questions.IDENTIFIER}') AS ws, regexp_extract_all(text, '{questions.ROUTE}') AS rs FROM q),
+tok AS (SELECT query_id, unnest(range(len(ws))) AS pos, unnest(ws) AS token FROM w),
+t AS (SELECT query_id, pos, regexp_extract(token, '^([^.#]*)', 1) AS owner, regexp_extract(token, '[.#](.*)$', 1) AS member FROM tok),
+hit AS (SELECT t.*, n.id AS type_id FROM t JOIN n ON n.parent_id IS NULL AND n.name = t.owner),
+mem AS (SELECT query_id, pos, n.id FROM hit JOIN n ON n.parent_id = hit.type_id AND n.name = hit.member WHERE member <> ''),
+plain AS (SELECT query_id, pos, type_id AS id FROM hit WHERE (query_id, pos) NOT IN (SELECT query_id, pos FROM mem)),
+rt AS (SELECT query_id, unnest(range(len(rs))) AS pos, unnest(rs) AS route FROM w),
+ends AS (SELECT query_id, pos + 1000000 AS pos, n.id FROM rt JOIN n ON n.kind = 'ENDPOINT' AND contains(n.name, route) QUALIFY row_number() OVER (PARTITION BY query_id, pos ORDER BY n.id) <= 2),
+every AS (SELECT query_id, id, min(pos) AS pos FROM (SELECT * FROM mem UNION ALL SELECT * FROM plain UNION ALL SELECT * FROM ends) GROUP BY ALL),
+mentioned AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY pos, id)::INT AS place FROM every QUALIFY place <= 4)"""
+
+
+def _mentioned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    entity, edge = both(spark, sf_dir)
+    key = F.col("id").cast("string")
+    name = F.when(F.col("parent_id").isNull(), F.replace("name", F.lit(" "), F.lit("_"))).when(F.col("kind") == "ENDPOINT", F.concat(F.lit("GET /m"), key)).otherwise(F.concat(F.lit("m"), key))
+    named = entity.withColumn("name", name)
+    return questions.mentions(spark.createDataFrame(QUESTIONS, "query_id long, text string"), named), named, edge
+
+
+@query(f"{WITH}, {NAMED_SQL} SELECT * FROM mentioned")
+def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mentioned(spark, sf_dir)[0]
+
+
+@query(f"""{WITH}, {NAMED_SQL}, ins AS (SELECT m.query_id, n.id FROM mentioned m JOIN n ON n.parent_id = m.id AND n.kind = 'METHOD' QUALIFY row_number() OVER (PARTITION BY m.query_id, m.id ORDER BY n.id) <= 6),
+cal AS (SELECT m.query_id, e.src AS id FROM mentioned m JOIN (SELECT DISTINCT src, dst FROM edge) e ON e.dst = m.id JOIN n ON n.id = e.src AND n.kind <> 'ENDPOINT' QUALIFY row_number() OVER (PARTITION BY m.query_id, m.id ORDER BY e.src) <= 4)
+SELECT query_id, id FROM mentioned UNION SELECT * FROM ins UNION SELECT * FROM cal""")
+def focus_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return questions.focus(*_mentioned(spark, sf_dir))

@@ -136,3 +136,19 @@ def test_closure_both_ways_of_running(spark):
     edge = edge.where("src <> dst")
     small, large = (sorted(map(tuple, graph.closure(spark, entity, edge, max_edges=most).collect())) for most in (graph.MAX_BROADCAST_EDGES, 0))
     assert small == large and len(small) == 60
+
+
+def test_facts_and_digest(spark, dispatch):
+    import json
+
+    from graphloom.operators import questions
+
+    entity, edge = dispatch
+    found = metrics.measured(spark, entity, edge)
+    scored = metrics.scored(found, metrics.scale(found))
+    said = {r.id: json.loads(r.facts) for r in questions.facts(entity, scored.drop("kind"), edge).collect()}
+    assert said[9]["depends_on"] == "n4" and said[6]["metrics"]["fan_in"] == 3 and said[3]["role"] == "CONTROLLER"
+    seeds = ids(spark, 8)
+    s = impact.summary(spark, entity, edge, seeds, metrics.scale(found))
+    one = json.loads(questions.digest(s, impact.by_role(impact.affected(spark, entity, edge, seeds))).first().facts)
+    assert one["total"] == 3 and one["roles"]["CONTROLLER"] == 1
