@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -13,10 +15,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_made: list[str] = []
+
+
+def _clean() -> None:
+    """Deletes the tables of this application when it ends; results that were returned have been read by then."""
+    spark = SparkSession.getActiveSession()
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        for at in _made if spark else ():
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+atexit.register(_clean)
+
+
 def written(spark: SparkSession, df: DataFrame) -> DataFrame:
     """df as a table in the folder that driver and executors share: cuts lineage between rounds of a loop."""
     at = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/graphloom-shared"
     at = f"{at.rstrip('/')}/graphloom-{uuid.uuid4().hex}"
+    _made.append(at)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
