@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 import numpy as np
@@ -30,9 +32,25 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_made: list[str] = []
+
+
+def _clean() -> None:
+    """Deletes the tables of this application when it ends; results that were returned have been read by then."""
+    spark = SparkSession.getActiveSession()
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        for at in _made if spark else ():
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+atexit.register(_clean)
+
+
 def written(spark: SparkSession, df: DataFrame) -> DataFrame:
     """df written as a Parquet table in the shared folder and read again: cuts lineage, survives lost executors."""
     at = f"{shared_dir(spark)}/graphloom-{uuid.uuid4().hex}"
+    _made.append(at)
     df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
