@@ -25,8 +25,12 @@ from graphloom.llm.common import row_key, written
 INDEX_BITS = 24
 CHUNK = 1 << 22
 OCCURRENCE = "did long, rk long, starts binary, times int, n_windows int, mh long, ch long"
-CONTENT = "mh long, did long, rk long, start long, n_windows int, unsettled boolean, symbols binary"
+CONTENT = "mh long, did long, rk long, start long, n_windows int, unsettled boolean, anchor int, symbols binary"
+#: Segments of one key that are indexed together; more are dealt anew, by longer and longer strings of their windows.
+MOST = 2048
 RANGES = "did long, rk long, ranges binary"
+NAMES = [c.split()[0] for c in CONTENT.split(", ")]
+KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.binary())
 
 
 def symbols_of(unit: str, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,8 +131,60 @@ def ranges_of(lists: list | None) -> np.ndarray:
     return np.stack([r[at, 0], np.maximum.reduceat(r[:, 1], at)], axis=1)
 
 
+def redealt(unit: str, length: int, k: int, room: int) -> Callable:
+    """Cuts segments into pieces of at most `room` windows, by the windows' distance from the anchor, and deals each piece
+    by the string that all windows of such distances share: windows that are equal stay together. Adds ch, the hash of
+    the piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = np.uint8 if unit == "byte" else np.uint64
+        for batch in batches:
+            cols: list[list] = [[] for _ in (*KINDS, 0)]
+            for r in batch.to_pylist():
+                symbols, m = np.frombuffer(r["symbols"], kind), r["n_windows"]
+                roll = ta.Rolling(ta.byte_symbols(symbols) if unit == "byte" else symbols)
+                a = r["anchor"]
+                if a < 0:
+                    grams = ta.mix(roll.grams(k)[m - 1 : length - k + 1]).view(np.int64)
+                    a = m - 1 + int(np.flatnonzero(grams == r["mh"])[0])
+                for j in range((a - m + 1) // room, a // room + 1):
+                    first, last = max(0, a - j * room - room + 1), min(m - 1, a - j * room)
+                    shared, own = roll.of(np.array([a - j * room, first]), np.array([a - j * room - room + 1 + length, last + length]))
+                    key = ta.mix(np.array([shared, own], np.uint64) + np.uint64((j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.int64)
+                    values = (int(key[0]), r["did"], r["rk"], r["start"] + first, last - first + 1, r["unsettled"], a - first, symbols[first : last + length].tobytes(), int(key[1]))
+                    for c, v in zip(cols, values, strict=True):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*KINDS, pa.int64()), strict=True)], names=[*NAMES, "ch"])
+
+    return run
+
+
+def split_hot(spark: SparkSession, content: DataFrame, unit: str, length: int, k: int, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Content in which no key has more than `most` segments, and packed-to-be ranges (did, rk, start, n_windows) that are
+    settled on the way. With one window a piece, equal keys are equal windows, so nothing is left to index."""
+    settled = None
+    room = length // 6 + 1
+    while True:
+        hot = content.groupBy("mh").agg(F.count("*").alias("n_")).where(F.col("n_") > most).select("mh")
+        hot = written(spark, hot)
+        if hot.isEmpty():
+            return content, settled
+        pieces = written(spark, content.join(hot, "mh", "left_semi").mapInArrow(redealt(unit, length, k, room), CONTENT + ", ch long"))
+        twins = pieces.groupBy("mh", "ch").agg(F.count("*").alias("twins"), F.min(F.struct("did", "rk", "start")).alias("first"))
+        twins = written(spark, twins)
+        groups = twins.groupBy("mh").agg(F.sum("twins").alias("all"), F.count("*").alias("kinds")).where(F.col("all") > 1)
+        known = pieces.join(twins.join(groups, "mh"), ["mh", "ch"])
+        known = written(spark, known)
+        done = known.where("twins > 1 and unsettled").select("did", "rk", "start", "n_windows")
+        settled = done if settled is None else settled.unionByName(done)
+        left = known.where("kinds > 1 and first = struct(did, rk, start)") if room > 1 else known.limit(0)
+        left = left.withColumn("unsettled", F.col("unsettled") & (F.col("twins") == 1)).select(*NAMES)
+        content = written(spark, content.join(hot, "mh", "left_anti").select(*NAMES).unionByName(left))
+        room = max(1, room // 4)
+
+
 def repeated(
-    spark: SparkSession, docs: DataFrame, unit: str, length: int, k: int, index: Callable[[np.ndarray, np.ndarray, int], list[np.ndarray]], shard: int
+    spark: SparkSession, docs: DataFrame, unit: str, length: int, k: int, index: Callable[[np.ndarray, np.ndarray, int], list[np.ndarray]], shard: int, most: int = MOST
 ) -> tuple[DataFrame, DataFrame]:
     """Ranges of repeated windows by document (did, rk, list of packed ranges), and the documents packed, by key.
 
@@ -152,16 +208,16 @@ def repeated(
             for i, (raw, asked) in enumerate(zip(unpacked(batch.column("text")), batch.column("asked").to_pylist(), strict=True)):
                 data = np.frombuffer(raw, np.uint8)
                 symbols = data if unit == "byte" else symbols_of(unit, data, np.array([0, len(data)]))[0]
-                cols: list[list] = [[], [], [], [], [], [], []]
+                cols: list[list] = [[], [], [], [], [], [], [], []]
                 for a in asked:
                     s, m = int.from_bytes(a["starts"][:8], "little"), a["n_windows"]
-                    for c, v in zip(cols, (a["mh"], did[i], rk[i], s, m, not a["settled"], symbols[s : s + m + length - 1].tobytes()), strict=True):
+                    for c, v in zip(cols, (a["mh"], did[i], rk[i], s, m, not a["settled"], -1, symbols[s : s + m + length - 1].tobytes()), strict=True):
                         c.append(v)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["mh", "did", "rk", "start", "n_windows", "unsettled", "symbols"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, KINDS, strict=True)], names=NAMES)
 
     asked = some.where("fetch").groupBy("did", "rk").agg(F.collect_list(F.struct("starts", "n_windows", "mh", "settled")).alias("asked"))
-    content = texts.drop("doc_id").join(asked, ["did", "rk"]).mapInArrow(fetch, CONTENT)
+    content = written(spark, texts.drop("doc_id").join(asked, ["did", "rk"]).mapInArrow(fetch, CONTENT))
+    content, more = split_hot(spark, content, unit, length, k, most)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Partitions hold whole anchors, sorted; shards are cut between anchors."""
@@ -199,8 +255,12 @@ def repeated(
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            starts, off = ta.buffers(batch.column("starts"))
-            start = np.frombuffer(starts.tobytes(), np.int64)
+            if "starts" in batch.schema.names:
+                starts, off = ta.buffers(batch.column("starts"))
+                start = np.frombuffer(starts.tobytes(), np.int64)
+            else:
+                start = batch.column("start").to_numpy()
+                off = 8 * np.arange(len(start) + 1)
             size = np.repeat(batch.column("n_windows").to_numpy(), np.diff(off) // 8) + length - 1
             both = np.ascontiguousarray(np.stack([start, start + size], axis=1).astype(np.int64))
             raw = pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer((2 * off).astype(np.int32)), pa.py_buffer(both)])
@@ -208,4 +268,6 @@ def repeated(
 
     exact = content.repartition("mh").sortWithinPartitions("mh").mapInArrow(search, RANGES)
     settled = some.where("settled").select("did", "rk", "starts", "n_windows").mapInArrow(settle, RANGES)
+    if more is not None:
+        settled = settled.unionByName(more.mapInArrow(settle, RANGES))
     return grouped(exact.unionByName(settled)), texts

@@ -23,15 +23,15 @@ def brute(rows, length, split):
     return Counter(out)
 
 
-@pytest.mark.parametrize("shard", [1, 1 << 20])
-def test_words(spark, docs, rows, shard):
-    got = dedup_word_windows(spark, docs, shard=shard).collect()
+@pytest.mark.parametrize("options", [{"shard": 1}, {}, {"most": 0}, {"most": 3}])
+def test_words(spark, docs, rows, options):
+    got = dedup_word_windows(spark, docs, **options).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, len(r.removed), r.kept_sha256) for r in got) == brute(rows, 35, bytes.split)
 
 
-@pytest.mark.parametrize("shard", [1, 1 << 20])
-def test_bytes(spark, docs, rows, shard):
-    got = dedup_byte_strings(spark, docs, shard=shard, texts=True).collect()
+@pytest.mark.parametrize("options", [{"shard": 1}, {}, {"most": 0}, {"most": 3}])
+def test_bytes(spark, docs, rows, options):
+    got = dedup_byte_strings(spark, docs, texts=True, **options).collect()
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute(rows, 200, bytes)
     assert all(hashlib.sha256(r.text).hexdigest() == r.kept_sha256 for r in got)
 
