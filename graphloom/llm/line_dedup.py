@@ -54,19 +54,23 @@ def _shared(df: DataFrame, key: str, by: list[str]) -> DataFrame:
 
 
 def near_lines(spark: SparkSession, lines: DataFrame, distinct: DataFrame, block: int = BLOCK) -> DataFrame:
-    """h1, h2 of distinct lines that have an earlier line one edit away. distinct: h1, h2, len, first, halves."""
+    """h1, h2, len of distinct lines that have an earlier line one edit away. lines: did, rk, pos, line; distinct: h1, h2, len,
+    first (did, pos, rk), halves."""
     id_ = ["h1", "h2", "len"]
     halves = distinct.where(F.col("halves").isNotNull()).select(*id_, F.explode("halves").alias("key"))
     meet = written(spark, _shared(halves, "key", id_).select(*id_).distinct())
-    texts = lines.join(meet.hint("merge"), id_, "left_semi").groupBy(*id_).agg(F.min("line").alias("line"))
-    texts = written(spark, texts.join(distinct.select(*id_, "first"), id_))
+    # each line's text comes from its first place only: a line that a third of all documents hold is one row here
+    asked = meet.join(distinct.select(*id_, "first"), id_).select(*id_, "first", F.col("first.did").alias("did"), F.col("first.rk").alias("rk"), F.col("first.pos").alias("pos"))
+    texts = lines.select("did", "rk", "pos", "line").join(asked.hint("merge"), ["did", "rk", "pos"])
+    texts = written(spark, texts.groupBy(*id_).agg(F.min("line").alias("line"), F.min("first").alias("first")))
     # all but one block: for partners at least as long (m = len) and one shorter (m = len - 1)
     m = F.explode(F.array(F.col("len"), F.col("len") - 1)).alias("m")
-    blocks = texts.select(*id_, "first", "line", m)
-    blocks = blocks.withColumn("j", F.explode(F.sequence(F.lit(0), F.floor(F.col("m") / block).cast("int"))))
-    after = F.greatest(F.lit(0), F.col("m") - (F.col("j") + 1) * block)
-    head, tail = _sub("line", 1, F.col("j") * block), _sub("line", F.col("len") - after + 1, after)
-    blocks = blocks.select(*id_, "first", "m", F.xxhash64("m", "j", head, F.lit("|"), tail).alias("key"), _sub("line", F.col("j") * block + 1, F.col("len") - after - F.col("j") * block).alias("mid"))
+    # (blocks of very long lines grow with the root of their length, as both the blocks and their variants do)
+    blocks = texts.select(*id_, "first", "line", m).withColumn("b", F.greatest(F.lit(block), F.ceil(F.sqrt("m")).cast("int")))
+    blocks = blocks.withColumn("j", F.explode(F.sequence(F.lit(0), F.floor(F.col("m") / F.col("b")).cast("int"))))
+    before, after = F.col("j") * F.col("b"), F.greatest(F.lit(0), F.col("m") - (F.col("j") + 1) * F.col("b"))
+    head, tail = _sub("line", 1, before), _sub("line", F.col("len") - after + 1, after)
+    blocks = blocks.select(*id_, "first", "m", F.xxhash64("m", "j", head, F.lit("|"), tail).alias("key"), _sub("line", before + 1, F.col("len") - after - before).alias("mid"))
     blocks = written(spark, _shared(blocks, "key", id_))
     # the block's variants: the place of the deletion counts where a character was replaced, not where one was inserted
     long_, places = F.col("m") < F.col("len"), F.sequence(F.lit(1), F.length("mid"))
@@ -99,7 +103,7 @@ def removed_lines(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHA
     hashed = lines.select(*_hash(F.col("line")), "did", "rk", "pos", halves.alias("halves"))
     distinct = hashed.groupBy(*id_).agg(F.min(F.struct("did", "pos", "rk")).alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves"))
     distinct = written(spark, distinct)
-    near = near_lines(spark, lines.select(*_hash(F.col("line")), "line"), distinct, block).withColumn("near", F.lit(True))
+    near = near_lines(spark, lines, distinct, block).withColumn("near", F.lit(True))
     gone = distinct.join(near, id_, "left").where("n > 1 or near").select(*id_, "first", F.coalesce("near", F.lit(False)).alias("near"))
     gone = lines.select(*_hash(F.col("line")), "did", "rk", "pos").join(gone, id_).where(F.col("near") | (F.struct("did", "pos", "rk") != F.col("first")))
     return written(spark, gone.groupBy("did", "rk").agg(F.collect_set("pos").alias("gone")))
