@@ -1,18 +1,33 @@
 """Entities and edges made of the trade tables, so that graph operators have something to run on.
 
 A part is a member of the type (part name, brand); its brand is the package and its kind of make the module. Parts on
-consecutive lines of an order, both in large quantities, depend on each other. Users of the event table are projects and
+consecutive lines of an order depend on each other: those in large quantities, or, inside all_lines, all. Users of the event table are projects and
 their events runs; documents are files.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.tables import table
 
 OWNER_BASE, QUANTITY = 1_000_000_000, 40
+_least: ContextVar[int | None] = ContextVar("least", default=QUANTITY)
+
+
+@contextmanager
+def all_lines() -> Iterator[None]:
+    """Edge tables made inside have every two consecutive lines, whatever their quantities."""
+    token = _least.set(None)
+    try:
+        yield
+    finally:
+        _least.reset(token)
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,16 +50,17 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.unionByName(types)
 
 
-def raw_edges(spark: SparkSession, sf_dir: str, quantity: int = QUANTITY) -> DataFrame:
+def raw_edges(spark: SparkSession, sf_dir: str, quantity: int | None = None) -> DataFrame:
     """A row for each two consecutive lines: src, dst, type, weight 1, order."""
-    line = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= quantity)
+    line, least = table(spark, sf_dir, "lineitem"), _least.get() if quantity is None else quantity
+    line = line if least is None else line.where(F.col("l_quantity") >= least)
     a = line.select(F.col("l_orderkey").alias("order"), F.col("l_partkey").alias("src"), "l_returnflag", (F.col("l_linenumber") + 1).alias("n"))
     b = line.select(F.col("l_orderkey").alias("order"), F.col("l_partkey").alias("dst"), F.col("l_linenumber").alias("n"))
     kind = F.when(F.col("l_returnflag") == "R", "OVERRIDES").when(F.col("l_returnflag") == "A", "CALLS").otherwise("USES_TYPE")
     return a.join(b, ["order", "n"]).where("src <> dst").select("src", "dst", kind.alias("type"), F.lit(1).cast("long").alias("weight"), "order")
 
 
-def edges(spark: SparkSession, sf_dir: str, quantity: int = QUANTITY) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str, quantity: int | None = None) -> DataFrame:
     return raw_edges(spark, sf_dir, quantity).groupBy("src", "dst", "type").agg(F.sum("weight").alias("weight"))
 
 
