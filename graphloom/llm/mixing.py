@@ -2,9 +2,10 @@
 
 Sources by code point, null last, weigh 3, 1, 2, repeating (or as given). They share `share` times all words in those
 proportions, none above `most` times its own size; what is above is shared again by weight until nothing is. The mix is
-cut into equal blocks of words. Blocks go to sources by the highest quotients target / (2 j + 1), then a source's blocks
-to its shards by their sizes, so each shard gets a whole number. Within a shard documents stand in seeded order as one
-stream of words, and the shard's blocks are its first ones, going round again after the last document.
+cut into equal blocks of words, short enough that the source of the smallest target gets PER_SHARD of them a shard. Blocks
+go to sources by the highest quotients target / (2 j + 1), then a source's blocks to its shards by their sizes. What is
+above `most` times a shard's size goes to the source's next shards that have room. Within a shard documents stand in seeded
+order as one stream of words, and the shard takes its first ones, going round again after the last document.
 
 Null texts and texts without a word have size 0 and are never taken. Null and repeated ids are fine: rows that are equal
 in id, source and size are interchangeable. Empty tables give empty results. No other columns are read.
@@ -21,6 +22,7 @@ from graphloom.llm.common import WORD, written
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
 BLOCKS, SHARDS, SEED = 1 << 18, 64, "mix-1"
+PER_SHARD = 32
 
 
 def n_words(text: Column | str = "text") -> Column:
@@ -49,30 +51,44 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
 
 
 def highest(claims: DataFrame, keys: list[str], claim: str, seats: str | int, window: Window) -> DataFrame:
-    """Seats of each claim by the highest quotients claim / (2 j + 1); no claim gets above its share by a seat or more."""
+    """Seats of each claim by the highest quotients claim / (2 j + 1).
+
+    With K claims on n seats the divisor that deals all out is within K / (2 n) of total / n, so seats below `low` are
+    certain and only those up to `high` are ranked: some K rows in all, however many seats there are.
+    """
     seats = F.lit(seats) if isinstance(seats, int) else F.col(seats)
-    share = claims.withColumn("upper", F.ceil(F.col(claim) * seats / F.sum(claim).over(window)) + 1).withColumn("seats_", seats)
-    each = share.where(F.col(claim) > 0).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("upper"))))
+    held = claims.where(F.col(claim) > 0).withColumn("seats_", seats.cast("long"))
+    share = F.col(claim).cast("double") * F.col("seats_") / F.sum(claim).over(window)
+    slack = share * F.count("*").over(window) / (2 * F.greatest(F.col("seats_"), F.lit(1))) + 2
+    held = held.withColumn("low", F.greatest(F.lit(0), F.floor(share - slack)).cast("long")).withColumn("high", F.ceil(share + slack).cast("long"))
+    held = held.withColumn("open_", F.col("seats_") - F.sum("low").over(window))
+    each = held.withColumn("j", F.explode(F.sequence("low", "high")))
     each = each.withColumn("place", F.row_number().over(window.orderBy((F.col(claim) / (2 * F.col("j") + 1)).desc(), *keys)))
-    return each.where("place <= seats_").groupBy(*keys).agg(F.count("*").alias("blocks"))
+    more = F.count_if(F.col("place") <= F.col("open_"))
+    return each.groupBy(*keys).agg((F.first("low") + more).alias("blocks")).where("blocks > 0")
 
 
 def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, blocks: int = BLOCKS, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, shard of each row of docs, and rk (hash of its id and text).
 
-    A source's taken words are its whole blocks, each share of a shard at most `most` times the shard's size.
+    A source's taken words are its whole blocks while that is at most `most` times its size, as is each shard's share.
     """
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     sized = docs.select("doc_id", "source", n_words().alias("size"), F.xxhash64("doc_id", "text").alias("rk")).withColumn("h", order)
     sized = written(spark, sized.withColumn("shard", (F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % shards).cast("int")))
     cells = written(spark, sized.groupBy("source", "shard").agg(F.sum("size").alias("cell_size")))
     aims = written(spark, targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, share, most))
-    total = aims.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]  # one number
-    block = max(1, int(total * share) // blocks)
+    total, least = aims.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.min(F.when(F.col("target") > 0, F.col("target"))), F.lit(0.0))).first()  # two numbers
+    block = max(1, min(int(total * share) // blocks, int(least) // (PER_SHARD * shards)))
     won = highest(aims, ["rn"], "target", int(total * share) // block, Window.partitionBy(F.lit(0)))
     inside = cells.join(aims, cells["source"].eqNullSafe(aims["source"])).select("rn", "shard", "cell_size", "source_size", "target", aims["source"].alias("s")).join(won, "rn", "left")
     quota = highest(inside.where("blocks > 0").withColumnRenamed("blocks", "won"), ["rn", "shard"], "cell_size", "won", Window.partitionBy("rn"))
-    inside = inside.drop("blocks").join(quota, ["rn", "shard"], "left").withColumn("quota", F.least(F.coalesce("blocks", F.lit(0)) * block, F.col("cell_size") * most))
+    inside = inside.withColumnRenamed("blocks", "won").join(quota, ["rn", "shard"], "left").fillna(0, ["won", "blocks"])
+    inside = inside.withColumn("quota", F.least(F.col("blocks") * block, F.col("cell_size") * most)).withColumn("room", F.col("cell_size") * most - F.col("quota"))
+    source, following = Window.partitionBy("rn"), Window.partitionBy("rn").orderBy((F.col("cell_size") / (2 * F.col("blocks") + 1)).desc(), "shard")
+    before = F.coalesce(F.sum("room").over(following.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    clipped = F.col("won") * block - F.sum("quota").over(source)
+    inside = inside.withColumn("quota", F.col("quota") + F.greatest(F.lit(0), F.least(F.col("room"), clipped - before)))
     cell = Window.partitionBy("source", "shard").orderBy("h", "doc_id", "size", "rk")
     sized = sized.withColumn("upto", F.sum("size").over(cell.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     inside = inside.select(F.col("s").alias("source_"), F.col("shard").alias("shard_"), "cell_size", "source_size", "target", "quota")

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import mixing, quality, sharding
 
@@ -60,6 +61,46 @@ def test_mix_equals_sql(spark, docs, rows):
     assert key(got) == key(want)
 
 
+def test_mix_gives_small_sources_their_words(spark):
+    """Sources of very unlike sizes, few blocks: each has its target, or all that its shards have room for."""
+    n = {"a": 3000, "b": 40, "c": 1, "d": 400, "e": 7}
+    docs = spark.createDataFrame([(i, "w " * (20 + i % 13), s) for i, s in enumerate(s for s, k in n.items() for _ in range(k))], "doc_id long, text string, source string")
+    taken, sizes, aim = defaultdict(int), defaultdict(int), {}
+    for r in mixing.mix(spark, docs, blocks=64).collect():
+        assert 0 <= r.taken <= 2 * r.size
+        taken[r.source] += r.taken
+        sizes[r.source] += r.size
+        aim[r.source] = r.target
+    assert aim == pytest.approx(filled(dict(sizes)))
+    assert all(abs(taken[s] - aim[s]) <= 1 + 0.001 * aim[s] for s in n), (taken, aim)
+
+
+def test_mix_hands_on_what_full_shards_cannot_take(spark):
+    """All sources as long as they may be, shards of few documents: nothing is lost to rounding in 64 shards."""
+    docs = spark.createDataFrame([(i, "w " * (300 + i % 7), f"s{i % 4}") for i in range(4000)], "doc_id long, text string, source string")
+    taken, aim = defaultdict(int), {}
+    for r in mixing.mix(spark, docs, share=2, blocks=1 << 11).collect():
+        assert 0 <= r.taken <= 2 * r.size
+        taken[r.source] += r.taken
+        aim[r.source] = r.target
+    block = min(aim.values()) // (32 * 64)
+    assert all(abs(taken[s] - aim[s]) <= block for s in aim), (taken, aim)
+
+
+def test_highest_ranks_few_quotients(spark):
+    import random
+
+    from pyspark.sql.window import Window
+
+    r = random.Random(5)
+    for n, seats in ((1, 9), (7, 1), (40, 23), (64, 9999), (300, 100), (200, 5000)):
+        claims = {i: r.choice([0, 1, r.randint(1, 9), r.randint(1, 5000)]) or (i == 0) for i in range(n)}
+        claims = {i: int(c) for i, c in claims.items()}
+        best = sorted(((-c / (2 * j + 1), i) for i, c in claims.items() if c for j in range(seats)))[:seats]
+        got = mixing.highest(spark.createDataFrame(list(claims.items()), "k long, claim long"), ["k"], "claim", seats, Window.partitionBy(F.lit(0)))
+        assert {x.k: x.blocks for x in got.collect()} == dict(Counter(i for _, i in best))
+
+
 def test_mixed_texts(spark, docs, rows):
     taken = mixing.mix(spark, docs)
     out = mixing.mixed(docs, taken)
