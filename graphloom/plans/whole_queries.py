@@ -6,7 +6,9 @@ Where the SQL of a query follows routes without a bound there is none here: test
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from graphloom.operators import graph, impact, incremental, search
 from graphloom.plans import graph_queries, metric_queries, portfolio_queries, retrieval_queries
 from graphloom.plans.registry import Query, registry
 from graphloom.sources import adapters
@@ -41,3 +43,107 @@ for _name in PLAIN:
     query(whole_sql(_name))(whole(_name))
 for _name in CLOSURES:
     query()(whole(_name))
+
+
+#: The stated query set: ids divisible by 100. Searches go from these to all targets.
+STATED = "id % 100 = 0"
+
+
+def stated_sql(name: str, *swaps: tuple[str, str]) -> str:
+    """The SQL of a query over all lines, for the stated query set or other limits."""
+    sql = whole_sql(name)
+    for old, new in swaps:
+        assert old in sql
+        sql = sql.replace(old, new)
+    return sql
+
+
+def all_both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    with adapters.all_lines():
+        return graph_queries.both(spark, sf_dir)
+
+
+SEEDS = (graph_queries.SEED_SQL, STATED)
+
+
+@query()
+def shortest_path_len_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entity, edge = all_both(spark, sf_dir)
+    found = graph.reach(spark, graph.moves(edge), entity.where(STATED), 30).where("node <> start")
+    return found.select(F.col("start").alias("source"), F.col("node").alias("target"), F.col("depth").alias("length"))
+
+
+@query(SQL["all_paths_bounded"].replace("id % 10 = 1 AND id < 1000000000", STATED).replace(" AND node % 10 = 2", ""))
+def all_paths_bounded_stated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over lines in large quantities only: the paths among all lines are some 15^6 a start."""
+    entity, edge = graph_queries.both(spark, sf_dir)
+    found = graph.all_paths(spark, edge, entity.where(STATED), entity, 6, 20)
+    return found.select("source", "target", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+
+
+@query(stated_sql("bfs_downstream", SEEDS))
+def bfs_downstream_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entity, edge = all_both(spark, sf_dir)
+    return graph.bfs(spark, edge, entity.where(STATED), graph.DOWNSTREAM, graph_queries.LIMIT).select("node", "depth")
+
+
+@query(stated_sql("bfs_upstream_dispatch", SEEDS))
+def bfs_upstream_dispatch_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entity, edge = all_both(spark, sf_dir)
+    return graph.bfs(spark, edge, entity.where(STATED), graph.UPSTREAM, graph_queries.LIMIT, True)
+
+
+@query(stated_sql("neighborhood_view", SEEDS, ("> 60 AS", "> 500 AS"), ("LIMIT 60", "LIMIT 500")))
+def neighborhood_view_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entity, edge = all_both(spark, sf_dir)
+    risk = entity.select("id", F.col("complexity").cast("double").alias("risk"))
+    return graph.neighbourhood(spark, entity, edge, risk, entity.where(STATED), 2)
+
+
+@query(stated_sql("relations_topn", ("place <= 3", "place <= 200")))
+def relations_topn_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.relations(*all_both(spark, sf_dir))
+
+
+@query(stated_sql("relation_groups", (" WHERE src % 7 = 0", ""), (" WHERE dst % 7 = 0", "")))
+def relation_groups_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entity, edge = all_both(spark, sf_dir)
+    return search.relation_groups(edge, entity)
+
+
+@query(stated_sql("neighbor_labels", ("a[1:2]", "a[1:12]"), ("len(a) > 2", "len(a) > 12"), ("len(a) - 2", "len(a) - 12")))
+def neighbor_labels_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.neighbour_labels(*all_both(spark, sf_dir))
+
+
+@query(stated_sql("dependents_of_changed", ("t.file_id < 5", "t.file_id % 100 = 0"), ("s.file_id >= 5", "s.file_id % 100 <> 0")))
+def dependents_of_changed_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entity, edge = all_both(spark, sf_dir)
+    edge = edge.join(entity.select(F.col("id").alias("src"), "file_id"), "src")
+    return incremental.dependents(entity, edge, entity.where("file_id % 100 = 0").select("file_id").distinct())
+
+
+def _stated_impact(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    entity, edge = all_both(spark, sf_dir)
+    return entity, edge, impact.seeds_of_entity(entity, entity.where(STATED))
+
+
+@query(stated_sql("impact_affected", SEEDS))
+def impact_affected_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.affected(spark, *_stated_impact(spark, sf_dir))
+
+
+@query(stated_sql("impact_by_role", SEEDS))
+def impact_by_role_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.by_role(impact_affected_whole(spark, sf_dir))
+
+
+@query(stated_sql("impact_first_rows", SEEDS, ("LIMIT 50", "LIMIT 500")))
+def impact_first_rows_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.first_rows(impact_affected_whole(spark, sf_dir), adapters.entities(spark, sf_dir))
+
+
+@query(stated_sql("impact_summary", SEEDS))
+def impact_summary_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = spark.range(1).selectExpr("100L max_dependents", "10L max_depth", "50L max_coupling", "1000L max_complexity")
+    return impact.summary(spark, *_stated_impact(spark, sf_dir), top)

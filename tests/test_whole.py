@@ -81,3 +81,10 @@ def test_risks_equal_sql(spark, small, name):
         want = c.sql(whole_sql(name))
         got = catalogue.QUERIES[f"{name}_whole"](spark, small).select(*want.columns)
         assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall()))
+
+
+def test_shortest_paths_from_the_stated_set_to_all(spark):
+    after = following(lines(SF))
+    got = {(r.source, r.target): r.length for r in catalogue.QUERIES["shortest_path_len_whole"](spark, SF).collect()}
+    want = {(a, b): d for a in sorted(after) if a % 100 == 0 for b, d in reached(after, a).items() if a != b}
+    assert got == want and len({a for a, _ in got}) == 2
