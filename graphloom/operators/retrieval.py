@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,37 +28,83 @@ def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(fn.col(a), fn.col(b), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def _packed(vectors: DataFrame, id_: str, column: str, most: int) -> DataFrame:
+    """ids, flat, width: up to so many vectors of one width in a row; null ones are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            widths = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            for width in np.unique(widths):
+                same = batch.filter(pa.array(widths == width))
+                for at in range(0, same.num_rows, most):
+                    part = same.slice(at, most)
+                    yield pa.RecordBatch.from_pydict({"ids": [part.column(0).to_pylist()], "flat": pa.array([part.column(1).flatten()], pa.list_(pa.float64())), "width": pa.array([int(width)], pa.int32())})
+
+    rows = vectors.select(F.col(id_).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).where("size(v) > 0")
+    return rows.mapInArrow(run, "ids array<long>, flat array<double>, width int")
+
+
 def dense_top(vectors: DataFrame, query: DataFrame, k: int = 10, id_: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """id, dense of the k vectors nearest to the one row of query, by dot product of normalised vectors; ties by id."""
-    q = query.select(unit(column).alias("q_")).limit(1)
-    scored = vectors.join(F.broadcast(q), how="cross").select(id_, rounded(dot(unit(column), "q_"), 4).alias("dense"))  # one row
-    return scored.orderBy(F.desc("dense"), id_).limit(k)
+    """query_id, id, dense of the k vectors nearest to each query, by dot product of normalised vectors; ties by id.
+
+    Blocks of queries meet blocks of vectors, and only the best k of each block are shuffled. query: query_id, column.
+    """
+    asked = _packed(query, "query_id", column, 256).toDF("q_ids", "q_flat", "q_width")
+    both = _packed(vectors, id_, column, 2048).join(asked, how="cross").where("width = q_width")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def unit_rows(flat: pa.Scalar, width: int) -> np.ndarray:
+            v = flat.values.to_numpy(zero_copy_only=False).reshape(-1, width)
+            return v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-12)
 
-def keyword_scores(chunks: DataFrame, query: DataFrame) -> DataFrame:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i] for c in batch.schema.names}
+                width, ids, asks = row["width"].as_py(), row["ids"].values.to_numpy(zero_copy_only=False), row["q_ids"].values.to_numpy(zero_copy_only=False)
+                score = np.floor(unit_rows(row["q_flat"], width) @ unit_rows(row["flat"], width).T * 10000.0 + 0.5) / 10000.0
+                best = np.stack([np.lexsort((ids, -s))[:k] for s in score])
+                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(asks, best.shape[1]), id_: ids[best].ravel(), "dense": np.take_along_axis(score, best, 1).ravel()})
+
+    near = both.select("ids", "flat", "width", "q_ids", "q_flat").mapInArrow(run, f"query_id long, {id_} long, dense double")
+    return _best(near, k, F.desc("dense"), F.col(id_))
+
+
+def _best(rows: DataFrame, k: int, *order: Column) -> DataFrame:
+    """The first k rows of each query_id."""
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    return rows.withColumn("place_", place).where(F.col("place_") <= k).drop("place_")
+
+
+def keyword_scores(chunks: DataFrame, query: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """query_id, id, keyword: mean over the query's terms of 1 if a term is one of the label's or name's, 0.3 if the body
-    holds it. chunks: id, label, qualified_name, text; query: query_id, text. Queries are few and broadcast when small."""
-    asked = query.select("query_id", F.explode(F.array_distinct(fn.terms("text"))).alias("term"))
+    holds it. chunks: id, label, qualified_name, text; query: query_id, text. Of all pairs, or of those of query_id, id given."""
+    asked = query.select("query_id", F.array_distinct(fn.terms("text")).alias("asked")).where("size(asked) > 0")
     own = F.array_distinct(fn.terms(F.concat_ws(" ", "label", "qualified_name")))
     ready = chunks.select("id", own.alias("own"), F.lower("text").alias("body"))
-    both = ready.join(asked, how="cross")  # a stated query set against all rows
-    value = F.when(F.array_contains("own", F.col("term")), F.lit(1.0)).when(F.contains("body", "term"), F.lit(BODY_SCORE)).otherwise(F.lit(0.0))
-    return both.groupBy("query_id", "id").agg(F.least(F.lit(1.0), rounded(F.avg(value), 6)).alias("keyword"))
+    both = ready.join(asked, how="cross") if pairs is None else ready.join(pairs.select("query_id", "id").distinct(), "id").join(asked, "query_id")
+    value = lambda t: F.when(F.array_contains("own", t), F.lit(1.0)).when(F.contains("body", t), F.lit(BODY_SCORE)).otherwise(F.lit(0.0))
+    mean = F.aggregate("asked", F.lit(0.0), lambda a, t: a + value(t)) / F.size("asked")
+    return both.select("query_id", "id", F.least(F.lit(1.0), rounded(mean, 6)).alias("keyword"))
 
 
 def hybrid(candidates: DataFrame, k: int = 10) -> DataFrame:
-    """The best k of candidates (id, dense, keyword, pinned): 0.7 dense + 0.3 keyword, 1 more if pinned; 4 places, ties by id."""
+    """The best k of candidates (id, dense, keyword, pinned), of each query_id if there is one: 0.7 dense + 0.3 keyword, 1 more if
+    pinned; 4 places, ties by id."""
     base = F.greatest("dense", F.lit(0.0)) * DENSE_SHARE + F.col("keyword") * KEYWORD_SHARE + F.when(F.col("pinned"), F.lit(1.0)).otherwise(F.lit(0.0))
-    return candidates.withColumn("score", rounded(base, 4)).orderBy(F.desc("score"), "id").limit(k)
-
-
-def candidates(dense: DataFrame, keyword: DataFrame, owned: DataFrame, pinned: DataFrame, k: int = 10) -> DataFrame:
-    """id, dense, keyword, pinned: the nearest 4 k by dense, chunks that mentioned names own, and pinned ones (dense 0)."""
-    near = dense.orderBy(F.desc("dense"), "id").limit(OVERSAMPLE * k).select("id", "dense")
-    more = owned.select("id").unionByName(pinned.select("id")).distinct().join(near.select("id"), "id", "left_anti")
-    pool = near.unionByName(more.select("id", F.lit(0.0).alias("dense")))
-    marks = pinned.select("id", F.lit(True).alias("pinned")).distinct()
-    return pool.join(keyword.select("id", "keyword"), "id", "left").join(marks, "id", "left").select("id", "dense", F.coalesce("keyword", F.lit(0.0)).alias("keyword"), F.coalesce("pinned", F.lit(False)).alias("pinned"))
+    scored = candidates.withColumn("score", rounded(base, 4))
+    return _best(scored, k, F.desc("score"), F.col("id")) if "query_id" in candidates.columns else scored.orderBy(F.desc("score"), "id").limit(k)
+
+
+def candidates(dense: DataFrame, chunks: DataFrame, query: DataFrame, owned: DataFrame, pinned: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, id, dense, keyword, pinned: each query's nearest 4 k by dense, chunks that mentioned names own, and pinned ones
+    (dense 0). dense: query_id, id, dense; owned, pinned: query_id, id; chunks, query: as in keyword_scores."""
+    by = ["query_id", "id"]
+    near = _best(dense, OVERSAMPLE * k, F.desc("dense"), F.col("id")).select(*by, "dense")
+    more = owned.select(*by).unionByName(pinned.select(*by)).distinct().join(near.select(*by), by, "left_anti")
+    pool = near.unionByName(more.select(*by, F.lit(0.0).alias("dense")))
+    marks = pinned.select(*by, F.lit(True).alias("pinned")).distinct()
+    keyword = keyword_scores(chunks, query, pool)
+    return pool.join(keyword, by, "left").join(marks, by, "left").select(*by, "dense", F.coalesce("keyword", F.lit(0.0)).alias("keyword"), F.coalesce("pinned", F.lit(False)).alias("pinned"))
 
 
 def embed_text(kind: str = "kind", label: str = "label", name: str = "qualified_name", text: str = "text", most: int = 2000) -> Column:

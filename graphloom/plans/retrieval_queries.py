@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphloom.functions import text as fn
 from graphloom.operators import incremental, questions, retrieval
@@ -75,7 +76,26 @@ dense AS (SELECT a.vec_id, floor(list_sum(list_transform(generate_series(1, len(
 @query(f"WITH {DENSE_SQL} SELECT * FROM dense ORDER BY dense DESC, vec_id LIMIT 10")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
-    return retrieval.dense_top(v, v.where("vec_id = 7"), 10)
+    return retrieval.dense_top(v, v.where("vec_id = 7").withColumn("query_id", F.col("vec_id")), 10).drop("query_id")
+
+
+#: All queries: vectors whose id is divisible by 100, and the questions of the benchmark.
+@query(f"WITH {DENSE_SQL} SELECT * FROM dense QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, vec_id) <= 10".replace("SELECT a.vec_id, floor", "SELECT b.vec_id AS query_id, a.vec_id, floor").replace("vec_id = 7", "vec_id % 100 = 0"))
+def dense_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    return retrieval.dense_top(v, v.where("vec_id % 100 = 0").withColumn("query_id", F.col("vec_id")), 10)
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), "text")
+
+
+ALL_KEYWORD_SQL = KEYWORD_SQL.replace(f"SELECT unnest({terms_sql(repr(QUESTION))}) AS term", f"SELECT item_id AS query_id, unnest({terms_sql('text')}) AS term FROM benchmark").replace("SELECT id, least", "SELECT query_id, id, least").replace("GROUP BY id", "GROUP BY query_id, id")
+
+
+@query(f"WITH {ALL_KEYWORD_SQL} SELECT * FROM keyword")
+def keyword_score_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.keyword_scores(chunks(spark, sf_dir), _questions(spark, sf_dir))
 
 
 @query(f"""WITH {KEYWORD_SQL}, {DENSE_SQL}, near AS (SELECT vec_id AS id, dense FROM dense ORDER BY dense DESC, vec_id LIMIT 32),
@@ -86,9 +106,26 @@ floor((greatest(p.dense, 0.0::DOUBLE) * 0.7::DOUBLE + coalesce(k.keyword, 0.0::D
 FROM pool p LEFT JOIN keyword k USING (id) ORDER BY score DESC, id LIMIT 8""")
 def hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, c = table(spark, sf_dir, "embeddings"), chunks(spark, sf_dir)
-    dense = retrieval.dense_top(v, v.where("vec_id = 7"), 32).select(F.col("vec_id").alias("id"), "dense")
-    pool = retrieval.candidates(dense, _keyword(spark, sf_dir), c.where("path = 'src7'"), c.where("id in (3, 11, 200)"), 8)
-    return retrieval.hybrid(pool, 8)
+    one = F.lit(1).cast("long").alias("query_id")
+    dense = retrieval.dense_top(v, v.where("vec_id = 7").select(one, "embedding"), 32).withColumnRenamed("vec_id", "id")
+    asked = spark.createDataFrame([(1, QUESTION)], "query_id long, text string")
+    pool = retrieval.candidates(dense, c, asked, c.where("path = 'src7'").select(one, "id"), c.where("id in (3, 11, 200)").select(one, "id"), 8)
+    return retrieval.hybrid(pool, 8).drop("query_id")
+
+
+@query()
+def hybrid_rank_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The n-th question goes with the n-th vector whose id is divisible by 100; the shorter list goes round."""
+    v, c = table(spark, sf_dir, "embeddings"), chunks(spark, sf_dir)
+    numbered = lambda df, by: df.withColumn("n", F.row_number().over(Window.orderBy(by)) - 1)  # noqa: E731  (a stated query set)
+    texts, asks = numbered(_questions(spark, sf_dir).withColumnRenamed("query_id", "item"), "item"), numbered(v.where("vec_id % 100 = 0"), "vec_id")
+    m, n = texts.count(), asks.count()
+    every = spark.range(max(m, n) if m and n else 0).withColumnRenamed("id", "query_id")
+    query_text = every.join(texts.select("n", "text"), F.col("query_id") % max(m, 1) == F.col("n")).select("query_id", "text")
+    vectors = every.join(asks.select("n", "embedding"), F.col("query_id") % max(n, 1) == F.col("n")).select("query_id", "embedding")
+    dense = retrieval.dense_top(v, vectors, 32).withColumnRenamed("vec_id", "id")
+    owned, pinned = (c.where(x).select("id").join(every, how="cross") for x in ("path = 'src7'", "id in (3, 11, 200)"))
+    return retrieval.hybrid(retrieval.candidates(dense, c, query_text, owned, pinned, 8), 8)
 
 
 PLAN_SQL = """stored AS (SELECT doc_id AS id, source AS path, left(sha256(coalesce(text, '')), 16) AS hash FROM documents WHERE doc_id % 4 <> 0),
