@@ -7,7 +7,6 @@ import contextlib
 import uuid
 
 import numpy as np
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that persist)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 

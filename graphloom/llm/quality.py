@@ -41,10 +41,10 @@ def _per_row(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
-def _distinct(key: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-    """How many different keys each row has."""
-    both = np.unique(ta.mix(key + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
-    return np.bincount(row[both], minlength=rows)
+def _distinct(ids: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """How many different ids each row has."""
+    both = np.unique(row * (int(ids.max(initial=0)) + 1) + ids)
+    return np.bincount(both // (int(ids.max(initial=0)) + 1), minlength=rows)
 
 
 def counts(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
@@ -57,17 +57,17 @@ def counts(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     for name, kind in (("n_letter_words", LETTER), ("n_symbol_words", SYMBOL)):
         total = np.concatenate([[0], np.cumsum(kind[data], dtype=np.int64)])
         out[name] = _per_row(total[end] > total[start], rows)
-    hashes = ta.word_hashes(data, start, end)
+    ids = ta.exact_ids(data, start, end)
     row = np.repeat(np.arange(n), np.diff(rows))
-    out["n_distinct"] = _distinct(hashes, row, n)
-    grams = ta.Rolling(hashes).grams(3)
-    at = np.flatnonzero(np.arange(len(grams)) + 3 <= rows[row[: len(grams)] + 1]) if len(grams) else np.zeros(0, np.int64)
-    _, same, many = np.unique(ta.mix(grams[at] + row[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True)
+    out["n_distinct"] = _distinct(ids, row, n)
+    at = np.arange(max(0, len(ids) - 2))
+    at = at[at + 3 <= rows[row[at] + 1]]
+    _, same, many = np.unique(ta.pair_ids(ta.pair_ids(ta.pair_ids(row[at], ids[at]), ids[at + 1]), ids[at + 2]), return_inverse=True, return_counts=True)
     twice = at[many[same] > 1]
-    cover = np.zeros(len(hashes) + 3, bool)
+    cover = np.zeros(len(ids) + 3, bool)
     for i in range(3):
         cover[twice + i] = True
-    out["n_repeat_words"] = _per_row(cover[: len(hashes)], rows)
+    out["n_repeat_words"] = _per_row(cover[: len(ids)], rows)
     ends = np.union1d(np.flatnonzero(data == 10), off[1:][off[1:] > off[:-1]]) if len(data) else np.zeros(0, np.int64)
     begins = np.concatenate([[0], ends[:-1] + (data[np.minimum(ends[:-1], len(data) - 1)] == 10)]) if len(ends) else ends
     # a text may begin right at a line feed's place: lines are cut again at each text's first byte
@@ -75,9 +75,8 @@ def counts(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     full = np.searchsorted(start, ends) > np.searchsorted(start, begins)
     b, e = begins[full], ends[full]
     owner = np.searchsorted(off, b, side="right") - 1
-    line = ta.mix(ta.Rolling(ta.byte_symbols(data)).of(b, e) + (e - b).astype(np.uint64)) if len(b) else np.zeros(0, np.uint64)
     out["n_lines"] = np.bincount(owner, minlength=n)
-    out["n_dup_lines"] = out["n_lines"] - _distinct(line, owner, n)
+    out["n_dup_lines"] = out["n_lines"] - _distinct(ta.exact_ids(data, b, e), owner, n)
     return out
 
 

@@ -3,8 +3,9 @@
 A window is L consecutive symbols (words or bytes) of one document. Each window is dealt by its anchor, the smallest
 hashed k-gram in it: equal windows have equal anchors, wherever they stand. Consecutive windows with one anchor form a
 segment, so a corpus of n symbols gives about 2n / (L - k + 2) segments instead of n windows, and only anchors that
-occur twice can hold a repeated window. Segments with an equal twin are settled by their hashes (anchor's and
-content's, 128 bits together); the others are compared exactly by the caller's index, anchor by anchor.
+occur twice can hold a repeated window. Equal segments are one kind (anchor's and content's hash, 124 bits together): the
+kind's first place and, if it has more, its last one as a witness go to the caller's index, which alone decides what is
+repeated. What it says of a kind holds for every place of the kind.
 """
 
 from __future__ import annotations
@@ -16,21 +17,24 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from graphloom.llm import textarrays as ta
-from graphloom.llm.common import row_key, written
+from graphloom.llm.common import bounded, row_key, written
 
 #: Positions in a slice fit in so many bits beside the hash that orders anchors.
 INDEX_BITS = 24
 CHUNK = 1 << 22
-OCCURRENCE = "did long, rk long, starts binary, times int, n_windows int, mh long, ch long"
-CONTENT = "mh long, did long, rk long, start long, n_windows int, unsettled boolean, anchor int, symbols binary"
-#: Segments of one key that are indexed together; more are dealt anew, by longer and longer strings of their windows.
-MOST = 2048
+OCCURRENCE = "did long, rk long, starts binary, times int, first long, last long, n_windows int, mh long, ch long"
+#: Of a kind (mh, ch), the symbols of one of its places; report: the place that the index answers for, not the witness.
+CONTENT = "mh long, ch long, n_windows int, report boolean, anchor int, symbols binary"
+#: A piece of a kind (pmh, pch), from its window `off` on.
+PIECE = CONTENT + ", pmh long, pch long, off int"
+VERDICT = "mh long, ch long, ranges binary"
+#: Kinds of one anchor that are indexed together; more are dealt anew, by longer and longer strings of their windows.
+MOST = 1024
 RANGES = "did long, rk long, ranges binary"
-NAMES = [c.split()[0] for c in CONTENT.split(", ")]
-KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.binary())
+#: Keys with more than a 2000th of all places, at most 2000 keys, are salted.
+HOT = 2000
 
 
 def symbols_of(unit: str, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,10 +86,11 @@ def occurrences(docs: DataFrame, unit: str, length: int, k: int) -> DataFrame:
                     new[1:] = (row[1:] != row[:-1]) | (mh[1:] != mh[:-1]) | (ch[1:] != ch[:-1])
                     at = np.flatnonzero(new)
                     ends = np.concatenate([at, [len(row)]])
+                    first, last = (pa.array(start[i].astype(np.int64)) for i in (at, ends[1:] - 1))
                     starts = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((8 * ends).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(start.astype(np.int64)))])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(did[lo + row[at]]), pa.array(rk[lo + row[at]]), starts, pa.array(np.diff(ends).astype(np.int32)), pa.array(many[at].astype(np.int32)), pa.array(mh[at].view(np.int64)), pa.array(ch[at].view(np.int64))],
-                        names=["did", "rk", "starts", "times", "n_windows", "mh", "ch"],
+                        [pa.array(did[lo + row[at]]), pa.array(rk[lo + row[at]]), starts, pa.array(np.diff(ends).astype(np.int32)), first, last, pa.array(many[at].astype(np.int32)), pa.array(mh[at].view(np.int64)), pa.array(ch[at].view(np.int64))],
+                        names=[c.split()[0] for c in OCCURRENCE.split(", ")],
                     )
 
     return docs.mapInArrow(run, OCCURRENCE)
@@ -132,14 +137,13 @@ def ranges_of(lists: list | None) -> np.ndarray:
 
 
 def redealt(unit: str, length: int, k: int, room: int) -> Callable:
-    """Cuts segments into pieces of at most `room` windows, by the windows' distance from the anchor, and deals each piece
-    by the string that all windows of such distances share: windows that are equal stay together. Adds ch, the hash of
-    the piece."""
+    """Cuts kinds into pieces of at most `room` windows, by the windows' distance from the anchor, and deals each piece by
+    the string that all windows of such distances share: windows that are equal stay together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = np.uint8 if unit == "byte" else np.uint64
         for batch in batches:
-            cols: list[list] = [[] for _ in (*KINDS, 0)]
+            out = []
             for r in batch.to_pylist():
                 symbols, m = np.frombuffer(r["symbols"], kind), r["n_windows"]
                 roll = ta.Rolling(ta.byte_symbols(symbols) if unit == "byte" else symbols)
@@ -151,76 +155,30 @@ def redealt(unit: str, length: int, k: int, room: int) -> Callable:
                     first, last = max(0, a - j * room - room + 1), min(m - 1, a - j * room)
                     shared, own = roll.of(np.array([a - j * room, first]), np.array([a - j * room - room + 1 + length, last + length]))
                     key = ta.mix(np.array([shared, own], np.uint64) + np.uint64((j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.int64)
-                    values = (int(key[0]), r["did"], r["rk"], r["start"] + first, last - first + 1, r["unsettled"], a - first, symbols[first : last + length].tobytes(), int(key[1]))
-                    for c, v in zip(cols, values, strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*KINDS, pa.int64()), strict=True)], names=[*NAMES, "ch"])
+                    out.append((int(key[0]), int(key[1]), last - first + 1, r["report"], a - first, symbols[first : last + length].tobytes(), r["mh"], r["ch"], first))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=[c.split()[0] for c in PIECE.split(", ")])
 
     return run
 
 
-def split_hot(spark: SparkSession, content: DataFrame, unit: str, length: int, k: int, most: int) -> tuple[DataFrame, DataFrame | None]:
-    """Content in which no key has more than `most` segments, and packed-to-be ranges (did, rk, start, n_windows) that are
-    settled on the way. With one window a piece, equal keys are equal windows, so nothing is left to index."""
-    settled = None
-    room = length // 6 + 1
-    while True:
-        hot = content.groupBy("mh").agg(F.count("*").alias("n_")).where(F.col("n_") > most).select("mh")
-        hot = written(spark, hot)
-        if hot.isEmpty():
-            return content, settled
-        pieces = written(spark, content.join(hot, "mh", "left_semi").mapInArrow(redealt(unit, length, k, room), CONTENT + ", ch long"))
-        twins = pieces.groupBy("mh", "ch").agg(F.count("*").alias("twins"), F.min(F.struct("did", "rk", "start")).alias("first"))
-        twins = written(spark, twins)
-        groups = twins.groupBy("mh").agg(F.sum("twins").alias("all"), F.count("*").alias("kinds")).where(F.col("all") > 1)
-        known = pieces.join(twins.join(groups, "mh"), ["mh", "ch"])
-        known = written(spark, known)
-        done = known.where("twins > 1 and unsettled").select("did", "rk", "start", "n_windows")
-        settled = done if settled is None else settled.unionByName(done)
-        left = known.where("kinds > 1 and first = struct(did, rk, start)") if room > 1 else known.limit(0)
-        left = left.withColumn("unsettled", F.col("unsettled") & (F.col("twins") == 1)).select(*NAMES)
-        content = written(spark, content.join(hot, "mh", "left_anti").select(*NAMES).unionByName(left))
-        room = max(1, room // 4)
-
+def with_verdicts(places: DataFrame, by: str, verdicts: DataFrame, sizes: DataFrame, hot: int | None) -> DataFrame:
+    """places joined with verdicts by (mh, ch). sizes: places `t` of each key; keys with many are dealt by `by` as well."""
+    total = sizes.agg(F.coalesce(F.sum("t"), F.lit(0))).first()[0]  # one number
+    limit = max(1, total // HOT if hot is None else hot)
+    heavy = sizes.where(F.col("t") > limit).select("mh", "ch", F.ceil(F.col("t") / limit).cast("int").alias("salts"))
+    heavy = F.broadcast(heavy) if total // limit <= HOT else heavy  # fewer than total / limit keys
+    salts = F.coalesce("salts", F.lit(1))
+    places = places.join(heavy, ["mh", "ch"], "left").withColumn("salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("salts")
+    verdicts = verdicts.join(heavy, ["mh", "ch"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return places.join(verdicts, ["mh", "ch", "salt"])
 
-def repeated(
-    spark: SparkSession, docs: DataFrame, unit: str, length: int, k: int, index: Callable[[np.ndarray, np.ndarray, int], list[np.ndarray]], shard: int, most: int = MOST
-) -> tuple[DataFrame, DataFrame]:
-    """Ranges of repeated windows by document (did, rk, list of packed ranges), and the documents packed, by key.
 
-    index(symbols, offsets, length) gets the segments of a shard, whole anchors together, and says for each of its
-    windows (all starts in all segments, in order) whether it occurs twice or more in the shard. shard: symbols that a
-    shard holds, unless one anchor has more.
-    """
-    keyed = docs.select(*row_key(docs, "doc_id", "text"), "doc_id", "text")
-    by_anchor, by_content = Window.partitionBy("mh"), Window.partitionBy("mh", "ch")
-    some = occurrences(keyed.select("did", "rk", "text"), unit, length, k)
-    some = some.withColumn("n", F.sum("times").over(by_anchor)).where("n > 1")
-    some = some.withColumn("twins", F.sum("times").over(by_content)).withColumn("r", F.row_number().over(by_content.orderBy("did", "rk", "starts")))
-    some = some.withColumn("alone", F.max((F.col("twins") == 1).cast("int")).over(by_anchor))
-    some = written(spark, some.select("did", "rk", "starts", "n_windows", "mh", (F.col("twins") > 1).alias("settled"), ((F.col("r") == 1) & (F.col("alone") == 1)).alias("fetch")))
-    texts = packed(keyed)
+def searched(index: Callable[[np.ndarray, np.ndarray, int], np.ndarray], unit: str, length: int, shard: int) -> Callable:
+    """Partitions hold whole anchors, sorted; shards are cut between anchors. Of each kind that the index is to answer for,
+    the ranges that its repeated windows cover, from the kind's start."""
 
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The symbols of the segments asked for, document by document."""
-        for batch in batches:
-            did, rk = (batch.column(c).to_pylist() for c in ("did", "rk"))
-            for i, (raw, asked) in enumerate(zip(unpacked(batch.column("text")), batch.column("asked").to_pylist(), strict=True)):
-                data = np.frombuffer(raw, np.uint8)
-                symbols = data if unit == "byte" else symbols_of(unit, data, np.array([0, len(data)]))[0]
-                cols: list[list] = [[], [], [], [], [], [], [], []]
-                for a in asked:
-                    s, m = int.from_bytes(a["starts"][:8], "little"), a["n_windows"]
-                    for c, v in zip(cols, (a["mh"], did[i], rk[i], s, m, not a["settled"], -1, symbols[s : s + m + length - 1].tobytes()), strict=True):
-                        c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, KINDS, strict=True)], names=NAMES)
-
-    asked = some.where("fetch").groupBy("did", "rk").agg(F.collect_list(F.struct("starts", "n_windows", "mh", "settled")).alias("asked"))
-    content = written(spark, texts.drop("doc_id").join(asked, ["did", "rk"]).mapInArrow(fetch, CONTENT))
-    content, more = split_hot(spark, content, unit, length, k, most)
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Partitions hold whole anchors, sorted; shards are cut between anchors."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = np.uint8 if unit == "byte" else np.uint64
         rows: list[dict] = []
         size = 0
@@ -229,17 +187,16 @@ def repeated(
             parts = [np.frombuffer(r["symbols"], kind) for r in rows]
             off = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
             twice = index(np.concatenate(parts), off, length)
-            at, did, rk, out = 0, [], [], []
+            at, out = 0, []
             for r in rows:
                 hit = np.flatnonzero(twice[at : at + r["n_windows"]])
                 at += r["n_windows"]
-                if r["unsettled"] and len(hit):
-                    s = r["start"] + hit
-                    did.append(r["did"])
-                    rk.append(r["rk"])
+                if r["report"] and len(hit):
                     edge = np.flatnonzero(np.diff(hit) > 1)
-                    out.append(np.stack([s[np.concatenate([[0], edge + 1])], s[np.concatenate([edge, [len(s) - 1]])] + length], axis=1).astype(np.int64).tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(did, pa.int64()), pa.array(rk, pa.int64()), pa.array(out, pa.binary())], names=["did", "rk", "ranges"])
+                    both = np.stack([hit[np.concatenate([[0], edge + 1])], hit[np.concatenate([edge, [len(hit) - 1]])] + length], axis=1)
+                    out.append((r["mh"], r["ch"], both.astype(np.int64).tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["mh", "ch", "ranges"])
 
         last = None
         for batch in batches:
@@ -253,21 +210,87 @@ def repeated(
         if rows:
             yield flush()
 
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return run
+
+
+def shift(starts: str) -> Callable:
+    """Adds the place (or packed places) in column `starts` to each row's ranges: all ranges of all places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if "starts" in batch.schema.names:
-                starts, off = ta.buffers(batch.column("starts"))
-                start = np.frombuffer(starts.tobytes(), np.int64)
-            else:
-                start = batch.column("start").to_numpy()
-                off = 8 * np.arange(len(start) + 1)
-            size = np.repeat(batch.column("n_windows").to_numpy(), np.diff(off) // 8) + length - 1
-            both = np.ascontiguousarray(np.stack([start, start + size], axis=1).astype(np.int64))
-            raw = pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer((2 * off).astype(np.int32)), pa.py_buffer(both)])
-            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("rk"), raw], names=["did", "rk", "ranges"])
-
-    exact = content.repartition("mh").sortWithinPartitions("mh").mapInArrow(search, RANGES)
-    settled = some.where("settled").select("did", "rk", "starts", "n_windows").mapInArrow(settle, RANGES)
-    if more is not None:
-        settled = settled.unionByName(more.mapInArrow(settle, RANGES))
-    return grouped(exact.unionByName(settled)), texts
+            out = []
+            for places, ranges in zip(batch.column(starts).to_pylist(), batch.column("ranges").to_pylist(), strict=True):
+                at = np.frombuffer(places, np.int64) if isinstance(places, bytes) else np.array([places])
+                out.append((at[:, None] + np.frombuffer(ranges, np.int64)[None, :]).tobytes())
+            kept = [c for c in batch.schema.names if c not in (starts, "ranges")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.binary())], names=[*kept, "ranges"])
+
+    return run
+
+
+def shifted(df: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and ranges of df (keys, starts, ranges)."""
+    return df.select(*keys, "starts", "ranges").mapInArrow(shift("starts"), ", ".join([*(f"{c} long" for c in keys), "ranges binary"]))
+
+
+def verdicts_of(spark: SparkSession, content: DataFrame, unit: str, length: int, k: int, index: Callable, shard: int, most: int, hot: int | None, room: int) -> DataFrame:
+    """What the index says of each kind of content. No shard has more than `most` kinds of one anchor: kinds of anchors with
+    more are cut into pieces, equal pieces are one kind again with a place and a witness, and so on; what is said of pieces
+    goes back to what they were cut from. With one window a piece, a key has one kind."""
+    many = written(spark, content.groupBy("mh").agg(F.count("*").alias("n_")).where(F.col("n_") > 2 * most).select("mh"))
+    search = searched(index, unit, length, shard)
+    if not room or many.isEmpty():
+        return content.repartition("mh").sortWithinPartitions("mh").mapInArrow(search, VERDICT)
+    cool = content.join(bounded(many), "mh", "left_anti").repartition("mh").sortWithinPartitions("mh").mapInArrow(search, VERDICT)
+    pieces = written(spark, content.join(bounded(many), "mh", "left_semi").mapInArrow(redealt(unit, length, k, room), PIECE))
+    place = F.struct("pmh", "pch", "off", "report", "n_windows", "anchor", "symbols")
+    kinds = written(spark, pieces.groupBy("mh", "ch").agg(F.count("*").alias("t"), F.min(place).alias("a"), F.max(place).alias("b")))
+    two = F.explode(F.when(F.col("t") > 1, F.array(F.struct(F.lit(True).alias("report"), F.col("a").alias("of")), F.struct(F.lit(False).alias("report"), F.col("b").alias("of")))).otherwise(F.array(F.struct(F.lit(True).alias("report"), F.col("a").alias("of")))))
+    smaller = kinds.select("mh", "ch", two.alias("x")).select("mh", "ch", "x.of.n_windows", "x.report", "x.of.anchor", "x.of.symbols")
+    said = verdicts_of(spark, written(spark, smaller), unit, length, k, index, shard, most, hot, 0 if room == 1 else max(1, room // 4))
+    asked = pieces.where("report").select("mh", "ch", "pmh", "pch", "off")
+    back = with_verdicts(asked, "pch", written(spark, said), kinds.select("mh", "ch", "t"), hot)
+    back = shifted(back.select(F.col("pmh").alias("mh"), F.col("pch").alias("ch"), F.col("off").cast("long").alias("starts"), "ranges"), ["mh", "ch"])
+    return cool.unionByName(back)
+
+
+def repeated(
+    spark: SparkSession, docs: DataFrame, unit: str, length: int, k: int, index: Callable[[np.ndarray, np.ndarray, int], np.ndarray], shard: int, most: int = MOST, hot: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Ranges of repeated windows by document (did, rk, list of packed ranges), and the documents packed, by key.
+
+    index(symbols, offsets, length) gets the kinds of a shard, whole anchors together, and says for each of its windows (all
+    starts in all segments, in order) whether it occurs twice or more in the shard. shard: symbols that a shard holds,
+    unless one anchor has more. hot: places of one key beyond which it is salted (default: a 2000th of all).
+    """
+    keyed = docs.select(*row_key(docs, "doc_id", "text"), "doc_id", "text")
+    places = occurrences(keyed.select("did", "rk", "text"), unit, length, k)
+    # counted within tasks first: neither a kind nor an anchor that very many documents hold is gathered anywhere
+    one, other = (f(F.struct("did", "rk", F.col(at).alias("start"))) for f, at in ((F.min, "first"), (F.max, "last")))
+    kinds = places.groupBy("mh", "ch").agg(F.sum("times").alias("t"), F.first("n_windows").alias("n_windows"), one.alias("a"), other.alias("b"))
+    kinds = kinds.withColumn("b", F.when(F.col("t") > 1, F.col("b")))
+    anchors = kinds.groupBy("mh").agg(F.sum("t").alias("n_")).where(F.col("n_") > 1).select("mh")
+    live = written(spark, kinds.join(anchors, "mh", "left_semi"))
+    texts = packed(keyed)
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The symbols of the places asked for, document by document."""
+        for batch in batches:
+            for raw, asked in zip(unpacked(batch.column("text")), batch.column("asked").to_pylist(), strict=True):
+                data = np.frombuffer(raw, np.uint8)
+                symbols = data if unit == "byte" else symbols_of(unit, data, np.array([0, len(data)]))[0]
+                cols: list[list] = [[], [], [], [], [], []]
+                for a in asked:
+                    s, m = a["start"], a["n_windows"]
+                    for c, v in zip(cols, (a["mh"], a["ch"], m, a["report"], -1, symbols[s : s + m + length - 1].tobytes()), strict=True):
+                        c.append(v)
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in CONTENT.split(", ")])
+
+    two = F.explode(F.array(F.struct(F.lit(True).alias("report"), F.col("a").alias("at")), F.struct(F.lit(False).alias("report"), F.col("b").alias("at"))))
+    asked = live.select("mh", "ch", "n_windows", two.alias("x")).where("x.at is not null").select("mh", "ch", "n_windows", "x.report", "x.at.*")
+    asked = asked.groupBy("did", "rk").agg(F.collect_list(F.struct("start", "n_windows", "mh", "ch", "report")).alias("asked"))
+    content = written(spark, texts.drop("doc_id").join(asked, ["did", "rk"]).mapInArrow(fetch, CONTENT))
+    said = written(spark, verdicts_of(spark, content, unit, length, k, index, shard, most, hot, length // 6 + 1))
+    found = with_verdicts(places.select("mh", "ch", "did", "rk", "starts"), "did", said, live.select("mh", "ch", "t"), hot)
+    return grouped(shifted(found, ["did", "rk"])), texts

@@ -41,7 +41,11 @@ def load(path: str) -> list[tuple[str, float, str]]:
     n = model.normalizer_spec
     if n.precompiled_charsmap or n.remove_extra_whitespaces or not n.add_dummy_prefix or not n.escape_whitespaces:
         raise ValueError(f"{path}: only models without normalisation, with a space in front, are supported")
-    return [(p.piece, p.score, {1: "normal", 4: "normal", 6: "byte"}.get(p.type, "other")) for p in model.pieces]
+    pieces = [(p.piece, p.score, {1: "normal", 4: "normal", 6: "byte"}.get(p.type, "other")) for p in model.pieces]
+    crossing = [t for t, _, kind in pieces if kind == "normal" and SPACE in t.lstrip(SPACE)]
+    if crossing:
+        raise ValueError(f"{path}: pieces with a space after another character are not supported, as {crossing[0]!r}")
+    return pieces
 
 
 class Codec:
@@ -146,8 +150,7 @@ class Codec:
         begin[at] = True
         start = np.flatnonzero(begin)
         end = np.concatenate([start[1:], [len(text)]])
-        key = ta.word_hashes(text, start, end)
-        _, one, which = np.unique(key, return_index=True, return_inverse=True)
+        _, one, which = np.unique(ta.exact_ids(text, start, end), return_index=True, return_inverse=True)
         raw = text.tobytes()
         found = [self.chunk(raw[a:b]) for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)]
         size = np.array([len(x) // 4 for x in found])
@@ -171,17 +174,16 @@ class Codec:
         return data[keep], upto - np.searchsorted(front, upto, side="left")
 
 
-_codecs: dict[int, Codec] = {}
+_codecs: dict[tuple, Codec] = {}
 
 
 def _codec(shared) -> Codec:
     """One codec a worker and vocabulary: it is built and its cache filled once."""
-    pieces = shared.value
-    key = hash((len(pieces), pieces[0][0], pieces[-1][0], pieces[-1][1]))
-    if key not in _codecs:
+    pieces = tuple(shared.value)
+    if pieces not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(pieces)
-    return _codecs[key]
+        _codecs[pieces] = Codec(list(pieces))
+    return _codecs[pieces]
 
 
 def encode(spark: SparkSession, docs: DataFrame, model: str = MODEL, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

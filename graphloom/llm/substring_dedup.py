@@ -1,9 +1,10 @@
 """Substring dedup: words (an FM-index per shard) or bytes (difference-cover suffix sorting per shard).
 
 Both find windows that occur twice or more anywhere in the corpus, themselves overlapping ones included, judged on the
-input, and take out all they cover. `segments.repeated` deals segments of the texts to shards by content, so a shard
-holds every occurrence of each of its windows; each shard is then indexed and searched exactly. Keys with more than
-`most` segments are dealt anew by longer strings (`segments.split_hot`), so no shard grows with the corpus.
+input, and take out all they cover. `segments.repeated` deals the kinds of segments to shards by content, so a shard
+holds two occurrences of each of its windows that repeat; each shard is then indexed and searched exactly, and only what
+is found there is taken out. Keys with more than `most` kinds are dealt anew by longer strings (`segments.verdicts_of`),
+so no shard grows with the corpus.
 
 Null texts count as empty. Rows that are equal in id and text are copies of one another like any others. Empty tables
 give empty results. Columns beyond doc_id and text are ignored.
@@ -27,13 +28,13 @@ def _without(text: bytes, ranges: np.ndarray) -> list[bytes]:
     return [text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def dedup_word_windows(spark: SparkSession, docs: DataFrame, window: int = 35, gram: int = 8, shard: int = 1 << 19, texts: bool = False, most: int = MOST) -> DataFrame:
+def dedup_word_windows(spark: SparkSession, docs: DataFrame, window: int = 35, gram: int = 8, shard: int = 1 << 19, texts: bool = False, most: int = MOST, hot: int | None = None) -> DataFrame:
     """Takes out each word in a window of so many words that also starts elsewhere; kept words are joined by a space.
 
     Words are [^\\x20\\x09-\\x0D]+, unchanged. Gives doc_id, n_words, n_removed, kept_sha256, removed (merged word ranges,
     end exclusive), and with texts=True the kept text. gram: words of an anchor; shard: words of one index.
     """
-    ranges, packed = repeated(spark, docs, "word", window, gram, repeats_by_index, shard, most)
+    ranges, packed = repeated(spark, docs, "word", window, gram, repeats_by_index, shard, most, hot)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -53,13 +54,13 @@ def dedup_word_windows(spark: SparkSession, docs: DataFrame, window: int = 35, g
     return packed.join(ranges, ["did", "rk"], "left").select("doc_id", "text", "ranges").mapInArrow(finish, kinds)
 
 
-def dedup_byte_strings(spark: SparkSession, docs: DataFrame, length: int = 200, gram: int = 32, shard: int = 1 << 19, texts: bool = False, most: int = MOST) -> DataFrame:
+def dedup_byte_strings(spark: SparkSession, docs: DataFrame, length: int = 200, gram: int = 32, shard: int = 1 << 19, texts: bool = False, most: int = MOST, hot: int | None = None) -> DataFrame:
     """Takes out each byte in a string of so many bytes that also starts elsewhere.
 
     Gives doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (byte ranges, end exclusive), and with texts=True the
     kept bytes (they need not be UTF-8: a cut may fall inside a character).
     """
-    ranges, packed = repeated(spark, docs, "byte", length, gram, repeats_by_suffixes, shard, most)
+    ranges, packed = repeated(spark, docs, "byte", length, gram, repeats_by_suffixes, shard, most, hot)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

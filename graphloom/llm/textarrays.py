@@ -11,21 +11,34 @@ from graphloom.llm.common import WHITE
 
 U64 = np.uint64
 SLICE = 1 << 20
-_P = 0x9E3779B97F4A7C15 | 1
-_P_INV = pow(_P, -1, 1 << 64)
+#: Strings are hashed by two polynomials modulo a Mersenne prime, with bases of their own.
+_PRIME = U64((1 << 31) - 1)
+_BASES = (1_284_865_837, 748_932_582)
 _TABLE = np.random.default_rng(20240607).integers(0, 1 << 64, 256, dtype=U64)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and P**-i modulo 2**64 for i < n."""
-    have = _powers.get(0)
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, not yet the least residue."""
+    return (x & _PRIME) + (x >> U64(31))
+
+
+def _residue(x: np.ndarray) -> np.ndarray:
+    x = _fold(_fold(x))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """B**i and B**-i modulo the prime for i < n, B the base of that number."""
+    have = _powers.get(which)
     if have is None or len(have[0]) < n:
-        n = max(n, 1 << 16)
-        up = np.full(n, U64(_P), dtype=U64)
-        down = np.full(n, U64(_P_INV), dtype=U64)
-        up[0] = down[0] = 1
-        have = _powers[0] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
+        out = []
+        for base in (_BASES[which], pow(_BASES[which], -1, int(_PRIME))):
+            p = np.ones(1, U64)
+            while len(p) < max(n, 1 << 16):
+                p = np.concatenate([p, _residue(p * U64(pow(base, len(p), int(_PRIME))))])
+            out.append(p)
+        have = _powers[which] = (out[0], out[1])
     return have[0][:n], have[1][:n]
 
 
@@ -40,23 +53,34 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any run of symbols in O(1), from prefix sums of symbol * P**i."""
+    """Hashes of any run of symbols in O(1), from prefix sums of symbol * B**i: 62 bits, 31 for each base.
+
+    Different strings of n symbols share a hash with probability (n / 2**31)**2, whatever the strings are.
+    """
 
     def __init__(self, symbols: np.ndarray):
         n = len(symbols)
-        up, self.down = powers(n + 1)
-        self.sums = np.zeros(n + 1, dtype=U64)
-        np.cumsum(symbols * up[:n], out=self.sums[1:])
+        self.sums, self.down = [], []
+        for which, part in enumerate((symbols & _PRIME, symbols >> U64(33))):
+            up, down = powers(which, n + 1)
+            sums = np.zeros(n + 1, dtype=U64)
+            np.cumsum(_fold(part * up[:n]), out=sums[1:])
+            self.sums.append(sums)
+            self.down.append(down)
+
+    def _join(self, sums: list[np.ndarray], down: list[np.ndarray]) -> np.ndarray:
+        one, two = (_residue(_fold(_fold(s)) * d) for s, d in zip(sums, down, strict=True))
+        return (one << U64(32)) | two
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.down[start]
+        return self._join([s[end] - s[start] for s in self.sums], [d[start] for d in self.down])
 
     def grams(self, k: int) -> np.ndarray:
         """Of the k symbols from each position on."""
-        n = len(self.sums) - 1
+        n = len(self.sums[0]) - 1
         if n < k:
             return np.zeros(0, dtype=U64)
-        return (self.sums[k:] - self.sums[: n - k + 1]) * self.down[: n - k + 1]
+        return self._join([s[k:] - s[: n - k + 1] for s in self.sums], [d[: n - k + 1] for d in self.down])
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -107,6 +131,38 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix(Rolling(_TABLE[data]).of(start, end) + (end - start).astype(U64))
 
 
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the size[i] bytes from a[i] on equal those from b[i] on."""
+    out = np.ones(len(a), bool)
+    long_ = size > 1 << 14
+    for i in np.flatnonzero(long_).tolist():
+        out[i] = np.array_equal(data[a[i] : a[i] + size[i]], data[b[i] : b[i] + size[i]])
+    short = np.flatnonzero(~long_ & (size > 0))
+    upto = np.cumsum(size[short])
+    for lo, hi in zip(cuts := [0, *np.searchsorted(upto, np.arange(SLICE, upto[-1], SLICE) if len(upto) else []).tolist()], [*cuts[1:], len(short)], strict=True):
+        part = short[lo:hi]
+        if len(part):
+            same = data[ragged(a[part], size[part])] == data[ragged(b[part], size[part])]
+            out[part] = np.logical_and.reduceat(same, np.concatenate([[0], np.cumsum(size[part])[:-1]]))
+    return out
+
+
+def exact_ids(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for each string data[start:end], the same for equal strings alone: hashes propose, bytes decide."""
+    _, one, which = np.unique(word_hashes(data, start, end), return_index=True, return_inverse=True)
+    rep, size = one[which], end - start
+    rest = np.flatnonzero((rep != np.arange(len(start))) & (size == size[rep]))
+    if len(rest) + len(one) < len(start) or not same_bytes(data, start[rest], start[rep[rest]], size[rest]).all():
+        known: dict[bytes, int] = {}
+        return np.array([known.setdefault(data[a:b].tobytes(), len(known)) for a, b in zip(start.tolist(), end.tolist(), strict=True)], np.int64)
+    return which
+
+
+def pair_ids(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each pair of small non-negative integers, the same for equal pairs alone."""
+    return np.unique(a.astype(np.int64) * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1]
+
+
 def byte_symbols(data: np.ndarray) -> np.ndarray:
     return _TABLE[data]
 

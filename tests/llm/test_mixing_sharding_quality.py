@@ -164,3 +164,12 @@ def test_expectation_maximisation_finds_the_informative_rule():
 @pytest.mark.parametrize("run", [mixing.mix, sharding.shard, quality.judge])
 def test_empty(spark, none, run):
     assert run(spark, none).collect() == []
+
+
+def test_lines_that_collide_in_plain_rolling_hashes_are_not_duplicates(spark):
+    t = [0]
+    while len(t) < 4096:
+        t += [1 - x for x in t]
+    rows = [(n, "\n".join(["".join("ab"[x] for x in t[:n]), "".join("ba"[x] for x in t[:n])] * (n // 1024))) for n in (1024, 2048, 4096)]
+    got = {r.doc_id: r.n_dup_lines for r in quality.judge(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1024: 0, 2048: 2, 4096: 6}

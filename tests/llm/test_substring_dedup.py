@@ -23,13 +23,13 @@ def brute(rows, length, split):
     return Counter(out)
 
 
-@pytest.mark.parametrize("options", [{"shard": 1}, {}, {"most": 0}, {"most": 3}])
+@pytest.mark.parametrize("options", [{"shard": 1}, {}, {"most": 0, "hot": 2}, {"most": 2, "hot": 1}])
 def test_words(spark, docs, rows, options):
     got = dedup_word_windows(spark, docs, **options).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, len(r.removed), r.kept_sha256) for r in got) == brute(rows, 35, bytes.split)
 
 
-@pytest.mark.parametrize("options", [{"shard": 1}, {}, {"most": 0}, {"most": 3}])
+@pytest.mark.parametrize("options", [{"shard": 1}, {}, {"most": 0, "hot": 2}, {"most": 2, "hot": 1}])
 def test_bytes(spark, docs, rows, options):
     got = dedup_byte_strings(spark, docs, texts=True, **options).collect()
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute(rows, 200, bytes)
@@ -40,6 +40,34 @@ def test_empty(spark, none):
     assert dedup_word_windows(spark, none).collect() == [] == dedup_byte_strings(spark, none).collect()
 
 
+def test_nothing_goes_that_the_index_has_not_found(spark, docs, monkeypatch):
+    from graphloom.llm import substring_dedup
+
+    nothing = lambda symbols, off, length: np.zeros(int(np.maximum(0, np.diff(off) - length + 1).sum()), bool)
+    monkeypatch.setattr(substring_dedup, "repeats_by_index", nothing)
+    monkeypatch.setattr(substring_dedup, "repeats_by_suffixes", nothing)
+    assert dedup_word_windows(spark, docs).where("n_removed > 0").isEmpty()
+    assert dedup_byte_strings(spark, docs).where("n_removed > 0").isEmpty()
+
+
+def thue_morse(n):
+    t = [0]
+    while len(t) < n:
+        t += [1 - x for x in t]
+    return "".join("ab"[x] for x in t[:n]), "".join("ba"[x] for x in t[:n])
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_strings_that_collide_in_plain_rolling_hashes(spark, n):
+    a, b = thue_morse(n)
+    rows = [(0, a), (1, b), (2, " ".join(a)), (3, " ".join(b)), (4, f"{a} " * 40), (5, f"{b} " * 20 + f"{a} " * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = dedup_word_windows(spark, docs).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, len(r.removed), r.kept_sha256) for r in got) == brute(rows, 35, bytes.split)
+    got = dedup_byte_strings(spark, docs).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute(rows, 200, bytes)
+
+
 def test_suffix_array():
     r = np.random.default_rng(3)
     for _ in range(100):
