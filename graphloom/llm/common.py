@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import tempfile
 import uuid
 
 import numpy as np
@@ -22,11 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (local tests)."""
+    """The folder that driver and executors share. Only a session with a local master may leave it unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = f"file://{tempfile.gettempdir()}/graphloom-shared"
     return at.rstrip("/")
 
@@ -70,3 +71,13 @@ BROADCAST_ROWS = 500_000
 
 def bounded(df: DataFrame, width: int = 1) -> DataFrame:
     return F.broadcast(df) if df.count() * width <= BROADCAST_ROWS else df
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with as many underscores behind it as set it apart from df's columns."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        out.append(name)
+    return out

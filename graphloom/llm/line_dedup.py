@@ -1,8 +1,8 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame functions only.
 
 A line goes if an earlier one equals it or is one edit away (a character inserted, deleted or replaced). Lines are what
-\\n parts; earlier means a smaller id (null first), then an earlier place. Lines without a word stay, and lines under
-`min_chars` characters are only compared for equality.
+\\n parts; earlier means a smaller id (null first), then an earlier place. Lines without a word stay. Lines of every length
+are compared: a line of one character goes if there is an earlier one.
 
 Two lines one edit apart share a variant with one character deleted: both at the same place if one was replaced, or one
 line whole if one was inserted. So the lines that share a hashed variant and the place of its deletion are one edit
@@ -19,9 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WORD, row_key, written
+from graphloom.llm.common import WORD, row_key, unused, written
 
-MIN_CHARS, BLOCK = 16, 64
+BLOCK = 64
+#: Lines that more than a 2000th of all places hold, at most 2000 lines, are salted.
+HOT = 2000
 
 
 def _split(docs: DataFrame) -> DataFrame:
@@ -57,7 +59,7 @@ def near_lines(spark: SparkSession, lines: DataFrame, distinct: DataFrame, block
     """h1, h2, len of distinct lines that have an earlier line one edit away. lines: did, rk, pos, line; distinct: h1, h2, len,
     first (did, pos, rk), halves."""
     id_ = ["h1", "h2", "len"]
-    halves = distinct.where(F.col("halves").isNotNull()).select(*id_, F.explode("halves").alias("key"))
+    halves = distinct.select(*id_, F.explode("halves").alias("key"))
     meet = written(spark, _shared(halves, "key", id_).select(*id_).distinct())
     # each line's text comes from its first place only: a line that a third of all documents hold is one row here
     asked = meet.join(distinct.select(*id_, "first"), id_).select(*id_, "first", F.col("first.did").alias("did"), F.col("first.rk").alias("rk"), F.col("first.pos").alias("pos"))
@@ -71,7 +73,8 @@ def near_lines(spark: SparkSession, lines: DataFrame, distinct: DataFrame, block
     before, after = F.col("j") * F.col("b"), F.greatest(F.lit(0), F.col("m") - (F.col("j") + 1) * F.col("b"))
     head, tail = _sub("line", 1, before), _sub("line", F.col("len") - after + 1, after)
     blocks = blocks.select(*id_, "first", "m", F.xxhash64("m", "j", head, F.lit("|"), tail).alias("key"), _sub("line", before + 1, F.col("len") - after - before).alias("mid"))
-    blocks = written(spark, _shared(blocks, "key", id_))
+    # (lines shorter than a block have no other: they have met by a half already)
+    blocks = written(spark, blocks.where(F.col("m") < block).unionByName(_shared(blocks.where(F.col("m") >= block), "key", id_).select(blocks.columns)))
     # the block's variants: the place of the deletion counts where a character was replaced, not where one was inserted
     long_, places = F.col("m") < F.col("len"), F.sequence(F.lit(1), F.length("mid"))
     without = lambda p: F.concat(_sub("mid", 1, p - 1), _sub("mid", p + 1, F.length("mid")))
@@ -95,45 +98,54 @@ def near_lines(spark: SparkSession, lines: DataFrame, distinct: DataFrame, block
     return found.where((F.levenshtein("line", "line_", 1) >= 0) & (F.levenshtein("line", "line_", 1) <= 1)).select(*id_)
 
 
-def removed_lines(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHARS, block: int = BLOCK) -> DataFrame:
-    """did, rk and the places of the lines to remove, for each document that loses any."""
+def removed_lines(spark: SparkSession, docs: DataFrame, block: int = BLOCK, hot: int | None = None) -> DataFrame:
+    """did, rk and the places of the lines to remove, for each document that loses any. hot: places of one line beyond
+    which it is salted (default: a 2000th of all)."""
     id_ = ["h1", "h2", "len"]
     lines = _split(docs)
-    halves = F.when(F.length("line") >= min_chars, _halves(F.col("line"), F.length("line")))
-    hashed = lines.select(*_hash(F.col("line")), "did", "rk", "pos", halves.alias("halves"))
+    hashed = lines.select(*_hash(F.col("line")), "did", "rk", "pos", _halves(F.col("line"), F.length("line")).alias("halves"))
     distinct = hashed.groupBy(*id_).agg(F.min(F.struct("did", "pos", "rk")).alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves"))
     distinct = written(spark, distinct)
     near = near_lines(spark, lines, distinct, block).withColumn("near", F.lit(True))
-    gone = distinct.join(near, id_, "left").where("n > 1 or near").select(*id_, "first", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = lines.select(*_hash(F.col("line")), "did", "rk", "pos").join(gone, id_).where(F.col("near") | (F.struct("did", "pos", "rk") != F.col("first")))
+    gone = distinct.join(near, id_, "left").where("n > 1 or near").select(*id_, "first", "n", F.coalesce("near", F.lit(False)).alias("near"))
+    total = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # one number
+    limit = max(1, total // HOT if hot is None else hot)
+    heavy = distinct.where(F.col("n") > limit).select(*id_, F.ceil(F.col("n") / limit).cast("int").alias("salts"))
+    heavy = F.broadcast(heavy) if total // limit <= HOT else heavy  # fewer than total / limit lines
+    salts = F.coalesce("salts", F.lit(1))
+    gone = gone.join(heavy, id_, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts", "n")
+    places = lines.select(*_hash(F.col("line")), "did", "rk", "pos").join(heavy, id_, "left").withColumn("salt", F.pmod(F.xxhash64("did", "rk", "pos"), salts).cast("int")).drop("salts")
+    gone = places.join(gone, [*id_, "salt"]).where(F.col("near") | (F.struct("did", "pos", "rk") != F.col("first")))
     return written(spark, gone.groupBy("did", "rk").agg(F.collect_set("pos").alias("gone")))
 
 
-def drop_lines(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHARS, block: int = BLOCK, counts: bool = True) -> DataFrame:
+def drop_lines(spark: SparkSession, docs: DataFrame, block: int = BLOCK, counts: bool = True, hot: int | None = None) -> DataFrame:
     """docs with the text of what is left of each, and with counts=True n_lines, n_removed.
 
     Documents stay, if need be with an empty text. n_chars, where there is one, follows a text that changes.
     """
-    gone = removed_lines(spark, docs, min_chars, block).withColumnsRenamed({"did": "did_", "rk": "rk_", "gone": "gone_"})
+    own = dict(zip(names := ("did", "rk", "gone", "left"), unused(docs, *names), strict=True))
+    gone = removed_lines(spark, docs, block, hot).withColumnsRenamed({c: own[c] for c in ("did", "rk", "gone")})
     did, rk = row_key(docs, "doc_id", "text")
-    out = docs.join(gone.hint("merge"), (did == F.col("did_")) & (rk == F.col("rk_")), "left")
-    lines, whole = F.split("text", "\n", -1), F.col("gone_").isNull()
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone_"))
-    text = F.when(whole, F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: lines[i]), "\n"))
-    out = out.withColumn("left_", text)
-    new = {"text": F.col("left_"), "n_chars": F.when(whole, F.col("n_chars")).otherwise(F.char_length("left_").cast("long"))} if "n_chars" in docs.columns else {"text": F.col("left_")}
+    out = docs.join(gone.hint("merge"), (did == F.col(own["did"])) & (rk == F.col(own["rk"])), "left")
+    lines, places, whole = F.split("text", "\n", -1), F.col(own["gone"]), F.col(own["gone"]).isNull()
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places)
+    out = out.withColumn(own["left"], F.when(whole, F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: lines[i]), "\n")))
+    new = {"text": F.col(own["left"])}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.char_length(own["left"]).cast("long"))
     n_lines = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(F.size(lines).cast("long"))
-    n_removed = F.when(whole, F.lit(0).cast("long")).otherwise(F.size("gone_").cast("long"))
+    n_removed = F.when(whole, F.lit(0).cast("long")).otherwise(F.size(places).cast("long"))
     return out.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns), *([n_lines.alias("n_lines"), n_removed.alias("n_removed")] if counts else []))
 
 
-def oracle(min_chars: int = MIN_CHARS) -> str:
+def oracle() -> str:
     """doc_id, n_lines, n_removed, kept_sha256 as DuckDB SQL, for distinct ids. (Its levenshtein counts bytes: not used.)"""
     return f"""
 WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
 lines AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM split WHERE text IS NOT NULL),
 firsts AS (SELECT line, length(line) AS n, min((coalesce(doc_id, -9223372036854775808), pos)) AS first FROM lines WHERE regexp_matches(line, '{WORD}') GROUP BY line),
-cuts AS (SELECT line, n, first, unnest([n, n - 1]) AS m FROM firsts WHERE n >= {min_chars}),
+cuts AS (SELECT line, n, first, unnest([n, n - 1]) AS m FROM firsts),
 halves AS (SELECT *, unnest(['p' || left(line, (m // 2)::INT), 's' || right(line, (m // 2)::INT)]) AS half FROM cuts),
 met AS (SELECT DISTINCT a.line AS line, b.line AS other, CASE WHEN a.n > b.n THEN a.line ELSE b.line END AS longer, CASE WHEN a.n > b.n THEN b.line ELSE a.line END AS shorter, a.n, b.n AS k
     FROM halves a JOIN halves b ON a.m = b.m AND a.half = b.half AND b.first < a.first AND a.line <> b.line WHERE abs(a.n - b.n) <= 1),

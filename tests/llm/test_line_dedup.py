@@ -20,7 +20,7 @@ def distance(a, b):
     return row[-1]
 
 
-def brute(rows, min_chars=16):
+def brute(rows):
     order, gone = [], {}
     for doc_id, text in sorted({(d, t) for d, t, *_ in rows if t is not None}, key=lambda x: (x[0] is not None, x[0] or 0)):
         for pos, line in enumerate(text.split("\n")):
@@ -28,7 +28,7 @@ def brute(rows, min_chars=16):
                 continue
             bad = False
             for other in order:
-                if line == other or (min(len(line), len(other)) >= min_chars - 1 and len(line) >= min_chars and len(other) >= min_chars and abs(len(line) - len(other)) <= 1 and distance(line, other) <= 1):
+                if line == other or (abs(len(line) - len(other)) <= 1 and distance(line, other) <= 1):
                     bad = True
                     break
             order.append(line)
@@ -53,7 +53,7 @@ def edited(r, line):
 @pytest.fixture(scope="module")
 def line_rows():
     r = random.Random(5)
-    base = ["".join(r.choice("abcdé ") for _ in range(r.choice([3, 15, 16, 17, 40, 64, 65, 130]))) for _ in range(25)]
+    base = ["".join(r.choice("abcdé ") for _ in range(r.choice([1, 2, 3, 7, 15, 16, 17, 40, 63, 64, 65, 130]))) for _ in range(25)]
     rows = []
     for i in range(60):
         lines = [r.choice(base) for _ in range(r.randint(0, 5))]
@@ -65,8 +65,23 @@ def line_rows():
 
 def test_against_brute_force(spark, line_rows):
     docs = spark.createDataFrame(line_rows, KINDS).repartition(3)
-    for block in (8, 64):
-        assert digest(line_dedup.drop_lines(spark, docs, block=block)) == brute(line_rows)
+    for block, hot in ((8, 1), (64, None)):
+        assert digest(line_dedup.drop_lines(spark, docs, block=block, hot=hot)) == brute(line_rows)
+
+
+def test_short_lines(spark):
+    rows = [(1, "Copyright 2021\na\nab\nxyz\nlines of twelve", ""), (2, "Copyright 2022\nb\nb\nwxyz\nxz\nq r s\nlines of eleven", ""), (3, "Copyright 2023!\nabcd\nqrs", "")]
+    got = line_dedup.drop_lines(spark, spark.createDataFrame(rows, KINDS))
+    assert digest(got) == brute(rows)
+    assert [r.n_removed for r in got.orderBy("doc_id").collect()] == [1, 5, 0]
+
+
+def test_clashing_names(spark):
+    rows = [(1, "one line\nanother", 1, 2, 3, 4, 5), (2, "one line\nthird", 6, 7, 8, 9, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, did int, rk int, gone int, left int, h1 int")
+    got = line_dedup.drop_lines(spark, docs, counts=False)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect())) == [rows[0], (2, "third", *rows[1][2:])]
 
 
 def test_corpus_and_sql(spark, docs, line_rows):
