@@ -1,9 +1,11 @@
 """Sharding by a hierarchical weighted hash tree: regions hold racks, racks hold shards.
 
-Every shard draws -ln(u) / weight from the hash of the row's id and the shard's path; a rack's draw is the least of its
-shards', a region's the least of its racks', so a node wins in proportion to the weights below it. A row descends to the
-least draw at each level. A shard that is added, or a weight that grows, changes draws only on its own path: rows move
-into that shard and nowhere else, and a weight that falls lets rows go from that shard alone.
+A row descends from the root. At each level every child of the node it has reached draws -ln(u) / weight, u from the hash
+of the row's id and the child's path, weight the sum of all shards' below it; the least draw wins, so a node is entered in
+proportion to what it weighs. Only children of nodes on the row's own path draw: with thousands of shards a row computes
+a few draws a level. Draws fall as weights grow, so a change moves rows only into or out of nodes whose weights change:
+a shard that is added to a rack may bring rows into its region and rack, and there to its siblings, but moves none
+between other regions, nor between other racks of its own. A shard that opens a region takes rows only into itself.
 
 Null ids draw as one value of their own. Null texts have no bytes. Rows with equal ids go to one shard; equal rows take
 neighbouring slots in any order. Empty tables give empty results. No columns but doc_id and text are read.
@@ -20,51 +22,54 @@ from pyspark.sql.window import Window
 from graphloom.llm.common import written
 
 RACK, REGION = 2, 4
-BLOCKS = 256
+#: Rows that one task numbers, about.
+ROWS = 1 << 17
 
 
-def draw(key: Column, path: str, weight: float) -> Column:
-    """An exponential draw of the given rate."""
-    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(path)), 11).cast("double") + 0.5) / float(1 << 53)
-    return -F.ln(u) / F.lit(float(weight))
+def tree(weights: Sequence[float], rack: int = RACK, region: int = REGION) -> list[dict[int, list[tuple[int, str, float]]]]:
+    """By level from the root, each node's children as (number, path, weight of all shards below); none weighs 0."""
+    levels: list[dict[int, list[tuple[int, str, float]]]] = []
+    for part, above, path in ((region, None, lambda s: f"region {s // region}"), (rack, region, lambda s: f"region {s // region}/rack {s // rack}"), (1, rack, lambda s: f"region {s // region}/rack {s // rack}/shard {s}")):
+        nodes: dict[int, list[tuple[int, str, float]]] = {}
+        for child in range(0, -(-len(weights) // part)):
+            weight = float(sum(weights[child * part : (child + 1) * part]))
+            if weight > 0:
+                nodes.setdefault(child * part // above if above else 0, []).append((child, path(child * part), weight))
+        levels.append(nodes)
+    return levels
 
 
 def descend(key: Column, weights: Sequence[float], rack: int = RACK, region: int = REGION) -> Column:
     """The shard of a row among shards with these weights; a shard of weight 0 gets nothing."""
-    tree: dict[int, dict[int, dict[int, Column]]] = {}
-    for s, w in enumerate(weights):
-        if w > 0:
-            tree.setdefault(s // region, {}).setdefault(s // rack, {})[s] = draw(key, f"region {s // region}/rack {s // rack}/shard {s}", w)
+    node = F.lit(0)
+    for nodes in tree(weights, rack, region):
+        below = F.array(*(F.array(*(F.struct(F.lit(c).alias("child"), F.lit(p).alias("path"), F.lit(w).alias("weight")) for c, p, w in nodes.get(n, []))) if n in nodes else F.lit(None) for n in range(max(nodes) + 1)))
 
-    least = lambda draws: F.least(*draws) if len(draws) > 1 else draws[0]
+        def draw(c: Column) -> Column:
+            u = (F.conv(F.substring(F.md5(F.concat(key, F.lit("@"), c["path"])), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+            return F.struct((-F.ln(u) / c["weight"]).alias("draw"), c["child"].alias("child"))
 
-    def pick(options: list[tuple[Column, Column]]) -> Column:
-        best, out = least([d for d, _ in options]), options[-1][1]
-        for d, then in reversed(options[:-1]):
-            out = F.when(d == best, then).otherwise(out)
-        return out
+        node = F.array_min(F.transform(below[node], draw))["child"]
+    return node
 
-    regions = []
-    for racks in tree.values():
-        inner = [(least(list(shards.values())), pick([(d, F.lit(s)) for s, d in shards.items()])) for shards in racks.values()]
-        regions.append((least([d for d, _ in inner]), pick(inner)))
-    return pick(regions)
 
-
-def shard(spark: SparkSession, docs: DataFrame, weights: Sequence[float] = (1.0,) * 8, grown: Sequence[float] | None = None, blocks: int = BLOCKS) -> DataFrame:
+def shard(spark: SparkSession, docs: DataFrame, weights: Sequence[float] = (1.0,) * 8, grown: Sequence[float] | None = None, rows_a_task: int = ROWS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (gapless from 0 within a shard), grown_shard (with the weights `grown`).
 
-    Slots are counted in `blocks` hashed parts of each shard, each after the rows of those before, so no task numbers a
-    whole shard.
+    Slots are counted in hashed parts of each shard of about `rows_a_task` rows, each after the rows of those before, so no
+    task numbers a whole shard.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), key.alias("key"))
     rows = rows.withColumn("shard", descend(F.col("key"), weights)).withColumn("grown_shard", descend(F.col("key"), grown or (*weights, 1.0)))
-    rows = written(spark, rows.withColumn("block", F.pmod(F.xxhash64("key", F.lit("slot")), F.lit(blocks)).cast("int")).drop("key"))
+    rows = written(spark, rows.drop("key"))
+    blocks = rows.count() // (rows_a_task * len(weights)) + 16  # one number
+    # (equal ids may repeat: the text's checksum spreads them too)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(blocks)).cast("int"))
     counts = rows.groupBy("shard", "block").agg(F.count("*").alias("n"))
     upto = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.withColumn("first", F.coalesce(F.sum("n").over(upto), F.lit(0))).drop("n")  # at most shards * blocks rows
+    first = counts.withColumn("first", F.coalesce(F.sum("n").over(upto), F.lit(0))).drop("n")  # a row for each part
     place = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size")) - 1
-    rows = rows.withColumn("place", place).join(F.broadcast(first), ["shard", "block"])
+    rows = rows.withColumn("place", place).join(first, ["shard", "block"])
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("place")).cast("long").alias("slot"), "grown_shard")

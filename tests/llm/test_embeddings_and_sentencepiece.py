@@ -158,9 +158,9 @@ def test_texts_that_collide_in_plain_rolling_hashes_have_their_own_ids(spark):
         t += [1 - x for x in t]
     texts = ["".join(letters[x] for x in t[:n]) for n in (1024, 4096) for letters in ("ab", "ba")]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
-    rows = sentencepiece_codec.encode(spark, docs).collect()
+    rows = sp.encode(spark, docs).collect()
     assert all(r.round_trip for r in rows) and len({tuple(r.ids) for r in rows}) == 4
-    assert [r.text for r in sentencepiece_codec.decode(spark, sentencepiece_codec.encode(spark, docs)).orderBy("doc_id").collect()] == texts
+    assert [r.text for r in sp.decode(spark, sp.encode(spark, docs)).orderBy("doc_id").collect()] == texts
 
 
 def test_a_codec_belongs_to_its_whole_vocabulary():
@@ -169,5 +169,5 @@ def test_a_codec_belongs_to_its_whole_vocabulary():
             self.value = value
 
     one, two = [("a", -1.0, "normal"), ("b", -2.0, "normal"), ("z", -3.0, "normal")], [("a", -1.0, "normal"), ("c", -2.0, "normal"), ("z", -3.0, "normal")]
-    assert sentencepiece_codec._codec(Shared(one)).viterbi("b") == [1]
-    assert sentencepiece_codec._codec(Shared(two)).viterbi("c") == [1]
+    assert sp._codec(Shared(one)).viterbi("b") == [1]
+    assert sp._codec(Shared(two)).viterbi("c") == [1]

@@ -1,5 +1,6 @@
-import math
 import re
+import hashlib
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -125,13 +126,45 @@ def test_shards(spark, docs, rows):
     assert sorted(map(str, got)) == sorted(map(str, sharding.shard(spark, docs.repartition(5)).collect()))
 
 
+def draw(key, path, weight):
+    return -math.log((int(hashlib.md5(f"{key}@{path}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / weight
+
+
+def walked(key, weights):
+    """The shard of a key by walking the tree, regions of four shards, racks of two."""
+    inside = lambda lo, hi: range(lo, min(hi, len(weights)))
+    heavy = lambda shards: sum(weights[s] for s in shards)
+    options = {r: (f"region {r}", heavy(inside(4 * r, 4 * r + 4))) for r in range((len(weights) + 3) // 4)}
+    region = min((draw(key, p, w), r) for r, (p, w) in options.items() if w)[1]
+    options = {k: (f"region {region}/rack {k}", heavy(inside(2 * k, 2 * k + 2))) for k in (2 * region, 2 * region + 1) if 2 * k < len(weights)}
+    rack = min((draw(key, p, w), k) for k, (p, w) in options.items() if w)[1]
+    return min((draw(key, f"region {region}/rack {rack}/shard {s}", weights[s]), s) for s in inside(2 * rack, 2 * rack + 2) if weights[s])[1]
+
+
+def test_shards_by_brute_force(spark, docs, rows):
+    got = Counter((r.doc_id, r.shard, r.grown_shard) for r in sharding.shard(spark, docs).collect())
+    key = lambda d: "null" if d is None else d
+    assert got == Counter((d, walked(key(d), [1.0] * 8), walked(key(d), [1.0] * 9)) for d, *_ in rows)
+    weights = [1, 0, 2.5, 1, 0, 0, 4, 1, 1, 3, 1]
+    keys = spark.range(3000).selectExpr("cast(id as string) key")
+    found = keys.select("key", sharding.descend(keys.key, weights).alias("s")).collect()
+    assert [r.s for r in found] == [walked(r.key, weights) for r in found]
+
+
 def test_tree_moves_rows_only_where_weights_change(spark):
     keys = spark.range(20_000).selectExpr("cast(id as string) key")
     old, new = [1, 2, 1, 1, 3, 1, 1, 2], [1, 2, 1, 1, 3, 2, 1, 2]
-    rows = keys.select(sharding.descend(keys.key, old).alias("a"), sharding.descend(keys.key, new).alias("b")).collect()
+    rows = keys.select("key", sharding.descend(keys.key, old).alias("a"), sharding.descend(keys.key, new).alias("b"), sharding.descend(keys.key, [*old, 2]).alias("c")).collect()
     share = Counter(r.a for r in rows)
     assert all(abs(share[s] / 20_000 - w / 12) < 0.02 for s, w in enumerate(old))
-    assert {r.b for r in rows if r.a != r.b} == {5}
+    # shard 5 has grown: nothing moves in region 0, and in region 1 between old rows only into rack 2, there only into shard 5
+    assert all(r.b >= 4 for r in rows if r.a != r.b) and not any(r.a < 4 and r.b < 4 for r in rows if r.a != r.b)
+    assert {(r.a, r.b) for r in rows if r.a != r.b and r.a >= 4} <= {(4, 5), (6, 4), (6, 5), (7, 4), (7, 5)}
+    assert sum(r.a != r.b for r in rows) / 20_000 < 0.2
+    assert {r.c for r in rows if r.a != r.c} == {8}
+    # a descent, not the least of all shards' draws
+    flat = lambda key: min((draw(key, f"region {s // 4}/rack {s // 2}/shard {s}", w), s) for s, w in enumerate(old))[1]
+    assert sum(flat(r.key) != r.a for r in rows) > 5000
 
 
 def counts(text):
@@ -161,6 +194,31 @@ def test_expectation_maximisation_finds_the_informative_rule():
     assert first > 0 and adds[0][0] < -3 and adds[0][2] > 1 and abs(adds[2][0]) < 1.5
 
 
+def test_posterior_by_brute_force(spark, docs):
+    """Expectation-maximisation document by document, and Bayes' rule term by term."""
+    rows = quality.judge(spark, docs).collect()
+    votes = [r.votes for r in rows]
+    m, n = len(votes[0]), len(votes)
+    start = ({-1: 0.3, 0: 0.3, 1: 0.4}, {-1: 0.03, 0: 0.17, 1: 0.8})
+    p, share, weight = [[dict(s) for _ in range(m)] for s in start], 0.9, max(1.0, 0.001 * n)
+
+    def posterior(v):
+        good, bad = share, 1 - share
+        for j, x in enumerate(v):
+            good, bad = good * p[1][j][x], bad * p[0][j][x]
+        return good / (good + bad)
+
+    for _ in range(200):
+        post = [posterior(v) for v in votes]
+        for c in (0, 1):
+            w = [x if c else 1 - x for x in post]
+            p[c] = [{x: (sum(wi for wi, v in zip(w, votes, strict=True) if v[j] == x) + weight * start[c][x]) / (sum(w) + weight) for x in (-1, 0, 1)} for j in range(m)]
+        share = min(max(sum(post) / n, 1e-3), 1 - 1e-3)
+    for r in rows:
+        assert abs(r.quality - posterior(r.votes)) < 1e-9
+        assert r.kept == (not r.base_failed and r.quality >= 0.5)
+
+
 @pytest.mark.parametrize("run", [mixing.mix, sharding.shard, quality.judge])
 def test_empty(spark, none, run):
     assert run(spark, none).collect() == []
