@@ -174,7 +174,7 @@ def with_verdicts(places: DataFrame, by: str, verdicts: DataFrame, sizes: DataFr
     return places.join(verdicts, ["mh", "ch", "salt"])
 
 
-def searched(index: Callable[[np.ndarray, np.ndarray, int], np.ndarray], unit: str, length: int, shard: int) -> Callable:
+def searched(index: Callable[[np.ndarray, np.ndarray, int, np.ndarray], np.ndarray], unit: str, length: int, shard: int) -> Callable:
     """Partitions hold whole anchors, sorted; shards are cut between anchors. Of each kind that the index is to answer for,
     the ranges that its repeated windows cover, from the kind's start."""
 
@@ -186,12 +186,15 @@ def searched(index: Callable[[np.ndarray, np.ndarray, int], np.ndarray], unit: s
         def flush() -> pa.RecordBatch:
             parts = [np.frombuffer(r["symbols"], kind) for r in rows]
             off = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-            twice = index(np.concatenate(parts), off, length)
+            asked = np.array([r["report"] for r in rows], bool)
+            twice = index(np.concatenate(parts), off, length, asked)
             at, out = 0, []
             for r in rows:
+                if not r["report"]:
+                    continue
                 hit = np.flatnonzero(twice[at : at + r["n_windows"]])
                 at += r["n_windows"]
-                if r["report"] and len(hit):
+                if len(hit):
                     edge = np.flatnonzero(np.diff(hit) > 1)
                     both = np.stack([hit[np.concatenate([[0], edge + 1])], hit[np.concatenate([edge, [len(hit) - 1]])] + length], axis=1)
                     out.append((r["mh"], r["ch"], both.astype(np.int64).tobytes()))
@@ -255,22 +258,21 @@ def verdicts_of(spark: SparkSession, content: DataFrame, unit: str, length: int,
 
 
 def repeated(
-    spark: SparkSession, docs: DataFrame, unit: str, length: int, k: int, index: Callable[[np.ndarray, np.ndarray, int], np.ndarray], shard: int, most: int = MOST, hot: int | None = None
+    spark: SparkSession, docs: DataFrame, unit: str, length: int, k: int, index: Callable[[np.ndarray, np.ndarray, int, np.ndarray], np.ndarray], shard: int, most: int = MOST, hot: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Ranges of repeated windows by document (did, rk, list of packed ranges), and the documents packed, by key.
 
-    index(symbols, offsets, length) gets the kinds of a shard, whole anchors together, and says for each of its windows (all
-    starts in all segments, in order) whether it occurs twice or more in the shard. shard: symbols that a shard holds,
+    index(symbols, offsets, length, asked) gets the kinds of a shard, whole anchors together, and says for each window of the
+    segments asked for (all starts, in order) whether it occurs twice or more in the shard. shard: symbols that a shard holds,
     unless one anchor has more. hot: places of one key beyond which it is salted (default: a 2000th of all).
     """
     keyed = docs.select(*row_key(docs, "doc_id", "text"), "doc_id", "text")
-    places = occurrences(keyed.select("did", "rk", "text"), unit, length, k)
+    places = written(spark, occurrences(keyed.select("did", "rk", "text"), unit, length, k))
     # counted within tasks first: neither a kind nor an anchor that very many documents hold is gathered anywhere
     one, other = (f(F.struct("did", "rk", F.col(at).alias("start"))) for f, at in ((F.min, "first"), (F.max, "last")))
     kinds = places.groupBy("mh", "ch").agg(F.sum("times").alias("t"), F.first("n_windows").alias("n_windows"), one.alias("a"), other.alias("b"))
-    kinds = kinds.withColumn("b", F.when(F.col("t") > 1, F.col("b")))
-    anchors = kinds.groupBy("mh").agg(F.sum("t").alias("n_")).where(F.col("n_") > 1).select("mh")
-    live = written(spark, kinds.join(anchors, "mh", "left_semi"))
+    anchors = places.groupBy("mh").agg(F.sum("times").alias("n_")).where(F.col("n_") > 1).select("mh")
+    live = written(spark, kinds.withColumn("b", F.when(F.col("t") > 1, F.col("b"))).join(anchors, "mh", "left_semi"))
     texts = packed(keyed)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

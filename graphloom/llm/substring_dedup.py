@@ -28,7 +28,7 @@ def _without(text: bytes, ranges: np.ndarray) -> list[bytes]:
     return [text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def dedup_word_windows(spark: SparkSession, docs: DataFrame, window: int = 35, gram: int = 8, shard: int = 1 << 19, texts: bool = False, most: int = MOST, hot: int | None = None) -> DataFrame:
+def dedup_word_windows(spark: SparkSession, docs: DataFrame, window: int = 35, gram: int = 8, shard: int = 1 << 17, texts: bool = False, most: int = MOST, hot: int | None = None) -> DataFrame:
     """Takes out each word in a window of so many words that also starts elsewhere; kept words are joined by a space.
 
     Words are [^\\x20\\x09-\\x0D]+, unchanged. Gives doc_id, n_words, n_removed, kept_sha256, removed (merged word ranges,

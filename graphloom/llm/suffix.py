@@ -69,8 +69,8 @@ def joined(symbols: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return text, where
 
 
-def repeats_by_suffixes(symbols: np.ndarray, off: np.ndarray, length: int) -> np.ndarray:
-    """For each window of each segment (bytes), in order: does it occur twice? Adjacent suffixes share the longest prefixes."""
+def repeats_by_suffixes(symbols: np.ndarray, off: np.ndarray, length: int, asked: np.ndarray | None = None) -> np.ndarray:
+    """For each window of each segment (bytes) asked for (default: all), in order: does it occur twice? Adjacent suffixes share the longest prefixes."""
     text, where = joined(symbols, off)
     order = suffix_array(text)
     back = np.full(len(text), -1, np.int64)
@@ -101,7 +101,7 @@ def repeats_by_suffixes(symbols: np.ndarray, off: np.ndarray, length: int) -> np
     twice = np.zeros(len(symbols), bool)
     twice[a] = True
     twice[b] = True
-    return twice[begin]
+    return twice[begin if asked is None else ragged(off[:-1][asked], windows[asked])]
 
 
 class FMIndex:
@@ -142,10 +142,10 @@ class FMIndex:
         return first + both[: len(symbol)], first + both[len(symbol) :]
 
 
-def repeats_by_index(symbols: np.ndarray, off: np.ndarray, length: int) -> np.ndarray:
-    """For each window of each segment (word hashes), in order: does it occur twice? By backward search in the index.
+def repeats_by_index(symbols: np.ndarray, off: np.ndarray, length: int, asked: np.ndarray | None = None) -> np.ndarray:
+    """For each window of each segment (word hashes) asked for (default: all), in order: does it occur twice? By backward search in the index.
 
-    All segments are streamed side by side. A lane tries the string from its first open window to some end: as long as
+    The segments asked for are streamed side by side. A lane tries the string from its first open window to some end: as long as
     the interval holds two suffixes, it goes on to the left. Where it fails, the string is unique, and so is every
     window that holds it, while windows right of it are repeated. After a success the next end lies further on.
     """
@@ -155,7 +155,8 @@ def repeats_by_index(symbols: np.ndarray, off: np.ndarray, length: int) -> np.nd
     base_of = index.rank(np.arange(int(text.max()) + 1), np.zeros(int(text.max()) + 1, np.int64))
     twice = np.zeros(len(symbols) + 1, np.int64)  # as differences
     size = np.diff(off)
-    lane = np.flatnonzero(size >= length)
+    asked = np.ones(len(size), bool) if asked is None else asked
+    lane = np.flatnonzero((size >= length) & asked)
     first, last = off[lane].copy(), off[lane + 1] - length  # open windows
     reach = np.zeros(len(lane), np.int64)
     end = first + length
@@ -191,4 +192,4 @@ def repeats_by_index(symbols: np.ndarray, off: np.ndarray, length: int) -> np.nd
     windows = np.maximum(0, size - length + 1)
     from graphloom.llm.textarrays import ragged
 
-    return (np.cumsum(twice)[: len(symbols)] > 0)[ragged(off[:-1], windows)]
+    return (np.cumsum(twice)[: len(symbols)] > 0)[ragged(off[:-1][asked], windows[asked])]

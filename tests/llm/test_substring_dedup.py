@@ -43,7 +43,7 @@ def test_empty(spark, none):
 def test_nothing_goes_that_the_index_has_not_found(spark, docs, monkeypatch):
     from graphloom.llm import substring_dedup
 
-    nothing = lambda symbols, off, length: np.zeros(int(np.maximum(0, np.diff(off) - length + 1).sum()), bool)
+    nothing = lambda symbols, off, length, asked: np.zeros(int(np.maximum(0, np.diff(off) - length + 1)[asked].sum()), bool)
     monkeypatch.setattr(substring_dedup, "repeats_by_index", nothing)
     monkeypatch.setattr(substring_dedup, "repeats_by_suffixes", nothing)
     assert dedup_word_windows(spark, docs).where("n_removed > 0").isEmpty()
