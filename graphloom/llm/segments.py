@@ -23,7 +23,7 @@ from graphloom.llm.common import bounded, row_key, written
 
 #: Positions in a slice fit in so many bits beside the hash that orders anchors.
 INDEX_BITS = 24
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 OCCURRENCE = "did long, rk long, starts binary, times int, first long, last long, n_windows int, mh long, ch long"
 #: Of a kind (mh, ch), the symbols of one of its places; report: the place that the index answers for, not the witness.
 CONTENT = "mh long, ch long, n_windows int, report boolean, anchor int, symbols binary"

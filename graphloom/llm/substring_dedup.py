@@ -54,7 +54,7 @@ def dedup_word_windows(spark: SparkSession, docs: DataFrame, window: int = 35, g
     return packed.join(ranges, ["did", "rk"], "left").select("doc_id", "text", "ranges").mapInArrow(finish, kinds)
 
 
-def dedup_byte_strings(spark: SparkSession, docs: DataFrame, length: int = 200, gram: int = 32, shard: int = 1 << 19, texts: bool = False, most: int = MOST, hot: int | None = None) -> DataFrame:
+def dedup_byte_strings(spark: SparkSession, docs: DataFrame, length: int = 200, gram: int = 32, shard: int = 1 << 17, texts: bool = False, most: int = MOST, hot: int | None = None) -> DataFrame:
     """Takes out each byte in a string of so many bytes that also starts elsewhere.
 
     Gives doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (byte ranges, end exclusive), and with texts=True the

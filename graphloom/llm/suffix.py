@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from graphloom.llm.textarrays import ragged
+
 
 def names(*keys: np.ndarray) -> tuple[np.ndarray, int]:
     """Ranks from 1 of tuples of small non-negative integers, and how many differ."""
@@ -15,7 +17,7 @@ def names(*keys: np.ndarray) -> tuple[np.ndarray, int]:
             room = int(packed.max(initial=0)) + 1
         packed = packed * size + k
         room *= size
-    order = np.argsort(packed, kind="stable")
+    order = np.argsort(packed)
     ordered = packed[order]
     rank = np.cumsum(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     out = np.empty(len(packed), np.int64)
@@ -38,11 +40,11 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         name[order] = np.arange(1, len(sample) + 1)
     rank = np.zeros(n + 4, np.int64)
     rank[sample] = name
-    sample = sample[np.argsort(name, kind="stable")]
+    sample = sample[np.argsort(name)]
     sample = sample[sample < n]
     zeros = np.arange(0, n, 3)
     zero_key, _ = names(x[zeros], rank[zeros + 1])
-    zeros = zeros[np.argsort(zero_key, kind="stable")]
+    zeros = zeros[np.argsort(zero_key)]
     # merge: suffixes at 0 modulo 3 are compared with those at 1 by (symbol, rank), at 2 by (symbol, symbol, rank)
     ones, twos = sample[sample % 3 == 1], sample[sample % 3 == 2]
     before = np.zeros(len(zeros), np.int64)
@@ -70,18 +72,25 @@ def joined(symbols: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def repeats_by_suffixes(symbols: np.ndarray, off: np.ndarray, length: int, asked: np.ndarray | None = None) -> np.ndarray:
-    """For each window of each segment (bytes) asked for (default: all), in order: does it occur twice? Adjacent suffixes share the longest prefixes."""
+    """For each window of each segment (bytes) asked for (default: all), in order: does it occur twice? Segments that are
+    equal byte by byte are sorted once, as a segment with two places; adjacent suffixes share the longest prefixes."""
+    segments = [symbols[a:b].tobytes() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+    known: dict[bytes, int] = {}
+    which = np.array([known.setdefault(x, len(known)) for x in segments], np.int64)
+    many = np.bincount(which, minlength=len(known)) > 1
+    size = np.array([len(x) for x in known], np.int64)
+    off = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    symbols = np.frombuffer(b"".join(known), np.uint8)
+    windows = np.maximum(0, size - length + 1)
+    twice = np.zeros(len(symbols), bool)
+    twice[ragged(off[:-1][many], windows[many])] = True
     text, where = joined(symbols, off)
     order = suffix_array(text)
     back = np.full(len(text), -1, np.int64)
     back[where] = np.arange(len(symbols))
     order = back[order]
     starts = np.zeros(len(symbols), bool)
-    windows = np.maximum(0, np.diff(off) - length + 1)
-    from graphloom.llm.textarrays import ragged
-
-    begin = ragged(off[:-1], windows)
-    starts[begin] = True
+    starts[ragged(off[:-1], windows)] = True
     a, b = order[:-1], order[1:]
     ok = (a >= 0) & (b >= 0)
     ok[ok] = starts[a[ok]] & starts[b[ok]]
@@ -98,10 +107,10 @@ def repeats_by_suffixes(symbols: np.ndarray, off: np.ndarray, length: int, asked
         for s in range(length):
             same = symbols[a + s] == symbols[b + s]
             a, b = a[same], b[same]
-    twice = np.zeros(len(symbols), bool)
     twice[a] = True
     twice[b] = True
-    return twice[begin if asked is None else ragged(off[:-1][asked], windows[asked])]
+    which = which if asked is None else which[asked]
+    return twice[ragged(off[:-1][which], windows[which])]
 
 
 class FMIndex:
@@ -190,6 +199,4 @@ def repeats_by_index(symbols: np.ndarray, off: np.ndarray, length: int, asked: n
         hi = np.where(fresh, index.n, hi)
         first, last, reach, end, pos, lo, hi = (x[keep] for x in (first, last, reach, end, pos, lo, hi))
     windows = np.maximum(0, size - length + 1)
-    from graphloom.llm.textarrays import ragged
-
     return (np.cumsum(twice)[: len(symbols)] > 0)[ragged(off[:-1][asked], windows[asked])]
