@@ -28,11 +28,18 @@ def type_tokens(text: Column | str) -> Column:
     return F.array_distinct(F.array_except(found, F.array(*(F.lit(k) for k in KEYWORDS))))
 
 
-def erased(text: Column | str, nesting: int = 4) -> Column:
-    """Simple name of a type: no annotations, type arguments (nested so deep), white space or package; varargs become an array."""
+def erased(text: Column | str) -> Column:
+    """Simple name of a type: no annotations, type arguments (however deep), white space or package; varargs become an array."""
     out = F.regexp_replace(F.regexp_replace(col(text), ANNOTATION, ""), r"\s+", "")
-    for _ in range(nesting):
-        out = F.regexp_replace(out, r"<[^<>]*>", "")
+    out = F.regexp_replace(F.regexp_replace(out, r"<[^<>]*>", ""), r"<[^<>]*>", "")
+
+    def step(state: Column, c: Column) -> Column:
+        depth = state["depth"] + F.when(c == "<", 1).when((c == ">") & (state["depth"] > 0), -1).otherwise(0)
+        kept = F.when((depth == 0) & (state["depth"] == 0), F.concat(state["out"], c)).otherwise(state["out"])
+        return F.struct(depth.alias("depth"), kept.alias("out"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+    out = F.when(F.contains(out, F.lit("<")), F.aggregate(F.split(out, ""), start, step, lambda s: s["out"])).otherwise(out)
     out = F.regexp_replace(out, r"\.\.\.", "[]")
     return F.coalesce(F.regexp_replace(out, r"^[^\[]*\.", ""), F.lit(""))
 

@@ -44,22 +44,32 @@ def degree(entity: DataFrame, edge: DataFrame) -> DataFrame:
     return entity.select("id").join(into, "id", "left").join(out, "id", "left").select("id", zero("fan_in"), zero("fan_out"))
 
 
-def owners(entity: DataFrame, levels: int = 4) -> DataFrame:
-    """id, owner_id: the nearest enclosing type (a type is its own), null without one; parents are nested at most `levels` deep."""
+def owners(entity: DataFrame) -> DataFrame:
+    """id, owner_id: the nearest enclosing type (a type is its own), null without one. Members of members are followed up
+    as deep as they are nested."""
     is_type = F.col("kind").isin(*TYPE_KINDS)
     at = entity.select("id", F.when(is_type, F.col("id")).alias("owner_id"), F.when(~is_type, F.col("parent_id")).alias("up"))
     parent = entity.select(F.col("id").alias("up"), F.when(is_type, F.col("id")).alias("found"), F.when(~is_type, F.col("parent_id")).alias("next"))
-    for _ in range(levels):
-        at = at.join(parent, "up", "left").select("id", F.coalesce("owner_id", "found").alias("owner_id"), F.col("next").alias("up"))
-    return at.select("id", "owner_id")
-
-
-def enclosing(entity: DataFrame, levels: int = 4) -> DataFrame:
-    """id, outer: every pair of a type and a type that it is nested in."""
+    climb = lambda rows: rows.join(parent, "up", "left").select("id", F.coalesce("owner_id", "found").alias("owner_id"), F.col("next").alias("up"))
+    at, done = climb(at), None
+    if parent.where("next is not null").select(F.col("next").alias("up")).join(parent.where("next is not null"), "up", "left_semi").isEmpty():
+        return at.select("id", "owner_id")
+    while True:  # some member is a member's
+        at = written(entity.sparkSession, at)
+        ready = at.where("owner_id is not null or up is null").select("id", "owner_id")
+        done = ready if done is None else done.unionByName(ready)
+        at = at.where("owner_id is null and up is not null")
+        if at.isEmpty():
+            return done
+        at = climb(at)
+
+
+def enclosing(entity: DataFrame) -> DataFrame:
+    """id, outer: every pair of a type and a type that it is nested in, however deep."""
     up = entity.where(F.col("kind").isin(*TYPE_KINDS)).select("id", F.col("parent_id").alias("outer")).where("outer is not null")
     found, step = up, up
-    for _ in range(levels - 1):
-        step = step.join(up.select(F.col("id").alias("outer"), F.col("outer").alias("next")), "outer").select("id", F.col("next").alias("outer"))
+    while not step.isEmpty():
+        step = written(entity.sparkSession, step.join(up.select(F.col("id").alias("outer"), F.col("outer").alias("next")), "outer").select("id", F.col("next").alias("outer")))
         found = found.unionByName(step)
     return found
 

@@ -12,13 +12,24 @@ from graphloom.tables import written
 MAX_DEPTH, MAX_RESULTS = 10, 500
 
 
-def seeds_of_entity(entity: DataFrame, ids: DataFrame, levels: int = 4) -> DataFrame:
-    """The entities and all that they contain."""
+def seeds_of_entity(entity: DataFrame, ids: DataFrame) -> DataFrame:
+    """The entities and all that they contain, however deep."""
     found = step = ids.select("id").distinct()
-    for _ in range(levels):
-        step = entity.join(step.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi").select("id")
+    inside = entity.where("parent_id is not null").select("parent_id", "id")
+    while True:
+        step = written(entity.sparkSession, inside.join(step.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi").select("id"))
+        if step.isEmpty():
+            return found.distinct()
         found = found.unionByName(step)
-    return found.distinct()
+
+
+def targets_of_files(entity: DataFrame, files: DataFrame) -> DataFrame:
+    """file_id, target (the first type of a file that is in no other, by id), complexity (of all its types), seeds: of files
+    that have such a type."""
+    mine = entity.join(files.select("file_id").distinct(), "file_id", "left_semi")
+    is_type = F.col("kind").isin(*TYPE_KINDS)
+    out = mine.groupBy("file_id").agg(F.min(F.when(is_type & F.col("parent_id").isNull(), F.col("id"))).alias("target"), F.coalesce(F.sum(F.when(is_type, F.col("complexity"))), F.lit(0)).cast("long").alias("complexity"), F.count("*").alias("seeds"))
+    return out.where("target is not null")
 
 
 def seeds_of_files(entity: DataFrame, files: DataFrame) -> DataFrame:
@@ -41,30 +52,33 @@ def affected(spark: SparkSession, entity: DataFrame, edge: DataFrame, seeds: Dat
     return out if tests else out.where("not test")
 
 
-def by_role(rows: DataFrame) -> DataFrame:
-    """role (OTHER without one), owners: how many types hold affected entities."""
-    return rows.where("owner_id is not null").groupBy(F.coalesce("role", F.lit("OTHER")).alias("role")).agg(F.count_distinct("owner_id").alias("owners"))
+def by_role(rows: DataFrame, seeds: DataFrame) -> DataFrame:
+    """role (OTHER without one), owners: how many types hold affected entities, seeds themselves left out."""
+    return rows.where("owner_id is not null").join(seeds.select(F.col("id").alias("owner_id")), "owner_id", "left_anti").groupBy(F.coalesce("role", F.lit("OTHER")).alias("role")).agg(F.count_distinct("owner_id").alias("owners"))
 
 
 def outside_coupling(edge: DataFrame, seeds: DataFrame) -> DataFrame:
-    """One row, coupling: distinct neighbours outside the seeds, either way, counted by direction."""
+    """One row, coupling: distinct neighbours outside the seeds, whichever way."""
     s = seeds.select("id")
-    out = edge.join(s.withColumnRenamed("id", "src"), "src", "left_semi").select(F.lit("out").alias("way"), F.col("dst").alias("id"))
-    into = edge.join(s.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.lit("in").alias("way"), F.col("src").alias("id"))
-    return out.unionByName(into).join(s, "id", "left_anti").agg(F.count_distinct("way", "id").alias("coupling"))
+    out = edge.join(s.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id"))
+    into = edge.join(s.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id"))
+    return out.unionByName(into).join(s, "id", "left_anti").agg(F.count_distinct("id").alias("coupling"))
 
 
-def summary(spark: SparkSession, entity: DataFrame, edge: DataFrame, seeds: DataFrame, top: DataFrame, max_depth: int = MAX_DEPTH, max_results: int = MAX_RESULTS) -> DataFrame:
-    """One row: direct, total, max_depth, endpoints, modules, packages, tests, coupling, complexity, exposed, risk, level, truncated."""
+def summary(spark: SparkSession, entity: DataFrame, edge: DataFrame, seeds: DataFrame, top: DataFrame, targets: DataFrame, max_depth: int = MAX_DEPTH, max_results: int = MAX_RESULTS) -> DataFrame:
+    """One row, of a change to the targets (id; their complexity counts) that touches the seeds: direct, total, max_depth, endpoints, modules, packages, tests, coupling, complexity, exposed, risk, level, truncated."""
+    edge = written(spark, edge)
     rows = written(spark, affected(spark, entity, edge, seeds, max_depth, tests=True))
     real = rows.where("not test")
     facts = real.agg(
         F.count_if(F.col("depth") == 1).alias("direct"), F.count("*").alias("total"), F.coalesce(F.max("depth"), F.lit(0)).cast("long").alias("deepest"), F.count_if(F.col("kind") == "ENDPOINT").alias("endpoints"),
-        F.array_join(F.array_sort(F.collect_set("module")), ",").alias("modules"), F.count_distinct("package_name").alias("packages"),
+        F.array_join(F.array_sort(F.collect_set("module")), ",").alias("modules"), F.count_distinct(F.nullif("package_name", F.lit(""))).alias("packages"),
     )
     tests = rows.where("test").agg(F.count_distinct("owner_id").alias("tests"))
-    seed = entity.join(seeds.select("id"), "id", "left_semi")
-    own = seed.agg(F.coalesce(F.sum(F.when(F.col("kind").isin("METHOD", "CONSTRUCTOR"), F.col("complexity"))), F.lit(0)).cast("long").alias("complexity"), F.coalesce(F.bool_or((F.col("kind") == "ENDPOINT") | (F.col("stereotype") == "CONTROLLER")), F.lit(False)).alias("api"))
+    role = entity.select(F.col("id").alias("owner_id"), F.col("stereotype").alias("owner_role"))
+    seed = entity.join(seeds.select("id"), "id", "left_semi").join(graph.owners(entity), "id").join(role, "owner_id", "left")
+    api = seed.agg(F.coalesce(F.bool_or((F.col("kind") == "ENDPOINT") | F.coalesce(F.col("owner_role") == "CONTROLLER", F.lit(False))), F.lit(False)).alias("api"))
+    own = entity.join(targets.select("id"), "id", "left_semi").agg(F.coalesce(F.sum("complexity"), F.lit(0)).cast("long").alias("complexity")).join(api, how="cross")  # rows of one
     one = facts.join(tests, how="cross").join(outside_coupling(edge, seeds), how="cross").join(own, how="cross")  # rows of one
     one = one.select("*", (F.col("api") | (F.col("endpoints") > 0)).alias("exposed"))
     shaped = one.withColumns({"dependents": F.col("total"), "depth": F.col("deepest"), "fan_in": F.col("coupling"), "fan_out": F.lit(0).cast("long")})

@@ -32,19 +32,35 @@ def last_runs(runs: DataFrame, n: int = 1, by: str = "project_id") -> DataFrame:
 
 
 def activity(runs: DataFrame, last_day: str, days: int = 14) -> DataFrame:
-    """day, ok, failed, avg_ms of each of the days up to last_day, empty ones too; days by finish, or start while running."""
+    """day, ok, failed, avg_ms of each of the days up to last_day, empty ones too. A run belongs to the day in UTC on which it
+    started; avg_ms is the rounded mean over all of the day's runs that have a duration, whatever came of them."""
     last = F.to_date(F.lit(last_day))
     spine = runs.sparkSession.range(1).select(F.explode(F.sequence(F.date_sub(last, days - 1), last)).alias("day"))
-    by_day = runs.withColumn("day", F.to_date(F.coalesce("finished_at", "started_at"))).groupBy("day").agg(
-        F.count_if(F.col("status") == "SUCCESS").alias("ok"), F.count_if(F.col("status") == "FAILED").alias("failed"), F.floor(F.avg(F.when(F.col("status") == "SUCCESS", F.col("duration_ms")))).alias("avg_ms")
+    started = F.col("started_at") if dict(runs.dtypes)["started_at"] == "timestamp_ntz" else F.to_utc_timestamp("started_at", F.current_timezone())
+    by_day = runs.withColumn("day", F.to_date(started)).groupBy("day").agg(
+        F.count_if(F.col("status") == "SUCCESS").alias("ok"), F.count_if(F.col("status") == "FAILED").alias("failed"), F.floor(F.avg("duration_ms") + 0.5).alias("avg_ms")
     )
     return spine.join(by_day, "day", "left").select("day", F.coalesce("ok", F.lit(0)).cast("long").alias("ok"), F.coalesce("failed", F.lit(0)).cast("long").alias("failed"), "avg_ms")
 
 
 def weighted_mean(days: DataFrame) -> DataFrame:
-    """mean_ms: of the days' means by their runs, in whole numbers; days without a mean don't count."""
-    some = days.where("avg_ms is not null and ok > 0")
-    return some.agg(F.floor(F.sum(F.col("avg_ms") * F.col("ok")) / F.sum("ok")).cast("long").alias("mean_ms"))
+    """mean_ms: of the days' means by their finished runs, failed ones too, in whole numbers; days without a mean don't count.
+    Null without finished runs."""
+    n = F.when(F.col("avg_ms").isNotNull(), F.col("ok") + F.col("failed"))
+    return days.agg(F.sum(F.col("avg_ms") * n).alias("total"), F.sum(n).alias("weight")).select(F.when(F.col("weight") > 0, F.expr("total div weight")).alias("mean_ms"))
+
+
+FIGURES = ("files", "loc", "types", "methods", "endpoints", "tests", "edges", "high", "medium", "low")
+
+
+def portfolio_totals(projects: DataFrame, days: DataFrame) -> DataFrame:
+    """One row over all projects (status, analyzing and FIGURES) and days of activity: projects, ready, analyzing, failed, the
+    sums of FIGURES, runs, failed_runs, mean_ms. A project under analysis counts as that, whatever its status was."""
+    idle = lambda s: F.count_if(~F.col("analyzing") & (F.col("status") == s))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in FIGURES]
+    all_ = projects.agg(F.count("*").alias("projects"), idle("READY").alias("ready"), F.count_if("analyzing").alias("analyzing"), idle("FAILED").alias("failed"), *sums)
+    ran = days.agg(F.coalesce(F.sum(F.col("ok") + F.col("failed")), F.lit(0)).cast("long").alias("runs"), F.coalesce(F.sum("failed"), F.lit(0)).cast("long").alias("failed_runs"))
+    return all_.join(ran, how="cross").join(weighted_mean(days), how="cross")  # rows of one
 
 
 def totals(counts: DataFrame, last: DataFrame) -> DataFrame:
@@ -72,3 +88,14 @@ def run_change(runs: DataFrame) -> DataFrame:
 def merged_points(groups: DataFrame) -> DataFrame:
     """Groups with equal instability and abstractness (2 places) as one point: names (sorted), n."""
     return groups.groupBy(rounded(F.col("instability"), 2).alias("x"), rounded(F.col("abstractness"), 2).alias("y")).agg(F.array_join(F.array_sort(F.collect_list("grp")), ",").alias("names"), F.count("*").alias("n"))
+
+
+def modules_by_instability(groups: DataFrame) -> DataFrame:
+    """Groups with their place: the least stable first, ties by name."""
+    return groups.withColumn("place", F.row_number().over(Window.orderBy(F.desc("instability"), "grp")))  # a row for each module
+
+
+def latest_reports(reports: DataFrame, n: int = 20) -> DataFrame:
+    """The latest n reports of each project, with their place: by creation, then id."""
+    place = F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("created_at"), F.desc("report_id")))
+    return reports.withColumn("place", place).where(F.col("place") <= n)

@@ -3,7 +3,7 @@
 A name is looked up in the scope of a type, nearest first: enclosing and nested types, explicit imports (one that leads
 outside the project ends the search), the file's package, wildcard imports. Members are found in a type or else in its
 nearest supertype; arity decides, so overloads with equal arity all match. Receivers of calls are resolved step by step
-from the left, MAX_STEPS at most.
+from the left, MAX_STEPS at most. Nesting and supertypes are followed until nothing is added.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from pyspark.sql.window import Window
 from graphloom.functions import text as fn
 from graphloom.tables import written
 
-MAX_LEVELS, MAX_STEPS = 8, 6
+# fixed value: steps of a chained call that are followed
+MAX_STEPS = 8
 # fixed values: what annotations say of a type's role, and of HTTP methods
 ROLES = {
     "RestController": "CONTROLLER", "Controller": "CONTROLLER", "Path": "CONTROLLER", "Service": "SERVICE", "Repository": "REPOSITORY", "Configuration": "CONFIGURATION", "SpringBootApplication": "CONFIGURATION",
@@ -51,9 +52,12 @@ class Names:
         # scopes: candidates by simple name for each type, nearest first
         chain = self.types.select("path", "owner", F.col("owner").alias("at"), F.lit(0).alias("far"))
         up = self.types.select(F.col("owner").alias("at"), F.col("outer").alias("next"))
-        every = chain
-        for i in range(1, MAX_LEVELS):
-            chain = chain.join(up, "at").where("next is not null").select("path", "owner", F.col("next").alias("at"), F.lit(i).alias("far"))
+        every, far = chain, 0
+        while True:
+            far += 1
+            chain = written(spark, chain.join(up, "at").where("next is not null").select("path", "owner", F.col("next").alias("at"), F.lit(far).alias("far")))
+            if chain.isEmpty():
+                break
             every = every.unionByName(chain)
         every = written(spark, every)
         self.enclosing = every
@@ -96,10 +100,14 @@ class Names:
         """owner, super, distance: a type itself and all its supertypes, by the shortest way."""
         direct = self.supers.where("target is not null").select(F.col("owner").alias("super"), F.col("target").alias("next")).distinct()
         all_ = step = self.types.select("owner", F.col("owner").alias("super"), F.lit(0).alias("distance"))
-        for i in range(1, MAX_LEVELS + 1):
-            step = step.join(direct, "super").select("owner", F.col("next").alias("super"), F.lit(i).alias("distance")).distinct()
+        far = 0
+        while True:
+            far += 1
+            step = step.join(direct, "super").select("owner", F.col("next").alias("super"), F.lit(far).alias("distance")).distinct()
+            step = written(self.spark, step.join(all_.select("owner", "super"), ["owner", "super"], "left_anti"))  # loops of supertypes end
+            if step.isEmpty():
+                return written(self.spark, all_)
             all_ = all_.unionByName(step)
-        return written(self.spark, all_.groupBy("owner", "super").agg(F.min("distance").alias("distance")))
 
     def find_methods(self, asked: DataFrame, keys: list[str], on: str = "at") -> DataFrame:
         """asked (keys, on: a type, name, args) with found, declared, returns: the methods of that name that fit, of the
@@ -165,12 +173,14 @@ def receivers(names: Names, calls: DataFrame) -> DataFrame:
         field = names.find_field(now.where("not startswith(step, 'call ')"), keys, "step").select(*keys, "steps", "declared", "type_text")
         now = written(spark, names.typed(call.unionByName(field), "type_text", "declared", "at").where("at is not null").select(*keys, "steps", "at"))
         done = done.unionByName(now.where("size(steps) = 0").select(*keys, "at"))
+        if now.where("size(steps) > 0").isEmpty():
+            break
     return written(spark, done)
 
 
-def calls(names: Names) -> DataFrame:
-    """src (a member), dst (a method) of every call that resolves."""
-    rows = names.facts.where("what = 'call' and member is not null").select("member", "owner", "name", "scope", "args")
+def calls(names: Names, facts: DataFrame) -> DataFrame:
+    """src (a member), dst (a method) of every call among these facts that resolves."""
+    rows = facts.where("what = 'call' and member is not null").select("member", "owner", "name", "scope", "args")
     keys = ["member", "name", "args"]
     bare = rows.where("scope is null").select("owner", *keys).distinct()
     around = bare.join(names.enclosing.select("owner", F.col("at"), "far"), "owner")
@@ -186,25 +196,27 @@ def calls(names: Names) -> DataFrame:
     return every.select(F.col("member").alias("src"), F.col("found").alias("dst"))
 
 
-def overrides(names: Names) -> DataFrame:
+def overrides(names: Names, types: DataFrame) -> DataFrame:
     """src, dst: a method and those of supertypes with its name and parameters (a single capital stands for any type)."""
     m = names.methods.where("kind = 'METHOD'").withColumn("static", F.contains(F.coalesce("modifiers", F.lit("")), F.lit("static"))).where("not static")
-    own = m.where("visibility <> 'private'").select("owner", F.col("member").alias("src"), "name", "args", "params")
+    own = m.where("visibility <> 'private'").join(types.select("owner"), "owner", "left_semi").select("owner", F.col("member").alias("src"), "name", "args", "params")
     up = m.where("visibility <> 'private'").select(F.col("owner").alias("super"), F.col("member").alias("dst"), "name", "args", F.col("params").alias("theirs"))
     rows = own.join(names.lineage.where("distance > 0"), "owner").join(up, ["super", "name", "args"])
     return rows.where(F.forall(F.zip_with("params", "theirs", lambda a, b: (a == b) | b.rlike("^[A-Z][A-Z0-9]?$")), lambda x: x)).select("src", "dst")
 
 
-def edges(names: Names) -> DataFrame:
-    """src, dst (qualified names), type, weight, path: everything that a file's declarations depend on; no self-edges."""
-    facts, spark = names.facts, names.spark
-    parts = []
+def edges(names: Names, only: DataFrame | None = None) -> DataFrame:
+    """src, dst (qualified names), type, weight: everything that the declarations of all files, or of those in only (path),
+    depend on; no self-edges."""
+    spark, parts = names.spark, []
+    facts, types = (x if only is None else written(spark, x.join(only.select("path"), "path", "left_semi")) for x in (names.facts, names.types))
+    supers = names.supers.join(types.select("owner"), "owner", "left_semi")
 
     def add(rows: DataFrame, kind: str | None = None) -> None:
         parts.append(rows.select("src", "dst", (F.lit(kind) if kind else F.col("type")).alias("type")))
 
-    add(names.supers.where("target is not null").select(F.col("owner").alias("src"), F.col("target").alias("dst"), F.col("how").alias("type")))
-    arguments = names.types.select("owner", F.explode("supers").alias("text")).select("owner", F.explode(F.slice(fn.type_tokens(F.expr("substring(text, instr(text, ':') + 1)")), 2, 100)).alias("token"))
+    add(supers.where("target is not null").select(F.col("owner").alias("src"), F.col("target").alias("dst"), F.col("how").alias("type")))
+    arguments = types.select("owner", F.explode("supers").alias("text")).select("owner", F.explode(F.slice(fn.type_tokens(F.expr("substring(text, instr(text, ':') + 1)")), 2, 100)).alias("token"))
     used = facts.where("type_text is not null and what in ('field', 'method', 'param', 'local', 'use')").select("owner", F.coalesce("member", "owner").alias("src"), F.explode(fn.type_tokens("type_text")).alias("token"))
     made = facts.where("what = 'new' and member is not null").select("owner", F.col("member").alias("src"), "args", fn.type_tokens("type_text").alias("tokens"))
     inner = made.select("owner", "src", F.explode(F.slice("tokens", 2, 100)).alias("token"))
@@ -214,15 +226,15 @@ def edges(names: Names) -> DataFrame:
     add(made.withColumn("dst", F.col("target")), "CREATES")
     built = made.select("src", F.col("target").alias("at"), F.lit("<init>").alias("name"), "args")
     add(names.find_methods(built.distinct(), ["src", "at", "args"]).withColumn("dst", F.col("found")), "CALLS")
-    top = names.types.where("outer is null").select("path", F.col("owner").alias("src"))
+    top = types.where("outer is null").select("path", F.col("owner").alias("src"))
     imports = facts.where("what = 'import' and not endswith(name, '*')").select("path", F.when(F.col("kind") == "static", F.regexp_replace("name", r"\.[^.]*$", "")).otherwise(F.col("name")).alias("dst"))
     add(imports.join(names.known.select(F.col("target").alias("dst")), "dst", "left_semi").join(top, "path"), "IMPORTS")
     marks = facts.where("annotations is not null").select("owner", F.coalesce("member", "owner").alias("src"), F.explode("annotations").alias("a")).withColumn("token", F.regexp_extract("a", r"^([\w.]+)", 1))
     annotation = names.types.where("kind = 'ANNOTATION'").select(F.col("owner").alias("target"))
     add(names.resolve(marks).join(annotation, "target", "left_semi").withColumn("dst", F.col("target")), "ANNOTATED_BY")
-    add(calls(names), "CALLS")
-    add(overrides(names), "OVERRIDES")
-    add(endpoints(names).select(F.col("qualified_name").alias("src"), F.col("member").alias("dst")), "ROUTES_TO")
+    add(calls(names, facts), "CALLS")
+    add(overrides(names, types), "OVERRIDES")
+    add(endpoints(names).join(types.select("owner"), "owner", "left_semi").select(F.col("qualified_name").alias("src"), F.col("member").alias("dst")), "ROUTES_TO")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -284,12 +296,17 @@ def entities(names: Names) -> DataFrame:
     return out.withColumn("id", F.xxhash64("qualified_name")).withColumn("parent_id", F.when(F.col("parent").isNotNull(), F.xxhash64("parent"))).withColumn("file_id", F.xxhash64("path"))
 
 
+def linked(spark: SparkSession, entity: DataFrame, found: DataFrame) -> DataFrame:
+    """Edges by qualified names as edges by ids, with the file of their source; ends that are no entities drop out."""
+    by_name = entity.select("qualified_name", "id", "file_id")
+    links = found.join(by_name.select(F.col("qualified_name").alias("src"), F.col("id").alias("a"), "file_id"), "src").join(by_name.select(F.col("qualified_name").alias("dst"), F.col("id").alias("b")), "dst")
+    return written(spark, links.select(F.col("a").alias("src"), F.col("b").alias("dst"), "type", F.col("weight").cast("long").alias("weight"), "file_id"))
+
+
 def analyse(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entity and edge tables of a project's files (path, module, text)."""
     from graphloom.sources import java
 
     names = Names(spark, written(spark, java.facts(files)))
     entity = written(spark, entities(names).join(files.select("path", "module"), "path", "left"))
-    by_name = entity.select("qualified_name", "id", "file_id")
-    links = edges(names).join(by_name.select(F.col("qualified_name").alias("src"), F.col("id").alias("a"), "file_id"), "src").join(by_name.select(F.col("qualified_name").alias("dst"), F.col("id").alias("b")), "dst")
-    return entity, written(spark, links.select(F.col("a").alias("src"), F.col("b").alias("dst"), "type", F.col("weight").cast("long").alias("weight"), "file_id"))
+    return entity, linked(spark, entity, edges(names))

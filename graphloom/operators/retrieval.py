@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.functions import text as fn
-from graphloom.tables import rounded
+from graphloom.tables import rounded, written
 
 DENSE_SHARE, KEYWORD_SHARE, BODY_SCORE, OVERSAMPLE = 0.7, 0.3, 0.3, 4
 
@@ -124,23 +125,47 @@ def bodies(entity: DataFrame, files: DataFrame, lines: int = 150) -> DataFrame:
     return m.select("id", F.concat(F.lit("// "), "qualified_name", F.lit("\n"), fn.excerpt("source", F.col("start_line"), F.col("end_line"), lines)).alias("text"))
 
 
+def folded(counts: np.ndarray, used: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From chunks used in the open batch (one number a lane): what is used, and batches begun, after these files; and the
+    first lane's batch of each file. A batch with `most` chunks or more is full whatever comes."""
+    begun, of = np.zeros(len(used), np.int64), np.empty(len(counts), np.int64)
+    for i, n in enumerate(counts.tolist()):
+        full = (used > 0) & (used + n > most)
+        begun = begun + full
+        used = np.minimum(np.where(full, n, used + n), most)
+        of[i] = begun[0]
+    return used, begun, of
+
+
 def batches(files: DataFrame, most: int = 300) -> DataFrame:
-    """path, batch: whole files packed in order of path while chunks number at most so many. files: path, chunks.
+    """path, batch: whole files packed in order of path, a new batch where the next file would make it more than `most`
+    chunks. files: path, chunks; those without chunks are left out.
 
-    The greedy packing is a fold over the ordered counts of files, made in ranges of paths: a range begins a batch.
+    A range of paths turns each number of chunks in the open batch into another: ranges are folded side by side for all
+    numbers, the ranges' tables are chained, and each range is folded again from where it really begins.
     """
-    ranged = files.withColumn("range", F.substring(F.sha2(F.regexp_extract("path", r"^(.*/)?", 1), 256), 1, 4))
-    lists = ranged.groupBy("range").agg(F.array_sort(F.collect_list(F.struct("path", F.col("chunks").cast("long").alias("chunks")))).alias("all"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("batch"), F.array().cast("array<struct<path:string,batch:bigint>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        full = (s["used"] > 0) & (s["used"] + x["chunks"] > most)
-        batch = F.when(full, s["batch"] + 1).otherwise(s["batch"])
-        used = F.when(full, x["chunks"]).otherwise(s["used"] + x["chunks"])
-        return F.struct(used.alias("used"), batch.alias("batch"), F.concat(s["out"], F.array(F.struct(x["path"].alias("path"), batch.alias("batch")))).alias("out"))
-
-    packed = lists.select("range", F.explode(F.aggregate("all", start, step, lambda s: s["out"])).alias("x"))
-    return packed.select("x.path", F.concat_ws("-", "range", F.col("x.batch").cast("string")).alias("batch"))
+    spark = files.sparkSession
+    ranged = files.where("chunks > 0").select("path", F.col("chunks").cast("long").alias("chunks")).repartitionByRange("path").sortWithinPartitions("path")
+    ranged = written(spark, ranged.withColumn("range", F.spark_partition_id()))
+
+    def table_of(rows: pd.DataFrame) -> pd.DataFrame:
+        used, begun, _ = folded(rows.sort_values("path")["chunks"].to_numpy(), np.arange(most + 1), most)
+        return pd.DataFrame({"range": [int(rows["range"].iloc[0])], "used": [used.tolist()], "begun": [begun.tolist()]})
+
+    tables = ranged.groupBy("range").applyInPandas(table_of, "range int, used array<long>, begun array<long>").orderBy("range").collect()  # a row for each range
+    used, batch, starts = 0, 0, []
+    for t in tables:
+        starts.append((t["range"], used, batch))
+        batch += t["begun"][used]
+        used = t["used"][used]
+    begin = spark.createDataFrame(starts, "range int, used long, first long")
+
+    def place(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("path")
+        of = folded(rows["chunks"].to_numpy(), rows["used"].to_numpy()[:1], most)[2]
+        return pd.DataFrame({"path": rows["path"], "batch": of + rows["first"].iloc[0]})
+
+    return ranged.join(F.broadcast(begin), "range").groupBy("range").applyInPandas(place, "path string, batch long")
 
 
 def packed_prompt(sources: DataFrame, budget: int, by: str = "query_id") -> DataFrame:

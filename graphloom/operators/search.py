@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphloom.functions import text as fn
+from graphloom.operators.graph import owners
+
 
 def ranked(entity: DataFrame, query: str | None, kinds: tuple[str, ...] = (), n: int = 20) -> DataFrame:
     """Entities whose name or qualified name holds the query, whatever the case: equal names first, then those that begin so."""
@@ -52,3 +55,38 @@ def details(entity: DataFrame, measured: DataFrame, edge: DataFrame) -> DataFram
     out, into = (edge.groupBy(F.col(c).alias("id")).agg(F.count("*").alias(n)) for c, n in (("src", "n_out"), ("dst", "n_in")))
     rows = entity.join(measured.select("id", "risk"), "id", "left").join(parent, "parent_id", "left").join(members, "id", "left").join(out, "id", "left").join(into, "id", "left")
     return rows.select("id", "kind", F.coalesce("risk", F.lit(0.0)).alias("risk"), "parent_name", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("members", "n_out", "n_in")))
+
+
+def summaries(entity: DataFrame, measured: DataFrame, asked: DataFrame) -> DataFrame:
+    """place, id, name, label, kind, role (its own, or its owner's), risk (null without a metric) of the entities asked for
+    (place, id), in whatever order they were asked; unknown ids drop out."""
+    own = owners(entity).join(entity.select(F.col("id").alias("owner_id"), F.col("stereotype").alias("owner_role")), "owner_id", "left")
+    rows = asked.select("place", "id").join(entity.select("id", "name", "qualified_name", "kind", "stereotype"), "id").join(own, "id").join(measured.select("id", "risk"), "id", "left")
+    role = F.when(F.col("owner_id").isNotNull(), F.col("owner_role")).otherwise(F.col("stereotype"))
+    return rows.select("place", "id", "name", fn.label("qualified_name", "kind", "name").alias("label"), "kind", role.alias("role"), "risk")
+
+
+def by_name(entity: DataFrame, asked: DataFrame) -> DataFrame:
+    """Entities by qualified name (asked: qualified_name)."""
+    return entity.join(asked.select("qualified_name").distinct(), "qualified_name", "left_semi")
+
+
+def children(entity: DataFrame, asked: DataFrame) -> DataFrame:
+    """parent_id, place, id, name: the direct members of the entities asked for (id), by line, then id."""
+    mine = entity.join(asked.select(F.col("id").alias("parent_id")).distinct(), "parent_id", "left_semi")
+    return mine.select("parent_id", F.row_number().over(Window.partitionBy("parent_id").orderBy(F.col("start_line").asc_nulls_last(), "id")).alias("place"), "id", "name")
+
+
+def linked(hits: DataFrame, entity: DataFrame) -> DataFrame:
+    """hits with entity_id: the entity of a hit's qualified name, null where there is none (any more)."""
+    return hits.join(entity.select("qualified_name", F.col("id").alias("entity_id")), "qualified_name", "left")
+
+
+def focused(entity: DataFrame, shown: DataFrame, asked: DataFrame) -> DataFrame:
+    """id, focus: where a view of the entities shown (id) centres for each one asked for: itself, or else the type that it
+    belongs to; those with neither drop out."""
+    there = shown.select(F.col("id").alias("focus")).distinct()
+    own = asked.select("id").distinct().join(owners(entity), "id")
+    itself = own.join(there, F.col("id") == F.col("focus")).select("id", "focus")
+    above = own.join(itself, "id", "left_anti").join(there, F.col("owner_id") == F.col("focus")).select("id", "focus")
+    return itself.unionByName(above)

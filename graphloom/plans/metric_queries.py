@@ -128,9 +128,10 @@ def impact_affected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _affected(spark, sf_dir)[3]
 
 
-@query(f"{AFFECTED_SQL} SELECT coalesce(role, 'OTHER') AS role, count(DISTINCT owner_id) AS owners FROM affected WHERE NOT test GROUP BY 1")
+@query(f"{AFFECTED_SQL} SELECT coalesce(role, 'OTHER') AS role, count(DISTINCT owner_id) AS owners FROM affected WHERE NOT test AND owner_id NOT IN (SELECT id FROM seed) GROUP BY 1")
 def impact_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return impact.by_role(_affected(spark, sf_dir)[3])
+    _, _, seeds, rows = _affected(spark, sf_dir)
+    return impact.by_role(rows, seeds)
 
 
 @query(f"{AFFECTED_SQL} SELECT a.*, e.name FROM affected a JOIN entity e USING (id) WHERE NOT test ORDER BY a.depth, e.name, a.id LIMIT 50")
@@ -141,10 +142,11 @@ def impact_first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query(f"""{AFFECTED_SQL}, own AS (SELECT coalesce(sum(CASE WHEN kind IN ('METHOD', 'CONSTRUCTOR') THEN complexity END), 0)::BIGINT AS complexity, coalesce(bool_or(kind = 'ENDPOINT' OR coalesce(stereotype, '') = 'CONTROLLER'), false) AS api FROM entity WHERE id IN (SELECT id FROM seed)),
+@query(f"""{AFFECTED_SQL}, own AS (SELECT (SELECT coalesce(sum(complexity), 0)::BIGINT FROM entity WHERE {SEED_SQL}) AS complexity, coalesce(bool_or(e.kind = 'ENDPOINT' OR coalesce(o.stereotype, '') = 'CONTROLLER'), false) AS api
+    FROM entity e LEFT JOIN entity o ON o.id = coalesce(e.parent_id, e.id) WHERE e.id IN (SELECT id FROM seed)),
 facts AS (SELECT count_if(depth = 1)::BIGINT AS direct, count(*) AS total, coalesce(max(depth), 0)::BIGINT AS max_depth, count_if(kind = 'ENDPOINT')::BIGINT AS endpoints, array_to_string(list_sort(list(DISTINCT module)), ',') AS modules, count(DISTINCT package_name) AS packages FROM affected WHERE NOT test),
 nt AS (SELECT count(DISTINCT owner_id) AS tests FROM affected WHERE test),
-cp AS (SELECT count(*)::BIGINT AS coupling FROM (SELECT DISTINCT 'out', dst FROM edge WHERE src IN (SELECT id FROM seed) AND dst NOT IN (SELECT id FROM seed) UNION ALL SELECT DISTINCT 'in', src FROM edge WHERE dst IN (SELECT id FROM seed) AND src NOT IN (SELECT id FROM seed))),
+cp AS (SELECT count(*)::BIGINT AS coupling FROM (SELECT dst FROM edge WHERE src IN (SELECT id FROM seed) AND dst NOT IN (SELECT id FROM seed) UNION SELECT src FROM edge WHERE dst IN (SELECT id FROM seed) AND src NOT IN (SELECT id FROM seed))),
 one AS (SELECT *, api OR endpoints > 0 AS exposed FROM facts, nt, cp, own),
 s AS (SELECT *, {risk_sql(norm_sql("total", "100::BIGINT"), norm_sql("max_depth", "10::BIGINT"), norm_sql("coupling", "50::BIGINT"), norm_sql("complexity", "1000::BIGINT"), "CASE WHEN exposed THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END")} AS risk FROM one)
 SELECT direct, total, max_depth, endpoints, modules, packages, tests, coupling, complexity, exposed, risk, CASE WHEN risk >= 60 THEN 'HIGH' WHEN risk >= 30 THEN 'MEDIUM' ELSE 'LOW' END AS level, total > 500 AS truncated FROM s""")
@@ -152,4 +154,4 @@ def impact_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     entity, edge = both(spark, sf_dir)
     seeds = impact.seeds_of_entity(entity, entity.where(SEED))
     top = spark.range(1).selectExpr("100L max_dependents", "10L max_depth", "50L max_coupling", "1000L max_complexity")
-    return impact.summary(spark, entity, edge, seeds, top)
+    return impact.summary(spark, entity, edge, seeds, top, entity.where(SEED))

@@ -15,7 +15,7 @@ QUERIES, ORACLES, query = registry()
 RUNS = f"WITH {adapters.RUNS_SQL}"
 LAST_DAY = "2024-01-30"
 DAYS_SQL = f"""{RUNS}, spine AS (SELECT unnest(generate_series(DATE '{LAST_DAY}' - 13, DATE '{LAST_DAY}', INTERVAL 1 DAY))::DATE AS day),
-d AS (SELECT coalesce(finished_at, started_at)::DATE AS day, count_if(status = 'SUCCESS')::BIGINT AS ok, count_if(status = 'FAILED')::BIGINT AS failed, floor(avg(CASE WHEN status = 'SUCCESS' THEN duration_ms END))::BIGINT AS avg_ms FROM runs GROUP BY 1),
+d AS (SELECT started_at::DATE AS day, count_if(status = 'SUCCESS')::BIGINT AS ok, count_if(status = 'FAILED')::BIGINT AS failed, floor(avg(duration_ms) + 0.5::DOUBLE)::BIGINT AS avg_ms FROM runs GROUP BY 1),
 days AS (SELECT s.day, coalesce(d.ok, 0)::BIGINT AS ok, coalesce(d.failed, 0)::BIGINT AS failed, d.avg_ms FROM spine s LEFT JOIN d USING (day))"""
 
 
@@ -51,7 +51,7 @@ def kpi_activity_14d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kpi.activity(adapters.runs(spark, sf_dir), LAST_DAY)
 
 
-@query(f"{DAYS_SQL} SELECT (sum(avg_ms * ok) // sum(ok))::BIGINT AS mean_ms FROM days WHERE avg_ms IS NOT NULL AND ok > 0")
+@query(f"{DAYS_SQL} SELECT CASE WHEN sum(ok + failed) > 0 THEN (sum(avg_ms * (ok + failed)) // sum(ok + failed))::BIGINT END AS mean_ms FROM days WHERE avg_ms IS NOT NULL")
 def kpi_weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kpi.weighted_mean(kpi.activity(adapters.runs(spark, sf_dir), LAST_DAY))
 
@@ -63,6 +63,26 @@ def kpi_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kpi.totals(runs.groupBy("project_id").agg(F.count("*").alias("n")), kpi.last_runs(runs))
 
 
+@query(f"""{DAYS_SQL}, last_run AS (SELECT project_id, status FROM runs QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY started_at DESC, run_id DESC) = 1),
+seen AS (SELECT user_id AS project_id, count(*) AS files, sum(floor(value))::BIGINT AS loc, count_if(event_type = 'click')::BIGINT AS types, count_if(event_type = 'view')::BIGINT AS methods, count_if(event_type = 'purchase')::BIGINT AS endpoints,
+    count_if(event_type = 'error')::BIGINT AS tests, count(DISTINCT event_type) AS edges, count_if(value >= 50)::BIGINT AS high, count_if(value >= 20 AND value < 50)::BIGINT AS medium, count_if(value < 20)::BIGINT AS low FROM events GROUP BY 1)
+SELECT count(*) AS projects, count_if(status = 'SUCCESS')::BIGINT AS ready, count_if(status = 'RUNNING')::BIGINT AS analyzing, count_if(status = 'FAILED')::BIGINT AS failed, sum(files)::BIGINT AS files, sum(loc)::BIGINT AS loc, sum(types)::BIGINT AS types,
+    sum(methods)::BIGINT AS methods, sum(endpoints)::BIGINT AS endpoints, sum(tests)::BIGINT AS tests, sum(edges)::BIGINT AS edges, sum(high)::BIGINT AS high, sum(medium)::BIGINT AS medium, sum(low)::BIGINT AS low, (SELECT sum(ok + failed)::BIGINT FROM days) AS runs,
+    (SELECT sum(failed)::BIGINT FROM days) AS failed_runs, (SELECT (sum(avg_ms * (ok + failed)) // sum(ok + failed))::BIGINT FROM days WHERE avg_ms IS NOT NULL) AS mean_ms FROM seen LEFT JOIN last_run USING (project_id)""")
+def kpi_portfolio_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users are projects: what they did stands for their figures."""
+    kind, value = F.col("event_type"), F.col("value")
+    n = lambda c: F.count_if(c)
+    seen = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("project_id")).agg(
+        F.count("*").alias("files"), F.sum(F.floor("value")).alias("loc"), n(kind == "click").alias("types"), n(kind == "view").alias("methods"), n(kind == "purchase").alias("endpoints"), n(kind == "error").alias("tests"), F.count_distinct("event_type").alias("edges"),
+        n(value >= 50).alias("high"), n((value >= 20) & (value < 50)).alias("medium"), n(value < 20).alias("low"),
+    )
+    runs = adapters.runs(spark, sf_dir)
+    state = F.when(F.col("status") == "SUCCESS", "READY").otherwise(F.col("status"))
+    rows = seen.join(kpi.last_runs(runs).select("project_id", "status"), "project_id", "left").withColumn("analyzing", F.coalesce(F.col("status") == "RUNNING", F.lit(False))).withColumn("status", state)
+    return kpi.portfolio_totals(rows, kpi.activity(runs, LAST_DAY))
+
+
 @query(f"""{RUNS}, o AS (SELECT *, lag(duration_ms) OVER (PARTITION BY project_id ORDER BY started_at, run_id) AS before FROM runs WHERE status = 'SUCCESS')
 SELECT project_id, duration_ms, duration_ms - before AS change FROM o QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY started_at DESC, run_id DESC) = 1""")
 def kpi_run_change(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,21 +130,21 @@ def search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{WITH}, r AS (SELECT src AS id, 'out' AS way, type, dst AS other FROM edge UNION ALL SELECT dst, 'in', type, src FROM edge),
-p AS (SELECT r.*, row_number() OVER (PARTITION BY r.id, way ORDER BY type, e.name, other) AS place FROM r JOIN entity e ON e.id = r.other) SELECT id, way, type, other, place::INT AS place FROM p WHERE place <= 3""")
+p AS (SELECT r.*, row_number() OVER (PARTITION BY r.id, way ORDER BY type, e.name, other) AS place FROM r JOIN entity e ON e.id = r.other) SELECT id, way, type, other, place::INT AS place FROM p WHERE place <= 200""")
 def relations_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.relations(*both(spark, sf_dir), 3)
+    return search.relations(*both(spark, sf_dir), 200)
 
 
-@query(f"{WITH} SELECT type, 'out' AS way, count(*) AS n FROM edge WHERE src % 7 = 0 GROUP BY 1 UNION ALL SELECT type, 'in', count(*) FROM edge WHERE dst % 7 = 0 GROUP BY 1")
+@query(f"{WITH} SELECT type, 'out' AS way, count(*) AS n FROM edge GROUP BY 1 UNION ALL SELECT type, 'in', count(*) FROM edge GROUP BY 1")
 def relation_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     entity, edge = both(spark, sf_dir)
-    return search.relation_groups(edge, entity.where("id % 7 = 0"))
+    return search.relation_groups(edge, entity)
 
 
 @query(f"""{WITH}, n AS (SELECT src AS id, list_sort(list(DISTINCT e.name)) AS a FROM edge JOIN entity e ON dst = e.id GROUP BY src)
-SELECT id, array_to_string(a[1:2], ', ') || CASE WHEN len(a) > 2 THEN ', … and ' || (len(a) - 2) || ' more' ELSE '' END AS labels FROM n""")
+SELECT id, array_to_string(a[1:12], ', ') || CASE WHEN len(a) > 12 THEN ', … and ' || (len(a) - 12) || ' more' ELSE '' END AS labels FROM n""")
 def neighbor_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.neighbour_labels(*both(spark, sf_dir), 2)
+    return search.neighbour_labels(*both(spark, sf_dir), 12)
 
 
 @query(f"""{WITH}, m AS (SELECT parent_id AS id, count(*) AS n FROM entity WHERE parent_id IS NOT NULL GROUP BY 1), o AS (SELECT src AS id, count(*) AS n FROM edge GROUP BY 1), i AS (SELECT dst AS id, count(*) AS n FROM edge GROUP BY 1)

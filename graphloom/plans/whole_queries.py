@@ -100,18 +100,18 @@ def neighborhood_view_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.neighbourhood(spark, entity, edge, risk, entity.where(STATED), 2)
 
 
-@query(stated_sql("relations_topn", ("place <= 3", "place <= 200")))
+@query(stated_sql("relations_topn"))
 def relations_topn_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.relations(*all_both(spark, sf_dir))
 
 
-@query(stated_sql("relation_groups", (" WHERE src % 7 = 0", ""), (" WHERE dst % 7 = 0", "")))
+@query(stated_sql("relation_groups"))
 def relation_groups_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     entity, edge = all_both(spark, sf_dir)
     return search.relation_groups(edge, entity)
 
 
-@query(stated_sql("neighbor_labels", ("a[1:2]", "a[1:12]"), ("len(a) > 2", "len(a) > 12"), ("len(a) - 2", "len(a) - 12")))
+@query(stated_sql("neighbor_labels"))
 def neighbor_labels_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.neighbour_labels(*all_both(spark, sf_dir))
 
@@ -135,7 +135,8 @@ def impact_affected_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(stated_sql("impact_by_role", SEEDS))
 def impact_by_role_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return impact.by_role(impact_affected_whole(spark, sf_dir))
+    entity, edge, seeds = _stated_impact(spark, sf_dir)
+    return impact.by_role(impact.affected(spark, entity, edge, seeds), seeds)
 
 
 @query(stated_sql("impact_first_rows", SEEDS, ("LIMIT 50", "LIMIT 500")))
@@ -146,4 +147,5 @@ def impact_first_rows_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(stated_sql("impact_summary", SEEDS))
 def impact_summary_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = spark.range(1).selectExpr("100L max_dependents", "10L max_depth", "50L max_coupling", "1000L max_complexity")
-    return impact.summary(spark, *_stated_impact(spark, sf_dir), top)
+    entity, edge, seeds = _stated_impact(spark, sf_dir)
+    return impact.summary(spark, entity, edge, seeds, top, entity.where(STATED))
