@@ -27,7 +27,7 @@ from graphloom.llm.blocks import groups, in_blocks, least_labels
 from graphloom.llm.common import written
 from graphloom.llm.components import components
 
-THRESHOLD, BLOCK, ERRORS, SEED = 0.93, 512, 6.0, 7
+THRESHOLD, BLOCK, ERRORS, SEED = 0.93, 1024, 6.0, 7
 _rotations: dict[tuple[int, int], np.ndarray] = {}
 
 
@@ -101,12 +101,13 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = THR
     e = F.col("embedding")
     sound = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0) & F.col("label").isNotNull()
     rows = vectors.select("vec_id", "label", "embedding", F.coalesce(sound, F.lit(False)).alias("sound"))
-    rows = rows.withColumn("set", F.when(F.col("sound"), F.xxhash64("label", "embedding", F.size("embedding"))))
-    rows = rows.withColumn("alone", ~F.col("sound")).select("vec_id", "set", "label", "embedding")
-    sets = rows.where(F.col("set").isNotNull()).groupBy("set").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
+    same = ("h1", "h2")  # 128 bits
+    hashes = (F.xxhash64("label", "embedding", F.size("embedding")), F.xxhash64(F.lit(1), "embedding", "label"))
+    rows = rows.select("vec_id", *(F.when(F.col("sound"), h).alias(c) for c, h in zip(same, hashes, strict=True)), "label", "embedding")
+    sets = rows.where("h1 is not null").groupBy(*same).agg(F.count("*").alias("copies"), F.min("vec_id").alias("first"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
     sets = sets.withColumn("d", F.size("embedding"))
     kinds = ", ".join(f"{c} {t}" for c, t in sets.dtypes)
-    sets = written(spark, sets.mapInArrow(_encoded, f"{kinds}, code binary, factor double"))
+    sets = written(spark, sets.mapInArrow(_encoded, f"{kinds}, code binary, factor double").withColumn("set", F.monotonically_increasing_id()))  # as written, ids no longer change
     sizes = sets.groupBy("label", "d").agg(F.count("*").alias("n"))
     cut = in_blocks(sets.join(sizes, ["label", "d"]).withColumn("group", F.xxhash64("label", "d")), "group", "n", block, "set")
     cut = cut.select("task", "set", "copies", "side", "embedding", "code", "factor")
@@ -116,6 +117,6 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = THR
     of_set = sets.select("set", "copies", "first").join(links, "set", "left").join(labels, "set", "left").withColumn("part", F.coalesce("part", "set"))
     of_set = of_set.join(of_set.groupBy("part").agg(F.min("first").alias("component")), "part")
     of_set = of_set.select("set", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "component")
-    out = rows.select("vec_id", "set").join(of_set, "set", "left")
-    component = F.when(F.col("set").isNull(), F.col("vec_id")).otherwise(F.col("component"))
+    out = rows.select("vec_id", *same).join(sets.select("set", *same).join(of_set, "set"), list(same), "left")
+    component = F.when(F.col("h1").isNull(), F.col("vec_id")).otherwise(F.col("component"))
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -8,8 +8,9 @@ one child of each node it shares, pairs below die out. Buckets small enough are
 the last level in blocks. Runs are repeated until a pair at the threshold is met with the target recall.
 
 What the buckets link (by the tokens, with a margin of four standard errors) forms clusters; inside these the whole
-shingle sets are compared exactly, in blocks of members against blocks, each pair once. No pairs are emitted: a block
-gives counts of links and a spanning forest.
+shingle sets are compared exactly, in blocks of members against blocks, each pair once. What goes through the blocks is
+not the sets but in what each differs from one set of its cluster, so near copies of long texts are a few shingles each.
+No pairs are emitted: a block gives counts of links and a spanning forest.
 
 Texts with one to four words have one shingle, all their words. Null texts and texts without words have none: they link
 with nothing and are classes of their own. Rows equal in id and text are copies of one another. Empty tables give empty
@@ -28,12 +29,14 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import textarrays as ta
 from graphloom.llm.blocks import groups, in_blocks, least_labels
-from graphloom.llm.common import bounded, row_key, written
+from graphloom.llm.common import bounded, row_key, unused, written
 from graphloom.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
 TOKENS, LEVELS, RECALL = 128, 3, 0.9999
-SMALL, BLOCK, EXACT_BLOCK = 64, 2048, 128
+SMALL, BLOCK, EXACT_BLOCK = 64, 2048, 512
+#: Members of a cluster that meet one copy of its base.
+SPREAD = 1024
 _FACTORS = np.random.default_rng(42).integers(1, 1 << 32, (2, TOKENS), dtype=np.uint32)
 _FACTORS[0] |= 1
 
@@ -84,30 +87,31 @@ def fixed(matrix: np.ndarray) -> pa.Array:
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """did, rk, set (hash of the shingle set; null if it is empty), n_shingles, sketch."""
+    """did, rk, h1, h2 (hashes of the shingle set; null if it is empty), n_shingles, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, off in ta.slices(batch.column("text")):
                 elements, at = shingle_sets(data, off, k)
                 full = np.flatnonzero(np.diff(at) > 0)
-                ids = np.zeros(hi - lo, np.uint64)
+                ids = np.zeros((2, hi - lo), np.uint64)
                 marks = np.zeros((hi - lo, 0), np.uint32)
                 sketch = pa.nulls(hi - lo, pa.binary())
                 if len(full):
                     begin = at[:-1][full]
-                    ids[full] = ta.mix(np.add.reduceat(ta.mix(elements ^ np.uint64(0xA5A5A5A5A5A5A5A5)), begin) + np.diff(at)[full].astype(np.uint64))
+                    for i, salt in enumerate((0xA5A5A5A5A5A5A5A5, 0x3C6EF372FE94F82B)):
+                        ids[i, full] = ta.mix(np.add.reduceat(ta.mix(elements ^ np.uint64(salt)), begin) + np.diff(at)[full].astype(np.uint64))
                     marks = sketches(elements, np.concatenate([begin, at[-1:]]))
                     place = np.full(hi - lo, -1)
                     place[full] = np.arange(len(full))
                     sketch = fixed(marks).take(pa.array(place, mask=place < 0))
                 empty = np.diff(at) == 0
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("did").slice(lo, hi - lo), batch.column("rk").slice(lo, hi - lo), pa.array(ids.view(np.int64), mask=empty), pa.array(np.diff(at)), sketch],
-                    names=["did", "rk", "set", "n_shingles", "sketch"],
+                    [batch.column("did").slice(lo, hi - lo), batch.column("rk").slice(lo, hi - lo), *(pa.array(x.view(np.int64), mask=empty) for x in ids), pa.array(np.diff(at)), sketch],
+                    names=["did", "rk", "h1", "h2", "n_shingles", "sketch"],
                 )
 
-    return docs.select(*row_key(docs, "doc_id", "text"), "text").mapInArrow(run, "did long, rk long, set long, n_shingles long, sketch binary")
+    return docs.select(*row_key(docs, "doc_id", "text"), "text").mapInArrow(run, "did long, rk long, h1 long, h2 long, n_shingles long, sketch binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -190,6 +194,19 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each set (elements) what it lacks of its cluster's base and what it has besides."""
+    kept = ("set", "cluster", "n", "copies")
+    for batch in batches:
+        out: list[list] = [[], [], []]
+        for x, y in zip(batch.column("elements").to_pylist(), batch.column("base").to_pylist(), strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            out[0].append(len(y))
+            out[1].append(np.setdiff1d(y, x, assume_unique=True).tobytes())
+            out[2].append(np.setdiff1d(x, y, assume_unique=True).tobytes())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.binary()), strict=True))], names=[*kept, "base", "lacks", "more"])
+
+
 def _exact(similarity: float) -> Callable:
     """Of each member of a block pair: links (documents linked with) and the least set reached through the pair."""
 
@@ -197,10 +214,11 @@ def _exact(similarity: float) -> Callable:
         for group in groups(batches, "task"):
             ids, copies, side = (group.column(c).to_numpy() for c in ("set", "copies", "side"))
             _, order = np.unique(ids, return_index=True)  # rows equal in id and text come once each
-            elements = [np.frombuffer(x, np.uint64) for x in group.column("elements").to_pylist()]
-            elements = [elements[i] for i in order]
             ids, copies, side = ids[order], copies[order], side[order]
-            both, size = overlaps(elements), np.array([len(x) for x in elements], np.float64)
+            base = group.column("base")[0].as_py()  # a task has one cluster's members
+            lacks, more = ([np.frombuffer(x[i], np.uint64) for i in order] for x in (group.column("lacks").to_pylist(), group.column("more").to_pylist()))
+            n_lacks, n_more = (np.array([len(x) for x in y], np.float64) for y in (lacks, more))
+            both, size = base - n_lacks[:, None] - n_lacks[None, :] + overlaps(lacks) + overlaps(more), base - n_lacks + n_more
             linked = both >= similarity * (size[:, None] + size[None, :] - both) - 1e-9
             linked &= (side[:, None] == 2) | (side[:, None] != side[None, :])
             linked[np.arange(len(ids)), np.arange(len(ids))] = False
@@ -217,8 +235,9 @@ def join(
     kept holds for one row of each class; rk tells apart rows with the same id.
     """
     members = written(spark, _sets(docs, words))
-    whole = members.where(F.col("set").isNotNull())
-    sets = written(spark, whole.groupBy("set").agg(F.count("*").alias("copies"), F.min(F.struct("did", "rk")).alias("first"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles")))
+    same_set = ["h1", "h2", "n_shingles"]
+    sets = members.where("h1 is not null").groupBy(*same_set).agg(F.count("*").alias("copies"), F.min(F.struct("did", "rk")).alias("first"), F.first("sketch").alias("sketch"))
+    sets = written(spark, sets.withColumn("set", F.monotonically_increasing_id()))  # as written, ids no longer change
     tokens = sets.select("set", "sketch")
     nodes = tokens.mapInArrow(_roots(runs_for(recall, levels), similarity), "key long, set long")
     tasks = []
@@ -253,7 +272,12 @@ def join(
     texts = docs.select(*row_key(docs, "doc_id", "text"), "text")
     texts = texts.join(bounded(asked, 2), (F.col("did") == F.col("did_")) & (F.col("rk") == F.col("rk_"))).select("set", "cluster", "n", "copies", "text")
     texts = written(spark, texts.mapInArrow(fetch, "set long, cluster long, n long, copies long, elements binary"))
-    exact = in_blocks(texts, "cluster", "n", exact_block, "set").select("task", "set", "copies", "side", "elements")
+    # a cluster is named by its least set: that is the base, in as many copies as keep its members spread
+    spread = F.ceil(F.col("n") / SPREAD).cast("int")
+    bases = texts.where("set = cluster").dropDuplicates(["set"]).select("cluster", F.col("elements").alias("base"), F.explode(F.sequence(F.lit(0), spread - 1)).alias("part"))
+    apart = texts.withColumn("part", F.pmod(F.xxhash64("set"), spread).cast("int")).join(bases.hint("merge"), ["cluster", "part"])
+    apart = written(spark, apart.mapInArrow(_differences, "set long, cluster long, n long, copies long, base long, lacks binary, more binary"))
+    exact = in_blocks(apart, "cluster", "n", exact_block, "set").select("task", "set", "copies", "side", "base", "lacks", "more")
     exact = written(spark, exact.repartition("task").sortWithinPartitions("task").mapInArrow(_exact(similarity), "set long, links long, root long"))
     links = exact.groupBy("set").agg(F.sum("links").alias("links"))
     classes = components(spark, exact.where("links > 0").select(F.col("root").alias("a"), F.col("set").alias("b")).distinct()).withColumnsRenamed({"id": "set"})
@@ -261,7 +285,8 @@ def join(
     of_set = of_set.withColumn("label", F.coalesce("label", "set"))
     least = of_set.groupBy("label").agg(F.min("first").alias("least"))
     of_set = of_set.join(least, "label").select("set", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "least")
-    out = members.select("did", "rk", "set", "n_shingles").join(of_set, "set", "left")
+    of_set = of_set.join(sets.select("set", *(F.col(c).alias(f"{c}_") for c in same_set)), "set")
+    out = members.select("did", "rk", *same_set).join(of_set, [F.col(c) == F.col(f"{c}_") for c in same_set], "left")
     me = F.struct("did", "rk")
     least = F.coalesce("least", me)
     no_id = F.lit(-(2**63))
@@ -273,13 +298,13 @@ def join(
 
 def keep_one(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each class: the least id; rows that are equal in id and text count once."""
-    rows = written(spark, join(spark, docs, **options).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("did_"), F.col("rk").alias("rk_"), "kept"))
-    twice = written(spark, rows.where("kept").groupBy("did_", "rk_").agg(F.count("*").alias("n")).where("n > 1").select("did_", "rk_"))
-    gone = written(spark, rows.where("not kept").select("did_", "rk_").distinct().unionByName(twice))
-    did, rk = row_key(docs, "doc_id", "text")
-    keyed = docs.withColumns({"did_d": did, "rk_d": rk})
-    same = (F.col("did_d") == F.col("did_")) & (F.col("rk_d") == F.col("rk_"))
+    did_, rk_, did, rk = unused(docs, "did_", "rk_", "did", "rk")
+    rows = written(spark, join(spark, docs, **options).select(F.coalesce("doc_id", F.lit(-(2**63))).alias(did_), F.col("rk").alias(rk_), "kept"))
+    twice = written(spark, rows.where("kept").groupBy(did_, rk_).agg(F.count("*").alias("n")).where("n > 1").select(did_, rk_))
+    gone = written(spark, rows.where("not kept").select(did_, rk_).distinct().unionByName(twice))
+    keyed = docs.withColumns(dict(zip((did, rk), row_key(docs, "doc_id", "text"), strict=True)))
+    same = (F.col(did) == F.col(did_)) & (F.col(rk) == F.col(rk_))
     out = keyed.join(bounded(gone, 1), same, "left_anti")
     if not twice.isEmpty():
-        out = out.unionByName(keyed.join(bounded(twice, 1), same, "left_semi").dropDuplicates(["did_d", "rk_d"]))
+        out = out.unionByName(keyed.join(bounded(twice, 1), same, "left_semi").dropDuplicates([did, rk]))
     return out.select(*docs.columns)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.llm.common import WORD, written
+from graphloom.llm.common import WORD, unused, written
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
@@ -106,15 +106,17 @@ def mixed(docs: DataFrame, taken: DataFrame) -> DataFrame:
     taken: rk, taken of each row of docs; rows equal in id and text have what those rows have, in turn. Cut texts have a
     space between words. n_chars, where there is one, follows the text.
     """
-    amounts = taken.where("taken > 0").groupBy(F.col("rk").alias("_rk")).agg(F.sort_array(F.collect_list("taken"), asc=False).alias("_all"))
-    out = docs.withColumn("_rk", F.xxhash64("doc_id", "text")).join(amounts, "_rk")
-    out = out.withColumn("_turn", F.row_number().over(Window.partitionBy("_rk").orderBy(F.lit(0))))
-    out = out.where(F.col("_turn") <= F.size("_all")).withColumn("_taken", F.expr("_all[_turn - 1]")).withColumn("_size", n_words())
-    out = out.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size")))))
-    left = F.col("_taken") - (F.col("_time") - 1) * F.col("_size")
+    own = dict(zip(names := ("rk", "all", "turn", "taken", "size", "time", "text"), unused(docs, *(f"_{c}" for c in names)), strict=True))
+    rk, all_, turn, taken_, size, time, cut = (F.col(own[c]) for c in names)
+    amounts = taken.where("taken > 0").groupBy(F.col("rk").alias(own["rk"])).agg(F.sort_array(F.collect_list("taken"), asc=False).alias(own["all"]))
+    out = docs.withColumn(own["rk"], F.xxhash64("doc_id", "text")).join(amounts, own["rk"])
+    out = out.withColumn(own["turn"], F.row_number().over(Window.partitionBy(own["rk"]).orderBy(F.lit(0))))
+    out = out.where(turn <= F.size(all_)).withColumn(own["taken"], F.element_at(all_, turn)).withColumn(own["size"], n_words())
+    out = out.withColumn(own["time"], F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(taken_ / size))))
+    left = taken_ - (time - 1) * size
     first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), left.cast("int")), " ")
-    out = out.withColumn("_text", F.when(left >= F.col("_size"), F.col("text")).otherwise(first))
-    new = {"text": F.col("_text"), "n_chars": F.char_length("_text").cast("long")}
+    out = out.withColumn(own["text"], F.when(left >= size, F.col("text")).otherwise(first))
+    new = {"text": cut, "n_chars": F.char_length(cut).cast("long")}
     return out.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
 
 

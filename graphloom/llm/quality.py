@@ -175,5 +175,8 @@ def judge(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of docs that `judge` keeps, all columns as they are."""
     votes = F.array(*rules().values()).cast("array<int>")
-    odds = log_odds(features(docs.select("text")).select(votes.alias("votes")), list(rules("_q_").values()))
-    return features(docs, "_q_", True).where(~failed("_q_") & (odds >= 0)).select(*docs.columns)
+    prefix = "_q"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    odds = log_odds(features(docs.select("text")).select(votes.alias("votes")), list(rules(prefix).values()))
+    return features(docs, prefix, True).where(~failed(prefix) & (odds >= 0)).select(*docs.columns)
