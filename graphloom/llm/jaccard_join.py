@@ -173,7 +173,10 @@ def _candidates(least: float) -> Callable:
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """How many elements each two sets share."""
-    n, size = len(sets), np.array([len(s) for s in sets])
+    n, size = len(sets), np.array([len(s) for s in sets], np.int64)
+    out = np.zeros((n, n), np.float64)
+    if not size.any():
+        return out
     owner, every = np.repeat(np.arange(n), size), np.concatenate(sets)
     order = np.argsort(every, kind="stable")
     every, owner = every[order], owner[order]
@@ -182,7 +185,6 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     many = np.bincount(column)
     keep = many[column] > 1
     owner, column = owner[keep], column[keep]
-    out = np.zeros((n, n), np.float64)
     if len(column):
         column = np.unique(column, return_inverse=True)[1]
         for lo in range(0, int(column[-1]) + 1, 8192):

@@ -103,3 +103,9 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40) if i % 10 != 9] + [(100, 0), (7, 7), (500, 500)]
     got = {r.id: r.label for r in components(spark, spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: i // 10 * 10 for i in range(40)}, 100: 0, 500: 500, 40: 40} or got == {**{i: i // 10 * 10 for i in range(40)}, 100: 0, 500: 500}
+
+
+def test_overlaps_of_nothing():
+    none = np.zeros(0, np.uint64)
+    assert jaccard_join.overlaps([none, none]).tolist() == [[0, 0], [0, 0]]
+    assert jaccard_join.overlaps([none, np.array([3, 5], np.uint64)]).tolist() == [[0, 0], [0, 2]]
