@@ -23,7 +23,7 @@ from graphloom.llm.common import bounded, row_key, written
 
 #: Positions in a slice fit in so many bits beside the hash that orders anchors.
 INDEX_BITS = 24
-CHUNK = 1 << 20
+CHUNK = 1 << 16
 OCCURRENCE = "did long, rk long, starts binary, times int, first long, last long, n_windows int, mh long, ch long"
 #: Of a kind (mh, ch), the symbols of one of its places; report: the place that the index answers for, not the witness.
 CONTENT = "mh long, ch long, n_windows int, report boolean, anchor int, symbols binary"
@@ -277,17 +277,19 @@ def repeated(
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The symbols of the places asked for, document by document."""
+        width = 1 if unit == "byte" else 8
         for batch in batches:
-            for raw, asked in zip(unpacked(batch.column("text")), batch.column("asked").to_pylist(), strict=True):
-                data = np.frombuffer(raw, np.uint8)
-                symbols = data if unit == "byte" else symbols_of(unit, data, np.array([0, len(data)]))[0]
-                cols: list[list] = [[], [], [], [], [], []]
-                for a in asked:
-                    s, m = a["start"], a["n_windows"]
-                    for c, v in zip(cols, (a["mh"], a["ch"], m, a["report"], -1, symbols[s : s + m + length - 1].tobytes()), strict=True):
-                        c.append(v)
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in CONTENT.split(", ")])
+            asked = batch.column("asked")
+            off, each = asked.offsets.to_numpy(), asked.flatten()
+            start, m = (each.field(c).to_numpy().astype(np.int64) for c in ("start", "n_windows"))
+            lo, hi = (width * start).tolist(), (width * (start + m + length - 1)).tolist()
+            symbols: list[bytes] = []
+            for raw, i, j in zip(unpacked(batch.column("text")), (off[:-1] - off[0]).tolist(), (off[1:] - off[0]).tolist(), strict=True):
+                if unit != "byte":
+                    raw = symbols_of(unit, np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tobytes()
+                symbols += [raw[p:q] for p, q in zip(lo[i:j], hi[i:j], strict=True)]
+            cols = [each.field("mh"), each.field("ch"), each.field("n_windows"), each.field("report"), pa.array(np.full(len(start), -1, np.int32)), pa.array(symbols, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in CONTENT.split(", ")])
 
     two = F.explode(F.array(F.struct(F.lit(True).alias("report"), F.col("a").alias("at")), F.struct(F.lit(False).alias("report"), F.col("b").alias("at"))))
     asked = live.select("mh", "ch", "n_windows", two.alias("x")).where("x.at is not null").select("mh", "ch", "n_windows", "x.report", "x.at.*")

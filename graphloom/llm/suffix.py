@@ -7,20 +7,26 @@ import numpy as np
 from graphloom.llm.textarrays import ragged
 
 
-def names(*keys: np.ndarray) -> tuple[np.ndarray, int]:
-    """Ranks from 1 of tuples of small non-negative integers, and how many differ."""
-    packed, room = keys[0].astype(np.int64), int(keys[0].max(initial=0)) + 1
+def packed(*keys: np.ndarray) -> np.ndarray:
+    """Tuples of small non-negative integers as integers in the same order."""
+    out, room = keys[0].astype(np.int64), int(keys[0].max(initial=0)) + 1
     for k in keys[1:]:
         size = int(k.max(initial=0)) + 1
         if room * size >= 1 << 62:  # rank what there is so far
-            packed = np.unique(packed, return_inverse=True)[1].astype(np.int64)
-            room = int(packed.max(initial=0)) + 1
-        packed = packed * size + k
+            out = np.unique(out, return_inverse=True)[1].astype(np.int64)
+            room = int(out.max(initial=0)) + 1
+        out = out * size + k
         room *= size
-    order = np.argsort(packed)
-    ordered = packed[order]
+    return out
+
+
+def names(*keys: np.ndarray) -> tuple[np.ndarray, int]:
+    """Ranks from 1 of tuples of small non-negative integers, and how many differ."""
+    key = packed(*keys)
+    order = np.argsort(key)
+    ordered = key[order]
     rank = np.cumsum(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    out = np.empty(len(packed), np.int64)
+    out = np.empty(len(key), np.int64)
     out[order] = rank
     return out, int(rank[-1]) if len(rank) else 0
 
@@ -38,18 +44,19 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         order = suffix_array(name)
         name = np.empty(len(sample), np.int64)
         name[order] = np.arange(1, len(sample) + 1)
+        sample = sample[order]
+    else:
+        sample = sample[np.argsort(name)]
     rank = np.zeros(n + 4, np.int64)
-    rank[sample] = name
-    sample = sample[np.argsort(name)]
+    rank[sample] = np.arange(1, len(sample) + 1)
     sample = sample[sample < n]
     zeros = np.arange(0, n, 3)
-    zero_key, _ = names(x[zeros], rank[zeros + 1])
-    zeros = zeros[np.argsort(zero_key)]
+    zeros = zeros[np.argsort(packed(x[zeros], rank[zeros + 1]))]
     # merge: suffixes at 0 modulo 3 are compared with those at 1 by (symbol, rank), at 2 by (symbol, symbol, rank)
     ones, twos = sample[sample % 3 == 1], sample[sample % 3 == 2]
     before = np.zeros(len(zeros), np.int64)
     for other, key in ((ones, lambda i: (x[i], rank[i + 1])), (twos, lambda i: (x[i], x[i + 1], rank[i + 2]))):
-        both, _ = names(*(np.concatenate([a, b]) for a, b in zip(key(other), key(zeros), strict=True)))
+        both = packed(*(np.concatenate([a, b]) for a, b in zip(key(other), key(zeros), strict=True)))  # each half is sorted
         before += np.searchsorted(both[: len(other)], both[len(other) :])
     at = np.arange(len(zeros)) + before
     out = np.empty(n, np.int64)
