@@ -174,6 +174,59 @@ def bfs(spark: SparkSession, edge: DataFrame, seeds: DataFrame, direction: str =
     return reach(spark, moves(edge, direction, dispatch), seeds, limit, **options).groupBy("node").agg(F.min("depth").cast("int").alias("depth"), F.min("dispatched").alias("dispatched"))
 
 
+STATE = ["node", "flag"]
+
+
+def hops(spark: SparkSession, edge: DataFrame, seeds: DataFrame, direction: str = UPSTREAM, limit: int = 30, dispatch: bool = False) -> DataFrame:
+    """A tree of the traversal: node, flag (reached by dispatch), depth, via and via_flag (where from), type (of the edge).
+
+    Frontiers are joined with the edges round by round, dispatch steps of a depth first. A state is found in the first round
+    that reaches it, from the least node, by the least type; seeds have no via. A node may be there with and without flag.
+    """
+    frm, to = ("dst", "src") if direction == UPSTREAM else ("src", "dst")
+    over = F.col("type") == "OVERRIDES"
+    steps = written(spark, edge.select(F.col(frm).alias("node"), F.col(to).alias("to"), "type", (over & F.lit(dispatch and direction == UPSTREAM)).alias("closed")).distinct())
+    lifts = edge.where(over).select(F.col("src").alias("node"), F.col("dst").alias("to"), "type").distinct() if dispatch and direction == UPSTREAM else None
+
+    def onward(front: DataFrame, by: DataFrame, flag: bool, depth: int, seen: DataFrame) -> DataFrame:
+        moved = front.select(*STATE).join(by, "node")
+        moved = moved.where(~(F.col("flag") & F.col("closed"))) if "closed" in by.columns else moved
+        found = moved.groupBy(F.col("to").alias("node")).agg(F.min(F.struct("node", "flag", "type")).alias("x"))
+        found = found.select("node", F.lit(flag).alias("flag"), F.lit(depth).alias("depth"), F.col("x.node").alias("via"), F.col("x.flag").alias("via_flag"), "x.type")
+        return written(spark, found.join(seen.select(*STATE), STATE, "left_anti"))
+
+    start = seeds.select(F.col("id").cast("long").alias("node"), F.lit(False).alias("flag"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("via"), F.lit(None).cast("boolean").alias("via_flag"), F.lit(None).cast("string").alias("type"))
+    seen = front = written(spark, start.dropDuplicates(["node"]))
+    for depth in range(limit + 1):
+        level, fresh = front, front
+        while lifts is not None and not fresh.isEmpty():
+            fresh = onward(fresh, lifts, True, depth, seen)
+            seen, level = seen.unionByName(fresh), level.unionByName(fresh)
+        if depth == limit:
+            break
+        front = onward(level, steps, False, depth + 1, seen)
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return written(spark, seen)
+
+
+def explained(spark: SparkSession, tree: DataFrame, asked: DataFrame) -> DataFrame:
+    """id, path: from a seed to each node asked for (id), as steps (node, type of the edge to it, dispatch); of the tree that
+    `hops` gives, by the node's state without flag where it has both."""
+    ends = tree.join(asked.select(F.col("id").alias("node")).distinct(), "node", "left_semi").groupBy("node").agg(F.min("flag").alias("flag"))
+    links = tree.select("node", "flag", "via", "via_flag", "type")
+    at, done = ends.select(F.col("node").alias("id"), "node", "flag", F.array().cast("array<struct<node:bigint,type:string,dispatch:boolean>>").alias("path")), None
+    while True:
+        here = F.struct(F.col("node").cast("long").alias("node"), "type", F.col("flag").alias("dispatch"))
+        at = written(spark, at.join(links, STATE).select("id", F.col("via").alias("node"), F.col("via_flag").alias("flag"), F.concat(F.array(here), "path").alias("path")))
+        ready = at.where("node is null").select("id", "path")
+        done = ready if done is None else done.unionByName(ready)
+        at = at.where("node is not null")
+        if at.isEmpty():
+            return done
+
+
 def shortest_path(spark: SparkSession, edge: DataFrame, source: int, target: int, limit: int = 30) -> DataFrame:
     """node, position of a shortest path (the least nodes first where several are as short); no rows without one."""
     pair = spark.createDataFrame([(source,)], "id long")

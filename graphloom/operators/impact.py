@@ -52,6 +52,17 @@ def affected(spark: SparkSession, entity: DataFrame, edge: DataFrame, seeds: Dat
     return out if tests else out.where("not test")
 
 
+def explanations(spark: SparkSession, entity: DataFrame, edge: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH, tests: bool = False) -> DataFrame:
+    """id, depth, type (of the last edge), path: for each affected entity the steps by which a change of the seeds gets there."""
+    max_depth = min(max(max_depth, 1), 30)
+    tree = graph.hops(spark, edge, seeds, graph.UPSTREAM, max_depth, True)
+    rows = tree.where("not flag and depth > 0").select(F.col("node").alias("id"), "depth", "type")
+    if not tests:
+        test = graph.owners(entity).join(entity.where("stereotype = 'TEST'").select(F.col("id").alias("owner_id")), "owner_id", "left_semi")
+        rows = rows.join(test.select("id"), "id", "left_anti")
+    return rows.join(graph.explained(spark, tree, rows), "id")
+
+
 def by_role(rows: DataFrame, seeds: DataFrame) -> DataFrame:
     """role (OTHER without one), owners: how many types hold affected entities, seeds themselves left out."""
     return rows.where("owner_id is not null").join(seeds.select(F.col("id").alias("owner_id")), "owner_id", "left_anti").groupBy(F.coalesce("role", F.lit("OTHER")).alias("role")).agg(F.count_distinct("owner_id").alias("owners"))

@@ -155,3 +155,23 @@ def impact_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = impact.seeds_of_entity(entity, entity.where(SEED))
     top = spark.range(1).selectExpr("100L max_dependents", "10L max_depth", "50L max_coupling", "1000L max_complexity")
     return impact.summary(spark, entity, edge, seeds, top, entity.where(SEED))
+
+
+@query(f"""{WITH}, seed AS (SELECT id FROM entity WHERE {SEED_SQL} UNION SELECT e.id FROM entity e WHERE e.parent_id IN (SELECT id FROM entity WHERE {SEED_SQL})),
+r AS (SELECT id AS node, false AS flag, 0 AS d, 0 AS z FROM seed UNION SELECT e.src, false, r.d + 1, 0 FROM r JOIN edge e ON e.dst = r.node WHERE r.d < 10 AND NOT (r.flag AND e.type = 'OVERRIDES')
+    UNION SELECT e.dst, true, r.d, r.z + 1 FROM r JOIN edge e ON e.src = r.node AND e.type = 'OVERRIDES' WHERE r.z < 12),
+best AS (SELECT node, flag, min(d * 100 + z) AS at FROM r GROUP BY ALL),
+tree AS (SELECT b.node, b.flag, b.at // 100 AS depth, min((p.node, p.flag, e.type)) AS via FROM best b JOIN best p ON CASE WHEN b.at % 100 = 0 THEN p.at // 100 = b.at // 100 - 1 ELSE p.at = b.at - 1 END
+    JOIN edge e ON CASE WHEN b.at % 100 = 0 THEN NOT b.flag AND e.dst = p.node AND e.src = b.node AND NOT (p.flag AND e.type = 'OVERRIDES') ELSE b.flag AND e.src = p.node AND e.dst = b.node AND e.type = 'OVERRIDES' END
+    WHERE b.at > 0 GROUP BY ALL),
+walk AS (SELECT node AS id, node, flag, '' AS path FROM tree WHERE NOT flag UNION ALL
+    SELECT w.id, t.via[1], t.via[2], ' ' || t.via[3] || CASE WHEN w.flag THEN '! ' ELSE ' ' END || w.node || w.path FROM walk w JOIN tree t ON t.node = w.node AND t.flag = w.flag)
+SELECT w.id, t.depth::INT AS depth, t.via[3] AS type, w.node || w.path AS path FROM walk w JOIN tree t ON t.node = w.id AND NOT t.flag JOIN seed s ON s.id = w.node AND NOT w.flag
+    JOIN entity e ON e.id = w.id JOIN entity o ON o.id = coalesce(e.parent_id, e.id) WHERE coalesce(o.stereotype, '') <> 'TEST'""")
+def impact_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How a change gets to each affected entity; ! marks a step by dispatch."""
+    entity, edge = both(spark, sf_dir)
+    rows = impact.explanations(spark, entity, edge, impact.seeds_of_entity(entity, entity.where(SEED)))
+    step = lambda x: F.concat(F.lit(" "), x["type"], F.when(x["dispatch"], "! ").otherwise(" "), x["node"].cast("string"))
+    path = F.concat(F.col("path")[0]["node"].cast("string"), F.array_join(F.transform(F.slice("path", 2, 1000), step), ""))
+    return rows.select("id", "depth", "type", path.alias("path"))

@@ -221,8 +221,13 @@ def _member(s: Source, owner: str, type_name: str, owner_kind: str, prefix: tupl
     name = s.take()
     if s.at() == "(" or (constructor and s.at() == "{"):
         params = _parameters(s) if s.at() == "(" else []
+        thrown = []
         while s.at() not in ("{", ";", ""):
-            s.i += 1
+            if s.at() in ("throws", ",") and s.name(s.i + 1):
+                s.i += 1
+                thrown.append(s.type_())
+            else:
+                s.i += 1
         stop = s.close(s.i) if s.at() == "{" else s.i
         called = "<init>" if constructor else name
         member = f"{owner}#{called}({','.join(erased(p) for p, _ in params)})"
@@ -231,13 +236,22 @@ def _member(s: Source, owner: str, type_name: str, owner_kind: str, prefix: tupl
         s.put("method", member=member, name=called, type_text=text, kind="CONSTRUCTOR" if constructor else "METHOD", args=len(params), params=[erased(p) for p, _ in params], scope="varargs" if params and params[-1][0].endswith("...") else None, start_line=start, end_line=s.line[stop], modifiers=",".join(modifiers), complexity=1, **shared)
         for p, n in params:
             s.put("param", owner=owner, member=member, name=n, type_text=p)
+        for text in thrown:
+            s.put("use", owner=owner, member=member, type_text=text)
         s.rows[row]["complexity"] = 1 + _body(s, s.i + 1, stop, owner, member)
         s.i = stop + 1
         return name
     while True:
         s.put("field", member=f"{owner}#{name}", name=name, type_text=text, start_line=start, end_line=start, modifiers=",".join(prefix[1]), **shared)
+        start_ = s.i
         while s.i < end and s.at() not in (",", ";"):
-            s.i = s.close(s.i) + 1 if s.at() in PAIRS else s.i + 1
+            if s.at() == "new" and s.name(s.i + 1):
+                s.i = s.type_end(s.i + 1)
+            else:
+                s.i = s.close(s.i) + 1 if s.at() in PAIRS else s.i + 1
+        for k in range(start_, s.i):  # what a field is made with
+            if s.t[k] == "new" and s.name(k + 1):
+                _creation(s, k, owner=owner, member=f"{owner}#{name}")
         if s.i >= end or s.take() == ";":
             return name
         name = s.take()
@@ -282,6 +296,23 @@ def _scope(s: Source, i: int) -> str:
     return ".".join(reversed(parts)) if k < 1 or s.t[k - 1] != "." else "?"
 
 
+def _creation(s: Source, k: int, **here) -> None:
+    """The `new` at k."""
+    end = s.type_end(k + 1)
+    text, called = "".join(s.t[k + 1 : end]).replace("<>", ""), s.t[end : end + 1] == ["("]
+    s.put("new" if called else "use", type_text=text, args=_arguments(s, end) if called else None, **here)
+
+
+def _cast(s: Source, k: int) -> str:
+    """The type that the bracket at k casts to, or nothing."""
+    if s.t[k - 1] in (")", "]", "if", "while", "for", "switch", "catch", "try", "synchronized", "super", "this") or s.name(k - 1):
+        return ""
+    end = s.type_end(k + 1)
+    after = s.t[end + 1] if end + 1 < len(s.t) else ""
+    operand = s.name(end + 1) or after in ("(", "this", "new", "super", "!", "~") or after[:1] in "\"'0123456789"
+    return "".join(s.t[k + 1 : end]) if end > k + 1 and s.t[end] == ")" and after and operand else ""
+
+
 def _body(s: Source, i: int, stop: int, owner: str, member: str) -> int:
     """Rows of a method's body; its branches."""
     branches, here, k = 0, {"owner": owner, "member": member}, i
@@ -299,9 +330,16 @@ def _body(s: Source, i: int, stop: int, owner: str, member: str) -> int:
                 branches += s.t[j] == "," and depth == 0
                 j += 1
         if t == "new" and s.name(k + 1):
-            end = s.type_end(k + 1)
-            text = "".join(s.t[k + 1 : end]).replace("<>", "")
-            s.put("new" if s.t[end : end + 1] == ["("] else "use", type_text=text, args=_arguments(s, end) if s.t[end : end + 1] == ["("] else None, **here)
+            _creation(s, k, **here)
+        elif t in ("this", "super") and after == "(" and before in ("{", ";", "}"):
+            s.put("call", name="<init>", scope=t, args=_arguments(s, k + 1), **here)
+        elif t == "class" and before == ".":
+            first = k - 2
+            while s.t[first - 1] == "." and s.name(first - 2):
+                first -= 2
+            s.put("use", type_text="".join(s.t[first : k - 1]), **here)
+        elif t == "(" and before != "catch" and (text := _cast(s, k)):
+            s.put("use", type_text=text, **here)
         elif t == "instanceof" or (t == "(" and before == "catch"):
             j = k + 1 + (s.t[k + 1] == "final")
             s.put("use", type_text="".join(s.t[j : s.type_end(j)]), **here)

@@ -32,7 +32,12 @@ atexit.register(_clean)
 
 def written(spark: SparkSession, df: DataFrame) -> DataFrame:
     """df as a table in the folder that driver and executors share: cuts lineage between rounds of a loop."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/graphloom-shared"
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = f"file://{tempfile.gettempdir()}/graphloom-shared"
     at = f"{at.rstrip('/')}/graphloom-{uuid.uuid4().hex}"
     _made.append(at)
     df.write.parquet(at)

@@ -113,7 +113,7 @@ def test_impact(spark, dispatch):
     rows = {r.id: r.depth for r in impact.affected(spark, entity, edge, seeds).collect()}
     assert rows == {2: 1, 4: 1, 9: 2}  # not 6, which only stands in for 8
     top = metrics.scale(metrics.measured(spark, entity, edge))
-    s = impact.summary(spark, entity, edge, seeds, top).first()
+    s = impact.summary(spark, entity, edge, seeds, top, ids(spark, 8)).first()
     assert (s.direct, s.total, s.max_depth, s.endpoints, s.exposed, s.truncated) == (2, 3, 2, 1, True, False)
     assert {r.id for r in impact.seeds_of_entity(entity, ids(spark, 3)).collect()} == {3, 4, 9}
 
@@ -149,6 +149,32 @@ def test_facts_and_digest(spark, dispatch):
     said = {r.id: json.loads(r.facts) for r in questions.facts(entity, scored.drop("kind"), edge).collect()}
     assert said[9]["depends_on"] == "n4" and said[6]["metrics"]["fan_in"] == 3 and said[3]["role"] == "CONTROLLER"
     seeds = ids(spark, 8)
-    s = impact.summary(spark, entity, edge, seeds, metrics.scale(found))
-    one = json.loads(questions.digest(s, impact.by_role(impact.affected(spark, entity, edge, seeds))).first().facts)
+    s = impact.summary(spark, entity, edge, seeds, metrics.scale(found), seeds)
+    one = json.loads(questions.digest(s, impact.by_role(impact.affected(spark, entity, edge, seeds), seeds)).first().facts)
     assert one["total"] == 3 and one["roles"]["CONTROLLER"] == 1
+
+
+def test_explanations(spark, dispatch):
+    """A change of an override gets to callers of what it overrides, by a step that costs nothing."""
+    entity, edge = dispatch
+    rows = impact.explanations(spark, entity, edge, ids(spark, 8)).collect()
+    got = {r.id: (r.depth, [(x.node, x.type, x.dispatch) for x in r.path]) for r in rows}
+    seed = [(8, None, False), (6, "OVERRIDES", True)]
+    assert got == {2: (1, [*seed, (2, "CALLS", False)]), 4: (1, [*seed, (4, "CALLS", False)]), 9: (2, [*seed, (4, "CALLS", False), (9, "ROUTES_TO", False)])}
+    tree = graph.hops(spark, edge, ids(spark, 9), graph.DOWNSTREAM)
+    assert {r.node: (r.depth, r.via, r.type) for r in tree.collect()} == {9: (0, None, None), 4: (1, 9, "ROUTES_TO"), 2: (2, 4, "CALLS"), 6: (2, 4, "CALLS")}
+    assert [r.path[-1].node for r in graph.explained(spark, tree, ids(spark, 6, 77)).collect()] == [6]
+
+
+def test_overrides_in_a_circle_end(spark):
+    edge = edges(spark, [(1, 2, "OVERRIDES"), (2, 1, "OVERRIDES"), (3, 1, "CALLS"), (4, 2, "CALLS")])
+    tree = graph.hops(spark, edge, ids(spark, 1), graph.UPSTREAM, 30, True)
+    assert {(r.node, r.flag): r.depth for r in tree.collect()} == {(1, False): 0, (2, True): 0, (1, True): 0, (3, False): 1, (2, False): 1, (4, False): 1}
+
+
+def test_deep_nesting(spark):
+    entity = entities(spark, [(1, "CLASS", None, None), *((i, "METHOD", i - 1, None) for i in range(2, 12)), (20, "FIELD", None, None)])
+    assert {r.id: r.owner_id for r in graph.owners(entity).collect()} == {**{i: 1 for i in range(1, 12)}, 20: None}
+    assert {r.id for r in impact.seeds_of_entity(entity, ids(spark, 3)).collect()} == set(range(3, 12))
+    nested = entities(spark, [(i, "CLASS", i - 1 if i > 1 else None, None) for i in range(1, 9)])
+    assert graph.enclosing(nested).count() == 28

@@ -97,6 +97,21 @@ def test_unreadable_files_say_so():
     assert [r["what"] for r in java.read("y", "")] == ["file"]
 
 
+def test_uses_beside_calls():
+    text = """package p; class A extends B {
+  private final Map<String, C> all = new HashMap<String, C>(), more = new D(new E()) { void f() { } };
+  int n = 3;
+  A(int n) throws F, q.G { super(n, 1); }
+  A() { this(3); Object o = (H) get(); if (o == null) return; o = (n) + 1; k(I.class, p.J.class); (o).toString(); for (K k : ks) { } }
+}"""
+    rows = java.read("x", text)
+    assert not [r for r in rows if r["what"] == "error"]
+    assert [(r["member"], r["type_text"], r["args"]) for r in rows if r["what"] == "new"] == [("p.A#all", "HashMap<String,C>", 0), ("p.A#more", "D", 1), ("p.A#more", "E", 0)]
+    assert [r["type_text"] for r in rows if r["what"] == "use"] == ["F", "q.G", "H", "I", "p.J"]
+    assert [(r["name"], r["scope"], r["args"]) for r in rows if r["what"] == "call" and r["name"] == "<init>"] == [("<init>", "super", 2), ("<init>", "this", 1)]
+    assert [r["name"] for r in rows if r["what"] == "field"] == ["all", "more", "n"]
+
+
 def test_complexity():
     one = lambda body: next(r for r in java.read("x", f"class A {{ void f(int a) {{ {body} }} }}") if r["what"] == "method")["complexity"]
     assert one("") == 1 and one("if (a > 1 && a < 3 || a == 9) { }") == 4
