@@ -158,8 +158,9 @@ def impact_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{WITH}, seed AS (SELECT id FROM entity WHERE {SEED_SQL} UNION SELECT e.id FROM entity e WHERE e.parent_id IN (SELECT id FROM entity WHERE {SEED_SQL})),
-r AS (SELECT id AS node, false AS flag, 0 AS d, 0 AS z FROM seed UNION SELECT e.src, false, r.d + 1, 0 FROM r JOIN edge e ON e.dst = r.node WHERE r.d < 10 AND NOT (r.flag AND e.type = 'OVERRIDES')
-    UNION SELECT e.dst, true, r.d, r.z + 1 FROM r JOIN edge e ON e.src = r.node AND e.type = 'OVERRIDES' WHERE r.z < 12),
+steps AS (SELECT DISTINCT dst AS frm, src AS t, 1 AS cost, type = 'OVERRIDES' AS closed FROM edge UNION ALL SELECT DISTINCT src, dst, 0, false FROM edge WHERE type = 'OVERRIDES'),
+r AS (SELECT id AS node, false AS flag, 0 AS d, 0 AS z FROM seed UNION SELECT m.t, m.cost = 0, r.d + m.cost, CASE WHEN m.cost = 0 THEN r.z + 1 ELSE 0 END FROM r JOIN steps m ON m.frm = r.node
+    WHERE NOT (r.flag AND m.closed) AND r.d + m.cost <= 10 AND r.z < 12),
 best AS (SELECT node, flag, min(d * 100 + z) AS at FROM r GROUP BY ALL),
 tree AS (SELECT b.node, b.flag, b.at // 100 AS depth, min((p.node, p.flag, e.type)) AS via FROM best b JOIN best p ON CASE WHEN b.at % 100 = 0 THEN p.at // 100 = b.at // 100 - 1 ELSE p.at = b.at - 1 END
     JOIN edge e ON CASE WHEN b.at % 100 = 0 THEN NOT b.flag AND e.dst = p.node AND e.src = b.node AND NOT (p.flag AND e.type = 'OVERRIDES') ELSE b.flag AND e.src = p.node AND e.dst = b.node AND e.type = 'OVERRIDES' END
