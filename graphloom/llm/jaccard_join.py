@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import textarrays as ta
 from graphloom.llm.blocks import groups, in_blocks, least_labels
-from graphloom.llm.common import bounded, row_key, unused, written
+from graphloom.llm.common import WORD, bounded, row_key, unused, written
 from graphloom.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -310,3 +310,18 @@ def keep_one(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     if not twice.isEmpty():
         out = out.unionByName(keyed.join(bounded(twice, 1), same, "left_semi").dropDuplicates([did, rk]))
     return out.select(*docs.columns)
+
+
+def oracle(words: int = WORDS, similarity: float = SIMILARITY) -> str:
+    """The join of all documents that share a shingle, as DuckDB SQL, for distinct ids: doc_id, n_shingles, n_links, class_id, kept."""
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '{WORD}'), []) AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + {words - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - {words - 2})) AS i FROM d)
+    UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND {words - 1}),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE k >= {similarity} * (x.n + y.n - k) - 1e-9),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+classes AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY 1),
+counts AS (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(n_links, 0)::BIGINT AS n_links, class_id, doc_id = class_id AS kept FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN counts USING (doc_id) JOIN classes USING (doc_id)"""

@@ -23,6 +23,8 @@ WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
 BLOCKS, SHARDS, SEED = 1 << 18, 64, "mix-1"
 PER_SHARD = 32
+#: Rows of a source that one task puts in order, about: above SHARDS times as many in all there are more shards.
+ROWS = 1 << 17
 
 
 def n_words(text: Column | str = "text") -> Column:
@@ -68,11 +70,12 @@ def highest(claims: DataFrame, keys: list[str], claim: str, seats: str | int, wi
     return each.groupBy(*keys).agg((F.first("low") + more).alias("blocks")).where("blocks > 0")
 
 
-def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, blocks: int = BLOCKS, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
+def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, blocks: int = BLOCKS, shards: int | None = None, seed: str = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, shard of each row of docs, and rk (hash of its id and text).
 
     A source's taken words are its whole blocks while that is at most `most` times its size, as is each shard's share.
     """
+    shards = shards or max(SHARDS, docs.count() // ROWS)
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     sized = docs.select("doc_id", "source", n_words().alias("size"), F.xxhash64("doc_id", "text").alias("rk")).withColumn("h", order)
     sized = written(spark, sized.withColumn("shard", (F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % shards).cast("int")))
@@ -103,14 +106,15 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share: float = SH
 def mixed(docs: DataFrame, taken: DataFrame) -> DataFrame:
     """The mix itself: docs with a row for each time a document is taken, the last cut after its last word taken.
 
-    taken: rk, taken of each row of docs; rows equal in id and text have what those rows have, in turn. Cut texts have a
+    taken: doc_id, rk, taken of each row of docs; rows equal in id and text have what those rows have, in turn. Cut texts have a
     space between words. n_chars, where there is one, follows the text.
     """
-    own = dict(zip(names := ("rk", "all", "turn", "taken", "size", "time", "text"), unused(docs, *(f"_{c}" for c in names)), strict=True))
-    rk, all_, turn, taken_, size, time, cut = (F.col(own[c]) for c in names)
-    amounts = taken.where("taken > 0").groupBy(F.col("rk").alias(own["rk"])).agg(F.sort_array(F.collect_list("taken"), asc=False).alias(own["all"]))
-    out = docs.withColumn(own["rk"], F.xxhash64("doc_id", "text")).join(amounts, own["rk"])
-    out = out.withColumn(own["turn"], F.row_number().over(Window.partitionBy(own["rk"]).orderBy(F.lit(0))))
+    own = dict(zip(names := ("did", "rk", "all", "turn", "taken", "size", "time", "text"), unused(docs, *(f"_{c}" for c in names)), strict=True))
+    _, _, all_, turn, taken_, size, time, cut = (F.col(own[c]) for c in names)
+    same, id_ = [own["did"], own["rk"]], F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    amounts = taken.where("taken > 0").groupBy(id_.alias(own["did"]), F.col("rk").alias(own["rk"])).agg(F.sort_array(F.collect_list("taken"), asc=False).alias(own["all"]))
+    out = docs.withColumn(own["did"], id_).withColumn(own["rk"], F.xxhash64("doc_id", "text")).join(amounts, same)
+    out = out.withColumn(own["turn"], F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0))))
     out = out.where(turn <= F.size(all_)).withColumn(own["taken"], F.element_at(all_, turn)).withColumn(own["size"], n_words())
     out = out.withColumn(own["time"], F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(taken_ / size))))
     left = taken_ - (time - 1) * size

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.llm.common import WORD
 from graphloom.llm.segments import MOST, ranges_of, repeated, unpacked
 from graphloom.llm.suffix import repeats_by_index, repeats_by_suffixes
 
@@ -77,3 +78,31 @@ def dedup_byte_strings(spark: SparkSession, docs: DataFrame, length: int = 200,
 
     kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<array<long>>" + ", text binary" * texts
     return packed.join(ranges, ["did", "rk"], "left").select("doc_id", "text", "ranges").mapInArrow(finish, kinds)
+
+
+def oracle_words(window: int = 35) -> str:
+    """`dedup_word_windows` as DuckDB SQL that lists every window: doc_id, n_words, n_removed, kept_sha256."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '{WORD}'), []) AS w FROM documents),
+windows AS (SELECT r, i, array_to_string(w[i : i + {window - 1}], ' ') AS k FROM (SELECT r, w, unnest(range(1, len(w) - {window - 2})) AS i FROM d)),
+twice AS (SELECT k FROM windows GROUP BY k HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, i + j AS p FROM windows JOIN twice USING (k) CROSS JOIN range({window}) t(j)),
+words AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS text, count(*) AS n FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM d LEFT JOIN kept k USING (r)"""
+
+
+def oracle_bytes(length: int = 200) -> str:
+    """`dedup_byte_strings` as DuckDB SQL that lists every string, in hexadecimal: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (SELECT r, i, substr(h, 2 * i + 1, {2 * length}) AS k FROM (SELECT r, h, unnest(range(0, len(h) // 2 - {length - 1})) AS i FROM d)),
+twice AS (SELECT k FROM windows GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT r, i, i - row_number() OVER (PARTITION BY r ORDER BY i) AS g FROM windows JOIN twice USING (k)),
+runs AS (SELECT r, min(i) AS a, max(i) + {length} AS b FROM hit GROUP BY r, g),
+marked AS (SELECT *, a > coalesce(max(b) OVER (PARTITION BY r ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS new FROM runs),
+spans AS (SELECT r, min(a) AS a, max(b) AS b FROM (SELECT *, sum(new::INT) OVER (PARTITION BY r ORDER BY a) AS g FROM marked) GROUP BY r, g),
+gaps AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS b FROM spans UNION ALL SELECT r, max(b), max(len(h)) // 2 FROM spans JOIN d USING (r) GROUP BY r),
+kept AS (SELECT r, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS k FROM gaps JOIN d USING (r) GROUP BY r),
+total AS (SELECT r, sum(b - a) AS n, count(*) AS spans FROM spans GROUP BY r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256 FROM d LEFT JOIN total USING (r) LEFT JOIN kept USING (r)"""

@@ -137,7 +137,7 @@ class FMIndex:
             padded[: self.n] = bit
             words = np.packbits(padded, bitorder="little").view(np.uint64)
             self.bits.append(words)
-            self.ones.append(np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)]))
+            self.ones.append(np.concatenate([np.zeros(1, np.int32), np.cumsum(np.bitwise_count(words), dtype=np.int32)]))
             self.zeros.append(self.n - int(bit.sum()))
             last = np.concatenate([last[bit == 0], last[bit == 1]])
 

@@ -106,16 +106,18 @@ def values(words: list[str], table: np.ndarray) -> np.ndarray:
 
 def kernels(words: list[str], landmarks: list[str]) -> np.ndarray:
     """Normalised kernels of words (rows) and landmarks."""
-    dense = np.zeros((LETTERS**3, len(landmarks)), np.float32)
-    for at, codes in by_length(landmarks):
-        key, w, norm = features(codes)
-        for i, k, v, n in zip(at, key, w, norm, strict=True):
-            np.add.at(dense[:, i], k, v / (n or 1))
+    found = [(i, k, v / (n or 1)) for at, codes in by_length(landmarks) for i, k, v, n in zip(at, *features(codes), strict=True)]
+    held = np.unique(np.concatenate([k for _, k, _ in found])) if found else np.zeros(0, np.int64)
+    place = np.zeros(LETTERS**3, np.int32)  # of the landmarks' own subsequences; the others share row 0, which stays empty
+    place[held] = np.arange(1, len(held) + 1)
+    dense = np.zeros((len(held) + 1, len(landmarks)), np.float32)
+    for i, k, v in found:
+        np.add.at(dense[:, i], place[k], v)
     out = np.zeros((len(words), len(landmarks)), np.float32)
     for at, codes in by_length(words):
         key, w, norm = features(codes)
         for i, k, v, n in zip(at, key, w, norm, strict=True):
-            out[i] = (v / (n or 1)).astype(np.float32) @ dense[k]
+            out[i] = (v / (n or 1)).astype(np.float32) @ dense[place[k]]
     return out
 
 
@@ -126,11 +128,10 @@ def parts(word: str) -> list[str]:
     return [word[i : i + LONGEST] for i in range(0, len(word) - LONGEST + STEP, STEP)]
 
 
-def _slice_words(data: np.ndarray, off: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words of a slice of lower-case texts, their hashes, and row and index of each word of each row."""
+def _slice_words(data: np.ndarray, off: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of a slice of lower-case texts, and row and index of each word of each row."""
     start, end, rows = ta.words(data, off)
-    hashes = ta.word_hashes(data, start, end)
-    keys, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+    _, one, which = np.unique(ta.exact_ids(data, start, end), return_index=True, return_inverse=True)
     raw = data.tobytes()
     words = [raw[a:b] for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)]
     row = np.repeat(np.arange(len(off) - 1), np.diff(rows))
@@ -147,10 +148,9 @@ def _slice_words(data: np.ndarray, off: np.ndarray) -> tuple[list[bytes], np.nda
                 more.append(b"".join(raw[start[i] : end[i]] for i in inside))
     if more:
         words += more
-        keys = np.concatenate([keys, ta.mix(np.array([hash(m) & (2**63 - 1) for m in more], np.uint64))])
         which = np.concatenate([which, np.arange(len(words) - len(more), len(words))])
         row = np.concatenate([row, more_row])
-    return words, keys, row, which
+    return words, row, which
 
 
 class Scorer:
@@ -200,7 +200,7 @@ def _best(spark: SparkSession, docs: DataFrame, table: np.ndarray, keep: list[st
         scorer = _scorer(shared)
         for batch in batches:
             for lo, hi, data, off in ta.slices(batch.column(len(keep))):
-                words, _, row, which = _slice_words(data, off)
+                words, row, which = _slice_words(data, off)
                 value = scorer.of(words) if words else np.zeros(0)
                 best = np.full(hi - lo, 0.0)
                 if len(row):

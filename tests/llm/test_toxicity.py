@@ -9,19 +9,19 @@ from graphloom.llm import toxicity as tox
 KINDS = "doc_id long, text string, toxic string, best int"
 
 
-def kernel(s, t):
-    """Straight from the definition: all triples of places."""
-
-    def phi(w):
-        out = {}
-        for i in range(len(w)):
-            for k in range(i + 2, min(len(w), i + tox.SPAN)):
-                for j in range(i + 1, k):
-                    if all(tox.letter(w[x]) for x in (i, j, k)):
-                        u = w[i] + w[j] + w[k]
-                        out[u] = out.get(u, 0) + tox.DECAY ** (k - i + 1)
-        return out
+def phi(w):
+    """Subsequences of a word and their weights, straight from the definition: all triples of places."""
+    out = {}
+    for i in range(len(w)):
+        for k in range(i + 2, min(len(w), i + tox.SPAN)):
+            for j in range(i + 1, k):
+                u = tuple(tox.letter(w[x]) for x in (i, j, k))
+                if all(u):
+                    out[u] = out.get(u, 0) + tox.DECAY ** (k - i + 1)
+    return out
+
 
+def kernel(s, t):
     a, b = phi(s), phi(t)
     dot = lambda x, y: sum(v * y.get(u, 0) for u, v in x.items())
     return dot(a, b) / np.sqrt(dot(a, a) * dot(b, b)) if a and b else 0.0
@@ -68,9 +68,45 @@ def test_held_out_accuracy(spark, corpus):
     assert {r.predicted for r in got if r.doc_id in (2000, 2001)} == {0} and [r.predicted for r in got if r.doc_id is None] == [1]
 
 
+def test_scores_term_by_term(spark, corpus):
+    """Every score from the fitted weights: each word's normalised sum, the greatest of a text, the logistic of that."""
+    rows, labels = corpus
+    docs, labels = spark.createDataFrame(rows, KINDS), spark.createDataFrame(labels, "doc_id long, toxic int")
+    table, slope, shift = tox.fit(spark, docs, labels, landmarks=40, rounds=2)
+
+    def value(word):
+        best = []
+        for part in tox.parts(word):
+            f = phi(part)
+            norm = sum(x * x for x in f.values()) ** 0.5
+            best.append(sum(table[(u[0] * tox.LETTERS + u[1]) * tox.LETTERS + u[2]] * x for u, x in f.items()) / norm if f else 0.0)
+        return max(best)
+
+    def words_of(text):
+        words, run = [], []
+        for w in [*(text or "").lower().split(), "end"]:
+            if len(w) == 1:
+                run.append(w)
+                continue
+            if len(run) >= 3:
+                words.append("".join(run))
+            words += [*run, w]
+            run = []
+        return words[:-1]
+
+    want = {}
+    for doc_id, text, *_ in rows:
+        top = max((value(w) for w in words_of(text)), default=0.0)
+        want[doc_id, text] = 1 / (1 + np.exp(-(slope * top + shift)))
+    got = tox.score(spark, docs, labels, landmarks=40, rounds=2).join(docs.select("doc_id", "text"), "doc_id").collect()
+    assert len(got) >= len(rows) - 1
+    for r in got:
+        assert abs(r.score - want[r.doc_id, r.text]) < 1e-9
+
+
 def test_spaced_letters():
     data = np.frombuffer(b"so i d i o t it", np.uint8)
-    words, _, row, which = tox._slice_words(data, np.array([0, len(data)]))
+    words, row, which = tox._slice_words(data, np.array([0, len(data)]))
     assert b"idiot" in words and len(row) == len(which)
 
 
