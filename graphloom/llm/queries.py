@@ -54,5 +54,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_ngram_jaccard_join, op3_embedding_near_dedup, op4_substring_dedup, op5_line_dedup, op6_suffix_array_dedup, op7_source_mixing, op8_quality_rules, op9_sharding, op10_toxicity)}
 ORACLES = {
     "op2_ngram_jaccard_join": jaccard_join.oracle(), "op3_embedding_near_dedup": embedding_dedup.oracle(), "op4_substring_dedup": substring_dedup.oracle_words(), "op5_line_dedup": line_dedup.oracle(),
-    "op6_suffix_array_dedup": substring_dedup.oracle_bytes(), "op7_source_mixing": mixing.oracle(),
+    "op6_suffix_array_dedup": substring_dedup.oracle_bytes(), "op7_source_mixing": mixing.oracle(), "op9_sharding": sharding.oracle(),
 }

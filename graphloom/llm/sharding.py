@@ -24,6 +24,7 @@ from graphloom.llm.common import written
 RACK, REGION = 2, 4
 #: Rows that one task numbers, about.
 ROWS = 1 << 17
+PARTS = 16
 
 
 def tree(weights: Sequence[float], rack: int = RACK, region: int = REGION) -> list[dict[int, list[tuple[int, str, float]]]]:
@@ -63,13 +64,35 @@ def shard(spark: SparkSession, docs: DataFrame, weights: Sequence[float] = (1.0,
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), key.alias("key"))
     rows = rows.withColumn("shard", descend(F.col("key"), weights)).withColumn("grown_shard", descend(F.col("key"), grown or (*weights, 1.0)))
-    rows = written(spark, rows.drop("key"))
-    blocks = rows.count() // (rows_a_task * len(weights)) + 16  # one number
     # (equal ids may repeat: the text's checksum spreads them too)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(blocks)).cast("int"))
+    mark = F.conv(F.substring(F.md5(F.concat_ws("@", "key", F.col("text_crc32").cast("string"), F.col("size").cast("string"))), 1, 8), 16, 10).cast("long")
+    rows = written(spark, rows.withColumn("mark", mark).drop("key"))
+    blocks = rows.count() // (rows_a_task * len(weights)) + PARTS  # one number
+    rows = rows.withColumn("block", (F.col("mark") % blocks).cast("int")).drop("mark")
     counts = rows.groupBy("shard", "block").agg(F.count("*").alias("n"))
     upto = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.withColumn("first", F.coalesce(F.sum("n").over(upto), F.lit(0))).drop("n")  # a row for each part
     place = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size")) - 1
     rows = rows.withColumn("place", place).join(first, ["shard", "block"])
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("place")).cast("long").alias("slot"), "grown_shard")
+
+
+def oracle(weights: Sequence[float] = (1.0,) * 8, grown: Sequence[float] | None = None, rows_a_task: int = ROWS) -> str:
+    """The same rows as DuckDB SQL, which walks the tree level by level and has a checksum of its own."""
+    nodes = ", ".join(
+        f"({which}, {level}, {parent}, {child}, '{path}', {weight})"
+        for which, w in enumerate((weights, grown or (*weights, 1.0))) for level, found in enumerate(tree(w)) for parent, children in found.items() for child, path, weight in children
+    )
+    step = lambda i: f"""l{i} AS (SELECT r, which, arg_min(child, -ln((('0x' || left(md5(key || '@' || path), 13))::BIGINT + 0.5::DOUBLE) / {1 << 52}::DOUBLE) / weight::DOUBLE) AS child
+    FROM rows JOIN {f"l{i - 1} USING (r)" if i else "(VALUES (0, 0), (1, 0)) start(which, child) ON true"} JOIN nodes USING (which) WHERE level = {i} AND parent = {"child" if not i else f"l{i - 1}.child"} GROUP BY r, which)"""
+    levels = ",\n".join(step(i).replace("parent = child", "parent = start.child").replace("arg_min(child", "arg_min(nodes.child") for i in range(3))
+    return f"""
+WITH nodes AS (SELECT * FROM (VALUES {nodes}) v(which, level, parent, child, path, weight)),
+turns AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id::VARCHAR, 'null') AS key, hex(encode(coalesce(text, ''))) AS h FROM documents),
+rows AS (SELECT r, doc_id, key, (len(h) // 2 + 1)::BIGINT AS size, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM texts, turns),
+{levels},
+placed AS (SELECT r.*, a.child::INT AS shard, b.child::INT AS grown_shard, ('0x' || left(md5(key || '@' || text_crc32 || '@' || size), 8))::BIGINT % ((SELECT count(*) FROM rows) // {rows_a_task * len(weights)} + {PARTS}) AS block
+    FROM rows r JOIN l2 a ON r.r = a.r AND a.which = 0 JOIN l2 b ON r.r = b.r AND b.which = 1)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY block, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM placed"""
