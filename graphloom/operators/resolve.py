@@ -272,13 +272,14 @@ def entities(names: Names) -> DataFrame:
     tested = facts.where("what = 'method'").select("owner", F.explode("annotations").alias("a")).where(mark(F.col("a")).isin(*TEST_MARKS)).select("owner").distinct().withColumn("tested", F.lit(True))
     role = F.when(fn.is_test("path") | F.coalesce("tested", F.lit(False)), "TEST").when(F.size(said) > 0, F.try_element_at(said, F.lit(1))).when(based, "REPOSITORY")
     members = facts.where("what = 'method'").groupBy("owner").agg(F.sum("complexity").cast("int").alias("total"))
-    cols = ["qualified_name", "name", "kind", "parent", "path", "package_name", "stereotype", "http_method", "http_path", "complexity", "is_abstract", "start_line", "end_line", "visibility", "modifiers", "signature"]
+    cols = ["qualified_name", "name", "kind", "parent", "path", "package_name", "stereotype", "http_method", "http_path", "complexity", "is_abstract", "start_line", "end_line", "visibility", "modifiers", "signature", "annotations"]
     nothing = F.lit(None).cast("string")
+    listed = F.nullif(F.array_join(F.transform("annotations", lambda a: F.regexp_extract(a, r"^([\w.]+)", 1)), ","), F.lit("")).alias("annotations")
     abstract = F.contains(F.coalesce("modifiers", F.lit("")), F.lit("abstract"))
     t = types.join(tested, "owner", "left").join(members, "owner", "left").select(
         F.col("owner").alias("qualified_name"), "name", "kind", F.col("outer").alias("parent"), "path", F.col("package").alias("package_name"), role.alias("stereotype"), nothing.alias("http_method"), nothing.alias("http_path"),
         F.greatest(F.lit(1), F.coalesce("total", F.lit(0))).alias("complexity"), (abstract | F.col("kind").isin("INTERFACE", "ANNOTATION")).alias("is_abstract"), "start_line", "end_line", "visibility", "modifiers",
-        fn.signature("kind", "visibility", F.coalesce("modifiers", F.lit("")), nothing, "name", nothing).alias("signature"),
+        fn.signature("kind", "visibility", F.coalesce("modifiers", F.lit("")), nothing, "name", nothing).alias("signature"), listed,
     )
     package = types.select("owner", F.col("package").alias("package_name"))
     m = facts.where("what in ('method', 'field')").dropDuplicates(["member"]).join(package, "owner").withColumn("kind", F.coalesce("kind", F.lit("FIELD")))
@@ -286,11 +287,11 @@ def entities(names: Names) -> DataFrame:
     m = m.select(
         F.col("member").alias("qualified_name"), shown.alias("name"), "kind", F.col("owner").alias("parent"), "path", "package_name", nothing.alias("stereotype"), nothing.alias("http_method"), nothing.alias("http_path"),
         F.coalesce("complexity", F.lit(1)).alias("complexity"), abstract.alias("is_abstract"), "start_line", "end_line", "visibility", "modifiers",
-        fn.signature("kind", "visibility", F.coalesce("modifiers", F.lit("")), "type_text", shown, F.array_join("params", ", ")).alias("signature"),
+        fn.signature("kind", "visibility", F.coalesce("modifiers", F.lit("")), "type_text", shown, F.array_join("params", ", ")).alias("signature"), listed,
     )
     e = endpoints(names).join(types.select("owner", "path", F.col("package").alias("package_name")), "owner").select(
         "qualified_name", "name", F.lit("ENDPOINT").alias("kind"), F.col("owner").alias("parent"), "path", "package_name", nothing.alias("stereotype"), "http_method", "http_path", F.lit(1).alias("complexity"), F.lit(False).alias("is_abstract"),
-        F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"), nothing.alias("visibility"), nothing.alias("modifiers"), F.col("name").alias("signature"),
+        F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"), nothing.alias("visibility"), nothing.alias("modifiers"), F.col("name").alias("signature"), nothing.alias("annotations"),
     )
     out = t.select(*cols).unionByName(m.select(*cols)).unionByName(e.select(*cols))
     return out.withColumn("id", F.xxhash64("qualified_name")).withColumn("parent_id", F.when(F.col("parent").isNotNull(), F.xxhash64("parent"))).withColumn("file_id", F.xxhash64("path"))

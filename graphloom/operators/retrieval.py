@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.functions import text as fn
+from graphloom.schema import TYPE_KINDS
 from graphloom.tables import rounded, written
 
 DENSE_SHARE, KEYWORD_SHARE, BODY_SCORE, OVERSAMPLE = 0.7, 0.3, 0.3, 4
@@ -113,10 +114,19 @@ def embed_text(kind: str = "kind", label: str = "label", name: str = "qualified_
 
 
 def outlines(entity: DataFrame, members: int = 60) -> DataFrame:
-    """id, text: a type's outline, its members' signatures by place, the first so many."""
-    m = entity.where("parent_id is not null").withColumn("place", F.row_number().over(Window.partitionBy("parent_id").orderBy("start_line", "id"))).where(F.col("place") <= members)
-    lists = m.groupBy(F.col("parent_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("place", "signature"))).alias("all"))
-    return entity.join(lists, "id").select("id", F.concat(F.lit("// "), "qualified_name", F.lit("\n"), F.array_join(F.transform("all", lambda x: x["signature"]), "\n")).alias("text"))
+    """id, text: each type under its name, with its annotations, and the signatures of its first members by line; bodies are
+    left out, types and endpoints inside as well."""
+    column = F.col("annotations") if "annotations" in entity.columns else F.lit(None).cast("string")
+    entity = entity.withColumn("annotations", column)
+    marks = lambda after: F.coalesce(F.array_join(F.transform(F.filter(F.split("annotations", ","), lambda a: F.trim(a) != ""), lambda a: F.concat(F.lit("@"), F.substring_index(a, ".", -1), F.lit(after))), ""), F.lit(""))
+    inside = entity.where(~F.col("kind").isin("ENDPOINT", *TYPE_KINDS) & F.col("signature").isNotNull() & F.col("parent_id").isNotNull())
+    place = F.row_number().over(Window.partitionBy("parent_id").orderBy("start_line", "qualified_name", "id"))
+    line = F.concat(F.lit("    "), marks(" "), "signature", F.when(F.col("kind") == "FIELD", ";").otherwise(" { ... }"), F.lit("\n"))
+    lists = inside.withColumn("place", place).where(F.col("place") <= members).select("parent_id", F.struct("place", line.alias("line")).alias("x"))
+    lists = lists.groupBy(F.col("parent_id").alias("id")).agg(F.array_sort(F.collect_list("x")).alias("all"))
+    types = entity.where(F.col("kind").isin(*TYPE_KINDS)).join(lists, "id", "left")
+    body = F.array_join(F.transform(F.coalesce("all", F.array().cast("array<struct<place:int,line:string>>")), lambda x: x["line"]), "")
+    return types.select("id", F.concat(F.lit("// "), "qualified_name", F.lit("\n"), marks("\n"), F.coalesce("signature", "name"), F.lit(" {\n"), body, F.lit("}")).alias("text"))
 
 
 def bodies(entity: DataFrame, files: DataFrame, lines: int = 150) -> DataFrame:

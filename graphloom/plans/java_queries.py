@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import analysis
+from graphloom.operators import analysis, retrieval
 from graphloom.plans.registry import registry
-from graphloom.sources import java_samples
-from graphloom.tables import table, written
+from graphloom.sources import java_samples, trees
+from graphloom.tables import fresh_folder, table, written
 
 QUERIES, ORACLES, query = registry()
 _known: dict[tuple[str, str], tuple[analysis.Project, analysis.Project, dict[str, int]]] = {}
@@ -272,3 +272,55 @@ def java_incremental_equals_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     differ = lambda a, b: a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count("*"))
     entities, edges = (differ(f(full), f(patched)).withColumnRenamed("count(1)", n) for f, n in ((named_entities, "entities"), (named_edges, "edges")))
     return written(spark, entities.join(edges, how="cross"))  # rows of one
+
+
+OUTLINES = """
+('r{r}.api.Orders', '@RestController\n@RequestMapping\npublic class Orders {\n    private final Store store;\n    public Orders(Store) { ... }\n    @GetMapping public Order get(Long) { ... }\n    @PostMapping public Order add(Order) { ... }\n}'),
+('r{r}.domain.Box', 'public class Box {\n    public Order first() { ... }\n    void put(Order) { ... }\n    private Order top;\n}'),
+('r{r}.domain.Order', '@Entity\npublic record Order {\n    public Order copy() { ... }\n    private final String name;\n    public String name() { ... }\n}'),
+('r{r}.domain.Rows', 'interface Rows {\n}'),
+('r{r}.domain.Rows.Way', 'enum Way {\n    Way back() { ... }\n}'),
+('r{r}.order.Base', 'public interface Base {\n    public default void log(T) { ... }\n}'),
+('r{r}.order.Checks', 'final class Checks {\n    @Stable static void check(Object) { ... }\n}'),
+('r{r}.order.Stable', 'annotation Stable {\n}'),
+('r{r}.order.Store', 'public interface Store {\n    public abstract Order load(Long) { ... }\n    public abstract Box save(Order, int[]) { ... }\n}'),
+('r{r}.order.StoreImpl', '@Service\nclass StoreImpl {\n    private Box box;\n    @Override public Order load(Long) { ... }\n    public Box save(Order, int[]) { ... }\n    public void log(Order) { ... }\n    private int size() { ... }\n}'),
+('r{r}.order.StoreImpl.Memo', 'static class Memo {\n    Order last() { ... }\n}'),
+('r{r}.order.StoreTest', 'class StoreTest {\n    Store s;\n    @Test void works() { ... }\n}')
+""".replace("\\n", "\n")
+
+
+@query(f"SELECT replace(qualified_name, '{{r}}', r_regionkey::VARCHAR) AS qualified_name, '// ' || replace(qualified_name, '{{r}}', r_regionkey::VARCHAR) || chr(10) || text AS text FROM (VALUES {OUTLINES}) v(qualified_name, text), region")
+def java_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an index holds of types."""
+    entity = projects(spark, sf_dir)[0].entity
+    return retrieval.outlines(entity).join(entity.select("id", "qualified_name"), "id").select("qualified_name", "text")
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+SOURCES = ", ".join(f"({quoted(path)}, {quoted(text)})" for path, text in java_samples.SHOP.items())
+
+
+@query(f"""WITH e AS (SELECT * FROM (VALUES {ENTITIES}) v({', '.join(ENTITY_COLUMNS)}) WHERE kind IN ('METHOD', 'CONSTRUCTOR')), f AS (SELECT * FROM (VALUES {SOURCES}) v(path, text)),
+b AS (SELECT qualified_name, array_to_string(string_split(text, chr(10))[start_line:end_line], chr(10)) AS code FROM e JOIN f ON ends_with(path, replace(regexp_extract(parent, '^[^.]+[.][a-z]+[.][A-Za-z]+'), '.', '/') || '.java'))
+SELECT replace(qualified_name, '{{r}}', r_regionkey::VARCHAR) AS qualified_name, replace('// ' || qualified_name || chr(10) || code, '{{r}}', r_regionkey::VARCHAR) AS text FROM b, region""")
+def java_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an index holds of methods and constructors."""
+    entity = projects(spark, sf_dir)[0].entity
+    numbers = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n"))
+    files = java_samples.files(spark, numbers).select(F.xxhash64("path").alias("file_id"), "text")
+    return retrieval.bodies(entity, files).join(entity.select("id", "qualified_name"), "id").select("qualified_name", "text")
+
+
+SCANNED = {k: v for k, v in (java_samples.SHOP | java_samples.BESIDE).items()}
+KEPT = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in SCANNED.items() if k in java_samples.SHOP or k.endswith("Tool.java"))
+
+
+@query(f"""SELECT path, CASE WHEN starts_with(path, 'tools/') THEN 'tools' ELSE 'root' END AS module, sha256(text) AS sha256, strlen(text)::BIGINT AS size, starts_with(path, 'src/test/') AS test, text FROM (VALUES {KEPT}) v(path, text)""")
+def source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of files as it lies in the shared folder: build folders, other kinds and files over the limit are left out."""
+    root = java_samples.store(spark, fresh_folder(spark), SCANNED)
+    return trees.scan(spark, root)

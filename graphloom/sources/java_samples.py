@@ -57,3 +57,19 @@ def files(spark: SparkSession, numbers: DataFrame, texts: dict[str, str | None]
     fill = lambda c: F.replace(c, F.lit("{r}"), F.col("n").cast("string"))
     some = rows.crossJoin(F.broadcast(numbers.select("n"))).select(fill(F.col("path")).alias("path"), F.lit("root").alias("module"), fill(F.col("text")).alias("text"))  # a row for each file of each copy
     return some.select("path", "module", F.sha2("text", 256).alias("sha256"), "text")
+#: Files beside the sources: what marks a module, and what a scan leaves out.
+BESIDE = {
+    "pom.xml": "<project/>", "tools/build.gradle": "", "tools/src/main/java/t/Tool.java": "package t; class Tool { }", "tools/src/main/java/t/package-info.java": "package t;", "README.md": "# r",
+    "target/classes/Gone.java": "class Gone { }", "tools/node_modules/x/Gone.java": "class Gone { }", "src/main/java/Huge.java": "// " + "x" * 1_048_576,
+}
+
+
+def store(spark: SparkSession, root: str, texts: dict[str, str]) -> str:
+    """Puts files under a folder that Spark can read."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for path, text in texts.items():
+        out = fs.create(jvm.Path(f"{root}/{path}"), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+    return root

@@ -6,6 +6,7 @@ import os
 import re
 import subprocess
 import zipfile
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +39,11 @@ def scan(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFram
     top = root.rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(top)
     scheme = r"^[a-z0-9]+:/*"
-    raw = raw.withColumn("path", F.substring(F.regexp_replace("path", scheme, "/"), len(re.sub(scheme, "/", top)) + 2, 1 << 20))
+    begin = len(re.sub(scheme, "/", top)) + 1
+    # the reader passes over empty files: they come from its own listing
+    listed = [(unquote(re.sub(r"^[a-z0-9]+:/*", "/", f))[begin:],) for f in raw.inputFiles()]
+    raw = raw.select(F.substring(F.regexp_replace("path", scheme, "/"), begin + 1, 1 << 20).alias("path"), "length", "content")
+    raw = spark.createDataFrame(listed, "path string").join(raw, "path", "left").select("path", F.coalesce("length", F.lit(0)).alias("length"), F.coalesce("content", F.lit(b"")).alias("content"))
     skipped = F.exists(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1), lambda d: d.isin(*SKIPPED))
     raw = raw.where(~skipped)
     name = F.element_at(F.split("path", "/"), -1)

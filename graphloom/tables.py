@@ -30,16 +30,27 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
-def written(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """df as a table in the folder that driver and executors share: cuts lineage between rounds of a loop."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Only a session with a local master may leave it unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = f"file://{tempfile.gettempdir()}/graphloom-shared"
-    at = f"{at.rstrip('/')}/graphloom-{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def fresh_folder(spark: SparkSession) -> str:
+    """A new name in the shared folder; what is put there goes when the application ends."""
+    at = f"{shared_dir(spark)}/graphloom-{uuid.uuid4().hex}"
     _made.append(at)
+    return at
+
+
+def written(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df as a table in the folder that driver and executors share: cuts lineage between rounds of a loop."""
+    at = fresh_folder(spark)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
