@@ -99,3 +99,15 @@ def latest_reports(reports: DataFrame, n: int = 20) -> DataFrame:
     """The latest n reports of each project, with their place: by creation, then id."""
     place = F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("created_at"), F.desc("report_id")))
     return reports.withColumn("place", place).where(F.col("place") <= n)
+
+
+def overview(scored: DataFrame) -> DataFrame:
+    """One row over types, methods and constructors: high, medium, low, mean_risk, max_risk, mean_complexity and max_complexity
+    (of methods and constructors), max_depth, exposed; 0 where there are none."""
+    rows = scored.where(F.col("kind").isin(*TYPE_KINDS, *METHOD_KINDS))
+    n, method = (lambda x: F.count_if(F.col("level") == x).alias(x.lower())), F.col("kind").isin(*METHOD_KINDS)
+    zero = lambda c, name: F.coalesce(c, F.lit(0)).alias(name)
+    return rows.agg(
+        n("HIGH"), n("MEDIUM"), n("LOW"), zero(rounded(F.avg("risk")), "mean_risk"), zero(F.max("risk"), "max_risk"), zero(rounded(F.avg(F.when(method, F.col("complexity")))), "mean_complexity"),
+        zero(F.max(F.when(method, F.col("complexity"))), "max_complexity"), zero(F.max("depth"), "max_depth"), F.count_if("exposed").alias("exposed"),
+    )

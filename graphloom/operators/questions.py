@@ -29,7 +29,12 @@ def mentions(questions: DataFrame, entity: DataFrame, most: int = MAX_ENTITIES)
     members = hit.where("member <> ''").join(children, ["type_id", "member"]).select("query_id", "at", "id")
     plain = hit.join(members.select("query_id", "at").distinct(), ["query_id", "at"], "left_anti").select("query_id", "at", F.col("type_id").alias("id"))
     route = questions.select("query_id", F.posexplode(F.regexp_extract_all("text", F.lit(ROUTE), F.lit(0))).alias("at", "route"))
-    ends = route.join(entity.where("kind = 'ENDPOINT'").select("id", "name"), F.contains(F.col("name"), F.col("route")))
+    # a route is somewhere in an endpoint's name: every string in it that begins with a slash is a key
+    size, sub = F.length("name"), lambda i, n: F.substring(F.col("name"), i, n)
+    slashes = F.filter(F.sequence(F.lit(1), size), lambda i: (sub(i, F.lit(1)) == "/") & (i < size))
+    held = F.flatten(F.transform(slashes, lambda i: F.transform(F.sequence(i + 1, size), lambda j: sub(i, j - i + 1))))
+    ends = entity.where("kind = 'ENDPOINT' and length(name) > 1").select("id", F.explode(F.array_distinct(held)).alias("route"))
+    ends = route.join(ends, "route")
     ends = ends.withColumn("n_", F.row_number().over(Window.partitionBy("query_id", "at").orderBy("id"))).where("n_ <= 2").select("query_id", (F.col("at") + 1_000_000).alias("at"), "id")
     every = members.unionByName(plain).unionByName(ends).groupBy("query_id", "id").agg(F.min("at").alias("at"))
     return every.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("at", "id"))).where(F.col("place") <= most).select("query_id", "id", "place")

@@ -176,3 +176,25 @@ def impact_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = lambda x: F.concat(F.lit(" "), x["type"], F.when(x["dispatch"], "! ").otherwise(" "), x["node"].cast("string"))
     path = F.concat(F.col("path")[0]["node"].cast("string"), F.array_join(F.transform(F.slice("path", 2, 1000), step), ""))
     return rows.select("id", "depth", "type", path.alias("path"))
+
+
+#: The same with the maxima of the project.
+SCALED_SQL = ORACLES["impact_summary"].replace("one AS (SELECT *, api", f"top AS ({MEASURED_SQL} SELECT * FROM top), one AS (SELECT *, api")
+for _literal, _column in (("100::BIGINT", "max_dependents"), ("10::BIGINT", "max_depth"), ("50::BIGINT", "max_coupling"), ("1000::BIGINT", "max_complexity")):
+    SCALED_SQL = SCALED_SQL.replace(f" {_literal}", f" (SELECT {_column} FROM top)").replace(f"({_literal}", f"((SELECT {_column} FROM top)")
+
+
+@query(SCALED_SQL)
+def impact_summary_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entity, edge = both(spark, sf_dir)
+    seeds = impact.seeds_of_entity(entity, entity.where(SEED))
+    return impact.summary(spark, entity, edge, seeds, metrics.scale(metrics.measured(spark, entity, edge)), entity.where(SEED))
+
+
+@query(f"""{MEASURED_SQL} SELECT count_if(level = 'HIGH')::BIGINT AS high, count_if(level = 'MEDIUM')::BIGINT AS medium, count_if(level = 'LOW')::BIGINT AS low, {round_sql('avg(risk)')} AS mean_risk, max(risk) AS max_risk,
+{round_sql("avg(CASE WHEN kind IN ('METHOD', 'CONSTRUCTOR') THEN complexity END)")} AS mean_complexity, max(CASE WHEN kind IN ('METHOD', 'CONSTRUCTOR') THEN complexity END) AS max_complexity, max(depth) AS max_depth, count_if(exposed)::BIGINT AS exposed
+FROM scored WHERE kind IN ('CLASS', 'INTERFACE', 'METHOD', 'CONSTRUCTOR')""")
+def overview_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.operators.kpi import overview
+
+    return overview(risks(spark, sf_dir))
