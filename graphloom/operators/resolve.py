@@ -197,12 +197,17 @@ def calls(names: Names, facts: DataFrame) -> DataFrame:
 
 
 def overrides(names: Names, types: DataFrame) -> DataFrame:
-    """src, dst: a method and those of supertypes with its name and parameters (a single capital stands for any type)."""
+    """src, dst: a method and those of supertypes with its name and parameters; type parameters of theirs stand for any type."""
     m = names.methods.where("kind = 'METHOD'").withColumn("static", F.contains(F.coalesce("modifiers", F.lit("")), F.lit("static"))).where("not static")
     own = m.where("visibility <> 'private'").join(types.select("owner"), "owner", "left_semi").select("owner", F.col("member").alias("src"), "name", "args", "params")
     up = m.where("visibility <> 'private'").select(F.col("owner").alias("super"), F.col("member").alias("dst"), "name", "args", F.col("params").alias("theirs"))
     rows = own.join(names.lineage.where("distance > 0"), "owner").join(up, ["super", "name", "args"])
-    return rows.where(F.forall(F.zip_with("params", "theirs", lambda a, b: (a == b) | b.rlike("^[A-Z][A-Z0-9]?$")), lambda x: x)).select("src", "dst")
+    free = names.facts.where("what = 'typeparam'")
+    of_type = free.where("member is null").groupBy(F.col("owner").alias("super")).agg(F.collect_set("name").alias("of_type"))
+    of_method = free.where("member is not null").groupBy(F.col("member").alias("dst")).agg(F.collect_set("name").alias("of_method"))
+    rows = rows.join(of_type, "super", "left").join(of_method, "dst", "left")
+    open_ = F.concat(*(F.coalesce(c, F.array().cast("array<string>")) for c in ("of_type", "of_method")))
+    return rows.where(F.forall(F.zip_with("params", "theirs", lambda a, b: (a == b) | F.array_contains(open_, b)), lambda x: x)).select("src", "dst")
 
 
 def edges(names: Names, only: DataFrame | None = None) -> DataFrame:

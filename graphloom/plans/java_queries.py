@@ -150,6 +150,7 @@ FACTS = """
 ('src/main/java/r{r}/order/Base.java', 'package', 1),
 ('src/main/java/r{r}/order/Base.java', 'param', 1),
 ('src/main/java/r{r}/order/Base.java', 'type', 1),
+('src/main/java/r{r}/order/Base.java', 'typeparam', 1),
 ('src/main/java/r{r}/order/Checks.java', 'file', 1),
 ('src/main/java/r{r}/order/Checks.java', 'method', 1),
 ('src/main/java/r{r}/order/Checks.java', 'package', 1),

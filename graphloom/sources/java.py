@@ -3,7 +3,7 @@
 This only says what a file states: types, members, imports, and in method bodies calls, creations, local variables and
 types in use. What names mean is found by joins (`operators.resolve`). A file that cannot be read gives one row `error`.
 
-Rows: path, what (package, import, type, method, field, param, local, call, new, use, error, file), owner (qualified name
+Rows: path, what (package, import, type, typeparam, method, field, param, local, call, new, use, error, file), owner (qualified name
 of the type), member (qualified name of the method or field), name, type_text, scope (of calls: what stands before the
 dot; of types: the one around; of methods: varargs), args, place (order), start_line, end_line, kind, visibility, modifiers, annotations, supers (types that a type
 extends and implements: kind:text), params (erased), complexity.
@@ -160,8 +160,7 @@ def _type(s: Source, package: str, outer: str, prefix: tuple[str, list[str], lis
     kind = "ANNOTATION" if word == "@" and s.take("interface") else TYPE_WORDS[word]
     name = s.take()
     qualified = f"{outer}.{name}" if outer else f"{package}.{name}" if package else name
-    if s.at() == "<":
-        _type_parameters(s)
+    params = _type_parameters(s) if s.at() == "<" else []
     components = _parameters(s) if kind == "RECORD" and s.at() == "(" else []
     supers = []
     while s.at() in ("extends", "implements", "permits"):
@@ -176,6 +175,8 @@ def _type(s: Source, package: str, outer: str, prefix: tuple[str, list[str], lis
             s.i += 1
     end = s.close(s.i) if s.at() == "{" else s.i
     s.put("type", owner=qualified, name=name, kind=kind, scope=outer or None, start_line=start, end_line=s.line[end], visibility=prefix[0], modifiers=",".join(prefix[1]), annotations=prefix[2], supers=supers)
+    for p in params:
+        s.put("typeparam", owner=qualified, name=p)
     for text, field in components:
         s.put("field", owner=qualified, member=f"{qualified}#{field}", name=field, type_text=text, start_line=start, end_line=start, visibility="private", modifiers="final")
     s.take("{")
@@ -200,19 +201,22 @@ def _type(s: Source, package: str, outer: str, prefix: tuple[str, list[str], lis
     s.i = end + 1
 
 
-def _type_parameters(s: Source) -> None:
-    depth = 0
+def _type_parameters(s: Source) -> list[str]:
+    """The names that the brackets at hand declare."""
+    depth, names = 0, []
     while True:
-        depth += (s.at() == "<") - (s.at() == ">")
+        opens = s.at() == "<"
+        depth += opens - (s.at() == ">")
+        if depth == 1 and (opens or s.at() == ",") and s.name(s.i + 1):
+            names.append(s.at(1))
         s.take()
         if not depth:
-            return
+            return names
 
 
 def _member(s: Source, owner: str, type_name: str, owner_kind: str, prefix: tuple[str, list[str], list[str]], end: int) -> str:
     start = s.line[s.i]
-    if s.at() == "<":
-        _type_parameters(s)
+    generic = _type_parameters(s) if s.at() == "<" else []
     shared = {"owner": owner, "visibility": prefix[0] if owner_kind not in ("INTERFACE", "ANNOTATION") or prefix[0] != "package" else "public", "annotations": prefix[2]}
     constructor = s.at() == type_name and s.at(1) in ("(", "{")
     text = "" if constructor else s.type_()
@@ -236,6 +240,8 @@ def _member(s: Source, owner: str, type_name: str, owner_kind: str, prefix: tupl
         s.put("method", member=member, name=called, type_text=text, kind="CONSTRUCTOR" if constructor else "METHOD", args=len(params), params=[erased(p) for p, _ in params], scope="varargs" if params and params[-1][0].endswith("...") else None, start_line=start, end_line=s.line[stop], modifiers=",".join(modifiers), complexity=1, **shared)
         for p, n in params:
             s.put("param", owner=owner, member=member, name=n, type_text=p)
+        for p in generic:
+            s.put("typeparam", owner=owner, member=member, name=p)
         for text in thrown:
             s.put("use", owner=owner, member=member, type_text=text)
         s.rows[row]["complexity"] = 1 + _body(s, s.i + 1, stop, owner, member)

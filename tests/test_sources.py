@@ -112,6 +112,18 @@ def test_uses_beside_calls():
     assert [r["name"] for r in rows if r["what"] == "field"] == ["all", "more", "n"]
 
 
+def test_type_parameters_stand_for_any_type(spark):
+    texts = {
+        "p/A.java": "package p; interface A<Key extends Comparable<Key>, V> { void put(Key k, V v); <Other> void swap(Other o); void plain(T t); }",
+        "p/B.java": "package p; class B implements A<String, Long> { public void put(String k, Long v) { } public void swap(Integer o) { } public void plain(String t) { } }",
+    }
+    files = spark.createDataFrame([(p, "root", t) for p, t in texts.items()], "path string, module string, text string")
+    entity, edge = resolve.analyse(spark, files)
+    name = {r.id: r.qualified_name for r in entity.collect()}
+    got = {(name[r.src], name[r.dst]) for r in edge.where("type = 'OVERRIDES'").collect()}
+    assert got == {("p.B#put(String,Long)", "p.A#put(Key,V)"), ("p.B#swap(Integer)", "p.A#swap(Other)")}
+
+
 def test_complexity():
     one = lambda body: next(r for r in java.read("x", f"class A {{ void f(int a) {{ {body} }} }}") if r["what"] == "method")["complexity"]
     assert one("") == 1 and one("if (a > 1 && a < 3 || a == 9) { }") == 4
