@@ -37,6 +37,7 @@ TOKENS, LEVELS, RECALL = 128, 3, 0.9999
 SMALL, BLOCK, EXACT_BLOCK = 64, 2048, 512
 #: Members of a cluster that meet one copy of its base.
 SPREAD = 1024
+HOT = 2000
 _FACTORS = np.random.default_rng(42).integers(1, 1 << 32, (2, TOKENS), dtype=np.uint32)
 _FACTORS[0] |= 1
 
@@ -245,8 +246,11 @@ def join(
     tasks = []
     for level in range(1, levels + 1):
         nodes = written(spark, nodes)
-        sizes = nodes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        held = nodes.join(sizes, "key")
+        sizes = written(spark, nodes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+        # sets of a node with over a 2000th of all are not gathered to learn its size: fewer than 2000 such nodes
+        most = max(1, nodes.count() // HOT)
+        heavy = F.broadcast(sizes.where(F.col("n") > most))
+        held = nodes.join(heavy, "key", "left_anti").join(sizes.where(F.col("n") <= most), "key").unionByName(nodes.join(heavy, "key"))
         lists = held.where(F.col("n") <= small).groupBy("key").agg(F.sort_array(F.collect_list("set")).alias("list")).select("list").distinct()
         tasks.append(lists.select(F.xxhash64("list").alias("task"), F.explode("list").alias("set"), F.lit(2).alias("side")))
         large = held.where(F.col("n") > small)
