@@ -58,14 +58,13 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray,
     """The sorted distinct shingles of each row of a slice, and their offsets."""
     start, end, rows = ta.words(data, off)
     hashes = ta.word_hashes(data, start, end)
-    roll = ta.Rolling(hashes)
-    grams, n = ta.mix(roll.grams(k)), np.diff(rows)
+    grams, n = ta.mix(ta.grams(hashes, k)), np.diff(rows)
     sets = []
     for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
         if b - a >= k:
             sets.append(np.unique(grams[a : b - k + 1]))
         elif b > a:
-            sets.append(ta.mix(roll.of(np.array([a]), np.array([b])) + np.uint64(b - a)))
+            sets.append(ta.mix(ta.Rolling(hashes[a:b]).of(np.array([0]), np.array([b - a])) + np.uint64(b - a)))
         else:
             sets.append(grams[:0])
     return np.concatenate(sets) if sets else grams[:0], np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64) if len(n) else np.zeros(1, np.int64)

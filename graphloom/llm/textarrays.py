@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,15 +30,15 @@ def _residue(x: np.ndarray) -> np.ndarray:
 
 
 def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B**i and B**-i modulo the prime for i < n, B the base of that number."""
+    """B**i and B**-i modulo the prime for i < n, B the base of that number, as 32-bit integers."""
     have = _powers.get(which)
     if have is None or len(have[0]) < n:
         out = []
         for base in (_BASES[which], pow(_BASES[which], -1, int(_PRIME))):
             p = np.ones(1, U64)
-            while len(p) < max(n, 1 << 16):
-                p = np.concatenate([p, _residue(p * U64(pow(base, len(p), int(_PRIME))))])
-            out.append(p)
+            while len(p) < (size := max(n, 1 << 16)):
+                p = np.concatenate([p, _residue(p[: size - len(p)] * U64(pow(base, len(p), int(_PRIME))))])
+            out.append(p.astype(np.uint32))
         have = _powers[which] = (out[0], out[1])
     return have[0][:n], have[1][:n]
 
@@ -128,7 +129,26 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix(Rolling(_TABLE[data]).of(start, end) + (end - start).astype(U64))
+    """Hashes of the strings data[start:end], in order of start; in pieces, so that memory does not grow with a long text."""
+    out, size = np.empty(len(start), U64), end - start
+    for i in np.flatnonzero(size > SLICE).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    short = np.flatnonzero(size <= SLICE)
+    lo = 0
+    while lo < len(short):
+        first = start[short[lo]]
+        hi = max(lo + 1, int(np.searchsorted(end[short], first + 2 * SLICE, side="right")))
+        part = short[lo:hi]
+        a, b = start[part] - first, end[part] - first
+        out[part] = mix(Rolling(_TABLE[data[first : first + b[-1]]]).of(a, b) + size[part].astype(U64))
+        lo = hi
+    return out
+
+
+def grams(symbols: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the k symbols from each position on, in pieces."""
+    n = max(0, len(symbols) - k + 1)
+    return np.concatenate([np.zeros(0, U64), *(Rolling(symbols[lo : lo + SLICE + k - 1]).grams(k) for lo in range(0, n, SLICE))])
 
 
 def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
