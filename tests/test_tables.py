@@ -74,8 +74,8 @@ def test_portfolio(spark):
         (2, 3, 'SUCCESS', timestamp_ntz'2024-01-03 09:00:00', timestamp_ntz'2024-01-03 09:00:03', 3001L) as t(project_id, run_id, status, started_at, finished_at, duration_ms)""")
     assert {(r.project_id, r.run_id) for r in kpi.last_runs(runs).collect()} == {(1, 2), (2, 3)}
     days = kpi.activity(runs, "2024-01-03", 3)
-    assert [(str(r.day), r.ok, r.failed, r.avg_ms) for r in days.orderBy("day").collect()] == [("2024-01-01", 1, 0, 1000), ("2024-01-02", 0, 0, None), ("2024-01-03", 1, 1, 3001)]
-    assert kpi.weighted_mean(days).first().mean_ms == 2000
+    assert [(str(r.day), r.ok, r.failed, r.avg_ms) for r in days.orderBy("day").collect()] == [("2024-01-01", 1, 0, 1000), ("2024-01-02", 0, 0, None), ("2024-01-03", 1, 1, 2501)]
+    assert kpi.weighted_mean(days).first().mean_ms == (1000 + 2 * 2501) // 3 and kpi.weighted_mean(days.limit(0)).first().mean_ms is None
     with pytest.raises(ValueError):
         kpi.hotspots(runs, "name")
 
