@@ -15,8 +15,6 @@ from graphloom.tables import table
 QUERIES, ORACLES, query = registry()
 #: Entities nested as deep as numbers have digits to base 3: types where 5 divides the number.
 NEST_SQL = "nest AS (SELECT p_partkey AS id, CASE WHEN p_partkey >= 3 THEN p_partkey // 3 END AS parent_id, CASE WHEN p_partkey % 5 = 0 OR p_partkey < 2 THEN 'CLASS' ELSE 'METHOD' END AS kind FROM part)"
-#: The parts of one type and brand: their chunks are as many as their size tells.
-LABEL_SQL = "CASE WHEN kind = 'ENDPOINT' THEN name ELSE regexp_replace(qualified_name, '^([^A-Z.][^.]*\\.)+', '') END"
 
 
 def nest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,12 +43,12 @@ def impact_file_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact.targets_of_files(entity, entity.where("file_id % 3 = 1"))
 
 
-@query(f"""{WITH} SELECT a.id + 1 AS place, e.id, e.name, CASE WHEN e.kind = 'ENDPOINT' THEN e.name WHEN contains(e.qualified_name, '#') THEN regexp_replace(string_split(e.qualified_name, '#')[1], '^.*\\.', '') || '#' || string_split(e.qualified_name, '#')[2] ELSE e.qualified_name END AS label,
-    e.kind, o.stereotype AS role, CASE WHEN e.complexity > 30 THEN e.complexity::DOUBLE END AS risk FROM entity a JOIN entity e ON e.id = a.id LEFT JOIN entity o ON o.id = coalesce(e.parent_id, e.id) WHERE a.id % 100 = 0 AND e.kind = 'ENDPOINT'""")
+@query(f"""{WITH} SELECT a.id + 1 AS place, e.id, e.name, CASE WHEN e.kind = 'ENDPOINT' THEN e.name ELSE e.qualified_name END AS label,
+    e.kind, o.stereotype AS role, CASE WHEN e.complexity > 30 THEN e.complexity::DOUBLE END AS risk FROM entity a JOIN entity e ON e.id = a.id LEFT JOIN entity o ON o.id = coalesce(e.parent_id, e.id) WHERE a.id % 100 = 0""")
 def entity_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summaries of a set of ids, each with its place in the list that was asked for."""
     entity = adapters.entities(spark, sf_dir)
-    asked = entity.where("id % 100 = 0 and kind = 'ENDPOINT'").select((F.col("id") + 1).alias("place"), "id")
+    asked = entity.where("id % 100 = 0").select((F.col("id") + 1).alias("place"), "id")
     return search.summaries(entity, entity.where("complexity > 30").select("id", F.col("complexity").cast("double").alias("risk")), asked)
 
 
