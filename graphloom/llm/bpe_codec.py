@@ -26,10 +26,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 MODEL = "/opt/tokenizers/word_bpe_49k.json"
-CACHE = 300_000
+CACHE = 150_000
 LONG = 64
-PIECE = 4 << 20
-BATCH = 8 << 20
+PIECE = 1 << 20
+BATCH = 2 << 20
 #: What may end a run of white space that a space goes on with: ASCII, and the other spaces in UTF-8.
 _SPACES = rb"[\t-\r]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
 #: Chunks that begin with spaces (the first may not): byte-level splitting depends on nothing beyond them.
@@ -119,6 +119,24 @@ def _automaton(strings: list[list[int]]) -> dict:
     return {"steps": np.array(steps, np.int64).reshape(-1, 2), "link": np.array(link, np.int32), "length": np.array(length, np.int32), "ends": np.array(ends, np.int64)}
 
 
+class Recent:
+    """A cache of at most 2 * limit entries that keeps what is still asked for."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.limit:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class Codec:
     def __init__(self, table: dict):
         from tokenizers import Tokenizer
@@ -146,13 +164,11 @@ class Codec:
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted({*range(256)} - {*plain}))}
         self.spelled = [bytes(map(byte.get, t)) if table["bytes"] and t not in self.special else t.encode() for t in self.names]
         self.beside: dict[int, bool] = {}
-        self.cache: dict[bytes, bytes] = {}
+        self.chunks, self.words = Recent(CACHE), Recent(CACHE)
 
     def fits(self, a: int, b: int) -> bool:
         """Whether a and b stay side by side when what they spell together is merged."""
         key = a << 32 | b
-        if (known := self.beside.get(key)) is not None:
-            return known
         rank, made = self.rank, self.made
         bound = len(rank)
         while True:
@@ -174,7 +190,7 @@ class Codec:
 
     def word(self, text: str) -> list[int]:
         """Ids of a word of byte-level symbols."""
-        go, link, length, token, out, fits, size = self.go, self.link, self.length, self.token, self.out, self.fits, self.size
+        go, link, length, token, out, beside, size = self.go, self.link, self.length, self.token, self.out, self.beside, self.size
         read = [self.symbols[c] for c in text[:-1]] + [self.symbols[text[-1] + self.end]]
         last: list[int] = []  # token of each prefix's encoding
         state = have = 0
@@ -184,7 +200,12 @@ class Codec:
                 have = length[state]
             state, have = to, have + 1
             s = state if token[state] >= 0 and have == length[state] else out[state]
-            while (at := i - length[s]) and not fits(last[at - 1], token[s]):
+            while at := i - length[s]:
+                before, t = last[at - 1], token[s]
+                if (fits := beside.get(before << 32 | t)) is None:
+                    fits = self.fits(before, t)
+                if fits:
+                    break
                 s = out[s]
             last.append(token[s])
         ids, i = [], len(read)
@@ -195,18 +216,22 @@ class Codec:
 
     def chunk(self, raw: bytes) -> bytes:
         """Ids of a chunk, as the bytes of 32-bit integers."""
-        text, ids = raw.decode("utf-8", "replace"), []
+        if (known := self.chunks.get(raw)) is not None:
+            return known
+        text, found = raw.decode("utf-8", "replace"), []
         for part in self.found.split(text) if self.found else [text]:
             if part in self.special:
-                ids.append(self.special[part])
+                found.append(self.special[part].to_bytes(4, "little"))
             elif part:
                 for piece, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(part) if self.normalizer else part):
-                    ids += self.word(piece)
-        packed = np.array(ids, "<i4").tobytes()
+                    if (ids := self.words.get(piece)) is None:
+                        ids = np.array(self.word(piece), "<i4").tobytes()
+                        if len(piece) <= LONG:
+                            self.words.put(piece, ids)
+                    found.append(ids)
+        packed = b"".join(found)
         if len(raw) <= LONG:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[raw] = packed
+            self.chunks.put(raw, packed)
         return packed
 
     def encode(self, text: bytes) -> bytes:
@@ -224,7 +249,7 @@ class Codec:
         return b"".join(out)
 
     def _joined(self, chunks: list[bytes]) -> bytes:
-        have, new = self.cache.get, self.chunk
+        have, new = self.chunks.young.get, self.chunk
         return b"".join([x if (x := have(c)) is not None else new(c) for c in chunks])
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -246,7 +271,7 @@ def _codec(shared) -> Codec:
     return _codecs[table["spec"]]
 
 
-def _batches(batch: pa.RecordBatch, column: pa.Array, limit: int = BATCH) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+def sized(batch: pa.RecordBatch, column: pa.Array, limit: int = BATCH) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Rows whose values have limit bytes or so together."""
     size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     at, lo = np.concatenate([[0], np.cumsum(size)]), 0
@@ -256,14 +281,15 @@ def _batches(batch: pa.RecordBatch, column: pa.Array, limit: int = BATCH) -> Ite
         lo = hi
 
 
-def encode(spark: SparkSession, docs: DataFrame, model: str = MODEL, text: str = "text", keep: tuple[str, ...] = ("doc_id",), packed: bool = False) -> DataFrame:
-    """The columns to keep, ids (array<int>; packed: binary, little-endian 32-bit integers), n_tokens."""
+def encode(spark: SparkSession, docs: DataFrame, model: str = MODEL, text: str = "text", keep: tuple[str, ...] = ("doc_id",), packed: bool = False, decoded: bool = False) -> DataFrame:
+    """The columns to keep, ids (array<int>; packed: binary, little-endian 32-bit integers), n_tokens; with decoded=True
+    also what the ids decode to, by the same workers."""
     shared = spark.sparkContext.broadcast(load(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for batch in batches:
-            for rows, column in _batches(batch, batch.column(len(keep)).cast(pa.binary())):
+            for rows, column in sized(batch, batch.column(len(keep)).cast(pa.binary())):
                 ids = [None if t is None else codec.encode(t) for t in column.to_pylist()]
                 count = np.array([len(x or b"") // 4 for x in ids], np.int64)
                 if packed:
@@ -271,10 +297,11 @@ def encode(spark: SparkSession, docs: DataFrame, model: str = MODEL, text: str =
                 else:
                     at = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32), mask=np.array([*(x is None for x in ids), False]))
                     out = pa.ListArray.from_arrays(at, pa.array(np.frombuffer(b"".join(x or b"" for x in ids), "<i4")))
-                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(keep))), out, pa.array(count)], names=[*keep, "ids", "n_tokens"])
+                more = {"decoded": pa.array((None if x is None else codec.decode(np.frombuffer(x, "<i4")).decode() for x in ids), pa.string())} if decoded else {}
+                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(keep))), out, pa.array(count), *more.values()], names=[*keep, "ids", "n_tokens", *more])
 
     kinds = dict(docs.dtypes)
-    return docs.select(*keep, text).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"ids {'binary' if packed else 'array<int>'}", "n_tokens long"]))
+    return docs.select(*keep, text).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"ids {'binary' if packed else 'array<int>'}", "n_tokens long", *["decoded string"] * decoded]))
 
 
 def decode(spark: SparkSession, encoded: DataFrame, model: str = MODEL, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:

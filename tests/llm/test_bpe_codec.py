@@ -41,11 +41,11 @@ def test_long_texts(both, monkeypatch):
 
 def test_small_caches(both, monkeypatch):
     codec, library = both
-    monkeypatch.setattr(bpe_codec, "CACHE", 5)
     text = "many different words, each met again: many different words " * 3
-    codec.cache.clear()
+    monkeypatch.setattr(codec, "chunks", bpe_codec.Recent(5))
+    monkeypatch.setattr(codec, "words", bpe_codec.Recent(5))
     assert np.frombuffer(codec.encode(text.encode()), "<i4").tolist() == library.encode(text, add_special_tokens=False).ids
-    assert len(codec.cache) <= 5
+    assert all(len(x.young) <= 5 and len(x.old) <= 5 for x in (codec.chunks, codec.words))
 
 
 def test_stored_tokens_are_those_of_every_prefix(both):
