@@ -31,9 +31,9 @@ LONG = 64
 PIECE = 1 << 20
 BATCH = 2 << 20
 #: What may end a run of white space that a space goes on with: ASCII, and the other spaces in UTF-8.
-_SPACES = rb"[\t-\r]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
+SPACES = rb"[\t-\r]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
 #: Chunks that begin with spaces (the first may not): byte-level splitting depends on nothing beyond them.
-SPACED = re.compile(rb"(?:^(?! )| +)(?:[^ ]*(?:" + _SPACES + rb") +)*[^ ]*")
+SPACED = re.compile(rb"(?:^(?! )| +)(?:[^ ]*(?:" + SPACES + rb") +)*[^ ]*")
 
 
 def merged(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:

@@ -58,8 +58,9 @@ def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aligned = token_alignment.align(spark, table(spark, sf_dir, "documents"))
-    return aligned.withColumn("groups_sha256", F.when(F.col("n_a") == 0, F.lit("")).otherwise(F.sha2("groups", 256))).drop("groups")
+    sha = lambda groups: F.when(groups == "", F.lit("")).otherwise(F.sha2(groups, 256))
+    return token_alignment.align(spark, table(spark, sf_dir, "documents"), shape=sha).withColumnRenamed("groups", "groups_sha256")
+
 
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_ngram_jaccard_join, op3_embedding_near_dedup, op4_substring_dedup, op5_line_dedup, op6_suffix_array_dedup, op7_source_mixing, op8_quality_rules, op9_sharding, op10_toxicity, op11_bpe_codec, op13_token_alignment)}

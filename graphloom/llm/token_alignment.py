@@ -5,10 +5,11 @@ side that owns each, so every interval is one overlap of two tokens, a link, and
 both share close groups. `products` expands groups to all pairs of their tokens. A link's count is the number of documents
 that hold its pair of ids linked, over all documents.
 
-Both tokenizers read the text behind a space, and neither has a token that reaches from a word into the spaces behind it.
-So texts are cut there, each distinct chunk is tokenized and aligned once for a while, in a bounded cache, and no link or
-group crosses a cut. Counts are summed within tasks first. Those that can be many times the rest are at most `limit`
-pairs: they are handed to all tasks; beyond `limit` pairs the rest is joined by pair, and none of it is hot.
+Both tokenizers read the text behind a space. Neither has a token that reaches from a word into what follows it (a space or
+another character of ASCII that is no letter), so texts are cut there: each distinct chunk is tokenized and aligned once for
+a while, in a bounded cache, and no link or group crosses a cut. Texts are tokenized once; a table keeps each document's
+figures and links while counts are summed, within tasks first. At most `limit` pairs are handed to all tasks, those with the
+greatest counts; beyond `limit` pairs the rest is joined by pair, and none of it is hot.
 
 Texts that are null or empty, or that either tokenizer does not spell byte for byte (one that holds U+2581 itself), have no
 tokens: zeros, and an empty string of groups. Long texts are aligned whole. Rows are documents of their own, repeated ones
@@ -17,27 +18,33 @@ too, and count as such. An empty table gives an empty one; other columns do not
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
-import uuid
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.bpe_codec import SPACED, sized
+from graphloom.llm.bpe_codec import SPACES, Recent, sized
 from graphloom.llm.common import unused, written
+from graphloom.llm.textarrays import ragged
 
 BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CACHE = 200_000
+CACHE = 100_000
 LONG = 64
 #: Pairs whose counts every task may hold: 16 bytes each.
 LIMIT = 1 << 21
 #: Distinct pairs that a task gathers before it hands on what it has counted.
 GATHERED = 1 << 20
+_LETTER = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
+_OTHER = rb"(?:[^ A-Za-z\xc3]|\xc3[\x97\xb7])"
+#: Spaces, other characters, letters: up to the next spaces, or a character of ASCII behind letters. Runs of mixed white space are not cut.
+CHUNK = re.compile(rb" *(?:" + _OTHER + rb"*" + _LETTER + rb"++(?=[\x80-\xff])|" + _OTHER + rb"*(?:" + SPACES + rb") +)*" + _OTHER + rb"*" + _LETTER + rb"*")
 
 
 def intervals(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,7 +54,7 @@ def intervals(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 class Tokenizers:
-    """Ids of chunks that begin with a space, by both tokenizers, and the bytes that each id spells."""
+    """Ids of chunks by both tokenizers, and the bytes that each id spells."""
 
     def __init__(self, byte_model: str, piece_model: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -64,95 +71,146 @@ class Tokenizers:
             self.bytes_a[i] = bytes(map(byte.get, token))
         piece = lambda i: bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) or self.b.is_unknown(i) else self.b.id_to_piece(i).replace("▁", " ").encode()
         self.bytes_b = [piece(i) for i in range(len(self.b))]
-        self.space = self.b.piece_to_id("▁")
-
-    def tokens(self, chunks: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
-        texts = [c.decode() for c in chunks]
-        a = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
-        b = self.b.encode([t[1:] for t in texts], num_threads=1)  # which puts the space in front itself, but for an empty text
-        return a, [x if t != " " else [self.space] for t, x in zip(texts, b, strict=True)]
+        crossing = [x for x in self.bytes_b if re.search(_LETTER + rb"[\x00-@\[-`{-\x7f]", x)]
+        if crossing:
+            raise ValueError(f"pieces that reach beyond a word are not supported, as {crossing[0]!r}")
+        self.size_a, self.size_b = (np.array([len(x) for x in names], np.int64) for names in (self.bytes_a, self.bytes_b))
+        self.space, self.letter = self.b.piece_to_id("▁"), self.b.piece_to_id("▁a")
+
+    def by_a(self, chunks: list[bytes], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks, and how many each has. Chunks that may stand side by side are read together."""
+        joint = np.array([c[:1] == b" " and c[-1:] > b" " and c[-1:] < b"\x80" for c in chunks])
+        counts, flat = np.zeros(len(chunks), np.int64), []
+        together, alone = np.flatnonzero(joint), np.flatnonzero(~joint)
+        parts = [together[lo : lo + 1000].tolist() for lo in range(0, len(together), 1000)]
+        for part, e in zip(parts, self.a.encode_batch_fast(["".join([texts[i] for i in part]) for part in parts], add_special_tokens=False), strict=True):
+            flat.append(np.array(e.ids, np.int64))
+            ends = np.searchsorted(np.cumsum(self.size_a[flat[-1]]), np.cumsum([len(chunks[i]) for i in part])) + 1
+            counts[part] = np.diff(ends, prepend=0)
+        for i, e in zip(alone.tolist(), self.a.encode_batch_fast([texts[i] for i in alone.tolist()], add_special_tokens=False), strict=True):
+            flat.append(np.array(e.ids, np.int64))
+            counts[i] = len(flat[-1])
+        # from the order of reading to that of the chunks
+        order = np.concatenate([together, alone])
+        start = np.zeros(len(chunks), np.int64)
+        start[order] = np.concatenate([[0], np.cumsum(counts[order])[:-1]])
+        return np.concatenate(flat)[ragged(start, counts)], counts
+
+    def by_b(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same. The library puts a space in front of a text that is not empty; chunks without one follow a letter."""
+        found = self.b.encode([t[1:] if t[0] == " " else "a" + t for t in texts], num_threads=1)
+        found = [(x or [self.space]) if t[0] == " " else x[1:] for t, x in zip(texts, found, strict=True)]
+        counts = np.array([len(x) for x in found], np.int64)
+        return np.fromiter(itertools.chain.from_iterable(found), np.int64, int(counts.sum())), counts
 
 
 class Aligner:
-    """Chunks' figures: n_a, n_b, n_groups, n_links, n_best, count_sum, groups, and the links as packed pairs: all of them
-    without a table of counts; with one, those that it lacks. None for chunks that a tokenizer does not spell."""
-
-    def __init__(self, tokenizers: Tokenizers, table: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
-        self.tokenizers, self.table, self.cache = tokenizers, table, {}
-        self.size_a, self.size_b = (np.array([len(x) for x in names], np.int64) for names in (tokenizers.bytes_a, tokenizers.bytes_b))
-        self.name = [str(i) for i in range(max(len(self.size_a), len(self.size_b)))]
-
-    def of(self, texts: list[bytes], once: bool = False) -> list[list[tuple | None]]:
-        """Figures of the chunks of each text; once: of its distinct chunks."""
-        parts = [SPACED.findall(b" " + t) if t else [] for t in texts]
-        parts = [set(p) for p in parts] if once else parts
-        new = list({c for p in parts for c in p if c not in self.cache})
-        if len(new) + len(self.cache) > CACHE:
-            self.cache.clear()
-            new = list({c for p in parts for c in p})
-        self.cache.update(zip(new, self._figures(new), strict=True))
-        out = [[self.cache[c] for c in p] for p in parts]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        for c in new:
-            if len(c) > LONG:
-                self.cache.pop(c, None)
-        return out
-
-    def _figures(self, chunks: list[bytes]) -> list[tuple | None]:
-        a, b = self.tokenizers.tokens(chunks)
-        spelled = lambda ids, names: b"".join([names[i] for i in ids])
-        sound = [i for i, c in enumerate(chunks) if spelled(a[i], self.tokenizers.bytes_a) == c == spelled(b[i], self.tokenizers.bytes_b)]
-        out: list[tuple | None] = [None] * len(chunks)
-        if not sound:
+    """Chunks' figures: n_a, n_b and n_groups in 40 bits each, the groups, each with a semicolon behind it, and the links,
+    packed pairs. None for chunks that a tokenizer does not spell."""
+
+    def __init__(self, tokenizers: Tokenizers):
+        self.tokenizers, self.cache = tokenizers, Recent(CACHE)
+        self.wide = len(tokenizers.size_b)
+        self.kind = np.uint32 if self.wide * len(tokenizers.size_a) <= 1 << 32 else np.uint64
+        self.name = [f"{i}{mark}" for i in range(max(self.wide, len(tokenizers.size_a))) for mark in ",|;"]
+
+    def of(self, texts: list[bytes]) -> list[list[tuple | None]]:
+        """Figures of the chunks of each text."""
+        parts = [[c for c in CHUNK.findall(b" " + t) if c] if t else [] for t in texts]
+        young = self.cache.young.get
+        found = [[young(c) for c in p] for p in parts]
+        # zero: not known
+        new = {c for p, f in zip(parts, found, strict=True) if None in f for c, x in zip(p, f, strict=True) if x is None}
+        have = {c: x for c in new if (x := self.cache.get(c)) is not None}
+        rest = [c for c in new if c not in have]
+        have.update(zip(rest, self._figures(rest), strict=True))
+        for c in rest:
+            if len(c) <= LONG:
+                self.cache.put(c, have[c])
+        return [[x if x is not None else have[c] for c, x in zip(p, f, strict=True)] if None in f else f for p, f in zip(parts, found, strict=True)]
+
+    def _figures(self, chunks: list[bytes]) -> list[tuple]:
+        if not chunks:
+            return []
+        t, texts = self.tokenizers, [c.decode() for c in chunks]
+        (ids_a, n_a), (ids_b, n_b) = t.by_a(chunks, texts), t.by_b(texts)
+        sound = np.ones(len(chunks), bool)
+        for ids, n, names in ((ids_a, n_a, t.bytes_a), (ids_b, n_b, t.bytes_b)):
+            spelled = [names[i] for i in ids.tolist()]
+            if b"".join(spelled) != b"".join(chunks):
+                at = np.concatenate([[0], np.cumsum(n)]).tolist()
+                sound &= [b"".join(spelled[at[i] : at[i + 1]]) == c for i, c in enumerate(chunks)]
+        if not sound.all():
+            kept = np.flatnonzero(sound).tolist()
+            out = [UNSOUND] * len(chunks)
+            for i, x in zip(kept, self._figures([chunks[i] for i in kept]), strict=True):
+                out[i] = x
             return out
-        ids_a, ids_b = (np.array([t for i in sound for t in x[i]], np.int64) for x in (a, b))
-        ends_a, ends_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
+        ends_a, ends_b = np.cumsum(t.size_a[ids_a]), np.cumsum(t.size_b[ids_b])
         ends, own_a, own_b = intervals(ends_a, ends_b)
-        codes = ids_a[own_a] << 32 | ids_b[own_b]
+        links = (ids_a[own_a] * self.wide + ids_b[own_b]).astype(self.kind)
         shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        in_a, in_b = (np.concatenate([[0], np.searchsorted(x, shared, side="right")]).tolist() for x in (ends_a, ends_b))
-        names_a, names_b = ([self.name[i] for i in x.tolist()] for x in (ids_a, ids_b))
-        groups = [",".join(names_a[in_a[g] : in_a[g + 1]]) + "|" + ",".join(names_b[in_b[g] : in_b[g + 1]]) for g in range(len(shared))]
-        done = np.cumsum([len(chunks[i]) for i in sound])
-        link_at, group_at = (np.concatenate([[0], np.searchsorted(x, done, side="right")]).tolist() for x in (ends, shared))
-        if self.table:
-            pairs, counts, best = self.table
-            at = np.minimum(np.searchsorted(pairs, codes), max(len(pairs) - 1, 0))
-            known = pairs[at] == codes if len(pairs) else np.zeros(len(codes), bool)
-            count = np.where(known, counts[at] if len(pairs) else 0, 0)
-            sums, tops = (np.concatenate([[0], np.cumsum(x)]) for x in (count, known & (count == best[codes >> 32])))
-        else:
-            known, sums, tops = np.zeros(len(codes), bool), np.zeros(len(codes) + 1, np.int64), np.zeros(len(codes) + 1, np.int64)
-        sums, tops = sums[link_at].tolist(), tops[link_at].tolist()
-        for j, i in enumerate(sound):
-            lo, hi, first, last = link_at[j], link_at[j + 1], group_at[j], group_at[j + 1]
-            links = codes[lo:hi][~known[lo:hi]].tobytes()
-            out[i] = (len(a[i]), len(b[i]), last - first, hi - lo, tops[j + 1] - tops[j], sums[j + 1] - sums[j], ";".join(groups[first:last]), links)
+        # tokens in order of group and side, each with what stands behind it
+        group_a, group_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
+        order = np.argsort(np.concatenate([group_a * 2, group_b * 2 + 1]), kind="stable")
+        mark_a, mark_b = (np.diff(g, append=-1) != 0 for g in (group_a, group_b))
+        names = np.concatenate([ids_a * 3 + mark_a, ids_b * 3 + mark_b * 2])[order].tolist()
+        names = [self.name[i] for i in names]
+        done = np.cumsum([len(c) for c in chunks])
+        n_groups = np.diff(np.searchsorted(shared, done, side="right"), prepend=0)
+        link_at = (np.searchsorted(ends, done, side="right") * links.itemsize).tolist()
+        packed, out, at, first = links.tobytes(), [], 0, 0
+        for a, b, g, last in zip(n_a.tolist(), n_b.tolist(), n_groups.tolist(), link_at, strict=True):
+            out.append((a | b << 40 | g << 80, "".join(names[at : at + a + b]), packed[first:last]))
+            at, first = at + a + b, last
         return out
 
 
+#: Of chunks that a tokenizer does not spell.
+UNSOUND = (0, "", b"")
 _ready: dict[tuple, Aligner] = {}
 
 
-def _aligner(files, table=None, name: str = "") -> Aligner:
-    """One aligner a worker, files and table of counts."""
-    key = (*files.value, name)
-    if key not in _ready:
+def _aligner(files) -> Aligner:
+    """One aligner a worker and pair of files."""
+    if files.value not in _ready:
         _ready.clear()
-        _ready[key] = Aligner(Tokenizers(*files.value), table.value if table else None)
-    return _ready[key]
+        _ready[files.value] = Aligner(Tokenizers(*files.value))
+    return _ready[files.value]
 
 
-def _files(spark: SparkSession, byte_model: str, piece_model: str):
-    """Both vocabularies, for workers: their size does not depend on the data."""
+def aligned(spark: SparkSession, docs: DataFrame, byte_model: str = BYTE_MODEL, piece_model: str = PIECE_MODEL, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns to keep, n_a, n_b, n_groups, n_links, groups, and the distinct links: pairs (a * pieces + b, ascending) and
+    how often each occurs, as packed little-endian integers of 4 bytes (8 for large vocabularies; times: always 4)."""
     with open(byte_model, encoding="utf-8") as f, open(piece_model, "rb") as g:
-        return spark.sparkContext.broadcast((f.read(), g.read()))
+        files = spark.sparkContext.broadcast((f.read(), g.read()))  # vocabularies: their size does not depend on the data
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner, low = _aligner(files), (1 << 40) - 1
+        for batch in batches:
+            for rows, column in sized(batch, batch.column(len(keep)).cast(pa.binary())):
+                sums, groups, pairs, times = [], [], [], []
+                for chunks in aligner.of([t or b"" for t in column.to_pylist()]):
+                    if not chunks or UNSOUND in chunks:
+                        chunks = [UNSOUND]
+                    numbers, strings, links = zip(*chunks, strict=True)
+                    n, links = sum(numbers), np.frombuffer(b"".join(links), aligner.kind)
+                    pair, k = np.unique(links, return_counts=True)
+                    sums.append((n & low, n >> 40 & low, n >> 80, len(links)))
+                    groups.append("".join(strings)[:-1])
+                    pairs.append(pair.tobytes())
+                    times.append(k.astype(np.uint32).tobytes())
+                columns = [*(rows.column(i) for i in range(len(keep))), *(pa.array(x) for x in np.array(sums, np.int64).T), pa.array(groups), pa.array(pairs, pa.binary()), pa.array(times, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"])
+
+    kinds = dict(docs.dtypes)
+    schema = [*(f"`{c}` {kinds[c]}" for c in keep), "n_a long, n_b long, n_groups long, n_links long, groups string, pairs binary, times binary"]
+    return docs.select(*keep, text).mapInArrow(run, ", ".join(schema))
 
 
-def pair_counts(spark: SparkSession, docs: DataFrame, byte_model: str = BYTE_MODEL, piece_model: str = PIECE_MODEL, text: str = "text") -> DataFrame:
-    """a, b, n: how many documents hold the pair of ids linked."""
-    files = _files(spark, byte_model, piece_model)
+def pair_counts(links: DataFrame, kind: type = np.uint32, gathered: int | None = None) -> DataFrame:
+    """pair, n: how many documents hold the pair, from the column pairs of `aligned`."""
+    gathered = gathered or GATHERED
 
     def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         pair, which = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
@@ -161,81 +219,81 @@ def pair_counts(spark: SparkSession, docs: DataFrame, byte_model: str = BYTE_MOD
         return pair, total
 
     def rows(pair: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], names=["pair", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(pair.astype(np.int64)), pa.array(n)], names=["pair", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, parts, size = _aligner(files), [], 0
+        parts, size = [], 0
         for batch in batches:
-            for _, column in sized(batch, batch.column(0).cast(pa.binary())):
-                found = []
-                for chunks in aligner.of([t or b"" for t in column.to_pylist()], once=True):
-                    if chunks and None not in chunks:
-                        found.append(np.unique(np.frombuffer(b"".join([c[-1] for c in chunks]), np.int64)))
-                if found:
-                    parts.append(np.unique(np.concatenate(found), return_counts=True))
-                    size += len(parts[-1][0])
-                if size > GATHERED:
+            for _, column in sized(batch, batch.column(0)):
+                parts.append(np.unique(np.frombuffer(b"".join(column.to_pylist()), kind), return_counts=True))
+                size += len(parts[-1][0])
+                if size > gathered:
                     parts = [merged(parts)]
-                    if (size := len(parts[0][0])) > GATHERED // 2:
+                    if (size := len(parts[0][0])) > gathered // 2:
                         yield rows(*parts[0])
                         parts, size = [], 0
         if parts:
             yield rows(*merged(parts))
 
-    counted = docs.select(text).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    return counted.select(F.shiftright("pair", 32).cast("int").alias("a"), F.col("pair").bitwiseAND((1 << 32) - 1).cast("int").alias("b"), "n")
+    return links.select("pairs").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def align(spark: SparkSession, docs: DataFrame, byte_model: str = BYTE_MODEL, piece_model: str = PIECE_MODEL, text: str = "text", keep: tuple[str, ...] = ("doc_id",), limit: int = LIMIT) -> DataFrame:
+def align(
+    spark: SparkSession, docs: DataFrame, byte_model: str = BYTE_MODEL, piece_model: str = PIECE_MODEL, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
+    limit: int | None = None, shape: Callable[[Column], Column] = lambda groups: groups,
+) -> DataFrame:
     """The columns to keep, n_a, n_b (tokens), n_groups, n_links, n_best (links whose count is the highest of their A id),
-    count_sum (over links), groups (`a1,a2|b1;a3|b2`: ids in order). limit: pairs whose counts tasks may hold."""
-    files = _files(spark, byte_model, piece_model)
-    counts = written(spark, pair_counts(spark, docs, byte_model, piece_model, text))
-    size, total, top = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("a"), F.lit(-1))).first()
+    count_sum (over links), groups (`a1,a2|b1;a3|b2`: ids in order; shape: what to keep of them). limit: pairs whose counts
+    tasks may hold. The columns to keep need names of their own."""
+    limit = limit or LIMIT
+    tokenizers = Tokenizers(open(byte_model, encoding="utf-8").read(), open(piece_model, "rb").read())
+    kind, wide = Aligner(tokenizers).kind, len(tokenizers.size_b)
+    own_row, own_rest = unused(docs, "row", "rest")
+    docs = aligned(spark, docs, byte_model, piece_model, text, keep).withColumn("groups", shape(F.col("groups")))
+    docs = written(spark, docs.withColumn(own_row, F.monotonically_increasing_id()))
+    counts = written(spark, pair_counts(docs, kind))
+    size, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     bar = 0 if size <= limit else total // limit  # fewer than limit pairs have counts above it
-    pair = F.shiftleft(F.col("a").cast("long"), 32) + F.col("b")
-    frequent = counts.where(F.col("n") > bar).select(pair.alias("pair"), "n").toPandas().sort_values("pair")
-    highest = np.zeros(top + 1, np.int64)
-    for a, n in counts.groupBy("a").agg(F.max("n")).collect():  # one row an id of the vocabulary
+    frequent = counts.where(F.col("n") > bar).toPandas().sort_values("pair")
+    highest = np.zeros(len(tokenizers.size_a), np.int64)
+    for a, n in counts.groupBy(F.expr(f"pair div {wide}").alias("a")).agg(F.max("n")).collect():  # a row an id of the vocabulary
         highest[a] = n
     table = spark.sparkContext.broadcast((frequent.pair.to_numpy(np.int64), frequent.n.to_numpy(np.int64), highest))
-    name = uuid.uuid4().hex
-    figures = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    own_row, own_rest = unused(docs, "row", "rest")
+    figures = [*keep, "n_a", "n_b", "n_groups", "n_links", "groups", own_row]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner(files, table, name)
-        best = table.value[2]
+        pairs, counts, highest = table.value
+        known_pairs, known_counts = np.append(pairs, -1), np.append(counts, 0)
         rest_type = pa.list_(pa.struct([("pair", pa.int64()), ("k", pa.int64()), ("best", pa.int64())]))
         for batch in batches:
-            for rows, column in sized(batch, batch.column(len(keep)).cast(pa.binary())):
-                sums, groups, rest = [], [], []
-                for chunks in aligner.of([t or b"" for t in column.to_pylist()]):
-                    if not chunks or None in chunks:
-                        sums.append([0] * 6)
-                        groups.append("")
-                        rest.append(None)
-                        continue
-                    *numbers, strings, links = zip(*chunks, strict=True)
-                    sums.append([sum(x) for x in numbers])
-                    groups.append(";".join(strings))
-                    pair, k = np.unique(np.frombuffer(b"".join(links), np.int64), return_counts=True)
-                    rest.append([{"pair": p, "k": n, "best": top} for p, n, top in zip(pair.tolist(), k.tolist(), best[pair >> 32].tolist(), strict=True)] if len(pair) else None)
-                columns = [*(rows.column(i) for i in range(len(keep))), *(pa.array(x) for x in np.array(sums, np.int64).T), pa.array(groups), *([pa.array(rest, rest_type)] if bar else [])]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, *figures, "groups", *([own_rest] if bar else [])])
+            for rows, column in sized(batch, batch.column(len(figures))):
+                pair = np.frombuffer(b"".join(column.to_pylist()), kind).astype(np.int64)
+                k = np.frombuffer(b"".join(rows.column(len(figures) + 1).to_pylist()), np.uint32).astype(np.int64)
+                at = np.searchsorted(pairs, pair)
+                known = known_pairs[at] == pair
+                count, best = np.where(known, known_counts[at], 0), highest[pair // wide]
+                ends = np.concatenate([[0], np.cumsum([len(x) // kind(0).itemsize for x in column.to_pylist()])])
+                of = lambda x: pa.array(np.diff(np.concatenate([[0], np.cumsum(x)])[ends]))  # noqa: B023, E731
+                out = [*(rows.column(i) for i in range(len(figures))), of(k * (known & (count == best))), of(k * count)]
+                if bar:
+                    left = np.concatenate([[0], np.cumsum(~known)])[ends]
+                    rest = pa.StructArray.from_arrays([pa.array(x[~known]) for x in (pair, k, best)], names=["pair", "k", "best"])
+                    out.append(pa.ListArray.from_arrays(pa.array(left.astype(np.int32)), rest).cast(rest_type))
+                yield pa.RecordBatch.from_arrays(out, names=[*figures, "n_best", "count_sum", *([own_rest] if bar else [])])
 
     kinds = dict(docs.dtypes)
-    schema = [*(f"`{c}` {kinds[c]}" for c in keep), *(f"{c} long" for c in figures), "groups string"]
+    schema = [*(f"`{c}` {kinds[c]}" for c in figures), "n_best long, count_sum long", *([f"`{own_rest}` array<struct<pair: long, k: long, best: long>>"] if bar else [])]
+    out = docs.select(*figures, "pairs", "times").mapInArrow(run, ", ".join(schema))
+    order = [*keep, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
     if not bar:
-        return docs.select(*keep, text).mapInArrow(run, ", ".join(schema))
-    schema.append(f"`{own_rest}` array<struct<pair: long, k: long, best: long>>")
-    found = written(spark, docs.select(*keep, text).mapInArrow(run, ", ".join(schema)).withColumn(own_row, F.monotonically_increasing_id()))
-    links = found.select(own_row, F.inline(own_rest))
-    rare = counts.where(F.col("n") <= bar).select(pair.alias("pair"), "n")
-    more = links.join(rare, "pair").groupBy(own_row).agg(F.sum(F.when(F.col("n") == F.col("best"), F.col("k")).otherwise(0)).alias("best_"), F.sum(F.col("k") * F.col("n")).alias("sum_"))
-    out = found.drop(own_rest).join(more, own_row, "left")
+        return out.select(*order)
+    out = written(spark, out)
+    links = out.select(own_row, F.inline(own_rest))
+    more = links.join(counts.where(F.col("n") <= bar), "pair")
+    more = more.groupBy(own_row).agg(F.sum(F.when(F.col("n") == F.col("best"), F.col("k")).otherwise(0)).alias("best_"), F.sum(F.col("k") * F.col("n")).alias("sum_"))
+    out = out.drop(own_rest).join(more, own_row, "left")
     more = {"n_best": F.col("n_best") + F.coalesce("best_", F.lit(0)), "count_sum": F.col("count_sum") + F.coalesce("sum_", F.lit(0))}
-    return out.select(*keep, *(more.get(c, F.col(c)).alias(c) for c in figures), "groups")
+    return out.select(*(more.get(c, F.col(c)).alias(c) for c in order))
 
 
 def products(aligned: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
