@@ -35,6 +35,8 @@ SPACES = rb"[\t-\r]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|
 #: Chunks that begin with spaces (the first may not): byte-level splitting depends on nothing beyond them.
 SPACED = re.compile(rb"(?:^(?! )| +)(?:[^ ]*(?:" + SPACES + rb") +)*[^ ]*")
 
+WHITE_SPACE = re.compile(rb"[ \t-\r]")
+
 
 def merged(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
     """Merging by rank, the leftmost of the least first, as BPE is defined."""
@@ -164,7 +166,7 @@ class Codec:
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted({*range(256)} - {*plain}))}
         self.spelled = [bytes(map(byte.get, t)) if table["bytes"] and t not in self.special else t.encode() for t in self.names]
         self.beside: dict[int, bool] = {}
-        self.chunks, self.words = Recent(CACHE), Recent(CACHE)
+        self.chunks, self.recent = Recent(CACHE), Recent(CACHE)
 
     def fits(self, a: int, b: int) -> bool:
         """Whether a and b stay side by side when what they spell together is merged."""
@@ -188,69 +190,103 @@ class Codec:
         self.beside[key] = fits
         return fits
 
-    def word(self, text: str) -> list[int]:
-        """Ids of a word of byte-level symbols."""
-        go, link, length, token, out, beside, size = self.go, self.link, self.length, self.token, self.out, self.beside, self.size
-        read = [self.symbols[c] for c in text[:-1]] + [self.symbols[text[-1] + self.end]]
+    def words(self, texts: list[str]) -> list[list[int]]:
+        """Ids of words of byte-level symbols. In ascending order, each goes on from the prefix it shares with the one before."""
+        go, link, length, token, out, beside, size, symbols = self.go, self.link, self.length, self.token, self.out, self.beside, self.size, self.symbols
+        prior, found = "", []
         last: list[int] = []  # token of each prefix's encoding
-        state = have = 0
-        for i, c in enumerate(read, 1):
-            while (to := go.get(state << 10 | c)) is None:
-                state = link[state]
-                have = length[state]
-            state, have = to, have + 1
-            s = state if token[state] >= 0 and have == length[state] else out[state]
-            while at := i - length[s]:
-                before, t = last[at - 1], token[s]
-                if (fits := beside.get(before << 32 | t)) is None:
-                    fits = self.fits(before, t)
-                if fits:
-                    break
-                s = out[s]
-            last.append(token[s])
-        ids, i = [], len(read)
-        while i:
-            ids.append(last[i - 1])
-            i -= size[last[i - 1]]
-        return ids[::-1]
-
-    def chunk(self, raw: bytes) -> bytes:
-        """Ids of a chunk, as the bytes of 32-bit integers."""
-        if (known := self.chunks.get(raw)) is not None:
-            return known
-        text, found = raw.decode("utf-8", "replace"), []
-        for part in self.found.split(text) if self.found else [text]:
-            if part in self.special:
-                found.append(self.special[part].to_bytes(4, "little"))
-            elif part:
-                for piece, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(part) if self.normalizer else part):
-                    if (ids := self.words.get(piece)) is None:
-                        ids = np.array(self.word(piece), "<i4").tobytes()
-                        if len(piece) <= LONG:
-                            self.words.put(piece, ids)
-                    found.append(ids)
-        packed = b"".join(found)
-        if len(raw) <= LONG:
-            self.chunks.put(raw, packed)
-        return packed
-
-    def encode(self, text: bytes) -> bytes:
-        """Ids of a text, packed; long texts in pieces."""
+        states: list[tuple[int, int]] = []
+        for text in texts:
+            k, most = 0, min(len(text), len(prior)) - 1  # last symbols are of a kind of their own
+            while k < most and text[k] == prior[k]:
+                k += 1
+            del last[k:], states[k:]
+            state, have = states[-1] if k else (0, 0)
+            i, prior = k, text
+            for c in [*[symbols[c] for c in text[k:-1]], symbols[text[-1] + self.end]]:
+                i += 1
+                while (to := go.get(state << 10 | c)) is None:
+                    state = link[state]
+                    have = length[state]
+                state, have = to, have + 1
+                s = state if token[state] >= 0 and have == length[state] else out[state]
+                while at := i - length[s]:
+                    before, t = last[at - 1], token[s]
+                    if (fits := beside.get(before << 32 | t)) is None:
+                        fits = self.fits(before, t)
+                    if fits:
+                        break
+                    s = out[s]
+                last.append(token[s])
+                states.append((state, have))
+            ids = []
+            while i:
+                ids.append(last[i - 1])
+                i -= size[last[i - 1]]
+            found.append(ids[::-1])
+        return found
+
+    def _pieces(self, chunks: list[str]) -> list[list[str]]:
+        """Words of byte-level symbols of chunks without special tokens."""
+        normal, split = self.normalizer.normalize_str if self.normalizer else str, self.splitter.pre_tokenize_str
+        if self.drops:  # read together, with spaces between
+            text = normal(" ".join(chunks))
+            sizes = [len(x) for x in text.split(" ")]
+            if len(sizes) == len(chunks):
+                out, i, end = [[] for _ in chunks], -1, 0
+                for piece, (start, _) in split(text):
+                    while start >= end:
+                        i += 1
+                        end += sizes[i] + 1
+                    out[i].append(piece)
+                return out
+        return [[piece for piece, _ in split(normal(c))] for c in chunks]
+
+    def learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of distinct chunks, as the bytes of 32-bit integers."""
+        known = {c: x for c in chunks if (x := self.chunks.get(c)) is not None}
+        new = [c for c in chunks if c not in known]
+        parts = [self.found.split(c.decode()) if self.found else [c.decode()] for c in new]
+        plain = [x for p in parts for x in p if x and x not in self.special]
+        pieces: list[list[str]] = []
+        for lo in range(0, len(plain), 1000):
+            pieces += self._pieces(plain[lo : lo + 1000])
+        have = {w: x for w in {w for p in pieces for w in p} if (x := self.recent.get(w)) is not None}
+        rest = sorted({w for p in pieces for w in p if w not in have})
+        for w, ids in zip(rest, self.words(rest), strict=True):
+            have[w] = np.array(ids, "<i4").tobytes()
+            if len(w) <= LONG:
+                self.recent.put(w, have[w])
+        of = iter(pieces)
+        for c, p in zip(new, parts, strict=True):
+            known[c] = b"".join([self.special[x].to_bytes(4, "little") if x in self.special else b"".join([have[w] for w in next(of)]) for x in p if x])
+            if len(c) <= LONG:
+                self.chunks.put(c, known[c])
+        return known
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of texts, packed; long texts in pieces."""
+        return [x for lo, hi in runs([len(t) for t in texts], PIECE) for x in (self._joined([self._chunks(t) for t in texts[lo:hi]]) if hi - lo > 1 else [self._long(texts[lo])])]
+
+    def _chunks(self, text: bytes) -> list[bytes]:
+        return text.split() if self.drops else [c for c in SPACED.findall(text) if c]
+
+    def _long(self, text: bytes) -> bytes:
         if not self.drops:
-            return self._joined(SPACED.findall(text))
+            return self._joined([self._chunks(text)])[0]
         out, lo = [], 0
         while lo < len(text):
-            hi = lo + PIECE
-            if hi < len(text):  # a piece ends at white space
-                cut = re.compile(rb"[ \t-\r]").search(text, hi)
-                hi = cut.start() if cut else len(text)
-            out.append(self._joined(text[lo:hi].split()))
+            cut = WHITE_SPACE.search(text, lo + PIECE)  # a piece ends at white space
+            hi = cut.start() if cut else len(text)
+            out.append(self._joined([self._chunks(text[lo:hi])])[0])
             lo = hi
         return b"".join(out)
 
-    def _joined(self, chunks: list[bytes]) -> bytes:
-        have, new = self.chunks.young.get, self.chunk
-        return b"".join([x if (x := have(c)) is not None else new(c) for c in chunks])
+    def _joined(self, parts: list[list[bytes]]) -> list[bytes]:
+        young = self.chunks.young.get
+        found = [[young(c) for c in p] for p in parts]
+        known = self.learn(list({c for p, f in zip(parts, found, strict=True) if None in f for c, x in zip(p, f, strict=True) if x is None}))
+        return [b"".join([x if x is not None else known[c] for c, x in zip(p, f, strict=True)] if None in f else f) for p, f in zip(parts, found, strict=True)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text that the library's decoder makes of ids."""
@@ -271,14 +307,19 @@ def _codec(shared) -> Codec:
     return _codecs[table["spec"]]
 
 
+def runs(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
+    """First and last + 1 of runs of items that have limit together, or are one."""
+    at, lo = np.concatenate([[0], np.cumsum(np.asarray(sizes, np.int64))]), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + limit, side="right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
 def sized(batch: pa.RecordBatch, column: pa.Array, limit: int = BATCH) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Rows whose values have limit bytes or so together."""
-    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    at, lo = np.concatenate([[0], np.cumsum(size)]), 0
-    while lo < len(column):
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + limit, side="right")) - 1)
+    for lo, hi in runs(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), limit):
         yield batch.slice(lo, hi - lo), column.slice(lo, hi - lo)
-        lo = hi
 
 
 def encode(spark: SparkSession, docs: DataFrame, model: str = MODEL, text: str = "text", keep: tuple[str, ...] = ("doc_id",), packed: bool = False, decoded: bool = False) -> DataFrame:
@@ -290,7 +331,8 @@ def encode(spark: SparkSession, docs: DataFrame, model: str = MODEL, text: str =
         codec = _codec(shared)
         for batch in batches:
             for rows, column in sized(batch, batch.column(len(keep)).cast(pa.binary())):
-                ids = [None if t is None else codec.encode(t) for t in column.to_pylist()]
+                texts = column.to_pylist()
+                ids = [None if t is None else x for t, x in zip(texts, codec.encode([t or b"" for t in texts]), strict=True)]
                 count = np.array([len(x or b"") // 4 for x in ids], np.int64)
                 if packed:
                     out = pa.array(ids, pa.binary())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe_codec, embedding_dedup, jaccard_join, line_dedup, mixing, quality, sentencepiece_codec, sharding, substring_dedup, token_alignment, toxicity
+from graphloom.llm import bpe_codec, embedding_dedup, jaccard_join, line_dedup, mixing, quality, sentencepiece_codec, sharding, spelling, substring_dedup, token_alignment, toxicity
 from graphloom.llm.common import table
 
 
@@ -57,14 +57,18 @@ def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", digest("ids").alias("ids_sha256"), digest("decoded").alias("decoded_sha256"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(spark, spelling.extract(table(spark, sf_dir, "documents")))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     sha = lambda groups: F.when(groups == "", F.lit("")).otherwise(F.sha2(groups, 256))
     return token_alignment.align(spark, table(spark, sf_dir, "documents"), shape=sha).withColumnRenamed("groups", "groups_sha256")
 
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_ngram_jaccard_join, op3_embedding_near_dedup, op4_substring_dedup, op5_line_dedup, op6_suffix_array_dedup, op7_source_mixing, op8_quality_rules, op9_sharding, op10_toxicity, op11_bpe_codec, op13_token_alignment)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_ngram_jaccard_join, op3_embedding_near_dedup, op4_substring_dedup, op5_line_dedup, op6_suffix_array_dedup, op7_source_mixing, op8_quality_rules, op9_sharding, op10_toxicity, op11_bpe_codec, op12_spelling_variants, op13_token_alignment)}
 ORACLES = {
     "op2_ngram_jaccard_join": jaccard_join.oracle(), "op3_embedding_near_dedup": embedding_dedup.oracle(), "op4_substring_dedup": substring_dedup.oracle_words(), "op5_line_dedup": line_dedup.oracle(),
-    "op6_suffix_array_dedup": substring_dedup.oracle_bytes(), "op7_source_mixing": mixing.oracle(), "op9_sharding": sharding.oracle(),
+    "op6_suffix_array_dedup": substring_dedup.oracle_bytes(), "op7_source_mixing": mixing.oracle(), "op9_sharding": sharding.oracle(), "op12_spelling_variants": spelling.oracle(),
 }
