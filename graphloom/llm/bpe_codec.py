@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 MODEL = "/opt/tokenizers/word_bpe_49k.json"
-CACHE = 150_000
+CACHE = 400_000
 LONG = 64
 PIECE = 1 << 20
 BATCH = 2 << 20

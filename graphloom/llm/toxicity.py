@@ -6,22 +6,29 @@ inserted or left-out characters stays near its original: characters other than l
 count as gaps. A document is its words (lower case), long ones in overlapping parts, and runs of single letters
 ("s p a c e d") put together.
 
-Labels are of documents, and an insult is a word or two among hundreds. So training is by multiple instances: the most
-toxic word of a toxic document is its witness, the most toxic words of a clean one are its counterexamples, and the
-machine and its choice of witnesses are fitted in turn. Words are mapped to their kernels with landmark words (of the
-sample: those that tell the classes apart best, and others), whitened by the landmarks' own kernel matrix, and a linear
-machine is trained there. Because the kernel is an inner product of subsequence counts, the fitted machine is one table
-of weights by subsequence, and scoring a word is a sum over its own subsequences. A document's score is the logistic
-calibration of its most toxic word.
+Labels are of documents, and an insult is a word or two among hundreds. So training is by multiple instances. Seeds come
+first: candidate words (more frequent in toxic than in clean documents of the sample) are compared by the kernel with all
+words of the sample, and one after another the candidate is taken that tells most toxic documents from clean ones, those
+that a seed explains already counting half each time: so the many words of one document, or of its near copies, do not
+crowd out the insults. Then words like a seed are the witnesses of toxic documents, the most toxic words of clean ones
+their counterexamples, and the machine and its choice of witnesses are fitted in turn; the round of least loss is kept.
+Words are mapped to their kernels with landmark words (the seeds, further candidates, and others), whitened by the
+landmarks' own kernel matrix, and a linear machine is trained there. Because the kernel is an inner product of subsequence
+counts, the fitted machine is one table of weights by subsequence, and scoring a word is a sum over its own subsequences.
+A document's score is the logistic calibration of its three most toxic words and the logarithm of its number of words: of
+many words, some look like insults by chance.
 
 The machine is fitted on at most `sample` labelled documents of each class, by hash order; everything is scored. Null and
-empty texts have no words and get the score of a word without subsequences. Without labels of both classes every score
-is 0. Repeated rows count as often as they stand. Other columns are never read.
+empty texts have no words and get the score of a text of clean words. Without labels of both classes every score is 0.
+Letters other than a-z fold into 27 classes, by code point. Repeated rows count as often as they stand. Other columns are
+never read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +40,11 @@ from graphloom.llm import textarrays as ta
 from graphloom.llm.common import written
 
 LETTERS, DECAY, SPAN, LONGEST, STEP = 64, 0.7, 10, 24, 12
-SAMPLE, LANDMARKS, ROUNDS, HARD = 2000, 300, 4, 12
+SAMPLE, LANDMARKS, ROUNDS, HARD, TOPS = 2000, 300, 3, 12, 3
+#: Candidates for seeds, kernels from which a word counts as like a seed, seeds at most, what is left of a document that one explains.
+CANDIDATES, LIKE, SEEDS, EXPLAINED = 400, (0.5, 0.6, 0.7, 0.8, 0.95), 40, 0.5
+#: Value of a word that a text lacks: that of a clean one.
+LACKS = -1.0
 CACHE = 400_000
 MOD, HELD = 4, 2
 _triples: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -115,9 +126,11 @@ def kernels(words: list[str], landmarks: list[str]) -> np.ndarray:
         np.add.at(dense[:, i], place[k], v)
     out = np.zeros((len(words), len(landmarks)), np.float32)
     for at, codes in by_length(words):
-        key, w, norm = features(codes)
-        for i, k, v, n in zip(at, key, w, norm, strict=True):
-            out[i] = (v / (n or 1)).astype(np.float32) @ dense[place[k]]
+        room = max(1, (4 << 20) // max(1, len(landmarks) * triples(codes.shape[1])[0].shape[1]))
+        for lo in range(0, len(at), room):
+            key, w, norm = features(codes[lo : lo + room])
+            own = (w / np.where(norm > 0, norm, 1)[:, None]).astype(np.float32)
+            out[at[lo : lo + room]] = np.matmul(own[:, None, :], dense[place[key]])[:, 0, :]
     return out
 
 
@@ -154,11 +167,16 @@ def _slice_words(data: np.ndarray, off: np.ndarray) -> tuple[list[bytes], np.nda
 
 
 class Scorer:
-    """Values of words under a table, kept for words seen lately."""
+    """Values of words under a table, or by the seeds, and the part of each that has it; kept for words seen lately."""
 
-    def __init__(self, table: np.ndarray):
-        self.table = table
-        self.known: dict[bytes, float] = {}
+    def __init__(self, table: np.ndarray | None, bias: float, seeds: list[tuple[str, float]]):
+        self.table, self.bias, self.seeds, self.known = table, bias, seeds, {}
+
+    def value(self, parts_: list[str]) -> np.ndarray:
+        if self.table is not None:
+            return values(parts_, self.table) + self.bias
+        k, least = kernels(parts_, [w for w, _ in self.seeds]), np.array([t for _, t in self.seeds], np.float32)
+        return np.where(k >= least, k, k / 2 - 1).max(axis=1).astype(float)
 
     def of(self, words: list[bytes]) -> np.ndarray:
         new = [w for w in words if w not in self.known]
@@ -166,62 +184,111 @@ class Scorer:
             if len(self.known) + len(new) > CACHE:
                 self.known.clear()
                 new = words
-            text = [w.decode("utf-8", "replace") for w in new]
-            pieces = [parts(w) for w in text]
-            flat = values([p for ps in pieces for p in ps], self.table)
-            size = np.array([len(ps) for ps in pieces])
-            best = np.maximum.reduceat(flat, np.concatenate([[0], np.cumsum(size)[:-1]]))
-            self.known.update(zip(new, best.tolist(), strict=True))
-        return np.array([self.known[w] for w in words])
+            pieces = [parts(w.decode("utf-8", "replace")) for w in new]
+            flat, at = self.value([p for ps in pieces for p in ps]), 0
+            for w, ps in zip(new, pieces, strict=True):
+                best = int(flat[at : at + len(ps)].argmax()) if len(ps) > 1 else 0
+                self.known[w] = (float(flat[at + best]), ps[best])
+                at += len(ps)
+        return np.array([self.known[w][0] for w in words])
+
+    def part(self, word: bytes) -> str:
+        return self.known[word][1]
 
 
 _scorers: dict[bytes, Scorer] = {}
 
 
 def _scorer(shared) -> Scorer:
-    name, table = shared.value
+    name, *rest = shared.value
     if name not in _scorers:
         _scorers.clear()
-        _scorers[name] = Scorer(table)
+        _scorers[name] = Scorer(*rest)
     return _scorers[name]
 
 
-def _shared(spark: SparkSession, table: np.ndarray):
-    import hashlib
+def _shared(spark: SparkSession, table: np.ndarray | None, bias: float = 0.0, seeds: list[tuple[str, float]] | None = None):
+    name = hashlib.sha256((table.tobytes() if table is not None else b"") + repr((bias, seeds)).encode()).digest()
+    return spark.sparkContext.broadcast((name, table, bias, seeds))  # LETTERS ** 3 numbers, or SEEDS words
 
-    return spark.sparkContext.broadcast((hashlib.sha256(table.tobytes()).digest(), table))  # LETTERS ** 3 numbers
 
-
-def _best(spark: SparkSession, docs: DataFrame, table: np.ndarray, keep: list[str], top: int = 0) -> DataFrame:
-    """docs' columns to keep, best (the greatest value of a word), and with top its so many greatest words."""
-    shared = _shared(spark, table)
+def _best(docs: DataFrame, shared, keep: list[str], hard: int = 0) -> DataFrame:
+    """docs' columns to keep, tops (the TOPS greatest values of distinct words, and how many there are), and with hard its
+    so many greatest words, each by the part that has its value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(shared)
+        scorer, most = _scorer(shared), max(TOPS, hard)
         for batch in batches:
             for lo, hi, data, off in ta.slices(batch.column(len(keep))):
                 words, row, which = _slice_words(data, off)
-                value = scorer.of(words) if words else np.zeros(0)
-                best = np.full(hi - lo, 0.0)
-                if len(row):
-                    top_ = np.full(hi - lo, -np.inf)
-                    np.maximum.at(top_, row, value[which])
-                    best = np.where(np.isfinite(top_), top_, 0.0)
-                cols = [*(batch.column(i).slice(lo, hi - lo) for i in range(len(keep))), pa.array(best)]
-                if top:
-                    lists: list[list[str]] = [[] for _ in range(hi - lo)]
-                    for r in range(hi - lo):
-                        mine = np.unique(which[row == r])
-                        mine = mine[np.argsort(-value[mine], kind="stable")[:top]]
-                        lists[r] = [words[i].decode("utf-8", "replace") for i in mine]
-                    cols.append(pa.array(lists, pa.list_(pa.string())))
-                yield pa.RecordBatch.from_arrays(cols, names=[*keep, "best", "words"][: len(cols)])
+                tops = np.full((hi - lo, TOPS + 1), LACKS)
+                tops[:, TOPS] = 0
+                lists: list[list[str]] = [[] for _ in range(hi - lo)]
+                if words:
+                    value = scorer.of(words)
+                    pair = np.unique(row.astype(np.int64) * len(words) + which)
+                    row, which = pair // len(words), pair % len(words)
+                    order = np.lexsort((which, -value[which], row))
+                    row, which = row[order], which[order]
+                    first = np.searchsorted(row, np.arange(hi - lo + 1))
+                    tops[:, TOPS] = np.diff(first)
+                    place = np.arange(len(row)) - first[row]
+                    for i in np.flatnonzero(place < most).tolist():
+                        if place[i] < TOPS:
+                            tops[row[i], place[i]] = value[which[i]]
+                        if place[i] < hard:
+                            lists[row[i]].append(scorer.part(words[which[i]]))
+                cols = [*(batch.column(i).slice(lo, hi - lo) for i in range(len(keep))), pa.FixedSizeListArray.from_arrays(pa.array(tops.ravel()), TOPS + 1).cast(pa.list_(pa.float64()))]
+                cols += [pa.array(lists, pa.list_(pa.string()))] if hard else []
+                yield pa.RecordBatch.from_arrays(cols, names=[*keep, "tops", "words"][: len(cols)])
 
     kinds = dict(docs.dtypes)
-    return docs.select(*keep, F.lower("text").alias("text")).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "best double"] + ["words array<string>"] * bool(top)))
+    return docs.select(*keep, F.lower("text").alias("text")).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "tops array<double>"] + ["words array<string>"] * bool(hard)))
+
+
+def likeness(train: DataFrame, words: list[str], keep: list[str]) -> DataFrame:
+    """train's columns to keep, like: the greatest kernel of each of the words with any word of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, off in ta.slices(batch.column(len(keep))):
+                found, row, which = _slice_words(data, off)
+                like = np.zeros((hi - lo, len(words)), np.float32)
+                if found:
+                    pieces = [parts(w.decode("utf-8", "replace")) for w in found]
+                    first = np.concatenate([[0], np.cumsum([len(p) for p in pieces])[:-1]])
+                    best = np.maximum.reduceat(kernels([p for ps in pieces for p in ps], words), first, axis=0)
+                    for r, w in zip(row.tolist(), which.tolist(), strict=True):
+                        np.maximum(like[r], best[w], out=like[r])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(len(keep))), pa.FixedSizeListArray.from_arrays(pa.array(like.ravel()), len(words)).cast(pa.list_(pa.float32()))], names=[*keep, "like"])
+
+    kinds = dict(train.dtypes)
+    return train.select(*keep, F.lower("text").alias("text")).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "like array<float>"]))
+
+
+def seeds_of(like: np.ndarray, toxic: np.ndarray) -> list[tuple[int, float]]:
+    """Columns of like (documents by candidates) and the kernels from which they count, one after another the one that tells
+    most toxic documents from clean ones; documents that it explains count less for the next."""
+    left, (clean, bad) = toxic.astype(float), ((toxic == 0).sum(), (toxic == 1).sum())
+    out: list[tuple[int, float]] = []
+    while len(out) < SEEDS:
+        top = (2 * math.log(3), -1, 0.0)  # two documents' worth of thrice the odds
+        for least in LIKE:
+            near = like >= least
+            hit, missed = near[toxic == 1].sum(axis=0), near[toxic == 0].sum(axis=0)
+            gain = np.where(hit > 1, (near * left[:, None]).sum(axis=0) * np.log((hit + 0.5) / (bad + 1) * (clean + 1) / (missed + 0.5)), -1)
+            gain[[c for c, _ in out]] = -1
+            c = int(gain.argmax())
+            if gain[c] > top[0] + 1e-9:
+                top = (float(gain[c]), c, least)
+        if top[1] < 0:
+            break
+        out.append(top[1:])
+        left[like[:, top[1]] >= top[2]] *= EXPLAINED
+    return out
 
 
-def linear_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0, rounds: int = 300) -> tuple[np.ndarray, float]:
+def linear_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 3.0, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Primal squared-hinge machine by Newton steps on the examples inside the margin."""
     n, m = x.shape
     z = np.concatenate([x, np.ones((n, 1))], axis=1)
@@ -237,19 +304,42 @@ def linear_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float
     return w[:-1], float(w[-1])
 
 
-def landmark_words(pos: DataFrame, sample: int, many: int) -> list[str]:
-    """Words that most toxic and fewest clean documents of the sample hold, and as many others by hash."""
-    seen = pos.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"))).alias("word"))
+def candidate_words(train: DataFrame, many: int, others: int) -> tuple[list[str], list[str]]:
+    """Words that toxic documents of the sample hold more often than clean ones, each text once; others by hash."""
+    seen = train.dropDuplicates(["toxic", "text"]).select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"))).alias("word"))
     seen = seen.where((F.char_length("word") >= 3) & (F.char_length("word") <= LONGEST))
     table = seen.groupBy("word").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q"))
-    gain = F.col("p") * F.log((F.col("p") + 0.5) / (F.col("q") + 0.5))
-    best = table.orderBy(gain.desc(), "word").limit(many // 2).collect()
-    rest = table.where("q > 0").orderBy(F.xxhash64("word"), "word").limit(many - many // 2).collect()
-    return list(dict.fromkeys(r["word"] for r in [*best, *rest]))
+    sizes = train.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("clean"))
+    table = table.crossJoin(F.broadcast(sizes))  # of one row
+    gain = F.col("p") * F.log((F.col("p") + 0.5) / (F.col("bad") + 1) * (F.col("clean") + 1) / (F.col("q") + 0.5))
+    best = table.where("p > 0").orderBy(gain.desc(), "word").limit(many).collect()
+    rest = table.where("q > 0").orderBy(F.xxhash64("word"), "word").limit(others).collect()
+    return [r["word"] for r in best], [r["word"] for r in rest]
+
+
+def calibration(tops: np.ndarray, toxic: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
+    """Weights of the TOPS values and of the logarithm of 1 + the number of words, and the shift; by Newton's method on
+    goals that are short of 0 and 1 by the classes' sizes. Loss of the classes, each counting as one, is returned too."""
+    x = np.concatenate([tops[:, :TOPS], np.log1p(tops[:, TOPS:])], axis=1)
+    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
+    z = np.concatenate([(x - mean) / spread, np.ones((len(x), 1))], axis=1)
+    many = np.array([(toxic == c).sum() for c in (0, 1)], float)
+    goal = np.where(toxic > 0, (many[1] + 1) / (many[1] + 2), 1 / (many[0] + 2))
+    w, hold = np.zeros(z.shape[1]), np.array([ridge] * x.shape[1] + [1e-6])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(hold), z.T @ (p - goal) + hold * w)
+        w -= step * min(1.0, 5.0 / max(1e-9, float(np.abs(step).max())))
+        if np.abs(step).max() < 1e-10:
+            break
+    p = np.clip(1 / (1 + np.exp(-np.clip(z @ w, -30, 30))), 1e-12, 1 - 1e-12)
+    loss = float(sum(-np.log(p if c else 1 - p)[toxic == c].mean() for c in (0, 1)))
+    weights = w[:-1] / spread
+    return np.append(weights, w[-1] - float(weights @ mean)), loss
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, rounds: int = ROUNDS) -> tuple[np.ndarray, float, float] | None:
-    """Weights by subsequence, and slope and shift of the calibration; None if a class has no labelled documents.
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, rounds: int = ROUNDS) -> tuple[np.ndarray, float, np.ndarray] | None:
+    """Weights by subsequence, the machine's bias, and the calibration; None if a class has no labelled documents.
 
     labels: doc_id, toxic. Documents whose crc32(doc_id) is HELD modulo MOD are left out.
     """
@@ -263,9 +353,13 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
     train = written(spark, docs.select("doc_id", "text").join(ids, "doc_id").where(F.col("text").isNotNull()))
     if {r["toxic"] for r in train.select("toxic").distinct().collect()} != {0, 1}:
         return None
-    marks = landmark_words(train, sample, landmarks)
-    if not marks:
+    words, others = candidate_words(train, CANDIDATES, landmarks // 2)
+    if not words:
         return None
+    # what comes to the driver: for each of 2 * sample documents CANDIDATES numbers, then HARD words in each round
+    like = sorted((r["doc_id"], r["toxic"], r["like"]) for r in likeness(train, words, ["doc_id", "toxic"]).collect())
+    seeds = [(words[c], least) for c, least in seeds_of(np.array([x for *_, x in like]), np.array([t for _, t, _ in like]))] or [(words[0], LIKE[-1])]
+    marks = list(dict.fromkeys([*(w for w, _ in seeds), *words[: landmarks // 2], *others]))[:landmarks]
     own = kernels(marks, marks).astype(np.float64)
     eig, vec = np.linalg.eigh((own + own.T) / 2)
     good = eig > 1e-4 * eig.max()
@@ -281,45 +375,38 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
             np.add.at(table, k, alpha[i] * v)
         return table
 
-    half = min(landmarks // 2, len(marks))
-    start = np.zeros(len(marks))
-    start[: max(1, half // 3)] = 1.0
-    table = tabled(white @ (white.T @ start))
-    negatives: dict[str, float] = {}
-    for _ in range(rounds):
-        seen = _best(spark, train, table, ["doc_id", "toxic"], HARD).select("toxic", "words").collect()  # HARD words of at most 2 * sample documents
-        witnesses: dict[str, float] = {}
-        for r in seen:
-            if r["toxic"] and r["words"]:
-                w = parts(r["words"][0])[0]
-                witnesses[w] = witnesses.get(w, 0) + 1
-            elif not r["toxic"]:
-                for w in r["words"]:
-                    negatives[parts(w)[0]] = 1.0
-        for w in marks[half:]:
-            negatives.setdefault(w, 1.0)
-        clean = [w for w in negatives if w not in witnesses or len(negatives) < 3]
-        words = [*witnesses, *clean]
-        x = kernels(words, marks).astype(np.float64) @ white
-        y = np.concatenate([np.ones(len(witnesses)), -np.ones(len(clean))])
-        weight = np.concatenate([np.sqrt(list(witnesses.values())), np.ones(len(clean))])
-        weight[y > 0] *= 0.5 * weight[y < 0].sum() / max(1e-9, weight[y > 0].sum()) if len(clean) else 1.0
+    shared, best, clean = _shared(spark, None, 0.0, seeds), None, Counter(others)
+    for turn in range(rounds + 1):
+        seen = sorted((r["doc_id"], r["toxic"], r["tops"], r["words"]) for r in _best(train, shared, ["doc_id", "toxic"], HARD).collect())
+        toxic = np.array([t for _, t, *_ in seen])
+        if turn:
+            weights, loss = calibration(np.array([x for _, _, x, _ in seen]), toxic)
+            if best is None or loss < best[0]:
+                best = (loss, table, bias, weights)
+        if turn == rounds:
+            break
+        scorer = Scorer(*shared.value[1:])
+        bad: Counter = Counter()
+        more: Counter = Counter()
+        for _, t, _, top in seen:
+            if t:
+                value = scorer.value(top) if top else []
+                bad.update(w for w, v in zip(top, value, strict=True) if v > 0)
+            else:
+                more.update(dict.fromkeys(top, 1))
+        if not bad:
+            bad.update(top[0] for _, t, _, top in seen if t and top)
+        clean |= more
+        against = [w for w in sorted(clean) if clean[w] * 8 > bad[w]]
+        x = kernels([*(found := sorted(bad)), *against], marks).astype(np.float64) @ white
+        y = np.concatenate([np.ones(len(found)), -np.ones(len(against))])
+        weight = np.sqrt([*(bad[w] for w in found), *(clean[w] for w in against)])
+        if len(against) and len(found):
+            weight[y > 0] *= 0.1 * weight[y < 0].sum() / weight[y > 0].sum()
         w, bias = linear_machine(x, y, weight)
         table = tabled(white @ w)
-    scored = _best(spark, train, table, ["toxic"]).select("toxic", "best").collect()  # at most 2 * sample numbers
-    v, t = np.array([r["best"] for r in scored]), np.array([r["toxic"] for r in scored], float)
-    many = np.array([(t == c).sum() for c in (0, 1)], float)
-    goal = np.where(t > 0, (many[1] + 1) / (many[1] + 2), 1 / (many[0] + 2))
-    slope, shift = 1.0, 0.0
-    for _ in range(100):  # logistic calibration by Newton's method
-        p = 1 / (1 + np.exp(-np.clip(slope * v + shift, -30, 30)))
-        g = np.array([((p - goal) * v).sum() + 1e-3 * slope, (p - goal).sum()])
-        s = p * (1 - p)
-        h = np.array([[(s * v * v).sum() + 1e-3, (s * v).sum()], [(s * v).sum(), s.sum() + 1e-6]])
-        step = np.linalg.solve(h, g)
-        step *= min(1.0, 5.0 / max(1e-9, np.abs(step).max()))
-        slope, shift = slope - step[0], shift - step[1]
-    return table, float(max(slope, 1e-3)), float(shift)
+        shared = _shared(spark, table, bias)
+    return best[1:]
 
 
 def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
@@ -328,7 +415,10 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: fl
     fitted = fit(spark, docs, labels, **options)
     if fitted is None:
         return docs.select("doc_id", held.alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    table, slope, shift = fitted
-    found = _best(spark, docs.select("doc_id", "text"), table, ["doc_id"])
-    value = 1 / (1 + F.exp(-(F.lit(slope) * F.col("best") + F.lit(shift))))
+    table, bias, weights = fitted
+    found = _best(docs.select("doc_id", "text"), _shared(spark, table, bias), ["doc_id"])
+    terms = [F.lit(float(w)) * F.col("tops")[i] for i, w in enumerate(weights[:TOPS])]
+    none = F.col("tops")[TOPS] == 0  # the score of a clean word
+    length = F.lit(float(weights[TOPS])) * F.log1p(F.when(none, F.lit(math.e - 1)).otherwise(F.col("tops")[TOPS]))
+    value = 1 / (1 + F.exp(-(sum(terms, length) + F.lit(float(weights[-1])))))
     return found.select("doc_id", held.alias("held_out"), value.alias("score"), (value >= threshold).cast("int").alias("predicted"))

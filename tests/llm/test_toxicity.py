@@ -1,3 +1,4 @@
+import os
 import random
 import zlib
 
@@ -5,6 +6,7 @@ import numpy as np
 import pytest
 
 from graphloom.llm import toxicity as tox
+from graphloom.llm.common import table
 
 KINDS = "doc_id long, text string, toxic string, best int"
 
@@ -69,10 +71,10 @@ def test_held_out_accuracy(spark, corpus):
 
 
 def test_scores_term_by_term(spark, corpus):
-    """Every score from the fitted weights: each word's normalised sum, the greatest of a text, the logistic of that."""
+    """Every score from the fitted weights: each word's normalised sum, the three greatest of a text, the logistic of those."""
     rows, labels = corpus
     docs, labels = spark.createDataFrame(rows, KINDS), spark.createDataFrame(labels, "doc_id long, toxic int")
-    table, slope, shift = tox.fit(spark, docs, labels, landmarks=40, rounds=2)
+    table, bias, weights = tox.fit(spark, docs, labels, landmarks=40, rounds=2)
 
     def value(word):
         best = []
@@ -80,7 +82,7 @@ def test_scores_term_by_term(spark, corpus):
             f = phi(part)
             norm = sum(x * x for x in f.values()) ** 0.5
             best.append(sum(table[(u[0] * tox.LETTERS + u[1]) * tox.LETTERS + u[2]] * x for u, x in f.items()) / norm if f else 0.0)
-        return max(best)
+        return max(best) + bias
 
     def words_of(text):
         words, run = [], []
@@ -92,18 +94,71 @@ def test_scores_term_by_term(spark, corpus):
                 words.append("".join(run))
             words += [*run, w]
             run = []
-        return words[:-1]
+        return set(words[:-1])
 
     want = {}
     for doc_id, text, *_ in rows:
-        top = max((value(w) for w in words_of(text)), default=0.0)
-        want[doc_id, text] = 1 / (1 + np.exp(-(slope * top + shift)))
+        words = words_of(text)
+        tops = [*sorted(map(value, words), reverse=True)[: tox.TOPS], *[tox.LACKS] * tox.TOPS][: tox.TOPS]
+        want[doc_id, text] = 1 / (1 + np.exp(-(np.dot(weights, [*tops, np.log1p(len(words) or np.e - 1), 1]))))
     got = tox.score(spark, docs, labels, landmarks=40, rounds=2).join(docs.select("doc_id", "text"), "doc_id").collect()
     assert len(got) >= len(rows) - 1
     for r in got:
         assert abs(r.score - want[r.doc_id, r.text]) < 1e-9
 
 
+def test_machine_and_calibration_are_optima():
+    """No step in any direction betters either objective."""
+    r = np.random.default_rng(4)
+    x, y = r.standard_normal((200, 7)), np.where(r.random(200) < 0.3, 1.0, -1.0)
+    x[y > 0] += 0.7
+    weight = r.random(200) + 0.5
+    w, bias = tox.linear_machine(x, y, weight, cost=2.0)
+    cost = lambda w, b: w @ w / 2 + 1e-3 * b * b / 2 + 2.0 * (weight * np.maximum(0, 1 - y * (x @ w + b)) ** 2).sum() / 2
+    for step in 1e-3 * r.standard_normal((200, 8)):
+        assert cost(w + step[:7], bias + step[7]) >= cost(w, bias) - 1e-9
+    tops, toxic = np.abs(r.standard_normal((300, tox.TOPS + 1))), (r.random(300) < 0.2).astype(int)
+    tops[toxic == 1, 0] += 1
+    weights, loss = tox.calibration(tops, toxic)
+    f = np.concatenate([tops[:, : tox.TOPS], np.log1p(tops[:, tox.TOPS :])], axis=1)
+    goal = np.where(toxic > 0, (toxic.sum() + 1) / (toxic.sum() + 2), 1 / ((1 - toxic).sum() + 2))
+
+    def objective(v):
+        p = 1 / (1 + np.exp(-(f @ v[:-1] + v[-1])))
+        return -(goal * np.log(p) + (1 - goal) * np.log(1 - p)).sum() + ((v[:-1] * f.std(axis=0)) ** 2).sum() / 2
+
+    for step in 1e-2 * r.standard_normal((200, tox.TOPS + 2)):
+        assert objective(weights + step) >= objective(weights) - 1e-3
+    assert 0 < loss < 2
+
+
+def test_seeds():
+    """The word of many documents first, then those of documents not yet explained; two words of one document and its copy last."""
+    toxic = np.array([1] * 8 + [0] * 12)
+    like = np.zeros((20, 5), np.float32)
+    like[:5, 0] = 1  # five toxic documents
+    like[3:8, 1] = 0.65  # as many, three of them new
+    like[:2, 2] = like[:2, 3] = 1  # two copies
+    like[:, 4] = 1  # everywhere
+    found = tox.seeds_of(like, toxic)
+    assert [c for c, _ in found][:2] == [0, 1] and dict(found)[1] == 0.5 and 4 not in dict(found)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables here")
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_held_out_labels(spark, sf):
+    docs, labels = (table(spark, f"/root/testdata/{sf}", x) for x in ("documents", "labels"))
+    truth = {r.doc_id: r.toxic for r in labels.where("toxic is not null").collect()}
+    got = [(r.score, r.predicted, truth[r.doc_id]) for r in tox.score(spark, docs.join(labels.select("doc_id"), "doc_id", "left_semi"), labels).where("held_out").collect()]
+    found, flagged, toxic = sum(p and t for _, p, t in got), sum(p for _, p, _ in got), sum(t for *_, t in got)
+    assert found >= 0.8 * toxic and found >= 0.8 * flagged
+    order = [t for *_, t in sorted(got, key=lambda x: x[0])]
+    above, clean = 0, 0
+    for t in order:
+        above, clean = above + (clean if t else 0), clean + (not t)
+    assert above / (toxic * clean) > 0.95
+
+
 def test_spaced_letters():
     data = np.frombuffer(b"so i d i o t it", np.uint8)
     words, row, which = tox._slice_words(data, np.array([0, len(data)]))
