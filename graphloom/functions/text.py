@@ -14,8 +14,8 @@ STOP_WORDS = (
 )
 # fixed values: what a name, a dotted name and an annotation look like
 WORD = "[A-Za-z_][A-Za-z0-9_]*"
-NAME = r"[A-Za-z_$][A-Za-z0-9_$]*(?:\.[A-Za-z_$][A-Za-z0-9_$]*)*"
-ANNOTATION = r"@[A-Za-z0-9_.]+(\([^)]*\))?\s*"
+NAME = r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*"
+ANNOTATION = r"@[\w.]+(\([^)]*\))?\s*"
 
 
 def col(c: Column | str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.schema import METHOD_KINDS, TYPE_KINDS
-from graphloom.tables import rounded
+from graphloom.tables import mean, rounded
 
 
 def entity_counts(entity: DataFrame, by: str) -> DataFrame:
@@ -19,9 +19,9 @@ def entity_counts(entity: DataFrame, by: str) -> DataFrame:
 
 
 def risk_bands(risks: DataFrame, by: str) -> DataFrame:
-    """Per project: high, medium, low, avg_risk (3 places), max_risk."""
+    """Per project: high, medium, low, avg_risk (3 places), max_risk. Risks are tenths."""
     n = lambda x: F.count_if(F.col("level") == x).alias(x.lower())
-    return risks.groupBy(by).agg(n("HIGH"), n("MEDIUM"), n("LOW"), rounded(F.avg("risk")).alias("avg_risk"), F.max("risk").alias("max_risk"))
+    return risks.groupBy(by).agg(n("HIGH"), n("MEDIUM"), n("LOW"), rounded(mean(F.col("risk"), 10)).alias("avg_risk"), F.max("risk").alias("max_risk"))
 
 
 def last_runs(runs: DataFrame, n: int = 1, by: str = "project_id") -> DataFrame:
@@ -108,6 +108,6 @@ def overview(scored: DataFrame) -> DataFrame:
     n, method = (lambda x: F.count_if(F.col("level") == x).alias(x.lower())), F.col("kind").isin(*METHOD_KINDS)
     zero = lambda c, name: F.coalesce(c, F.lit(0)).alias(name)
     return rows.agg(
-        n("HIGH"), n("MEDIUM"), n("LOW"), zero(rounded(F.avg("risk")), "mean_risk"), zero(F.max("risk"), "max_risk"), zero(rounded(F.avg(F.when(method, F.col("complexity")))), "mean_complexity"),
+        n("HIGH"), n("MEDIUM"), n("LOW"), zero(rounded(mean(F.col("risk"), 10)), "mean_risk"), zero(F.max("risk"), "max_risk"), zero(rounded(mean(F.when(method, F.col("complexity")))), "mean_complexity"),
         zero(F.max(F.when(method, F.col("complexity"))), "max_complexity"), zero(F.max("depth"), "max_depth"), F.count_if("exposed").alias("exposed"),
     )

@@ -10,8 +10,8 @@ from graphloom.operators.search import neighbour_labels
 from graphloom.schema import TYPE_KINDS
 
 # fixed values: what identifiers and routes look like in a question
-IDENTIFIER = r"[A-Za-z_$][A-Za-z0-9_$]*(?:[.#][A-Za-z_$][A-Za-z0-9_$]*)?"
-ROUTE = r"/[A-Za-z0-9_{}/.-]+"
+IDENTIFIER = r"[A-Za-z_$][\w$]*(?:[.#][A-Za-z_$][\w$]*)?"
+ROUTE = r"/[\w{}/.-]+"
 MAX_ENTITIES, METHODS, CALLERS = 4, 6, 4
 
 

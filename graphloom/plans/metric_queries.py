@@ -26,6 +26,8 @@ def risk_sql(dependents: str, depth: str, coupling: str, complexity: str, expose
     return f"floor(least(1.0::DOUBLE, {raw}) * 1000.0::DOUBLE + 0.5::DOUBLE) / 10.0::DOUBLE"
 
 
+#: Tenths are summed as whole numbers: the mean is the same in whatever order rows come.
+MEAN_RISK_SQL = "sum(round(risk * 10)::BIGINT)::DOUBLE / (count(risk)::DOUBLE * 10)"
 MEASURED_SQL = f"""{WITH}, {adapters.ROLLUP_SQL}, g AS (SELECT * FROM edge UNION ALL SELECT * FROM rolled), {CLOSURE_SQL},
 pairs AS (SELECT DISTINCT src, dst FROM g), fi AS (SELECT dst AS id, count(*) AS n FROM pairs GROUP BY 1), fo AS (SELECT src AS id, count(*) AS n FROM pairs GROUP BY 1),
 member AS (SELECT e.id, c.reaches_endpoint OR e.kind = 'ENDPOINT' AS exposed, e.parent_id FROM entity e JOIN closure c USING (id) WHERE e.parent_id IS NOT NULL),
@@ -72,7 +74,7 @@ def hotspots_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hotspots(risks(spark, sf_dir), "risk", 20, ("CLASS", "INTERFACE")).select("id", "kind", "risk", "level")
 
 
-@query(f"{MEASURED_SQL} SELECT package_name, count_if(level = 'HIGH')::BIGINT AS high, count_if(level = 'MEDIUM')::BIGINT AS medium, count_if(level = 'LOW')::BIGINT AS low, {round_sql('avg(risk)')} AS avg_risk, max(risk) AS max_risk FROM scored JOIN entity USING (id) GROUP BY 1")
+@query(f"{MEASURED_SQL} SELECT package_name, count_if(level = 'HIGH')::BIGINT AS high, count_if(level = 'MEDIUM')::BIGINT AS medium, count_if(level = 'LOW')::BIGINT AS low, {round_sql(MEAN_RISK_SQL)} AS avg_risk, max(risk) AS max_risk FROM scored JOIN entity USING (id) GROUP BY 1")
 def risk_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.operators.kpi import risk_bands
 
@@ -191,7 +193,7 @@ def impact_summary_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact.summary(spark, entity, edge, seeds, metrics.scale(metrics.measured(spark, entity, edge)), entity.where(SEED))
 
 
-@query(f"""{MEASURED_SQL} SELECT count_if(level = 'HIGH')::BIGINT AS high, count_if(level = 'MEDIUM')::BIGINT AS medium, count_if(level = 'LOW')::BIGINT AS low, {round_sql('avg(risk)')} AS mean_risk, max(risk) AS max_risk,
+@query(f"""{MEASURED_SQL} SELECT count_if(level = 'HIGH')::BIGINT AS high, count_if(level = 'MEDIUM')::BIGINT AS medium, count_if(level = 'LOW')::BIGINT AS low, {round_sql(MEAN_RISK_SQL)} AS mean_risk, max(risk) AS max_risk,
 {round_sql("avg(CASE WHEN kind IN ('METHOD', 'CONSTRUCTOR') THEN complexity END)")} AS mean_complexity, max(CASE WHEN kind IN ('METHOD', 'CONSTRUCTOR') THEN complexity END) AS max_complexity, max(depth) AS max_depth, count_if(exposed)::BIGINT AS exposed
 FROM scored WHERE kind IN ('CLASS', 'INTERFACE', 'METHOD', 'CONSTRUCTOR')""")
 def overview_risk(spark: SparkSession, sf_dir: str) -> DataFrame:

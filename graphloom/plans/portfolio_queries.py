@@ -9,7 +9,7 @@ from graphloom.operators import kpi, search
 from graphloom.plans.graph_queries import WITH, both
 from graphloom.plans.registry import registry
 from graphloom.sources import adapters
-from graphloom.tables import table
+from graphloom.tables import mean, rounded, table
 
 QUERIES, ORACLES, query = registry()
 RUNS = f"WITH {adapters.RUNS_SQL}"
@@ -95,13 +95,11 @@ def overview_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.entities(spark, sf_dir).groupBy("kind", role.alias("role")).agg(F.count("*").alias("n"), F.count_distinct("module").alias("modules"), F.count_distinct("package_name").alias("packages"))
 
 
-@query(f"""{WITH} SELECT floor(avg(complexity) * 1000.0::DOUBLE + 0.5::DOUBLE) / 1000.0::DOUBLE AS mean_complexity, max(complexity) AS max_complexity, count_if(complexity >= 10)::BIGINT AS complex_methods,
+@query(f"""{WITH} SELECT floor(sum(complexity)::DOUBLE / count(complexity)::DOUBLE * 1000.0::DOUBLE + 0.5::DOUBLE) / 1000.0::DOUBLE AS mean_complexity, max(complexity) AS max_complexity, count_if(complexity >= 10)::BIGINT AS complex_methods,
 count_if(complexity >= 20)::BIGINT AS bucket_20 FROM entity WHERE kind = 'METHOD'""")
 def overview_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from graphloom.tables import rounded
-
     methods = adapters.entities(spark, sf_dir).where("kind = 'METHOD'")
-    return methods.agg(rounded(F.avg("complexity")).alias("mean_complexity"), F.max("complexity").alias("max_complexity"), F.count_if(F.col("complexity") >= 10).alias("complex_methods"), F.count_if(F.col("complexity") >= 20).alias("bucket_20"))
+    return methods.agg(rounded(mean(F.col("complexity"))).alias("mean_complexity"), F.max("complexity").alias("max_complexity"), F.count_if(F.col("complexity") >= 10).alias("complex_methods"), F.count_if(F.col("complexity") >= 20).alias("bucket_20"))
 
 
 @query(f"{WITH} SELECT id, name, kind, complexity FROM entity WHERE kind IN ('CLASS', 'INTERFACE') ORDER BY complexity DESC, id LIMIT 8")

@@ -61,6 +61,11 @@ def rounded(x: Column, places: int = 3) -> Column:
     return F.floor(x * F.lit(unit) + F.lit(0.5)).cast("double") / F.lit(unit)
 
 
+def mean(x: Column, unit: int = 1) -> Column:
+    """Mean of numbers that are whole multiples of 1 / unit, the same in whatever order rows come: whole numbers are summed."""
+    return F.sum(F.round(x * unit).cast("long")).cast("double") / (F.count(x).cast("double") * unit)
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b in double precision, 0 where b is 0."""
     return F.when(b == 0, F.lit(0.0)).otherwise(a.cast("double") / b.cast("double"))
