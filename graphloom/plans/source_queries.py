@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as fn
 from graphloom.plans.graph_queries import WITH
 from graphloom.plans.registry import registry
-from graphloom.sources import adapters, trees
-from graphloom.tables import table
+from graphloom.sources import adapters, archives, trees
+from graphloom.tables import fresh_folder, table
 
 QUERIES, ORACLES, query = registry()
 SKIP_SQL = "[" + ", ".join(f"'{w}'" for w in fn.KEYWORDS) + "]"
@@ -98,3 +98,19 @@ def source_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{WITH} SELECT kind, count_if(is_abstract)::BIGINT AS abstract_types FROM entity GROUP BY 1")
 def abstract_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.entities(spark, sf_dir).groupBy("kind").agg(F.count_if("is_abstract").alias("abstract_types"))
+
+
+FILE_SQL = "'m' || doc_id % 4 || CASE WHEN doc_id % 5 = 0 THEN '/src/test/' ELSE '/src/main/' END || CASE WHEN doc_id % 11 = 0 THEN 'build/' ELSE '' END || 'D' || doc_id || CASE WHEN doc_id % 7 = 0 THEN '.txt' ELSE '.java' END"
+
+
+@query(f"""WITH f AS (SELECT {FILE_SQL} AS path, coalesce(text, '') AS text FROM documents)
+SELECT path, CASE left(path, 2) WHEN 'm1' THEN 'm1' WHEN 'm2' THEN 'm2' ELSE 'root' END AS module, sha256(text) AS sha256, strlen(text)::BIGINT AS size, contains(path, 'src/test/') AS test,
+len(list_filter(string_split(text, chr(10)), lambda x: length(regexp_replace(x, '[ \\t\\n\\f\\r\\x0B]+', '', 'g')) > 0))::BIGINT AS loc FROM f WHERE ends_with(path, '.java') AND NOT contains(path, '/build/') AND strlen(text) <= {trees.MAX_BYTES}""")
+def archive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of archives, one for each task that writes, read back by ranges of entries."""
+    k = F.col("doc_id")
+    path = F.concat(F.lit("app/m"), (k % 4).cast("string"), F.when(k % 5 == 0, "/src/test/").otherwise("/src/main/"), F.when(k % 11 == 0, "build/").otherwise(""), F.lit("D"), k.cast("string"), F.when(k % 7 == 0, ".txt").otherwise(".java"))
+    files = table(spark, sf_dir, "documents").select(path.alias("path"), F.coalesce("text", F.lit("")).alias("content"))
+    builds = spark.createDataFrame([("app/m1/pom.xml", "x"), ("app/m2/build.gradle", "x"), ("app/pom.xml", "x")], "path string, content string")
+    made = archives.packed(files.unionByName(builds), fresh_folder(spark)).collect()  # a row for each task
+    return archives.scan(spark, *(r.archive for r in made), maxUnpacked=1 << 40, maxEntries=1 << 30).select("path", "module", "sha256", "size", "test", fn.lines_of_code("text").alias("loc"))

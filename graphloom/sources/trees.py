@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import re
 import subprocess
-import zipfile
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +43,11 @@ def scan(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFram
     listed = [(unquote(re.sub(r"^[a-z0-9]+:/*", "/", f))[begin:],) for f in raw.inputFiles()]
     raw = raw.select(F.substring(F.regexp_replace("path", scheme, "/"), begin + 1, 1 << 20).alias("path"), "length", "content")
     raw = spark.createDataFrame(listed, "path string").join(raw, "path", "left").select("path", F.coalesce("length", F.lit(0)).alias("length"), F.coalesce("content", F.lit(b"")).alias("content"))
+    return sources(raw, max_bytes)
+
+
+def sources(raw: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """path, module, sha256, size, test, text of the sources among files (path, length, content)."""
     skipped = F.exists(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1), lambda d: d.isin(*SKIPPED))
     raw = raw.where(~skipped)
     name = F.element_at(F.split("path", "/"), -1)
@@ -61,32 +65,6 @@ def first_of_each(rows: DataFrame, key: str, by: str = "path") -> DataFrame:
     return rows.withColumn("n_", F.row_number().over(Window.partitionBy(key).orderBy(by))).where("n_ = 1").drop("n_")
 
 
-def unzip(archive: str, into: str) -> str:
-    """Unpacks a bounded archive, refuses paths that lead outside, and gives the folder that holds the sources."""
-    total = 0
-    with zipfile.ZipFile(archive) as z:
-        entries = z.infolist()
-        if not entries:
-            raise ValueError("the archive is empty")
-        if len(entries) > MAX_ENTRIES:
-            raise ValueError("the archive has too many entries")
-        for e in entries:
-            to = os.path.realpath(os.path.join(into, e.filename))
-            if not to.startswith(os.path.realpath(into) + os.sep):
-                raise ValueError(f"{e.filename} leads outside")
-            total += e.file_size
-            if total > MAX_UNPACKED:
-                raise ValueError("the archive is too large")
-        z.extractall(into)
-    return unwrapped(into)
-
-
-def unwrapped(folder: str) -> str:
-    """The one visible folder inside, if there is nothing else, or the folder itself."""
-    inside = [x for x in os.listdir(folder) if not x.startswith(".")]
-    return os.path.join(folder, inside[0]) if len(inside) == 1 and os.path.isdir(os.path.join(folder, inside[0])) else folder
-
-
 def checkout(url: str, into: str) -> str:
     """Shallow clone, or fetch and reset; gives the id of the head."""
     if os.path.isdir(os.path.join(into, ".git")):

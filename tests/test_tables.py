@@ -1,6 +1,5 @@
 """Incremental maintenance, portfolio figures, search, retrieval, text functions, source trees and streams."""
 
-import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,18 +127,3 @@ def test_tree(spark, tmp_path):
         (tmp_path / name).write_text(text)
     got = trees.scan(spark, f"file://{tmp_path}", max_bytes=40).collect()
     assert {(r.path, r.module, r.test) for r in got} == {("core/src/main/java/A.java", "core", False), ("core/src/test/java/ATest.java", "core", True), ("src/B.java", "root", False)}
-
-
-def test_archives(tmp_path):
-    good, bad = tmp_path / "g.zip", tmp_path / "b.zip"
-    with zipfile.ZipFile(good, "w") as z:
-        z.writestr("top/src/A.java", "class A {}")
-    assert trees.unzip(str(good), str(tmp_path / "out")).endswith("top")
-    with zipfile.ZipFile(bad, "w") as z:
-        z.writestr("../evil.java", "x")
-    with pytest.raises(ValueError):
-        trees.unzip(str(bad), str(tmp_path / "out2"))
-    with zipfile.ZipFile(tmp_path / "e.zip", "w"):
-        pass
-    with pytest.raises(ValueError):
-        trees.unzip(str(tmp_path / "e.zip"), str(tmp_path / "out3"))
