@@ -1,3 +1,5 @@
+import pytest
+
 from graphloom.operators import analysis, retrieval
 from graphloom.operators.store import ABANDONED, Store
 from graphloom.sources import java_samples
@@ -62,3 +64,60 @@ def test_batches_in_order_of_path(spark):
         used += n
         want[path] = batch
     assert got == want
+
+
+def folders(tmp_path, project=1):
+    return {str(p.relative_to(tmp_path)) for p in tmp_path.rglob("bucket_=*") if f"project_id={project}" in str(p)}
+
+
+def test_a_patch_writes_the_buckets_of_its_files_only(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    store = Store(spark, f"file://{tmp_path}/store", buckets=8)
+    entity = spark.range(400).select("id", (F.col("id") % 100).alias("file_id"), F.lit("old").alias("name"))
+    edge = entity.select(F.col("id").alias("src"), ((F.col("id") + 1) % 400).alias("dst"), "file_id")
+    store.replace(1, entity=entity, edge=edge)
+    before = folders(tmp_path)
+    assert len(before) == 16
+    files = spark.createDataFrame([(7,)], "file_id long")
+    fresh = spark.createDataFrame([(7, 7, "new"), (900, 7, "new")], "id long, file_id long, name string")
+    hit = store.patch(1, files, entity=fresh, edge=edge.where("false"))
+    more = folders(tmp_path) - before
+    assert len(hit) == 1 and len(more) == 2 and all(x.endswith(f"bucket_={hit[0]}") for x in more)
+    want = {(r.id, r.name) for r in entity.where("file_id <> 7").collect()} | {(7, "new"), (900, "new")}
+    assert {(r.id, r.name) for r in store.load("entity", 1).collect()} == want
+    assert store.load("edge", 1).count() == 396
+    assert store.vacuum(1) == 2 and {(r.id, r.name) for r in store.load("entity", 1).collect()} == want
+    # a file that is gone, and all files
+    store.patch(1, files, entity=fresh.where("false"), edge=edge.where("false"))
+    assert store.load("entity", 1).where("file_id = 7").count() == 0
+    store.patch(1, entity.select("file_id").distinct(), entity=fresh.where("false"), edge=edge.where("false"))
+    assert store.load("entity", 1).collect() == [] and store.load("entity", 1).columns == ["id", "file_id", "name"]
+
+
+def test_a_writer_that_fails_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    store = Store(spark, f"file://{tmp_path}/store")
+    rows = lambda *x: spark.createDataFrame([(i, i) for i in x], "id long, file_id long")
+    store.replace(1, entity=rows(1, 2), edge=rows(3))
+
+    def failing(*_):
+        raise OSError("no more")
+
+    with monkeypatch.context() as m:
+        m.setattr("graphloom.operators.store.Pointer.swap", failing)
+        with pytest.raises(OSError):
+            store.replace(1, entity=rows(5), edge=rows(6))
+        with pytest.raises(OSError):
+            store.patch(1, rows(1), entity=rows(1))
+    assert {r.id for r in store.load("entity", 1).collect()} == {1, 2} and {r.id for r in store.load("edge", 1).collect()} == {3}
+    store.patch(1, rows(2), entity=rows(2).where("false"))
+    assert {r.id for r in store.load("entity", 1).collect()} == {1}
+
+
+def test_a_reader_keeps_its_version(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    rows = lambda *x: spark.createDataFrame([(i, i) for i in x], "id long, file_id long")
+    store.replace(1, entity=rows(1, 2))
+    seen = store.load("entity", 1)
+    store.patch(1, rows(1), entity=rows(1).where("false"))
+    assert {r.id for r in seen.collect()} == {1, 2} and {r.id for r in store.load("entity", 1).collect()} == {2}
