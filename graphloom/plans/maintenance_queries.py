@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from graphloom.operators import trigrams, upkeep
 from graphloom.operators.store import Store
 from graphloom.plans.graph_queries import WITH, both
 from graphloom.plans.registry import registry
@@ -58,3 +60,40 @@ def project_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     finally:
         spark.conf.set(provider, before)
     return index.read().select("project_id", "path", "id", "hash", "text")
+
+
+EDITED_SQL = """now AS (SELECT package_name, CASE WHEN file_id % 8 = 1 AND kind = 'METHOD' THEN 'ENDPOINT' ELSE kind END AS kind, CASE WHEN file_id % 8 = 1 THEN 'TEST' ELSE stereotype END AS stereotype,
+    CASE WHEN file_id % 8 = 1 THEN (complexity % 101)::DOUBLE ELSE least(complexity * 1.5::DOUBLE, 100.0::DOUBLE) END AS risk FROM entity WHERE file_id % 8 <> 2)"""
+
+
+def _edited(entity: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows before an edit, those that it takes out, and those that it brings."""
+    risk = F.least(F.col("complexity") * F.lit(1.5), F.lit(100.0))
+    rows = entity.select("file_id", "complexity", "package_name", "kind", "stereotype", risk.alias("risk"))
+    out = rows.where("file_id % 8 in (1, 2)")
+    into = rows.where("file_id % 8 = 1").withColumn("kind", F.when(F.col("kind") == "METHOD", "ENDPOINT").otherwise(F.col("kind"))).withColumn("stereotype", F.lit("TEST")).withColumn("risk", (F.col("complexity") % 101).cast("double"))
+    return rows, out, into
+
+
+@query(f"""{WITH}, {EDITED_SQL} SELECT package_name, count_if(kind IN ('CLASS', 'INTERFACE'))::BIGINT AS types, count_if(kind = 'METHOD')::BIGINT AS methods, count_if(kind = 'ENDPOINT')::BIGINT AS endpoints, count_if(kind IN ('CLASS', 'INTERFACE') AND stereotype = 'TEST')::BIGINT AS tests,
+count_if(risk >= 60)::BIGINT AS high, count_if(risk >= 30 AND risk < 60)::BIGINT AS medium, count_if(risk < 30)::BIGINT AS low, floor(sum(round(risk * 10)::BIGINT)::DOUBLE / (count(*)::DOUBLE * 10) * 1000.0::DOUBLE + 0.5::DOUBLE) / 1000.0::DOUBLE AS avg_risk, max(risk) AS max_risk FROM now GROUP BY 1""")
+def figures_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of packages after an edit, from those before it and the rows that it touches."""
+    before, out, into = _edited(adapters.entities(spark, sf_dir))
+    return upkeep.figures(upkeep.changed(upkeep.counted(before, "package_name"), out, into, "package_name"), "package_name")
+
+
+PATTERN_SQL = "pat AS (SELECT row_number() OVER (ORDER BY q) AS query_id, q FROM (SELECT DISTINCT lower(p_brand) AS q FROM part UNION SELECT DISTINCT lower(p_name) FROM part UNION SELECT 'd#' UNION SELECT 'no such name'))"
+
+
+@query(f"""{WITH}, {PATTERN_SQL}, hit AS (SELECT query_id, e.*, CASE WHEN lower(name) = q THEN 0 WHEN starts_with(lower(name), q) THEN 1 ELSE 2 END AS rank FROM pat JOIN entity e ON contains(lower(name), q) OR contains(lower(qualified_name), q))
+SELECT query_id, id, name, kind, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank, length(name), name, id)::INT AS place FROM hit QUALIFY place <= 20""")
+def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked search by trigrams for all brands and names, a pattern of two characters and one that nothing holds."""
+    part, entity = table(spark, sf_dir, "part"), adapters.entities(spark, sf_dir)
+    told = spark.createDataFrame([("d#",), ("no such name",)], "text string")
+    texts = part.select(F.lower("p_brand").alias("text")).unionByName(part.select(F.lower("p_name").alias("text"))).unionByName(told).distinct()
+    patterns = texts.withColumn("query_id", F.row_number().over(Window.orderBy("text")).cast("long"))  # a stated query set
+    index = trigrams.Trigrams(spark, fresh_folder(spark))
+    index.build(entity)
+    return trigrams.ranked_all(index, entity, patterns)
