@@ -1,17 +1,18 @@
 """Dependency graphs: building, degrees, roll-up, traversal with override dispatch, paths, components and depth.
 
 Depth is the least over all routes and dispatch steps cost nothing, so results do not depend on the order of visits.
-Traversals from many starts run in parallel over the starts, with the adjacency broadcast while its edges number at most
-MAX_BROADCAST_EDGES; beyond that the frontier is joined with the edges round by round.
+Traversals from many starts run in parallel over blocks of starts, each of which meets a copy of the edges by a shuffle,
+while these number at most MAX_EDGES; beyond that the frontier is joined with the edges round by round. No edge passes
+through the driver.
 """
 
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,7 +20,10 @@ from pyspark.sql.window import Window
 from graphloom.schema import TYPE_KINDS
 from graphloom.tables import written
 
-MAX_BROADCAST_EDGES = 2_000_000
+#: So many edges fit a task beside a block of starts.
+MAX_EDGES = 2_000_000
+#: Starts that a block has at least.
+BLOCK = 256
 UPSTREAM, DOWNSTREAM = "UPSTREAM", "DOWNSTREAM"
 
 
@@ -103,24 +107,38 @@ def dealt(spark: SparkSession) -> int:
     return 2 * spark.sparkContext.defaultParallelism
 
 
+def by_blocks(spark: SparkSession, starts: DataFrame, edge: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """run over blocks of starts (id), each with all edges: these are shuffled once for each block, never broadcast or collected.
+    Blocks are no more than tasks run at once, twice over; the caller has checked how many edges there are."""
+    many = max(1, min(dealt(spark), starts.count() // BLOCK))
+    left = starts.select("id", F.pmod(F.xxhash64("id"), F.lit(many)).alias("block")).repartition(many, "block")
+    right = edge.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long"))).alias("block")).repartition(many, "block")
+
+    def of(key: tuple, ids: pa.Table, edges: pa.Table) -> pa.Table:
+        return run(ids, edges)
+
+    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(of, schema)
+
+
 class Adjacency:
     """Steps by their start, as sorted arrays."""
 
-    def __init__(self, rows: pd.DataFrame):
-        rows = rows.sort_values("frm", kind="stable")
+    def __init__(self, rows: pa.Table):
+        rows = rows.sort_by("frm")
         self.nodes, first = np.unique(rows["frm"].to_numpy(), return_index=True)
         self.first = np.append(first, len(rows))
-        self.steps = list(zip(*(rows[c].tolist() for c in ("to", "cost", "flag", "closed")), strict=True))
+        self.steps = list(zip(*(rows[c].to_pylist() for c in ("to", "cost", "flag", "closed")), strict=True))
         self.at = {n: i for i, n in enumerate(self.nodes.tolist())}
 
     def of(self, node: int) -> list[tuple[int, int, bool, bool]]:
         i = self.at.get(node)
         return [] if i is None else self.steps[self.first[i] : self.first[i + 1]]
 
-    def reach(self, start: int, limit: int) -> dict[tuple[int, bool], int]:
-        """Least depth of each state (node, flag): a search with steps of cost 0 and 1."""
-        depth = {(start, False): 0}
-        queue = deque([(start, False)])
+    def reach(self, starts: list[int], limit: int) -> dict[int, list]:
+        """Least depth of each node from any of the starts, and whether all routes there end on a flag: a search with steps of
+        cost 0 and 1 over states (node, flag)."""
+        depth = {(s, False): 0 for s in starts}
+        queue = deque(depth)
         while queue:
             state = queue.popleft()
             node, flag = state
@@ -131,33 +149,31 @@ class Adjacency:
                 if d + cost < depth.get((to, new), limit + 1):
                     depth[to, new] = d + cost
                     (queue.append if cost else queue.appendleft)((to, new))
-        return depth
+        found: dict[int, list] = {}
+        for (node, flag), d in depth.items():
+            have = found.setdefault(node, [d, True])
+            have[0], have[1] = min(have[0], d), have[1] and flag
+        return found
 
 
-def reach(spark: SparkSession, step: DataFrame, starts: DataFrame, limit: int = 1 << 20, max_edges: int = MAX_BROADCAST_EDGES) -> DataFrame:
-    """start, node, depth, dispatched (no route without ending on a flag) of all that each start reaches, itself included."""
-    starts = starts.select(F.col("id").cast("long").alias("start")).distinct()
+def reach(spark: SparkSession, step: DataFrame, starts: DataFrame, limit: int = 1 << 20, max_edges: int = MAX_EDGES, together: bool = False) -> DataFrame:
+    """start, node, depth, dispatched (no route without ending on a flag) of all that each start reaches, itself included;
+    together: of all that any start of a block reaches, start being one of them."""
+    starts = written(spark, starts.select(F.col("id").cast("long").alias("id")).distinct())
     step = written(spark, step)
     if step.count() <= max_edges:
-        shared = spark.sparkContext.broadcast(Adjacency(step.toPandas()))  # at most max_edges rows
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            graph = shared.value
-            for batch in batches:
-                rows: list[tuple[int, int, int, bool]] = []
-                for start in batch["start"].tolist():
-                    found: dict[int, list] = {}
-                    for (node, flag), d in graph.reach(start, limit).items():
-                        have = found.setdefault(node, [d, True])
-                        have[0], have[1] = min(have[0], d), have[1] and flag
-                    rows += [(start, node, d, flag) for node, (d, flag) in found.items()]
-                    if len(rows) > 100_000:
-                        yield pd.DataFrame(rows, columns=["start", "node", "depth", "dispatched"])
-                        rows = []
-                yield pd.DataFrame(rows, columns=["start", "node", "depth", "dispatched"])
-
-        return starts.repartition(dealt(spark), "start").mapInPandas(run, "start long, node long, depth int, dispatched boolean")
-    seen = written(spark, starts.select("start", F.col("start").alias("node"), F.lit(False).alias("flag"), F.lit(0).alias("depth")))
+
+        def run(ids: pa.Table, steps: pa.Table) -> pa.Table:
+            graph, out = Adjacency(steps), ([], [], [], [])
+            ids = sorted(ids["id"].to_pylist())
+            for start in [ids] if together and ids else [[i] for i in ids]:
+                for node, (d, flag) in graph.reach(start, limit).items():
+                    for column, x in zip(out, (start[0], node, d, flag), strict=True):
+                        column.append(x)
+            return pa.table([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.bool_()), strict=True)], names=["start", "node", "depth", "dispatched"])
+
+        return by_blocks(spark, starts, step, run, "start long, node long, depth int, dispatched boolean")
+    seen = written(spark, starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(False).alias("flag"), F.lit(0).alias("depth")))
     front = seen
     while not front.isEmpty():
         moved = front.join(step.withColumnRenamed("frm", "node").withColumnRenamed("flag", "to_flag"), "node").where(~(F.col("flag") & F.col("closed")))
@@ -171,7 +187,7 @@ def reach(spark: SparkSession, step: DataFrame, starts: DataFrame, limit: int =
 
 def bfs(spark: SparkSession, edge: DataFrame, seeds: DataFrame, direction: str = DOWNSTREAM, limit: int = 30, dispatch: bool = False, **options) -> DataFrame:
     """node, depth, dispatched over all seeds together."""
-    return reach(spark, moves(edge, direction, dispatch), seeds, limit, **options).groupBy("node").agg(F.min("depth").cast("int").alias("depth"), F.min("dispatched").alias("dispatched"))
+    return reach(spark, moves(edge, direction, dispatch), seeds, limit, together=True, **options).groupBy("node").agg(F.min("depth").cast("int").alias("depth"), F.min("dispatched").alias("dispatched"))
 
 
 STATE = ["node", "flag"]
@@ -310,48 +326,50 @@ def _by_start(bits: np.ndarray, n: int) -> np.ndarray:
 
 
 def _small_closure(spark: SparkSession, entity: DataFrame, edge: DataFrame, ends: DataFrame | None, chunk: int = 1024) -> DataFrame:
-    """id, dependents, dependencies, reaches_endpoint, component; the edges are broadcast, the starts dealt out."""
-    rows = edge.select("src", "dst", (F.col("type") == "OVERRIDES").alias("over") if "type" in edge.columns else F.lit(False).alias("over")).where("src <> dst").toPandas()  # at most MAX_BROADCAST_EDGES rows
-    nodes = np.unique(rows[["src", "dst"]].to_numpy().astype(np.int64))
-    n = len(nodes)
-    a, b, over = np.searchsorted(nodes, rows["src"]), np.searchsorted(nodes, rows["dst"]), rows["over"].to_numpy().astype(bool)
-    # states of the way up: a node, and n on, a node that stands in for an overrider
-    up = BitGraph(2 * n, np.concatenate([b, n + b[~over], a[over], n + a[over]]), np.concatenate([a, a[~over], n + b[over], n + b[over]]))
-    down, back = BitGraph(n, a, b), BitGraph(n, b, a)
-    marks = np.zeros(n, bool)
-    if ends is not None:
-        hit = ends.join(edge.select(F.col("src").alias("id")).union(edge.select(F.col("dst").alias("id"))).distinct(), "id", "left_semi").select("id").toPandas()["id"].to_numpy()  # ends of at most so many edges
-        marks[np.searchsorted(nodes, hit)] = True
-    shared = spark.sparkContext.broadcast((nodes, up, down, back, marks))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        nodes, up, down, back, marks = shared.value
-        for batch in batches:
-            every = batch["id"].to_numpy()
-            for lo in range(0, len(every), chunk):
-                ids = every[lo : lo + chunk]
-                out = pd.DataFrame({"id": ids, "dependents": 0, "dependencies": 0, "reaches_endpoint": False, "component": ids})
-                at = np.searchsorted(nodes, ids)
-                known = np.flatnonzero((at < len(nodes)) & (nodes[np.minimum(at, len(nodes) - 1)] == ids)) if len(nodes) else np.zeros(0, np.int64)
-                if len(known):
-                    seeds = at[known]
-                    m = len(known)
-                    own = np.zeros((len(nodes), m), bool)
-                    own[seeds, np.arange(m)] = True
-                    state = up.reach(seeds)
-                    plain, flagged = _by_start(state[: len(nodes)], m), _by_start(state[len(nodes) :], m)
-                    out.loc[known, "dependents"] = ((plain | flagged) & ~own).sum(axis=0)
-                    out.loc[known, "reaches_endpoint"] = (plain & ~own & marks[:, None]).any(axis=0)
-                    below = _by_start(down.reach(seeds), m)
-                    out.loc[known, "dependencies"] = (below & ~own).sum(axis=0)
-                    both = below & _by_start(back.reach(seeds), m)
-                    out.loc[known, "component"] = nodes[both.argmax(axis=0)]
-                yield out
-
-    return entity.select(F.col("id").cast("long").alias("id")).distinct().repartition(dealt(spark), "id").mapInPandas(run, "id long, dependents long, dependencies long, reaches_endpoint boolean, component long")
-
-
-def closure(spark: SparkSession, entity: DataFrame, edge: DataFrame, endpoints: DataFrame | None = None, max_edges: int = MAX_BROADCAST_EDGES) -> DataFrame:
+    """id, dependents, dependencies, reaches_endpoint, component, by blocks of starts; bits stand for starts."""
+    over = (F.col("type") == "OVERRIDES") if "type" in edge.columns else F.lit(False)
+    rows = edge.where("src <> dst").groupBy("src", "dst").agg(F.bool_or(over).alias("over"), F.bool_and(over).alias("only"))
+    if ends is None:
+        rows = rows.withColumn("end", F.lit(False))
+    else:  # an end is marked on the edges that leave it: what an edge does not leave depends on nothing
+        rows = rows.join(ends.select(F.col("id").alias("src"), F.lit(True).alias("end")).distinct(), "src", "left").withColumn("end", F.coalesce("end", F.lit(False)))
+
+    def run(starts: pa.Table, links: pa.Table) -> pa.Table:
+        every = np.sort(starts["id"].to_numpy())
+        src, dst, over, only, end = (links[c].to_numpy() for c in ("src", "dst", "over", "only", "end"))
+        nodes = np.unique(np.concatenate([src, dst]))
+        n = len(nodes)
+        a, b = np.searchsorted(nodes, src), np.searchsorted(nodes, dst)
+        # states of the way up: a node, and n on, a node that stands in for an overrider
+        up = BitGraph(2 * n, np.concatenate([b, n + b[~only], a[over], n + a[over]]), np.concatenate([a, a[~only], n + b[over], n + b[over]]))
+        down, back = BitGraph(n, a, b), BitGraph(n, b, a)
+        marks = np.zeros(n, bool)
+        marks[a[end]] = True
+        out = {"id": every, "dependents": np.zeros(len(every), np.int64), "dependencies": np.zeros(len(every), np.int64), "reaches_endpoint": np.zeros(len(every), bool), "component": every.copy()}
+        for lo in range(0, len(every) if n else 0, chunk):
+            ids = every[lo : lo + chunk]
+            at = np.searchsorted(nodes, ids)
+            known = np.flatnonzero((at < n) & (nodes[np.minimum(at, n - 1)] == ids))
+            m, to = len(known), lo + known
+            if not m:
+                continue
+            seeds = at[known]
+            own = np.zeros((n, m), bool)
+            own[seeds, np.arange(m)] = True
+            state = up.reach(seeds)
+            plain, flagged = _by_start(state[:n], m), _by_start(state[n:], m)
+            out["dependents"][to] = ((plain | flagged) & ~own).sum(axis=0)
+            out["reaches_endpoint"][to] = (plain & ~own & marks[:, None]).any(axis=0)
+            below = _by_start(down.reach(seeds), m)
+            out["dependencies"][to] = (below & ~own).sum(axis=0)
+            both = below & _by_start(back.reach(seeds), m)
+            out["component"][to] = nodes[both.argmax(axis=0)]
+        return pa.table(out)
+
+    return by_blocks(spark, written(spark, entity.select(F.col("id").cast("long").alias("id")).distinct()), rows, run, "id long, dependents long, dependencies long, reaches_endpoint boolean, component long")
+
+
+def closure(spark: SparkSession, entity: DataFrame, edge: DataFrame, endpoints: DataFrame | None = None, max_edges: int = MAX_EDGES) -> DataFrame:
     """id, dependents (reached upstream with dispatch), dependencies (downstream), reaches_endpoint (an endpoint among the
     dependents that a plain edge reaches), component (least id of its strongly connected component)."""
     edge = written(spark, edge)
@@ -373,29 +391,30 @@ def closure_counts(spark: SparkSession, entity: DataFrame, edge: DataFrame, endp
 
 
 def _small_depths(spark: SparkSession, links: DataFrame) -> DataFrame:
-    """component, depth of every component with links; each task walks the broadcast links from its own components."""
-    rows = links.toPandas()  # at most MAX_BROADCAST_EDGES rows
-    shared = spark.sparkContext.broadcast(rows.groupby("a")["b"].apply(list).to_dict())
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        after, depth = shared.value, {}
-        for batch in batches:
-            for c in batch["component"].tolist():
-                stack = [c]
-                while stack:
-                    top = stack[-1]
-                    open_ = [x for x in after.get(top, ()) if x not in depth]
-                    if open_:
-                        stack += open_
-                    else:
-                        depth[top] = max((depth[x] + 1 for x in after.get(top, ())), default=0)
-                        stack.pop()
-            yield pd.DataFrame({"component": batch["component"], "depth": [depth[c] for c in batch["component"].tolist()]})
-
-    return links.select(F.col("a").alias("component")).union(links.select(F.col("b").alias("component"))).distinct().mapInPandas(run, "component long, depth int")
-
-
-def components(spark: SparkSession, entity: DataFrame, edge: DataFrame, max_edges: int = MAX_BROADCAST_EDGES) -> DataFrame:
+    """component, depth of every component with links; each block walks the links from its own components."""
+
+    def run(starts: pa.Table, links: pa.Table) -> pa.Table:
+        after: dict[int, list[int]] = {}
+        for a, b in zip(links["a"].to_pylist(), links["b"].to_pylist(), strict=True):
+            after.setdefault(a, []).append(b)
+        depth: dict[int, int] = {}
+        for c in starts["id"].to_pylist():
+            stack = [c]
+            while stack:
+                top = stack[-1]
+                open_ = [x for x in after.get(top, ()) if x not in depth]
+                if open_:
+                    stack += open_
+                else:
+                    depth[top] = max((depth[x] + 1 for x in after.get(top, ())), default=0)
+                    stack.pop()
+        return pa.table({"component": starts["id"], "depth": pa.array([depth[c] for c in starts["id"].to_pylist()], pa.int32())})
+
+    every = written(spark, links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct())
+    return by_blocks(spark, every, links, run, "component long, depth int")
+
+
+def components(spark: SparkSession, entity: DataFrame, edge: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
     """id, component: the least id of its strongly connected component.
 
     Nodes without edges in or out among those left are components of their own and are trimmed. The others take the least
@@ -448,7 +467,7 @@ def cycles(spark: SparkSession, entity: DataFrame, edge: DataFrame) -> DataFrame
     return components(spark, entity, edge).groupBy("component").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("id")).alias("members")).where("size > 1")
 
 
-def depths(spark: SparkSession, entity: DataFrame, edge: DataFrame, component: DataFrame | None = None, max_edges: int = MAX_BROADCAST_EDGES) -> DataFrame:
+def depths(spark: SparkSession, entity: DataFrame, edge: DataFrame, component: DataFrame | None = None, max_edges: int = MAX_EDGES) -> DataFrame:
     """id, component, depth: edges of the longest chain of components from its own to a sink."""
     part = written(spark, component if component is not None else components(spark, entity, edge))
     a, b = part.select(F.col("id").alias("src"), F.col("component").alias("a")), part.select(F.col("id").alias("dst"), F.col("component").alias("b"))

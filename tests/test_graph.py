@@ -31,7 +31,7 @@ def ids(spark, *x):
     return spark.createDataFrame([(i,) for i in x], "id long")
 
 
-@pytest.mark.parametrize("most", [graph.MAX_BROADCAST_EDGES, 0])
+@pytest.mark.parametrize("most", [graph.MAX_EDGES, 0])
 def test_dispatch(spark, dispatch, most):
     _, edge = dispatch
     assert depths(graph.bfs(spark, edge, ids(spark, 8), graph.UPSTREAM, 30, True, max_edges=most)) == {8: 0, 6: 0, 2: 1, 4: 1, 9: 2}
@@ -40,7 +40,7 @@ def test_dispatch(spark, dispatch, most):
     assert depths(graph.bfs(spark, edge, ids(spark, 9), graph.DOWNSTREAM, 1, max_edges=most)) == {9: 0, 4: 1}
 
 
-@pytest.mark.parametrize("most", [graph.MAX_BROADCAST_EDGES, 0])
+@pytest.mark.parametrize("most", [graph.MAX_EDGES, 0])
 def test_overriders_beside_the_start_are_left_out(spark, most):
     edge = edges(spark, [(2, 1, "OVERRIDES"), (3, 1, "OVERRIDES"), (4, 1, "CALLS")])
     assert set(depths(graph.bfs(spark, edge, ids(spark, 2), graph.UPSTREAM, 30, True, max_edges=most))) == {2, 1, 4}
@@ -67,7 +67,7 @@ def test_nested_types_do_not_depend_on_each_other(spark):
     assert graph.roll_up(entity, edges(spark, [(2, 1, "CALLS"), (3, 2, "USES_TYPE")])).count() == 0
 
 
-@pytest.mark.parametrize("most", [graph.MAX_BROADCAST_EDGES, 0])
+@pytest.mark.parametrize("most", [graph.MAX_EDGES, 0])
 def test_components_and_depth(spark, most):
     entity = entities(spark, [(i, "METHOD", None, None) for i in range(1, 9)])
     edge = edges(spark, [(1, 2, "CALLS"), (2, 3, "CALLS"), (3, 1, "CALLS"), (4, 1, "CALLS"), (3, 5, "CALLS"), (6, 7, "CALLS"), (7, 6, "CALLS"), (4, 6, "CALLS")])
@@ -134,7 +134,7 @@ def test_closure_both_ways_of_running(spark):
     entity = entities(spark, [(i, "ENDPOINT" if i % 7 == 0 else "METHOD", None, None) for i in range(60)])
     edge = edges(spark, sorted({(r.randrange(55), r.randrange(55), r.choice(["CALLS", "OVERRIDES", "USES_TYPE"])) for _ in range(80)}))
     edge = edge.where("src <> dst")
-    small, large = (sorted(map(tuple, graph.closure(spark, entity, edge, max_edges=most).collect())) for most in (graph.MAX_BROADCAST_EDGES, 0))
+    small, large = (sorted(map(tuple, graph.closure(spark, entity, edge, max_edges=most).collect())) for most in (graph.MAX_EDGES, 0))
     assert small == large and len(small) == 60
 
 

@@ -47,6 +47,5 @@ def test_search_by_trigrams(spark, tmp_path):
         want = [(n + 1, x["id"], x["rank"]) for n, x in enumerate(search.ranked(entity, q, n=15).collect())]
         assert sorted(got.get(i, [])) == want, q
     # the postings of one trigram are read, in one bucket
-    plan = index.candidates(spark.createDataFrame([(1, "abab")], "query_id long, text string"))
-    read = [f for f in plan.inputFiles() if "/postings/" in f]
-    assert len({f.split("bucket=")[1].split("/")[0] for f in read}) == 1
+    plan = index.candidates(spark.createDataFrame([(1, "abab")], "query_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "(bucket#" in plan and "EqualTo(gram,bab)" in plan
