@@ -124,13 +124,15 @@ def mixed(docs: DataFrame, taken: DataFrame) -> DataFrame:
     return out.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
 
 
-def oracle(weights=WEIGHTS, share: float = SHARE, most: int = MOST, blocks: int = BLOCKS, shards: int = SHARDS, seed: str = SEED) -> str:
+def oracle(weights=WEIGHTS, share: float = SHARE, most: int = MOST, blocks: int = BLOCKS, shards: int | None = None, seed: str = SEED) -> str:
     """The same rows as DuckDB SQL."""
+    parts = f"{shards}" if shards else f"(SELECT greatest({SHARDS}, count(*) // {ROWS}) FROM documents)"
     turns = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(weights))
     return f"""
 WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size,
     md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
-dealt AS (SELECT *, (('0x' || left(h, 8))::UBIGINT % {shards})::INT AS shard FROM sized),
+parts AS (SELECT {parts}::BIGINT AS n),
+dealt AS (SELECT *, (('0x' || left(h, 8))::BIGINT % (SELECT n FROM parts))::INT AS shard FROM sized),
 cells AS (SELECT source, shard, sum(size)::BIGINT AS cell_size FROM dealt GROUP BY ALL),
 sizes AS (SELECT source, sum(cell_size)::BIGINT AS source_size FROM cells GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rn FROM sizes),
@@ -141,14 +143,18 @@ levels AS (SELECT *, cap::DOUBLE / weight AS ratio, ({share}::DOUBLE * (sum(sour
 found AS (SELECT arg_min(level, spot) AS level FROM levels WHERE level <= ratio),
 aims AS (SELECT source, source_size, rn, least(cap::DOUBLE, (SELECT level FROM found) * weight) AS target FROM levels),
 total AS (SELECT floor(coalesce(sum(source_size), 0)::DOUBLE * {share})::BIGINT AS t FROM aims),
-unit AS (SELECT greatest(1, t // {blocks}) AS block, t // greatest(1, t // {blocks}) AS seats FROM total),
-quotients AS (SELECT rn, unnest(range(0, (ceil(target * (SELECT seats FROM unit) / (SELECT sum(target) FROM aims)) + 2)::BIGINT)) AS j, target FROM aims WHERE target > 0),
+least AS (SELECT floor(coalesce(min(target), 0))::BIGINT AS target FROM aims WHERE target > 0),
+size AS (SELECT greatest(1, least(t // {blocks}, (SELECT target FROM least) // ({PER_SHARD} * (SELECT n FROM parts)))) AS block FROM total),
+unit AS (SELECT block, t // block AS seats FROM size, total),
+quotients AS (SELECT rn, unnest(range(0, (ceil(target * (SELECT seats FROM unit) / (SELECT sum(target) FROM aims)) + 2 + (SELECT count(*) FROM aims))::BIGINT)) AS j, target FROM aims WHERE target > 0),
 won AS (SELECT rn, count(*) AS won FROM (SELECT rn FROM quotients ORDER BY target / (2 * j + 1) DESC, rn LIMIT (SELECT seats FROM unit)) GROUP BY ALL),
 inside AS (SELECT a.rn, c.source, c.shard, c.cell_size, a.source_size, a.target, w.won FROM cells c JOIN aims a ON c.source IS NOT DISTINCT FROM a.source LEFT JOIN won w USING (rn)),
-claims AS (SELECT rn, shard, cell_size, won, unnest(range(0, (ceil(cell_size * won::DOUBLE / source_size) + 2)::BIGINT)) AS j FROM inside WHERE won > 0 AND cell_size > 0),
+claims AS (SELECT rn, shard, cell_size, won, unnest(range(0, (ceil(cell_size * won::DOUBLE / source_size) + 2 + (SELECT n FROM parts))::BIGINT)) AS j FROM inside WHERE won > 0 AND cell_size > 0),
 placed AS (SELECT rn, shard, won, row_number() OVER (PARTITION BY rn ORDER BY cell_size::DOUBLE / (2 * j + 1) DESC, shard) AS place FROM claims),
 quotas AS (SELECT rn, shard, count(*) AS blocks FROM placed WHERE place <= won GROUP BY ALL),
-limits AS (SELECT i.*, least(coalesce(q.blocks, 0) * (SELECT block FROM unit), i.cell_size * {most}) AS quota FROM inside i LEFT JOIN quotas q ON i.rn = q.rn AND i.shard = q.shard),
+clipped AS (SELECT i.*, coalesce(q.blocks, 0) AS blocks, least(coalesce(q.blocks, 0) * (SELECT block FROM unit), i.cell_size * {most}) AS quota FROM inside i LEFT JOIN quotas q ON i.rn = q.rn AND i.shard = q.shard),
+limits AS (SELECT * REPLACE (quota + greatest(0, least(cell_size * {most} - quota, coalesce(won, 0) * (SELECT block FROM unit) - sum(quota) OVER (PARTITION BY rn)
+    - coalesce(sum(cell_size * {most} - quota) OVER (PARTITION BY rn ORDER BY cell_size::DOUBLE / (2 * blocks + 1) DESC, shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS quota) FROM clipped),
 run AS (SELECT *, sum(size) OVER (PARTITION BY source, shard ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM dealt)
 SELECT r.doc_id, r.source, r.size, l.source_size, l.target,
     (CASE WHEN l.cell_size > 0 THEN l.quota // l.cell_size ELSE 0 END * r.size

@@ -3,9 +3,11 @@
 A row descends from the root. At each level every child of the node it has reached draws -ln(u) / weight, u from the hash
 of the row's id and the child's path, weight the sum of all shards' below it; the least draw wins, so a node is entered in
 proportion to what it weighs. Only children of nodes on the row's own path draw: with thousands of shards a row computes
-a few draws a level. Draws fall as weights grow, so a change moves rows only into or out of nodes whose weights change:
-a shard that is added to a rack may bring rows into its region and rack, and there to its siblings, but moves none
-between other regions, nor between other racks of its own. A shard that opens a region takes rows only into itself.
+a few draws a level. Draws fall as weights grow, so a change moves rows only into or out of nodes whose weights change.
+
+The law is `key`: id and number of shards decide. A shard that is added stands in a region of its own beside those that are
+settled, so whatever their number it takes rows only into itself. When it is settled later, in the rack and region of its
+number, rows move into that region, and there between siblings, but not between other regions.
 
 Null ids draw as one value of their own. Null texts have no bytes. Rows with equal ids go to one shard; equal rows take
 neighbouring slots in any order. Empty tables give empty results. No columns but doc_id and text are read.
@@ -27,23 +29,26 @@ ROWS = 1 << 17
 PARTS = 16
 
 
-def tree(weights: Sequence[float], rack: int = RACK, region: int = REGION) -> list[dict[int, list[tuple[int, str, float]]]]:
-    """By level from the root, each node's children as (number, path, weight of all shards below); none weighs 0."""
-    levels: list[dict[int, list[tuple[int, str, float]]]] = []
-    for part, above, path in ((region, None, lambda s: f"region {s // region}"), (rack, region, lambda s: f"region {s // region}/rack {s // rack}"), (1, rack, lambda s: f"region {s // region}/rack {s // rack}/shard {s}")):
-        nodes: dict[int, list[tuple[int, str, float]]] = {}
-        for child in range(0, -(-len(weights) // part)):
-            weight = float(sum(weights[child * part : (child + 1) * part]))
-            if weight > 0:
-                nodes.setdefault(child * part // above if above else 0, []).append((child, path(child * part), weight))
-        levels.append(nodes)
-    return levels
-
-
-def descend(key: Column, weights: Sequence[float], rack: int = RACK, region: int = REGION) -> Column:
-    """The shard of a row among shards with these weights; a shard of weight 0 gets nothing."""
+def tree(weights: Sequence[float], settled: int | None = None, rack: int = RACK, region: int = REGION) -> list[dict[int, list[tuple[int, str, float]]]]:
+    """By level from the root, each node's children as (number, path, weight of all shards below); none weighs 0. Shards from
+    number `settled` on stand in regions of their own."""
+    settled = len(weights) if settled is None else settled
+    levels: list[dict[int, dict[int, tuple[str, float]]]] = [{}, {}, {}]
+    for s, weight in enumerate(weights):
+        if s < settled:
+            numbers, paths = (s // region, s // rack, s), (f"region {s // region}", f"region {s // region}/rack {s // rack}", f"region {s // region}/rack {s // rack}/shard {s}")
+        else:
+            numbers, paths = (-(-settled // region) + s - settled, -(-settled // rack) + s - settled, s), (f"added {s}", f"added {s}/rack", f"added {s}/rack/shard")
+        for level, above, number, path in zip(levels, (0, *numbers), numbers, paths, strict=False):
+            below = level.setdefault(above, {})
+            below[number] = (path, below.get(number, (path, 0.0))[1] + float(weight))
+    return [{above: [(n, p, w) for n, (p, w) in below.items() if w > 0] for above, below in level.items() if any(w > 0 for _, w in below.values())} for level in levels]
+
+
+def descend(key: Column, weights: Sequence[float], settled: int | None = None, rack: int = RACK, region: int = REGION) -> Column:
+    """The shard of a row among shards with these weights, `settled` of them settled; a shard of weight 0 gets nothing."""
     node = F.lit(0)
-    for nodes in tree(weights, rack, region):
+    for nodes in tree(weights, settled, rack, region):
         below = F.array(*(F.array(*(F.struct(F.lit(c).alias("child"), F.lit(p).alias("path"), F.lit(w).alias("weight")) for c, p, w in nodes.get(n, []))) if n in nodes else F.lit(None) for n in range(max(nodes) + 1)))
 
         def draw(c: Column) -> Column:
@@ -63,7 +68,7 @@ def shard(spark: SparkSession, docs: DataFrame, weights: Sequence[float] = (1.0,
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), key.alias("key"))
-    rows = rows.withColumn("shard", descend(F.col("key"), weights)).withColumn("grown_shard", descend(F.col("key"), grown or (*weights, 1.0)))
+    rows = rows.withColumn("shard", descend(F.col("key"), weights)).withColumn("grown_shard", descend(F.col("key"), grown or (*weights, 1.0), len(weights)))
     # (equal ids may repeat: the text's checksum spreads them too)
     mark = F.conv(F.substring(F.md5(F.concat_ws("@", "key", F.col("text_crc32").cast("string"), F.col("size").cast("string"))), 1, 8), 16, 10).cast("long")
     rows = written(spark, rows.withColumn("mark", mark).drop("key"))
@@ -81,7 +86,7 @@ def oracle(weights: Sequence[float] = (1.0,) * 8, grown: Sequence[float] | None
     """The same rows as DuckDB SQL, which walks the tree level by level and has a checksum of its own."""
     nodes = ", ".join(
         f"({which}, {level}, {parent}, {child}, '{path}', {weight})"
-        for which, w in enumerate((weights, grown or (*weights, 1.0))) for level, found in enumerate(tree(w)) for parent, children in found.items() for child, path, weight in children
+        for which, w in enumerate((weights, grown or (*weights, 1.0))) for level, found in enumerate(tree(w, len(weights))) for parent, children in found.items() for child, path, weight in children
     )
     step = lambda i: f"""l{i} AS (SELECT r, which, arg_min(child, -ln((('0x' || left(md5(key || '@' || path), 13))::BIGINT + 0.5::DOUBLE) / {1 << 52}::DOUBLE) / weight::DOUBLE) AS child
     FROM rows JOIN {f"l{i - 1} USING (r)" if i else "(VALUES (0, 0), (1, 0)) start(which, child) ON true"} JOIN nodes USING (which) WHERE level = {i} AND parent = {"child" if not i else f"l{i - 1}.child"} GROUP BY r, which)"""

@@ -130,12 +130,19 @@ def draw(key, path, weight):
     return -math.log((int(hashlib.md5(f"{key}@{path}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / weight
 
 
-def walked(key, weights):
-    """The shard of a key by walking the tree, regions of four shards, racks of two."""
+def walked(key, weights, settled=None):
+    """The shard of a key by walking the tree, regions of four shards, racks of two; shards beyond the settled ones stand alone."""
+    added = {s: w for s, w in enumerate(weights) if settled is not None and s >= settled}
+    weights = weights[:settled]
     inside = lambda lo, hi: range(lo, min(hi, len(weights)))
     heavy = lambda shards: sum(weights[s] for s in shards)
     options = {r: (f"region {r}", heavy(inside(4 * r, 4 * r + 4))) for r in range((len(weights) + 3) // 4)}
-    region = min((draw(key, p, w), r) for r, (p, w) in options.items() if w)[1]
+    at, region = min((draw(key, p, w), r) for r, (p, w) in options.items() if w)
+    for s, w in added.items():
+        if w and draw(key, f"added {s}", w) < at:
+            at, region = draw(key, f"added {s}", w), -s
+    if region < 0:
+        return -region
     options = {k: (f"region {region}/rack {k}", heavy(inside(2 * k, 2 * k + 2))) for k in (2 * region, 2 * region + 1) if 2 * k < len(weights)}
     rack = min((draw(key, p, w), k) for k, (p, w) in options.items() if w)[1]
     return min((draw(key, f"region {region}/rack {rack}/shard {s}", weights[s]), s) for s in inside(2 * rack, 2 * rack + 2) if weights[s])[1]
@@ -144,7 +151,7 @@ def walked(key, weights):
 def test_shards_by_brute_force(spark, docs, rows):
     got = Counter((r.doc_id, r.shard, r.grown_shard) for r in sharding.shard(spark, docs).collect())
     key = lambda d: "null" if d is None else d
-    assert got == Counter((d, walked(key(d), [1.0] * 8), walked(key(d), [1.0] * 9)) for d, *_ in rows)
+    assert got == Counter((d, walked(key(d), [1.0] * 8), walked(key(d), [1.0] * 9, 8)) for d, *_ in rows)
     weights = [1, 0, 2.5, 1, 0, 0, 4, 1, 1, 3, 1]
     keys = spark.range(3000).selectExpr("cast(id as string) key")
     found = keys.select("key", sharding.descend(keys.key, weights).alias("s")).collect()
@@ -162,6 +169,12 @@ def test_tree_moves_rows_only_where_weights_change(spark):
     assert {(r.a, r.b) for r in rows if r.a != r.b and r.a >= 4} <= {(4, 5), (6, 4), (6, 5), (7, 4), (7, 5)}
     assert sum(r.a != r.b for r in rows) / 20_000 < 0.2
     assert {r.c for r in rows if r.a != r.c} == {8}
+    # whatever the number of shards, one more takes rows only into itself
+    for n in (1, 7, 9, 10, 11, 12):
+        many = [1.0] * n
+        rows_ = keys.select("key", sharding.descend(keys.key, many).alias("a"), sharding.descend(keys.key, [*many, 1.0], n).alias("b")).collect()
+        moved = [r for r in rows_ if r.a != r.b]
+        assert {r.b for r in moved} == {n} and abs(len(moved) / 20_000 - 1 / (n + 1)) < 0.02
     # a descent, not the least of all shards' draws
     flat = lambda key: min((draw(key, f"region {s // 4}/rack {s // 2}/shard {s}", w), s) for s, w in enumerate(old))[1]
     assert sum(flat(r.key) != r.a for r in rows) > 5000
