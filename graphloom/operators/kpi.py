@@ -111,3 +111,29 @@ def overview(scored: DataFrame) -> DataFrame:
         n("HIGH"), n("MEDIUM"), n("LOW"), zero(rounded(mean(F.col("risk"), 10)), "mean_risk"), zero(F.max("risk"), "max_risk"), zero(rounded(mean(F.when(method, F.col("complexity")))), "mean_complexity"),
         zero(F.max(F.when(method, F.col("complexity"))), "max_complexity"), zero(F.max("depth"), "max_depth"), F.count_if("exposed").alias("exposed"),
     )
+
+
+def page(entity: DataFrame, scored: DataFrame, cycle_types: DataFrame) -> DataFrame:
+    """One row of an overview: scored (types, methods and constructors with a risk), low_share (of these; 0 without any),
+    complex_methods (complexity of 10 or more), production_types (that are no tests), cycle_types (id: types in cycles)."""
+    rows = scored.where(F.col("kind").isin(*TYPE_KINDS, *METHOD_KINDS))
+    figures = rows.agg(F.count("*").alias("scored"), F.coalesce(rounded(F.count_if(F.col("level") == "LOW").cast("double") / F.nullif(F.count("*"), F.lit(0)).cast("double")), F.lit(0.0)).alias("low_share"), F.count_if(F.col("kind").isin(*METHOD_KINDS) & (F.col("complexity") >= 10)).alias("complex_methods"))
+    types = entity.where(F.col("kind").isin(*TYPE_KINDS)).agg(F.count_if(~F.coalesce(F.col("stereotype") == "TEST", F.lit(False))).alias("production_types"))
+    return figures.join(types, how="cross").join(cycle_types.agg(F.count_distinct("id").alias("cycle_types")), how="cross")  # rows of one
+
+
+def worst_groups(groups: DataFrame, n: int = 8) -> DataFrame:
+    """The n groups (grp, distance) furthest from the main sequence, ties by name."""
+    return groups.orderBy(F.desc("distance"), "grp").limit(n)
+
+
+def file_stats(files: DataFrame, by: str = "project_id") -> DataFrame:
+    """by, files, loc, parse_errors: of source files (by, loc, parse_error: null where parsing went well)."""
+    return files.groupBy(by).agg(F.count("*").alias("files"), F.coalesce(F.sum("loc"), F.lit(0)).cast("long").alias("loc"), F.count("parse_error").alias("parse_errors"))
+
+
+def scalar_counts(entity: DataFrame, edge: DataFrame, files: DataFrame) -> DataFrame:
+    """One row: entities, edges, files, endpoints, parse_errors."""
+    counts = entity.agg(F.count("*").alias("entities"), F.count_if(F.col("kind") == "ENDPOINT").alias("endpoints"))
+    counts = counts.join(edge.agg(F.count("*").alias("edges")), how="cross")  # rows of one
+    return counts.join(files.agg(F.count("*").alias("files"), F.count("parse_error").alias("parse_errors")), how="cross")  # rows of one

@@ -54,6 +54,12 @@ def dense_top(vectors: DataFrame, query: DataFrame, k: int = 10, id_: str = "vec
     asked = _packed(query, "query_id", column, 256).toDF("q_ids", "q_flat", "q_width")
     both = _packed(vectors, id_, column, 2048).join(asked, how="cross").where("width = q_width")
 
+    return _best(block_best(both, k, id_), k, F.desc("dense"), F.col(id_))
+
+
+def block_best(both: DataFrame, k: int, id_: str = "vec_id") -> DataFrame:
+    """query_id, id, dense: the best k of each block of vectors (ids, flat) for each query of a block (q_ids, q_flat); ties by id."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def unit_rows(flat: pa.Scalar, width: int) -> np.ndarray:
             v = flat.values.to_numpy(zero_copy_only=False).reshape(-1, width)
@@ -67,8 +73,7 @@ def dense_top(vectors: DataFrame, query: DataFrame, k: int = 10, id_: str = "vec
                 best = np.stack([np.lexsort((ids, -s))[:k] for s in score])
                 yield pa.RecordBatch.from_pydict({"query_id": np.repeat(asks, best.shape[1]), id_: ids[best].ravel(), "dense": np.take_along_axis(score, best, 1).ravel()})
 
-    near = both.select("ids", "flat", "width", "q_ids", "q_flat").mapInArrow(run, f"query_id long, {id_} long, dense double")
-    return _best(near, k, F.desc("dense"), F.col(id_))
+    return both.select("ids", "flat", "width", "q_ids", "q_flat").mapInArrow(run, f"query_id long, {id_} long, dense double")
 
 
 def _best(rows: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -186,6 +191,23 @@ def packed_prompt(sources: DataFrame, budget: int, by: str = "query_id") -> Data
     return out.select(by, "place", F.substring("text", 1, budget).alias("text"))
 
 
+def prompt_blocks(sources: DataFrame, budget: int, by: str = "query_id") -> DataFrame:
+    """by, number, block of the sources (by, place, label, kind, path, start_line, end_line, text) that fit the budget of
+    characters in order of place: each with its number and heading, which count as well. The first may be cut to it."""
+    w = Window.partitionBy(by).orderBy("place")
+    numbered = sources.withColumn("number", F.row_number().over(w))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    head = F.concat(F.lit("["), text("number"), F.lit("] "), text("label"), F.lit(" ("), text("kind"), F.lit(") - "), text("path"), F.lit(":"), text("start_line"), F.lit("-"), text("end_line"))
+    blocks = numbered.withColumn("block", F.concat(head, F.lit("\n```java\n"), text("text"), F.lit("\n```")))
+    upto = F.sum(F.char_length("block")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return blocks.withColumn("upto", upto).where((F.col("upto") <= budget) | (F.col("number") == 1)).select(by, "number", F.substring("block", 1, budget).alias("block"))
+
+
+def prompt_text(blocks: DataFrame, by: str = "query_id") -> DataFrame:
+    """by, sources: the blocks of each prompt, one below the other."""
+    return blocks.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "block"))), lambda x: x["block"]), "\n\n").alias("sources"))
+
+
 def usable(max_chars: int) -> tuple[int, int]:
     """Characters for everything, and for facts among them."""
     all_ = max(max_chars - 1500, 1000)

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as fn
-from graphloom.operators import graph, reports
+from graphloom.operators import graph, kpi, metrics, reports, retrieval
 from graphloom.plans.graph_queries import WITH, both
-from graphloom.plans.metric_queries import AFFECTED_SQL, MEASURED_SQL, SEED, risks
+from graphloom.plans.metric_queries import AFFECTED_SQL, MEASURED_SQL, SEED, _coupling_sql, risks
 from graphloom.plans.metric_queries import ORACLES as METRIC_ORACLES
 from graphloom.plans.registry import registry
 from graphloom.sources import adapters
-from graphloom.tables import fresh_folder
+from graphloom.tables import fresh_folder, table
 
 QUERIES, ORACLES, query = registry()
 LABEL_SQL = "CASE WHEN kind = 'ENDPOINT' THEN name ELSE qualified_name END"
@@ -110,3 +110,53 @@ def grounding_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = reports.entity_facts(entity, measured, edge).select("id", F.parse_json("facts").alias("f"))
     at = lambda path, kind: F.try_variant_get("f", path, kind)
     return facts.select("id", at("$.role", "string").alias("role"), at("$.metrics.complexity", "int").alias("complexity"), *(F.array_join(at(f"$.{c}", "array<string>"), ";").alias(c) for c in ("dependents", "dependencies", "members")))
+
+
+@query(f"""{MEASURED_SQL}, r AS (SELECT s.* FROM scored s WHERE kind IN ('CLASS', 'INTERFACE', 'METHOD', 'CONSTRUCTOR')),
+cyc AS (SELECT m.id FROM mutual m JOIN entity t ON t.id = m.id AND t.parent_id IS NULL QUALIFY count(*) OVER (PARTITION BY component) > 1)
+SELECT (SELECT count(*) FROM r) AS scored, (SELECT floor(count_if(level = 'LOW')::DOUBLE / count(*)::DOUBLE * 1000.0::DOUBLE + 0.5::DOUBLE) / 1000.0::DOUBLE FROM r) AS low_share, (SELECT count_if(kind IN ('METHOD', 'CONSTRUCTOR') AND complexity >= 10)::BIGINT FROM r) AS complex_methods,
+(SELECT count(*) FROM entity WHERE kind IN ('CLASS', 'INTERFACE') AND coalesce(stereotype, '') <> 'TEST') AS production_types, (SELECT count(DISTINCT id) FROM cyc) AS cycle_types""")
+def overview_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entity, edge = both(spark, sf_dir)
+    cycles = graph.cycles(spark, entity.where("parent_id is null"), graph.roll_up(entity, edge))
+    return kpi.page(entity, risks(spark, sf_dir), cycles.select(F.explode("members").alias("id")))
+
+
+@query(_coupling_sql("package_name").replace(f"a.l_quantity >= {adapters.QUANTITY} AND b.l_quantity >= {adapters.QUANTITY} AND ", "") + " ORDER BY distance DESC, grp LIMIT 8")
+def worst_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with adapters.all_lines():
+        return kpi.worst_groups(metrics.coupling(*both(spark, sf_dir), "package_name"))
+
+
+@query("""WITH n AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS number, role, turn, text FROM conversations),
+b AS (SELECT conv_id, number, '[' || number || '] ' || coalesce(role, '') || ' (' || 'TURN' || ') - ' || 'conv/' || conv_id || ':' || turn || '-' || (turn + 1) || chr(10) || '```java' || chr(10) || coalesce(text, '') || chr(10) || '```' AS block FROM n),
+u AS (SELECT *, sum(length(block)) OVER (PARTITION BY conv_id ORDER BY number ROWS UNBOUNDED PRECEDING) AS upto FROM b)
+SELECT conv_id, number::INT AS number, left(block, 600) AS block FROM u WHERE upto <= 600 OR number = 1""")
+def prompt_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as the sources of a prompt, with their headings and numbers within the budget."""
+    c = table(spark, sf_dir, "conversations")
+    rows = c.select("conv_id", F.struct("turn", "text").alias("place"), F.col("role").alias("label"), F.lit("TURN").alias("kind"), F.concat(F.lit("conv/"), F.col("conv_id").cast("string")).alias("path"), F.col("turn").alias("start_line"), (F.col("turn") + 1).alias("end_line"), "text")
+    return retrieval.prompt_blocks(rows, 600, "conv_id")
+
+
+ERROR_SQL = "CASE WHEN text IS NULL THEN 'unreadable' WHEN length(text) - length(replace(text, '(', '')) <> length(text) - length(replace(text, ')', '')) THEN 'unbalanced' END"
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = lambda c: F.char_length("text") - F.char_length(F.replace("text", F.lit(c), F.lit("")))
+    error = F.when(F.col("text").isNull(), "unreadable").when(n("(") != n(")"), "unbalanced")
+    return table(spark, sf_dir, "documents").select("source", F.coalesce(fn.lines_of_code("text"), F.lit(0)).alias("loc"), error.alias("parse_error"))
+
+
+@query(f"""WITH f AS (SELECT source, {ERROR_SQL} AS parse_error, coalesce(len(list_filter(string_split(text, chr(10)), lambda x: length(regexp_replace(x, '[ \\t\\n\\f\\r\\x0B]+', '', 'g')) > 0)), 0) AS loc FROM documents)
+SELECT source, count(*) AS files, sum(loc)::BIGINT AS loc, count(parse_error) AS parse_errors FROM f GROUP BY 1""")
+def file_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files; unbalanced brackets stand for what a parser reports."""
+    return kpi.file_stats(_files(spark, sf_dir), "source")
+
+
+@query(f"{WHOLE} SELECT (SELECT count(*) FROM entity) AS entities, (SELECT count(*) FROM edge) AS edges, (SELECT count(*) FROM documents) AS files, (SELECT count(*) FROM entity WHERE kind = 'ENDPOINT') AS endpoints, (SELECT count({ERROR_SQL}) FROM documents) AS parse_errors")
+def scalar_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with adapters.all_lines():
+        entity, edge = both(spark, sf_dir)
+    return kpi.scalar_counts(entity, edge, _files(spark, sf_dir))
