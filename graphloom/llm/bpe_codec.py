@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -244,25 +245,45 @@ class Codec:
 
     def learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         """Ids of distinct chunks, as the bytes of 32-bit integers."""
-        known = {c: x for c in chunks if (x := self.chunks.get(c)) is not None}
-        new = [c for c in chunks if c not in known]
-        parts = [self.found.split(c.decode()) if self.found else [c.decode()] for c in new]
-        plain = [x for p in parts for x in p if x and x not in self.special]
-        pieces: list[list[str]] = []
-        for lo in range(0, len(plain), 1000):
-            pieces += self._pieces(plain[lo : lo + 1000])
-        have = {w: x for w in {w for p in pieces for w in p} if (x := self.recent.get(w)) is not None}
-        rest = sorted({w for p in pieces for w in p if w not in have})
+        known, new = {}, []
+        for c in chunks:
+            if (x := self.chunks.get(c)) is not None:
+                known[c] = x
+            else:
+                new.append(c)
+        for lo in range(0, len(new), 1000):
+            part = new[lo : lo + 1000]
+            texts = b"\n".join(part).decode().split("\n") if self.drops else [c.decode() for c in part]  # chunks hold no white space where it is dropped
+            if self.found and any(self.found.search(t) for t in texts):
+                split = [[x for x in self.found.split(t) if x] for t in texts]
+                plain = self._pieces([x for p in split for x in p if x not in self.special])
+                of = iter(plain)
+                ids = self._ids(plain)
+                found = [b"".join([self.special[x].to_bytes(4, "little") if x in self.special else b"".join([ids[w] for w in next(of)]) for x in p]) for p in split]
+            else:
+                plain = self._pieces(texts)
+                ids = self._ids(plain)
+                found = [ids[p[0]] if len(p) == 1 else b"".join([ids[w] for w in p]) for p in plain]
+            for c, x in zip(part, found, strict=True):
+                known[c] = x
+                if len(c) <= LONG:
+                    self.chunks.put(c, x)
+        return known
+
+    def _ids(self, pieces: list[list[str]]) -> dict[str, bytes]:
+        """Packed ids of all words of pieces."""
+        have, rest = {}, []
+        for w in {w for p in pieces for w in p}:
+            if (x := self.recent.get(w)) is not None:
+                have[w] = x
+            else:
+                rest.append(w)
+        rest.sort()
         for w, ids in zip(rest, self.words(rest), strict=True):
-            have[w] = np.array(ids, "<i4").tobytes()
+            have[w] = packed = struct.pack(f"<{len(ids)}i", *ids)
             if len(w) <= LONG:
-                self.recent.put(w, have[w])
-        of = iter(pieces)
-        for c, p in zip(new, parts, strict=True):
-            known[c] = b"".join([self.special[x].to_bytes(4, "little") if x in self.special else b"".join([have[w] for w in next(of)]) for x in p if x])
-            if len(c) <= LONG:
-                self.chunks.put(c, known[c])
-        return known
+                self.recent.put(w, packed)
+        return have
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of texts, packed; long texts in pieces."""
