@@ -54,6 +54,26 @@ def test_embeddings_against_all_pairs(spark, vectors, block):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_hot_copies_tiny_and_huge_components(spark):
+    """Copies beyond `hot` are salted; squares of such components underflow or overflow as they stand."""
+    rows = [(i, [1.0, 2.0, 3.0, 4.0], 1, "", 1) for i in range(40)] + [(50, [1e-200, 2e-200, 3e-200, 4e-200], 1, "", 1), (51, [1e200, 2e200, 3e200, -4e200], 1, "", 1), (52, [1e-320, 0.0, 0.0, 0.0], 1, "", 1), (53, [1.0, 0.0, 0.0, 0.0], 1, "", 1)]
+    rows += [(60 + i, None, 1, "", 1) for i in range(9)]
+    got = embedding_dedup.near_vectors(spark, spark.createDataFrame(rows, KINDS.replace("array<float>", "array<double>")).repartition(3), hot=7).collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in got} == {(i, 40, 0) for i in range(40)} | {(50, 40, 0), (51, 0, 51), (52, 1, 52), (53, 1, 52)} | {(60 + i, 0, 60 + i) for i in range(9)}
+
+
+def test_blocks_without_near_pairs_get_no_vectors(spark):
+    """The exact products are those of pairs that may reach the threshold: few where there are no near vectors."""
+    r = np.random.default_rng(3)
+    x = r.standard_normal((300, 64))
+    x[7] = x[8] + 0.01 * x[9]
+    planes, low, step, total = embedding_dedup.rounded(x / np.linalg.norm(x, axis=1, keepdims=True))
+    codes, factors = embedding_dedup.encode(x / np.linalg.norm(x, axis=1, keepdims=True))
+    upper = embedding_dedup.estimate(codes, factors, planes, low, step, total, 64) + embedding_dedup.slack(factors, 64, 0.93, step=step)
+    maybe = np.triu((upper >= 0.93) | (upper.T >= 0.93), 1)
+    assert maybe[7, 8] and maybe.sum() < 0.01 * 300 * 300
+
+
 def test_no_embeddings(spark):
     assert embedding_dedup.near_vectors(spark, spark.createDataFrame([], KINDS)).collect() == []
 
@@ -67,9 +87,10 @@ def test_estimates_are_unbiased_and_bounded():
     total = np.zeros_like(real)
     for seed in range(20):
         codes, factors = embedding_dedup.encode(x, seed)
-        guess = embedding_dedup.estimate(codes, factors, y, seed)
+        planes, *query = embedding_dedup.rounded(y, seed)
+        guess = embedding_dedup.estimate(codes, factors, planes, *query, 64)
         total += guess
-        assert (np.diag(guess) + embedding_dedup.slack(factors, 64, 0.93) >= np.minimum(np.diag(real), 0.93)).all()
+        assert (np.diag(guess) + np.diag(embedding_dedup.slack(factors, 64, 0.93, step=query[1])) >= np.minimum(np.diag(real), 0.93)).all()
     assert abs((total / 20 - real).mean()) < 0.002 and np.abs(total / 20 - real).max() < 0.15
 
 
