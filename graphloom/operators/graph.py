@@ -262,12 +262,36 @@ def shortest_path(spark: SparkSession, edge: DataFrame, source: int, target: int
     return path
 
 
-def all_paths(spark: SparkSession, edge: DataFrame, sources: DataFrame, targets: DataFrame, max_depth: int = 6, max_paths: int = 20) -> DataFrame:
-    """source, target, path (nodes): simple paths of at most max_depth edges, the shortest and least max_paths of each pair."""
+#: Up to so many targets paths grow only where they can still arrive.
+NEAR_TARGETS = 10_000
+
+
+def all_paths(spark: SparkSession, edge: DataFrame, sources: DataFrame, targets: DataFrame, max_depth: int = 6, max_paths: int = 20, near: int = NEAR_TARGETS) -> DataFrame:
+    """source, target, path (nodes): simple paths of at most max_depth edges, the shortest and least max_paths of each pair.
+
+    With few targets (at most `near`) each path knows the one it is for: it grows only to nodes from which the target is near
+    enough, and a pair that has max_paths paths of one length needs no longer ones. With more, paths grow everywhere.
+    """
     links = edge.select(F.col("src").alias("at"), "dst").distinct()
     ends = targets.select(F.col("id").alias("target")).distinct()
-    front = sources.select(F.col("id").alias("source"), F.array("id").alias("path"), F.col("id").alias("at")).distinct()
+    place = F.row_number().over(Window.partitionBy("source", "target").orderBy(F.size("path"), "path"))
+    start = sources.select(F.col("id").alias("source")).distinct()
     found = None
+    if ends.limit(near + 1).count() <= near:
+        far = written(spark, reach(spark, moves(edge, UPSTREAM), ends.select(F.col("target").alias("id")), max_depth).select(F.col("start").alias("target"), F.col("node").alias("dst"), F.col("depth").alias("far")))
+        links = written(spark, links)
+        front = written(spark, start.join(far.withColumnRenamed("dst", "source"), "source").where("source <> target").select("source", "target", F.array("source").alias("path"), F.col("source").alias("at")))
+        for depth in range(1, max_depth + 1):
+            front = front.join(links, "at").where(~F.array_contains("path", F.col("dst"))).join(far, ["target", "dst"]).where(F.col("far") + depth <= max_depth)
+            front = written(spark, front.select("source", "target", F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("at")))
+            hit = front.where("at = target").select("source", "target", "path").withColumn("n", place).where(F.col("n") <= max_paths).drop("n")
+            found = written(spark, hit if found is None else found.unionByName(hit))
+            done = found.groupBy("source", "target").agg(F.count("*").alias("n")).where(F.col("n") >= max_paths)
+            front = front.where("at <> target").join(done, ["source", "target"], "left_anti")
+            if front.isEmpty():
+                break
+        return found.withColumn("n", place).where(F.col("n") <= max_paths).drop("n")
+    front = start.select("source", F.array("source").alias("path"), F.col("source").alias("at"))
     for _ in range(max_depth):
         front = front.join(links, "at").where(~F.array_contains("path", F.col("dst")))
         front = written(spark, front.select("source", F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("at")))
@@ -275,7 +299,6 @@ def all_paths(spark: SparkSession, edge: DataFrame, sources: DataFrame, targets:
         found = hit if found is None else found.unionByName(hit)
         if front.isEmpty():
             break
-    place = F.row_number().over(Window.partitionBy("source", "target").orderBy(F.size("path"), "path"))
     return found.withColumn("n", place).where(F.col("n") <= max_paths).drop("n")
 
 

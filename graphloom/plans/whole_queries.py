@@ -147,3 +147,26 @@ def impact_summary_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = spark.range(1).selectExpr("100L max_dependents", "10L max_depth", "50L max_coupling", "1000L max_complexity")
     entity, edge, seeds = _stated_impact(spark, sf_dir)
     return impact.summary(spark, entity, edge, seeds, top, entity.where(STATED))
+
+
+BETWEEN = ("id % 100 = 0", "id % 97 = 5", 4, 20)
+
+
+@query(f"""{graph_queries.WITH.replace(BOUND_SQL, "")}, l AS (SELECT DISTINCT src, dst FROM edge), t AS (SELECT id FROM entity WHERE {BETWEEN[1]}),
+p AS (SELECT id AS source, [id] AS path, id AS here FROM entity WHERE {BETWEEN[0]} UNION ALL SELECT p.source, list_append(p.path, l.dst), l.dst FROM p JOIN l ON l.src = p.here WHERE len(p.path) <= {BETWEEN[2]} AND NOT list_contains(p.path, l.dst))
+SELECT source, here AS target, array_to_string(path, '>') AS path FROM p WHERE len(path) > 1 AND here IN (SELECT id FROM t) QUALIFY row_number() OVER (PARTITION BY source, here ORDER BY len(path), path) <= {BETWEEN[3]}""")
+def paths_between_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Simple paths between a stated set of sources and one of targets, over all lines; paths grow only where they can arrive."""
+    with adapters.all_lines():
+        entity, edge = graph_queries.both(spark, sf_dir)
+    found = graph.all_paths(spark, edge, entity.where(BETWEEN[0]), entity.where(BETWEEN[1]), BETWEEN[2], BETWEEN[3])
+    return found.select("source", "target", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+
+
+@query(ORACLES["paths_between_whole"].replace(f"<= {BETWEEN[3]}", "<= 1"))
+def shortest_paths_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shortest path between each source and target, the least where several are as short."""
+    with adapters.all_lines():
+        entity, edge = graph_queries.both(spark, sf_dir)
+    found = graph.all_paths(spark, edge, entity.where(BETWEEN[0]), entity.where(BETWEEN[1]), BETWEEN[2], 1)
+    return found.select("source", "target", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))

@@ -57,6 +57,30 @@ def test_paths(spark, dispatch):
     assert {tuple(r.path) for r in graph.path_query(spark, entity, edge, 3, 5).collect()} == {(3, 5), (3, 1, 5)}
 
 
+@pytest.mark.parametrize("near", [graph.NEAR_TARGETS, 0])
+@pytest.mark.parametrize("most", [1, 3, 100])
+def test_paths_of_random_graphs(spark, near, most):
+    import random
+
+    r = random.Random(8)
+    links = {(r.randrange(14), r.randrange(14)) for _ in range(40)}
+    links = {(a, b) for a, b in links if a != b}
+    after = {a: sorted(b for x, b in links if x == a) for a in range(14)}
+
+    def walk(path, target):
+        if path[-1] == target and len(path) > 1:
+            yield path
+        elif len(path) <= 5:
+            for b in after[path[-1]]:
+                if b not in path:
+                    yield from walk([*path, b], target)
+
+    sources, targets = (0, 1, 2, 3), (3, 4, 5, 6)
+    want = sorted(p for s in sources for t in targets if s != t for p in sorted(walk([s], t), key=lambda p: (len(p), p))[:most])
+    found = graph.all_paths(spark, edges(spark, [(a, b, "CALLS") for a, b in links]), ids(spark, *sources), ids(spark, *targets), 5, most, near)
+    assert sorted(list(x.path) for x in found.collect()) == want
+
+
 def test_roll_up(spark, dispatch):
     got = {(r.src, r.dst, r.type) for r in graph.roll_up(*dispatch).collect()}
     assert got == {(1, 5, "CALLS"), (3, 1, "CALLS"), (3, 5, "CALLS"), (7, 5, "OVERRIDES"), (7, 5, "IMPLEMENTS")}
