@@ -3,7 +3,7 @@
 A window is L consecutive symbols (words or bytes) of one document. Each window is dealt by its anchor, the smallest
 hashed k-gram in it: equal windows have equal anchors, wherever they stand. Consecutive windows with one anchor form a
 segment, so a corpus of n symbols gives about 2n / (L - k + 2) segments instead of n windows, and only anchors that
-occur twice can hold a repeated window. Equal segments are one kind (anchor's and content's hash, 124 bits together): the
+occur twice can hold a repeated window. Equal segments are one kind (by the content's hash of 62 bits, of which the anchor follows): the
 kind's first place and, if it has more, its last one as a witness go to the caller's index, which alone decides what is
 repeated. What it says of a kind holds for every place of the kind.
 """
