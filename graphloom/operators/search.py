@@ -90,3 +90,17 @@ def focused(entity: DataFrame, shown: DataFrame, asked: DataFrame) -> DataFrame:
     itself = own.join(there, F.col("id") == F.col("focus")).select("id", "focus")
     above = own.join(itself, "id", "left_anti").join(there, F.col("owner_id") == F.col("focus")).select("id", "focus")
     return itself.unionByName(above)
+
+
+def nodes(entity: DataFrame, files: DataFrame) -> DataFrame:
+    """Entities with the path and module of their file (file_id, path, module), in the place of their own module where they have
+    one; those whose file is unknown (endpoints of no file) stay, without a path."""
+    known = files.select("file_id", "path", F.col("module").alias("file_module"))
+    return entity.join(known, "file_id", "left").withColumn("module", F.coalesce("file_module", "module")).drop("file_module")
+
+
+def owned(rows: DataFrame, projects: DataFrame, owners: DataFrame, by: str = "project_id") -> DataFrame:
+    """rows of the projects (by, owner) of these owners (owner), with their owner: the others are nobody's business. Projects
+    without an owner are everybody's, as owner null."""
+    asked = projects.join(owners.select("owner").distinct(), "owner", "left_semi").unionByName(projects.where("owner is null"))
+    return rows.join(asked.select(by, "owner"), by)

@@ -105,3 +105,23 @@ def scalar_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     entity, edge = both(spark, sf_dir)
     counts = entity.agg(F.count("*").alias("entities"), F.count_distinct("file_id").alias("files"), F.count_if(F.col("kind") == "ENDPOINT").alias("endpoints"))
     return counts.join(edge.agg(F.count("*").alias("edges")), how="cross")  # rows of one
+
+
+@query(f"""{WITH}, f AS (SELECT DISTINCT doc_id AS file_id, 'src/' || coalesce(source, 'none') || '/D' || doc_id || '.java' AS path, source AS module FROM documents WHERE doc_id < 150)
+SELECT e.id, e.kind, e.qualified_name, f.path, coalesce(f.module, e.module) AS module FROM entity e LEFT JOIN f ON f.file_id = e.file_id""")
+def node_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities with their files; documents stand for files, those from 150 on are unknown."""
+    k = F.col("doc_id")
+    files = table(spark, sf_dir, "documents").where(k < 150).select(k.alias("file_id"), F.concat(F.lit("src/"), F.coalesce("source", F.lit("none")), F.lit("/D"), k.cast("string"), F.lit(".java")).alias("path"), F.col("source").alias("module")).distinct()
+    return search.nodes(adapters.entities(spark, sf_dir), files).select("id", "kind", "qualified_name", "path", "module")
+
+
+@query("""WITH p AS (SELECT c_custkey AS project_id, CASE WHEN c_custkey % 10 <> 0 THEN n_name END AS owner FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT owner, count(DISTINCT project_id) AS projects, count(*) AS runs, sum(o_totalprice > 100000)::BIGINT AS large FROM orders JOIN p ON o_custkey = project_id WHERE owner IS NULL OR owner IN (SELECT n_name FROM nation WHERE n_regionkey = 1) GROUP BY 1""")
+def owner_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the owners of one region may see of all runs: their own projects' and those of nobody."""
+    t = lambda n: table(spark, sf_dir, n)
+    projects = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("project_id"), F.when(F.col("c_custkey") % 10 != 0, F.col("n_name")).alias("owner"))
+    runs = t("orders").select(F.col("o_custkey").alias("project_id"), "o_totalprice")
+    mine = search.owned(runs, projects, t("nation").where("n_regionkey = 1").select(F.col("n_name").alias("owner")))
+    return mine.groupBy("owner").agg(F.count_distinct("project_id").alias("projects"), F.count("*").alias("runs"), F.count_if(F.col("o_totalprice") > 100000).alias("large"))
