@@ -100,7 +100,5 @@ def nodes(entity: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def owned(rows: DataFrame, projects: DataFrame, owners: DataFrame, by: str = "project_id") -> DataFrame:
-    """rows of the projects (by, owner) of these owners (owner), with their owner: the others are nobody's business. Projects
-    without an owner are everybody's, as owner null."""
-    asked = projects.join(owners.select("owner").distinct(), "owner", "left_semi").unionByName(projects.where("owner is null"))
-    return rows.join(asked.select(by, "owner"), by)
+    """rows of the projects (by, owner) of these owners (owner), with their owner; those of others, and of nobody, are left out."""
+    return rows.join(projects.join(owners.select("owner").distinct(), "owner", "left_semi").select(by, "owner"), by)
