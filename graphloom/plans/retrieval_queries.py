@@ -113,7 +113,18 @@ def hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.hybrid(pool, 8).drop("query_id")
 
 
-@query()
+DENSE_ALL_SQL = DENSE_SQL.replace("SELECT a.vec_id, floor", "SELECT b.vec_id AS query_id, a.vec_id, floor").replace("vec_id = 7", "vec_id % 100 = 0")
+
+
+@query(f"""WITH {ALL_KEYWORD_SQL}, {DENSE_ALL_SQL}, items AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS n FROM benchmark), asks AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS n FROM embeddings WHERE vec_id % 100 = 0),
+every AS (SELECT unnest(range(greatest((SELECT count(*) FROM items), (SELECT count(*) FROM asks)))) AS query_id),
+pair AS (SELECT query_id, item_id, vec_id FROM every JOIN items i ON i.n = query_id % (SELECT count(*) FROM items) JOIN asks a ON a.n = query_id % (SELECT count(*) FROM asks)),
+near AS (SELECT p.query_id, d.vec_id AS id, d.dense FROM pair p JOIN dense d ON d.query_id = p.vec_id QUALIFY row_number() OVER (PARTITION BY p.query_id ORDER BY d.dense DESC, d.vec_id) <= 32),
+pins AS (SELECT id FROM chunks WHERE id IN (3, 11, 200)), owned AS (SELECT id FROM chunks WHERE path = 'src7'),
+pool AS (SELECT * FROM near UNION ALL SELECT query_id, id, 0.0::DOUBLE FROM every, (SELECT id FROM owned UNION SELECT id FROM pins) x WHERE (query_id, id) NOT IN (SELECT query_id, id FROM near)),
+scored AS (SELECT p.query_id, p.id, p.dense, coalesce(k.keyword, 0.0::DOUBLE) AS keyword, p.id IN (SELECT id FROM pins) AS pinned FROM pool p JOIN pair USING (query_id) LEFT JOIN keyword k ON k.query_id = pair.item_id AND k.id = p.id)
+SELECT *, floor((greatest(dense, 0.0::DOUBLE) * 0.7::DOUBLE + keyword * 0.3::DOUBLE + CASE WHEN pinned THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE AS score
+FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 8""")
 def hybrid_rank_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The n-th question goes with the n-th vector whose id is divisible by 100; the shorter list goes round."""
     v, c = table(spark, sf_dir, "embeddings"), chunks(spark, sf_dir)
