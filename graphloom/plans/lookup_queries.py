@@ -107,12 +107,12 @@ def scalar_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(edge.agg(F.count("*").alias("edges")), how="cross")  # rows of one
 
 
-@query(f"""{WITH}, f AS (SELECT DISTINCT doc_id AS file_id, 'src/' || coalesce(source, 'none') || '/D' || doc_id || '.java' AS path, source AS module FROM documents WHERE doc_id < 150)
+@query(f"""{WITH}, f AS (SELECT DISTINCT doc_id * 2 AS file_id, 'src/' || coalesce(source, 'none') || '/D' || doc_id || '.java' AS path, source AS module FROM documents)
 SELECT e.id, e.kind, e.qualified_name, f.path, coalesce(f.module, e.module) AS module FROM entity e LEFT JOIN f ON f.file_id = e.file_id""")
 def node_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities with their files; documents stand for files, those from 150 on are unknown."""
+    """Entities with their files: documents stand for those with even numbers, the others are unknown."""
     k = F.col("doc_id")
-    files = table(spark, sf_dir, "documents").where(k < 150).select(k.alias("file_id"), F.concat(F.lit("src/"), F.coalesce("source", F.lit("none")), F.lit("/D"), k.cast("string"), F.lit(".java")).alias("path"), F.col("source").alias("module")).distinct()
+    files = table(spark, sf_dir, "documents").select((k * 2).alias("file_id"), F.concat(F.lit("src/"), F.coalesce("source", F.lit("none")), F.lit("/D"), k.cast("string"), F.lit(".java")).alias("path"), F.col("source").alias("module")).distinct()
     return search.nodes(adapters.entities(spark, sf_dir), files).select("id", "kind", "qualified_name", "path", "module")
 
 

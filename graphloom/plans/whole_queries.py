@@ -64,7 +64,7 @@ def all_both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 SEEDS = (graph_queries.SEED_SQL, STATED)
 
 
-@query()
+@query(stated_sql("shortest_path_len", ("WHERE id < 400", f"WHERE {STATED}"), ("node < 400 AND node <> source", "node <> source")))
 def shortest_path_len_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     entity, edge = all_both(spark, sf_dir)
     found = graph.reach(spark, graph.moves(edge), entity.where(STATED), 30).where("node <> start")
