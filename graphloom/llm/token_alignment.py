@@ -254,11 +254,11 @@ def align(
     counts = written(spark, pair_counts(docs, kind))
     size, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     bar = 0 if size <= limit else total // limit  # fewer than limit pairs have counts above it
-    frequent = counts.where(F.col("n") > bar).toPandas().sort_values("pair")
+    frequent = counts.where(F.col("n") > bar).toArrow().sort_by("pair")  # limit rows of two numbers
     highest = np.zeros(len(tokenizers.size_a), np.int64)
     for a, n in counts.groupBy(F.expr(f"pair div {wide}").alias("a")).agg(F.max("n")).collect():  # a row an id of the vocabulary
         highest[a] = n
-    table = spark.sparkContext.broadcast((frequent.pair.to_numpy(np.int64), frequent.n.to_numpy(np.int64), highest))
+    table = spark.sparkContext.broadcast((frequent["pair"].to_numpy(), frequent["n"].to_numpy(), highest))
     figures = [*keep, "n_a", "n_b", "n_groups", "n_links", "groups", own_row]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
