@@ -9,7 +9,7 @@ through the driver.
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -392,6 +392,54 @@ def _small_closure(spark: SparkSession, entity: DataFrame, edge: DataFrame, ends
     return by_blocks(spark, written(spark, entity.select(F.col("id").cast("long").alias("id")).distinct()), rows, run, "id long, dependents long, dependencies long, reaches_endpoint boolean, component long")
 
 
+#: Starts of a row of bits in tables, as 64-bit columns.
+WORDS = [f"w{i}" for i in range(16)]
+
+
+def _reached_bits(spark: SparkSession, starts: DataFrame, step: DataFrame) -> DataFrame:
+    """node, flag, block, WORDS: which starts (id, block, bit) of a block reach each state. A row stands for 1,024 starts: no table
+    has a row for each start and node. Rounds are as many as the longest of all shortest routes."""
+    state = ["node", "flag", "block"]
+    either = [F.bit_or(w).alias(w) for w in WORDS]
+    step = written(spark, step.select(F.col("frm").alias("node"), "to", F.col("flag").alias("to_flag"), "closed"))
+    own = [F.expr(f"CASE WHEN bit div 64 = {i} THEN shiftleft(1L, CAST(bit % 64 AS INT)) ELSE 0L END").alias(w) for i, w in enumerate(WORDS)]
+    seen = front = written(spark, starts.select(F.col("id").alias("node"), F.lit(False).alias("flag"), "block", *own))
+    while not front.isEmpty():
+        moved = front.join(step, "node").where(~(F.col("flag") & F.col("closed"))).select(F.col("to").alias("node"), F.col("to_flag").alias("flag"), "block", *WORDS).groupBy(*state).agg(*either)
+        old = seen.select(*state, *(F.col(w).alias(f"{w}_") for w in WORDS))
+        gained = [F.col(w).bitwiseAND(F.bitwise_not(F.coalesce(f"{w}_", F.lit(0).cast("long")))).alias(w) for w in WORDS]
+        new = moved.join(old, state, "left").select(*state, *gained)
+        front = written(spark, new.where(" or ".join(f"{w} <> 0" for w in WORDS)))  # what a state has gained, nothing else, goes on
+        seen = written(spark, seen.unionByName(front).groupBy(*state).agg(*either))
+    return seen
+
+
+def _bit_counts(bits: DataFrame, starts: DataFrame, name: str) -> DataFrame:
+    """id, name: in how many rows each start's bit is set. Tasks add up their rows of a block first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            block = batch.column(0).to_numpy()
+            words = np.stack([batch.column(1 + i).to_numpy() for i in range(len(WORDS))], axis=1)
+            for b in np.unique(block):
+                part = np.ascontiguousarray(words[block == b]).view(np.uint8)
+                for lo in range(0, len(part), 4096):
+                    sums[b] = sums.get(b, 0) + np.unpackbits(part[lo : lo + 4096], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            if len(sums) > 256:
+                yield from out(sums)
+                sums = {}
+        yield from out(sums)
+
+    def out(sums: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for b, n in sums.items():
+            hit = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), b, np.int64)), pa.array(hit.astype(np.int64)), pa.array(n[hit])], names=["block", "bit", "n"])
+
+    counted = bits.select("block", *WORDS).mapInArrow(run, "block long, bit long, n long").groupBy("block", "bit").agg(F.sum("n").alias(name))
+    return starts.join(counted, ["block", "bit"], "left").select("id", F.coalesce(name, F.lit(0)).alias(name))
+
+
 def closure(spark: SparkSession, entity: DataFrame, edge: DataFrame, endpoints: DataFrame | None = None, max_edges: int = MAX_EDGES) -> DataFrame:
     """id, dependents (reached upstream with dispatch), dependencies (downstream), reaches_endpoint (an endpoint among the
     dependents that a plain edge reaches), component (least id of its strongly connected component)."""
@@ -399,14 +447,18 @@ def closure(spark: SparkSession, entity: DataFrame, edge: DataFrame, endpoints:
     ends = endpoints if endpoints is not None else entity.where("kind = 'ENDPOINT'").select("id")
     if edge.count() <= max_edges:
         return _small_closure(spark, entity, edge, ends)
-    up = reach(spark, moves(edge, UPSTREAM, True), entity, max_edges=max_edges)
-    down = reach(spark, moves(edge), entity, max_edges=max_edges)
-    up = up.join(ends.select(F.col("id").alias("node"), F.lit(True).alias("end")), "node", "left")
-    other = F.col("start") != F.col("node")
-    ups = up.groupBy(F.col("start").alias("id")).agg(F.count_if(other).alias("dependents"), F.coalesce(F.bool_or(other & ~F.col("dispatched") & F.col("end")), F.lit(False)).alias("reaches_endpoint"))
-    downs = down.groupBy(F.col("start").alias("id")).agg(F.count_if(other).alias("dependencies"))
+    starts = written(spark, entity.select(F.col("id").cast("long").alias("id")).distinct())
+    number = F.monotonically_increasing_id()
+    starts = written(spark, starts.select("id", F.shiftright(number, 10).alias("block"), number.bitwiseAND(1023).alias("bit")))
+    up, down = _reached_bits(spark, starts, moves(edge, UPSTREAM, True)), _reached_bits(spark, starts, moves(edge))
+    either = [F.bit_or(w).alias(w) for w in WORDS]
+    end = ends.select(F.col("id").cast("long").alias("node")).distinct()
+    counts = _bit_counts(up.groupBy("node", "block").agg(*either), starts, "dependents").join(_bit_counts(down, starts, "dependencies"), "id")
+    counts = counts.join(_bit_counts(up.where("not flag").join(end, "node", "left_semi"), starts, "ends"), "id")
+    counts = counts.join(end.select(F.col("node").alias("id"), F.lit(1).alias("own")), "id", "left")
     part = components(spark, entity, edge, max_edges)
-    return ups.join(downs, "id").join(part, "id").select("id", "dependents", "dependencies", "reaches_endpoint", "component")
+    # each start reaches itself, by a plain state
+    return counts.join(part, "id").select("id", (F.col("dependents") - 1).alias("dependents"), (F.col("dependencies") - 1).alias("dependencies"), (F.col("ends") > F.coalesce("own", F.lit(0))).alias("reaches_endpoint"), "component")
 
 
 def closure_counts(spark: SparkSession, entity: DataFrame, edge: DataFrame, endpoints: DataFrame | None = None, **options) -> DataFrame:
