@@ -4,6 +4,9 @@ A line goes if an earlier one equals it or is one edit away (a character inserte
 \\n parts; earlier means a smaller id (null first), then an earlier place. Lines without a word stay. Lines of every length
 are compared: a line of one character goes if there is an earlier one.
 
+Tables of lines, hashes and places are joined by shuffles, as the hints say: in compressed form they may look small enough
+to be broadcast, and would then pass through the driver's memory many times as large.
+
 Two lines one edit apart share a variant with one character deleted: both at the same place if one was replaced, or one
 line whole if one was inserted. So the lines that share a hashed variant and the place of its deletion are one edit
 apart, all of them, and an aggregate finds the earliest: no pairs are made. To emit variants only where they can meet,
@@ -52,7 +55,7 @@ def _halves(line: Column, size: Column) -> Column:
 
 def _shared(df: DataFrame, key: str, by: list[str]) -> DataFrame:
     """Rows of df (distinct in key and by) whose key others have too."""
-    return df.join(df.groupBy(key).agg(F.count("*").alias("n_")).where("n_ > 1").select(key), key, "left_semi")
+    return df.join(df.groupBy(key).agg(F.count("*").alias("n_")).where("n_ > 1").select(key).hint("merge"), key, "left_semi")
 
 
 def near_lines(spark: SparkSession, lines: DataFrame, distinct: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -62,7 +65,7 @@ def near_lines(spark: SparkSession, lines: DataFrame, distinct: DataFrame, block
     halves = distinct.select(*id_, F.explode("halves").alias("key"))
     meet = written(spark, _shared(halves, "key", id_).select(*id_).distinct())
     # each line's text comes from its first place only: a line that a third of all documents hold is one row here
-    asked = meet.join(distinct.select(*id_, "first"), id_).select(*id_, "first", F.col("first.did").alias("did"), F.col("first.rk").alias("rk"), F.col("first.pos").alias("pos"))
+    asked = meet.hint("merge").join(distinct.select(*id_, "first"), id_).select(*id_, "first", F.col("first.did").alias("did"), F.col("first.rk").alias("rk"), F.col("first.pos").alias("pos"))
     texts = lines.select("did", "rk", "pos", "line").join(asked.hint("merge"), ["did", "rk", "pos"])
     texts = written(spark, texts.groupBy(*id_).agg(F.min("line").alias("line"), F.min("first").alias("first")))
     # all but one block: for partners at least as long (m = len) and one shorter (m = len - 1)
@@ -90,11 +93,11 @@ def near_lines(spark: SparkSession, lines: DataFrame, distinct: DataFrame, block
     best = earliest.where("not inserted and n > 1").select("variant", "inserted", "longer", "best")
     inserted = earliest.where("inserted").select("variant", "inserted", (~F.col("longer")).alias("longer"), "best")
     best = best.unionByName(inserted)
-    found = variants.join(best, ["variant", "inserted", "longer"]).where(F.col("best.first") < F.col("first"))
+    found = variants.join(best.hint("merge"), ["variant", "inserted", "longer"]).where(F.col("best.first") < F.col("first"))
     found = found.groupBy(*id_).agg(F.min("best").alias("best"))
-    found = found.join(texts.select(*id_, "line"), id_).select(*id_, "line", *(F.col(f"best.{c}").alias(f"{c}_") for c in id_))
+    found = found.hint("merge").join(texts.select(*id_, "line"), id_).select(*id_, "line", *(F.col(f"best.{c}").alias(f"{c}_") for c in id_))
     other = texts.select(*(F.col(c).alias(f"{c}_") for c in id_), F.col("line").alias("line_"))
-    found = found.join(other, [f"{c}_" for c in id_])
+    found = found.hint("merge").join(other, [f"{c}_" for c in id_])
     return found.where((F.levenshtein("line", "line_", 1) >= 0) & (F.levenshtein("line", "line_", 1) <= 1)).select(*id_)
 
 
@@ -107,7 +110,7 @@ def removed_lines(spark: SparkSession, docs: DataFrame, block: int = BLOCK, hot:
     distinct = hashed.groupBy(*id_).agg(F.min(F.struct("did", "pos", "rk")).alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves"))
     distinct = written(spark, distinct)
     near = near_lines(spark, lines, distinct, block).withColumn("near", F.lit(True))
-    gone = distinct.join(near, id_, "left").where("n > 1 or near").select(*id_, "first", "n", F.coalesce("near", F.lit(False)).alias("near"))
+    gone = distinct.join(near.hint("merge"), id_, "left").where("n > 1 or near").select(*id_, "first", "n", F.coalesce("near", F.lit(False)).alias("near"))
     total = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # one number
     limit = max(1, total // HOT if hot is None else hot)
     heavy = distinct.where(F.col("n") > limit).select(*id_, F.ceil(F.col("n") / limit).cast("int").alias("salts"))
@@ -115,7 +118,7 @@ def removed_lines(spark: SparkSession, docs: DataFrame, block: int = BLOCK, hot:
     salts = F.coalesce("salts", F.lit(1))
     gone = gone.join(heavy, id_, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts", "n")
     places = lines.select(*_hash(F.col("line")), "did", "rk", "pos").join(heavy, id_, "left").withColumn("salt", F.pmod(F.xxhash64("did", "rk", "pos"), salts).cast("int")).drop("salts")
-    gone = places.join(gone, [*id_, "salt"]).where(F.col("near") | (F.struct("did", "pos", "rk") != F.col("first")))
+    gone = places.join(gone.hint("merge"), [*id_, "salt"]).where(F.col("near") | (F.struct("did", "pos", "rk") != F.col("first")))
     return written(spark, gone.groupBy("did", "rk").agg(F.collect_set("pos").alias("gone")))
 
 

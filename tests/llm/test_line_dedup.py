@@ -106,3 +106,11 @@ def test_long_line(spark):
 
 def test_empty(spark, none):
     assert line_dedup.drop_lines(spark, none).collect() == []
+
+
+def test_only_hot_lines_are_broadcast(spark, line_rows, monkeypatch):
+    plans, write = [], line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda spark, df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(spark, df))[1])
+    line_dedup.removed_lines(spark, spark.createDataFrame(line_rows, KINDS))
+    joins = [x for plan in plans for x in plan.split("Initial Plan")[0].split("\n") if "BroadcastHashJoin" in x]
+    assert len(joins) == 2 and all("LeftOuter" in x for x in joins)  # hot lines meet places and what goes
