@@ -202,3 +202,49 @@ def test_deep_nesting(spark):
     assert {r.id for r in impact.seeds_of_entity(entity, ids(spark, 3)).collect()} == set(range(3, 12))
     nested = entities(spark, [(i, "CLASS", i - 1 if i > 1 else None, None) for i in range(1, 9)])
     assert graph.enclosing(nested).count() == 28
+
+
+def random_links(spark, nodes, links, seed):
+    import random
+
+    r = random.Random(seed)
+    rows = sorted({(r.randrange(nodes), r.randrange(nodes), r.choice(["CALLS", "OVERRIDES", "USES_TYPE"])) for _ in range(links)})
+    return edges(spark, [x for x in rows if x[0] != x[1]])
+
+
+def test_rounds_equal_blocks(spark):
+    """What starts reach apart and together, as bits in rounds and in blocks."""
+    edge = random_links(spark, 140, 300, 1)
+    starts = ids(spark, *range(0, 140))
+    for step, limit in ((graph.moves(edge), 5), (graph.moves(edge, graph.UPSTREAM, True), 3)):
+        small, large = ({tuple(x) for x in graph.reach(spark, step, starts, limit, max_edges=most).collect()} for most in (graph.MAX_EDGES, 0))
+        assert small == large and len(small) > 140
+        few = starts.where("id % 50 = 3")
+        small, large = ({tuple(x)[1:] for x in graph.reach(spark, step, few, limit, max_edges=most, together=True).collect()} for most in (graph.MAX_EDGES, 0))
+        assert small == large
+
+
+@pytest.mark.parametrize("links", [70, 200])
+def test_closures_of_sparse_and_dense_graphs(spark, links):
+    entity = entities(spark, [(i, "ENDPOINT" if i % 7 == 0 else "METHOD", None, None) for i in range(130)])
+    edge = random_links(spark, 120, links, links)
+    small, large = (sorted(map(tuple, graph.closure(spark, entity, edge, max_edges=most).collect())) for most in (graph.MAX_EDGES, 0))
+    assert small == large and len(small) == 130
+
+
+def test_starts_together_are_no_rows_apart(spark, monkeypatch):
+    """A traversal from all starts together beyond the bound has a row for each state, not for each start and state."""
+    rows, write = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda spark, df: (out := write(spark, df), rows.append(out.count()))[0])
+    edge = edges(spark, [(i, i + 1, "CALLS") for i in range(6)] + [(6, 0, "CALLS")])
+    assert graph.bfs(spark, edge, ids(spark, *range(7)), max_edges=0).count() == 7 and max(rows) <= 7
+
+
+def test_rows_of_bits_are_for_components(spark, monkeypatch):
+    """A closure beyond the bound keeps no bits of nodes that reach each other."""
+    bits = []
+    monkeypatch.setattr(graph, "_gained", lambda spark, moved, seen, state, own=graph._gained: (bits.append(sum(x.count() for x in seen)), own(spark, moved, seen, state))[1])
+    entity = entities(spark, [(i, "METHOD", None, None) for i in range(70)])
+    edge = edges(spark, [(i, (i + k) % 70, "CALLS") for i in range(70) for k in (1, 5, 25)])
+    assert {(r.dependents, r.dependencies, r.component) for r in graph.closure(spark, entity, edge, max_edges=0).collect()} == {(69, 69, 0)}
+    assert max(bits) == 1
