@@ -248,3 +248,38 @@ def test_rows_of_bits_are_for_components(spark, monkeypatch):
     edge = edges(spark, [(i, (i + k) % 70, "CALLS") for i in range(70) for k in (1, 5, 25)])
     assert {(r.dependents, r.dependencies, r.component) for r in graph.closure(spark, entity, edge, max_edges=0).collect()} == {(69, 69, 0)}
     assert max(bits) == 1
+
+
+def test_pieces_that_fit_need_no_rounds(spark, monkeypatch):
+    """Of a graph beyond the bound only pieces that are beyond it themselves are followed round by round."""
+    import random
+
+    r, rows = random.Random(5), set()
+    for lo, nodes, links in ((0, 30, 60), (100, 8, 12), (200, 6, 6), (300, 12, 20)):
+        rows |= {(lo + r.randrange(nodes), lo + r.randrange(nodes), r.choice(["CALLS", "OVERRIDES"])) for _ in range(links)}
+    edge = edges(spark, sorted(x for x in rows if x[0] != x[1]))
+    entity = entities(spark, [(i, "ENDPOINT" if i % 7 == 0 else "METHOD", None, None) for i in [*range(35), *range(100, 110), *range(200, 208), *range(300, 312)]])
+    slow, large, joined = [], graph._large_closure, graph._joined
+    monkeypatch.setattr(graph, "_large_closure", lambda spark, nodes, *more: (slow.extend(x.id for x in nodes.collect()), large(spark, nodes, *more))[1])
+    want, got = (sorted(map(tuple, graph.closure(spark, entity, edge, max_edges=most).collect())) for most in (graph.MAX_EDGES, 25))
+    assert want == got and len(got) == 65 and slow and max(slow) < 100
+    monkeypatch.setattr(graph, "_joined", lambda spark, nodes, links: (slow.extend(x.id for x in nodes.collect()), joined(spark, nodes, links))[1])
+    part = graph.components(spark, entity, edge, 25)
+    assert sorted(map(tuple, part.collect())) == sorted((x[0], x[4]) for x in want) and max(slow) < 100
+    want, got = (sorted(map(tuple, graph.depths(spark, entity, edge, part, most).collect())) for most in (graph.MAX_EDGES, 5))
+    assert want == got
+
+
+@pytest.mark.parametrize("links", [10, 30, 60])
+def test_strong_components(links):
+    import numpy as np
+
+    rng = np.random.default_rng(links)
+    for _ in range(50):
+        src, dst = rng.integers(0, 25, links), rng.integers(0, 25, links)
+        on = np.eye(25, dtype=bool)
+        on[src, dst] = True
+        for k in range(25):
+            on |= on[:, [k]] & on[[k]]
+        part = graph.strong(25, src, dst)
+        assert ((part[:, None] == part) == (on & on.T)).all()
