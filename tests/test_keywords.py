@@ -33,3 +33,14 @@ def test_as_the_full_product(tables, monkeypatch, k, terms):
 def test_nothing(spark, tables):
     chunks, asked = tables
     assert keywords.top(chunks.where("false"), asked)[0].collect() == [] and keywords.top(chunks, asked.where("false"))[0].collect() == []
+
+
+@pytest.mark.parametrize("most", [1000, 5])
+def test_scores_of_one_scan(tables, monkeypatch, most):
+    """Scores of all questions without a join of chunks and questions."""
+    monkeypatch.setattr(keywords, "QUESTIONS", most)
+    chunks, asked = tables
+    got = keywords.scores(chunks, asked)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, retrieval.keyword_scores(chunks, asked).collect()))
+    assert keywords.scores(chunks, asked.where("false")).collect() == []
