@@ -283,3 +283,8 @@ def test_strong_components(links):
             on |= on[:, [k]] & on[[k]]
         part = graph.strong(25, src, dst)
         assert ((part[:, None] == part) == (on & on.T)).all()
+
+
+def test_owners_pass_no_entities_through_the_driver(spark):
+    plan = graph.owners(entities(spark, [(1, "CLASS", None, None), (2, "METHOD", 1, None)]))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
