@@ -1,6 +1,7 @@
 """Graph operators on small graphs with answers worked out by hand."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.operators import graph, impact, metrics
 
@@ -285,6 +286,18 @@ def test_strong_components(links):
         assert ((part[:, None] == part) == (on & on.T)).all()
 
 
+def test_traversals_in_pieces_that_fit_need_no_rounds(spark, monkeypatch):
+    """What starts reach apart in small pieces, by bits in tasks; a piece that is too large still goes by rounds."""
+    part = lambda at, seed: random_links(spark, 20, 28, seed).withColumns({"src": F.col("src") + at, "dst": F.col("dst") + at})
+    edge = part(0, 1).unionByName(part(100, 2)).unionByName(part(200, 3).unionByName(random_links(spark, 30, 90, 4).withColumns({"src": F.col("src") + 300, "dst": F.col("dst") + 300})))
+    starts, rounds, apart = ids(spark, *range(0, 340)), [], graph._reach_apart
+    monkeypatch.setattr(graph, "_reach_apart", lambda spark, step, starts, limit: (rounds.append({r.id // 100 for r in starts.collect()}), apart(spark, step, starts, limit))[1])
+    for step, limit, most in ((graph.moves(edge), 4, 50), (graph.moves(edge, graph.UPSTREAM, True), 3, 75)):
+        want, got = ({tuple(x) for x in graph.reach(spark, step, starts, limit, max_edges=n).collect()} for n in (graph.MAX_EDGES, most))
+        assert want == got and len(got) > 340
+    assert rounds == [{3}, {3}]
+
+
 def test_owners_pass_no_entities_through_the_driver(spark):
     plan = graph.owners(entities(spark, [(1, "CLASS", None, None), (2, "METHOD", 1, None)]))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
