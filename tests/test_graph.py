@@ -298,6 +298,15 @@ def test_traversals_in_pieces_that_fit_need_no_rounds(spark, monkeypatch):
     assert rounds == [{3}, {3}]
 
 
+def test_paths_do_not_ask_for_targets_as_far_as_the_bound(spark, dispatch, monkeypatch):
+    """Nodes that are only as near as the longest path allows are most of all: they are no rows."""
+    limits, reach = [], graph.reach
+    monkeypatch.setattr(graph, "reach", lambda spark, step, starts, limit, **more: (limits.append(limit), reach(spark, step, starts, limit, **more))[1])
+    edge = edges(spark, [(1, 2, "CALLS"), (2, 3, "CALLS"), (3, 4, "CALLS"), (1, 3, "CALLS")])
+    found = {(r.target, tuple(r.path)) for r in graph.all_paths(spark, edge, ids(spark, 1, 4), ids(spark, 1, 4), 3).collect()}
+    assert found == {(4, (1, 3, 4)), (4, (1, 2, 3, 4))} and limits == [2]
+
+
 def test_owners_pass_no_entities_through_the_driver(spark):
     plan = graph.owners(entities(spark, [(1, "CLASS", None, None), (2, "METHOD", 1, None)]))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
