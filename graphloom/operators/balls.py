@@ -43,7 +43,8 @@ class Balls:
         self.spark, self.id = spark, id_
         rows = vectors.select(F.col(id_).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).where("size(v) > 0")
         many = min(pivots, max(1, int(rows.count() ** 0.5)))
-        chosen = rows.orderBy(F.xxhash64("id"), "id").limit(many).select("v").collect()  # `pivots` vectors
+        # written first: a collected limit has `many` vectors of each task sent to the driver
+        chosen = written(spark, rows.orderBy(F.xxhash64("id"), "id").limit(many).select("v")).collect()  # `pivots` vectors
         by_width: dict[int, np.ndarray] = {}
         for width in {len(r.v) for r in chosen}:
             found = _unit(np.array([r.v for r in chosen if len(r.v) == width]))
@@ -129,7 +130,7 @@ class Balls:
 
     def _compared(self, visits: DataFrame, k: int) -> DataFrame:
         asked = self._packed(visits.select("ball", "width", "id", "v"), ASKED).select("ball", "width", F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"))
-        return block_best(self.blocks.join(asked, ["ball", "width"]), k, self.id)
+        return block_best(self.blocks.join(asked.hint("merge"), ["ball", "width"]), k, self.id)
 
     def top(self, queries: DataFrame, k: int = 10, column: str = "embedding") -> tuple[DataFrame, float]:
         """query_id, id, dense of the k vectors nearest to each query, as `retrieval.dense_top` gives them, and the share of all

@@ -29,3 +29,13 @@ def test_as_comparing_with_all(spark, rows, k, pivots):
 def test_nothing(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert Balls(spark, none).top(none.withColumnRenamed("vec_id", "query_id"))[0].collect() == []
+
+
+def test_only_pivots_come_to_the_driver(spark, rows, monkeypatch):
+    """A limit that is collected has as many vectors of each task sent there."""
+    from graphloom.operators import balls
+
+    seen, written = [], balls.written
+    monkeypatch.setattr(balls, "written", lambda spark, df: (seen.append((df.columns, df.count())), written(spark, df))[1])
+    balls.Balls(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), pivots=9)
+    assert seen[0] == (["v"], 9)
