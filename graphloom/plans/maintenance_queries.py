@@ -13,7 +13,7 @@ from graphloom.plans.registry import registry
 from graphloom.sources import adapters
 from graphloom.streaming import projects
 from graphloom.streaming.deltas import DeltaIndex
-from graphloom.tables import fresh_folder, table
+from graphloom.tables import fresh_folder, table, written
 
 QUERIES, ORACLES, query = registry()
 WHOLE = WITH.replace(f"a.l_quantity >= {adapters.QUANTITY} AND b.l_quantity >= {adapters.QUANTITY} AND ", "")
@@ -36,6 +36,13 @@ def store_patched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count("entity", store.load("entity", 1), "kind", "complexity").unionByName(count("edge", store.load("edge", 1), "type", "weight"))
 
 
+def in_lots(spark: SparkSession, events: DataFrame, at: str, files: int) -> None:
+    """Events in three lots of so many files; the last lot holds half of the first one again."""
+    events, lot = written(spark, events), F.pmod(F.xxhash64("seq"), F.lit(3))
+    for i in range(3):
+        events.where((lot == i) | (F.lit(i == 2) & (lot == 0) & (F.col("seq") % 2 == 0))).repartition(files).write.mode("append").parquet(at)
+
+
 @query("""WITH e AS (SELECT doc_id % 20 AS project_id, doc_id AS seq, doc_id % 97 = 0 AS gone, 'p' || (doc_id // 20) % 7 AS path, lang, source, left(sha256(coalesce(text, '')), 16) AS hash FROM documents),
 d AS (SELECT project_id, max(seq) AS seq FROM e WHERE gone GROUP BY 1), l AS (SELECT e.* FROM e LEFT JOIN d USING (project_id) WHERE NOT gone AND e.seq > coalesce(d.seq, -1) QUALIFY row_number() OVER (PARTITION BY e.project_id, path ORDER BY e.seq DESC) = 1)
 SELECT project_id, path, 'one' AS id, hash, lang AS text FROM l UNION ALL SELECT project_id, path, 'two', hash, source FROM l WHERE seq % 2 = 0""")
@@ -49,14 +56,13 @@ def project_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 20).alias("project_id"), k.alias("seq"), F.timestamp_seconds(F.lit(1_700_000_000) + k % 1000).alias("at"), F.when(gone, "delete").otherwise("update").alias("kind"),
         F.when(~gone, F.concat(F.lit("p"), (F.floor(k / 20) % 7).cast("string"))).alias("path"), F.when(~gone, chunks).alias("chunks"),
     )
-    at, lot = fresh_folder(spark), F.pmod(F.xxhash64("seq"), F.lit(3))
-    for i in range(3):  # the last lot holds half of the first one again
-        events.where((lot == i) | (F.lit(i == 2) & (lot == 0) & (F.col("seq") % 2 == 0))).coalesce(1).write.mode("append").parquet(f"{at}/events")
+    at, files = fresh_folder(spark), spark.sparkContext.defaultParallelism
+    in_lots(spark, events, f"{at}/events", files)
     index, provider = DeltaIndex(spark, f"{at}/index", "none"), "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, projects.PROVIDER)
     try:
-        projects.maintain(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/events"), index, f"{at}/checkpoint").awaitTermination()
+        projects.maintain(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{at}/events"), index, f"{at}/checkpoint").awaitTermination()
     finally:
         spark.conf.set(provider, before)
     return index.read().select("project_id", "path", "id", "hash", "text")

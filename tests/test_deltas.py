@@ -110,3 +110,11 @@ def test_what_is_gone_is_forgotten_in_time(spark, tmp_path, rocks):
     lots = [[(1, 5, "update", "p", chunk)], [(1, 6, "delete", None, None)], [(1, 5, "update", "p", chunk)], [(2, 20, "update", "q", chunk)], [(2, 21, "update", "r", chunk)], [(1, 22, "update", "p", chunk)]]
     got, _ = run(spark, tmp_path, "hours", lots, remembered=3600)
     assert got == [(1, "p", "c", "t"), (2, "q", "c", "t"), (2, "r", "c", "t")]
+
+
+def test_lots_of_events_are_files_of_several_tasks(spark, tmp_path):
+    from graphloom.plans.maintenance_queries import in_lots
+
+    in_lots(spark, spark.range(300).withColumnRenamed("id", "seq"), f"file://{tmp_path}/events", 4)
+    assert len(list((tmp_path / "events").glob("*.parquet"))) == 12
+    assert spark.read.parquet(f"file://{tmp_path}/events").distinct().count() == 300
