@@ -44,3 +44,10 @@ def test_scores_of_one_scan(tables, monkeypatch, most):
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, retrieval.keyword_scores(chunks, asked).collect()))
     assert keywords.scores(chunks, asked.where("false")).collect() == []
+
+
+def test_lists_of_a_few_chunks_at_a_time(tables, monkeypatch):
+    chunks, asked = tables
+    want = {tuple(x) for x in keywords.lists(chunks, ["alphaxword", "betayword"]).collect()}
+    monkeypatch.setattr(keywords, "ROWS", 3)
+    assert {tuple(x) for x in keywords.lists(chunks.coalesce(1), ["alphaxword", "betayword"]).collect()} == want and want
