@@ -1,5 +1,6 @@
 """Graph operators on small graphs with answers worked out by hand."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -310,3 +311,22 @@ def test_paths_do_not_ask_for_targets_as_far_as_the_bound(spark, dispatch, monke
 def test_owners_pass_no_entities_through_the_driver(spark):
     plan = graph.owners(entities(spark, [(1, "CLASS", None, None), (2, "METHOD", 1, None)]))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_a_task_closes_its_pieces_one_by_one(monkeypatch):
+    """Chains that share a task: no start has bits beside the nodes of other chains, long ones alone and short ones some together."""
+    chains, n = [*[40] * 3, *[3] * 20], 0
+    rows, want = [], {}
+    for size in chains:
+        rows += [(n + i, n + i + 1) for i in range(size - 1)]
+        want |= {n + i: (i, size - 1 - i, i > 0 and n % 2 == 0, n + i) for i in range(size)}
+        n += size
+    src, dst = (pa.array(x, pa.int64()) for x in zip(*rows, strict=True))
+    no = pa.array([False] * len(rows))
+    firsts = [sum(chains[:i]) for i in range(len(chains))]
+    links = pa.table({"src": src, "dst": dst, "over": no, "only": no, "end": pa.array([a % 2 == 0 and a in firsts for a, _ in rows])})
+    states, make = [], graph.BitGraph
+    monkeypatch.setattr(graph, "BitGraph", lambda many, *links: (states.append(many), make(many, *links))[1])
+    got = graph._closure_of(pa.table({"id": pa.array([*range(n), 10**6], pa.int64())}), links, chunk=30)
+    assert {r["id"]: (r["dependents"], r["dependencies"], r["reaches_endpoint"], r["component"]) for r in got.to_pylist()} == want | {10**6: (0, 0, False, 10**6)}
+    assert max(states) <= 80  # two states a node; 360 with all chains at once
