@@ -330,3 +330,37 @@ def test_a_task_closes_its_pieces_one_by_one(monkeypatch):
     got = graph._closure_of(pa.table({"id": pa.array([*range(n), 10**6], pa.int64())}), links, chunk=30)
     assert {r["id"]: (r["dependents"], r["dependencies"], r["reaches_endpoint"], r["component"]) for r in got.to_pylist()} == want | {10**6: (0, 0, False, 10**6)}
     assert max(states) <= 80  # two states a node; 360 with all chains at once
+
+
+def test_sparse_connected_graphs_are_closed_by_lists(monkeypatch):
+    """What starts reach in a large sparse piece are lists, whatever the pieces: bits would be nodes times starts. Long lists give way to bits."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    src, dst = np.divmod(np.unique(rng.integers(0, 3000 * 3000, 2600)), 3000)
+    chain = np.arange(2999)[rng.random(2999) < 0.5]
+    src, dst = np.concatenate([src, chain]), np.concatenate([dst, chain + 1])
+    src, dst = src[src != dst], dst[src != dst]
+    over = rng.random(len(src)) < 0.2
+    links = pa.table({"src": src, "dst": dst, "over": over, "only": over, "end": src % 7 == 0})
+    starts = pa.table({"id": np.arange(0, 3000, 10)})
+    bits, make = [], graph.BitGraph
+    monkeypatch.setattr(graph, "BitGraph", lambda many, *links: (bits.append(many), make(many, *links))[1])
+    got = {}
+    for name, listed, lists in (("bits", 10**9, 1), ("few", 0, 3000), ("lists", 0, graph.LISTS)):
+        bits.clear()
+        monkeypatch.setattr(graph, "LISTED", listed)
+        monkeypatch.setattr(graph, "LISTS", lists)
+        got[name] = graph._closure_of(starts, links, chunk=64), len(bits)
+    assert got["lists"][1] == 0 and got["bits"][1] and got["few"][1]
+    assert got["lists"][0].equals(got["bits"][0]) and got["lists"][0].equals(got["few"][0])
+    assert max(got["lists"][0]["dependents"].to_pylist()) > 100
+
+
+def test_longest_ways_and_depths():
+    import numpy as np
+
+    src, dst = np.array([0, 0, 1, 2, 4, 5, 5]), np.array([1, 2, 2, 3, 5, 4, 6])
+    assert graph.longest(8, src, dst).tolist() == [0, 1, 2, 3, -1, -1, -1, 0]
+    ids, links = pa.table({"id": [10, 13, 11]}), pa.table({"a": [10, 10, 11, 12], "b": [11, 12, 12, 13]})
+    assert graph._depths_of(ids, links)["depth"].to_pylist() == [3, 0, 2]
