@@ -88,3 +88,14 @@ def test_shortest_paths_from_the_stated_set_to_all(spark):
     got = {(r.source, r.target): r.length for r in catalogue.QUERIES["shortest_path_len_whole"](spark, SF).collect()}
     want = {(a, b): d for a in sorted(after) if a % 100 == 0 for b, d in reached(after, a).items() if a != b}
     assert got == want and len({a for a, _ in got}) == 2
+
+
+def test_scaled_impact_is_of_all_lines(spark, small):
+    sql = catalogue.ORACLES["impact_summary_scaled"]
+    assert "l_quantity" not in sql
+    with duckdb.connect() as c:
+        for t in ("part", "lineitem"):
+            c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+        want = c.sql(sql)
+        got = catalogue.QUERIES["impact_summary_scaled"](spark, small).select(*want.columns).collect()
+        assert list(map(str, map(tuple, got))) == list(map(str, want.fetchall())) and got[0].total > 0
